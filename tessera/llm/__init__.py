@@ -1,0 +1,11 @@
+"""Operators for large training-data pipelines.
+
+Nothing outside this subpackage imports it.  Functions that run on executors
+are shipped by value, so workers need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
