@@ -1,11 +1,12 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, packing, quality, urls
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4,
     "op5_quality": quality.op5,
     "op6_mixing": mixing.op6,
+    "op9_url_filter": urls.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
