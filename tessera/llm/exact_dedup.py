@@ -4,8 +4,8 @@ Each partition builds a counting quotient filter of its normalised texts: a
 64-bit fingerprint is split into a quotient (the run it belongs to) and a
 remainder kept in sorted order within the run, with a count.  Filters of equal
 geometry merge losslessly, remainder by remainder, range of quotients by range.
-Fingerprints with a count above one route their rows to byte verification:
-those texts are grouped by their bytes.
+Fingerprints with a count above one route their rows to byte verification,
+by way of a bitmap of fixed size: those texts are grouped by their bytes.
 
 Cases: a null text is the empty text; a null doc_id never wins over another
 and its row stays only if its whole group has none; a repeated row (same id and
@@ -16,6 +16,7 @@ empty result.  Columns beyond doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,10 @@ class QuotientFilter:
         return out
 
 
+def fingerprint(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+
+
 SIGNED = "doc_id long, fp long, text_sha256 string"
 
 
@@ -89,14 +94,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
                     text = low[i:j]
                     shas.append(hashlib.sha256(text).hexdigest())
-                    fps.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(shas, pa.string())], schema=schema)
+                    fps.append(fingerprint(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(shas, pa.string())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
 
-def repeated_fingerprints(signed: DataFrame, buckets: int) -> DataFrame:
-    """(fp, n): fingerprints whose merged count is above one."""
+#: The routing bitmap has 2**ROUTE_BITS bits, whatever the input: 8 MB.
+ROUTE_BITS = 26
+
+
+def repeated_map(signed: DataFrame, buckets: int) -> bytes:
+    """A bit for each leading ROUTE_BITS of a fingerprint whose merged count is above one."""
+    buckets = 1 << (buckets - 1).bit_length()
+    width = (1 << ROUTE_BITS) // buckets // 8
 
     def build(batches):
         fps = [b.column(0).to_numpy() for b in batches]
@@ -110,28 +121,44 @@ def repeated_fingerprints(signed: DataFrame, buckets: int) -> DataFrame:
 
     def merge(t: pa.Table) -> pa.Table:
         f = QuotientFilter.merge([QuotientFilter.from_bytes(x) for x in t.column("blob").to_pylist()])
-        many = f.counts > 1
-        return pa.table({"fp": f.fingerprints()[many].view(np.int64), "n": f.counts[many]})
+        bucket = t.column("bucket")[0].as_py()
+        bits = np.zeros(width * 8, np.uint8)
+        bits[(f.fingerprints()[f.counts > 1] >> np.uint64(64 - ROUTE_BITS)).astype(np.int64) - bucket * width * 8] = 1
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
 
-    return signed.select("fp").mapInArrow(build, C.BLOB).groupBy("bucket").applyInArrow(merge, "fp long, n long")
+    out = bytearray((1 << ROUTE_BITS) // 8)
+    for r in signed.select("fp").mapInArrow(build, C.BLOB).groupBy("bucket").applyInArrow(merge, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket * width : (r.bucket + 1) * width] = zlib.decompress(r.bits)
+    return bytes(out)
 
 
 def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(signatures(docs))
-    repeated = repeated_fingerprints(signed, buckets or C.n_buckets(signed))
-    routed = signed.join(repeated, "fp").select("doc_id", "fp", "text_sha256")
-    routed = scratch.keep(routed)
-
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    ids = routed.select("doc_id").distinct()
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("doc_id", F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("norm"))
-    groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1").select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    groups = scratch.keep(groups)
-    out = signed.join(groups, signed.text_sha256 == groups.sha, "left").drop("sha", "fp")
+    # what is broadcast has a fixed size; a row it routes in vain ends as a group of one
+    routes = spark.sparkContext.broadcast(repeated_map(signed, buckets or C.n_buckets(signed)))
+
+    def route(batches):
+        bits = np.frombuffer(routes.value, np.uint8)
+        for batch in batches:
+            ids, norm = [], []
+            doc = batch.column(0).to_pylist()
+            for a, b, data, off in C.text_slices(batch.column(1)):
+                low = C.LOWER[data].tobytes()
+                for k, i, j in zip(doc[a:b], off[:-1].tolist(), off[1:].tolist()):
+                    at = fingerprint(low[i:j]) >> (64 - ROUTE_BITS)
+                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                        ids.append(k)
+                        norm.append(low[i:j])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norm, pa.binary())], names=["doc_id", "norm"])
+
+    # grouping by the bytes themselves is the verification; copies meet on the map side first
+    routed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(route, "doc_id long, norm binary")
+    groups = routed.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = scratch.keep(groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"))
+    out = signed.join(groups, signed.text_sha256 == groups.sha, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
