@@ -206,3 +206,62 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
 
 def one_row_per(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+#: An id filter has 2**ID_BITS bits, whatever the input: 8 MB.
+ID_BITS = 26
+
+
+def id_cells(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(1)) >> U64(64 - ID_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size over the hashed ids of a one-column table.
+
+    It lets a scan leave most other rows behind; a row that shares a bit passes
+    too, so what follows must still join on the id.
+    """
+    ranges = 64
+    width = (1 << ID_BITS) // ranges
+
+    def build(batches):
+        bits = None
+        for b in batches:
+            bits = np.zeros(1 << ID_BITS, bool) if bits is None else bits
+            bits[id_cells(b.column(0).drop_null().to_numpy())] = True
+        if bits is not None:
+            rows = []
+            for i in range(ranges):
+                at = np.flatnonzero(bits[i * width : (i + 1) * width])
+                if len(at):
+                    rows.append((i, 0, at.astype("<u4").tobytes()))
+            if rows:
+                yield blob_batch(rows)
+
+    def merge(t: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        for x in t["blob"].to_pylist():
+            bits[np.frombuffer(x, "<u4")] = 1
+        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = bytearray((1 << ID_BITS) // 8)
+    for r in ids.mapInArrow(build, BLOB).groupBy("bucket").applyInArrow(merge, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket * width // 8 : (r.bucket + 1) * width // 8] = r.bits
+    return bytes(out)
+
+
+def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = id_cells(ids)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, byte by byte: like bytes lie together and compress."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(blob: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()

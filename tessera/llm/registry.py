@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import exact_dedup, lm_score, mixing, packing, pii, quality, urls, vectors
+from . import exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, urls, vectors
 
 QUERIES = {
     "op2_lm_score": lm_score.op2,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4,
     "op5_quality": quality.op5,
     "op6_mixing": mixing.op6,
+    "op7_ngram_jaccard": jaccard.op7,
     "op8_near_vectors": vectors.op8,
     "op9_url_filter": urls.op9,
     "op10_exact_dedup": exact_dedup.op10,
