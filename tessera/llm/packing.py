@@ -31,8 +31,11 @@ LENGTH = 2048
 OPEN_BINS = 4096
 VOCABULARY = "word_bpe_49k.json"
 #: Parts whose ids a Python worker keeps; beyond it the table starts afresh.
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 1_500_000
 _MARK = "<|endoftext|>"
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN[list(b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~')] = True  # no apostrophe: 's is one token
 
 
 class PartIds:
@@ -45,48 +48,61 @@ class PartIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(_MARK)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word_end, self.is_mark = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.is_mark[vocabulary[_MARK]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[bytes]) -> None:
-        if len(self.known) + len(parts) > KEPT_PARTS:
-            self.known.clear()
+    def _group(self, parts: list[bytes], texts: list[str], glue: str, ends_at: np.ndarray, drop: int) -> None:
+        """Ids of many parts in one call, cut where ends_at marks an id; one by one if the cuts don't add up."""
         for a in range(0, len(parts), 1000):
             group = parts[a : a + 1000]
-            odd = [p for p in group if b"<|" in p or b"|>" in p or p[:1] == b">" or p[-1:] == b"<"]
-            if odd:
-                taken = set(odd)
-                group = [p for p in group if p not in taken]
-                for p in odd:
-                    self.known[p] = self._plain(p.decode("utf-8", "replace"))
-            if not group:
-                continue
-            ids = np.array(self.tokenizer.encode(_MARK.join(p.decode("utf-8", "replace") for p in group), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(group) - 1:
-                for p in group:
-                    self.known[p] = self._plain(p.decode("utf-8", "replace"))
+            ids = np.array(self.tokenizer.encode(glue.join(texts[a : a + 1000]) + glue, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ends_at[ids]) + 1
+            if len(ends) != len(group):
+                for p, t in zip(group, texts[a : a + 1000]):
+                    self.known[p] = self._plain(t)
                 continue
-            ends = [*(4 * cuts).tolist(), 4 * len(ids)]
             raw, at = ids.tobytes(), 0
-            for p, end in zip(group, ends):
-                self.known[p] = raw[at:end]
-                at = end + 4
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = {p for x in parts for p in x if p not in self.known}
-        if new:
-            before = len(self.known)
-            self._learn(list(new))
-            if len(self.known) < before + len(new):  # the table was emptied
-                rest = {p for x in parts for p in x if p not in self.known}
-                self._learn(list(rest))
+            for p, end in zip(group, (4 * ends).tolist()):
+                self.known[p] = raw[at : end - drop]
+                at = end
+
+    def _learn(self, parts: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        # a part of letters only is one word, and its last token alone is a word end
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        self._group([parts[i] for i in words], [texts[i] for i in words], " ", self.word_end, 0)
+        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
+        self._group([parts[i] for i in odd], [texts[i] for i in odd], _MARK, self.is_mark, 4)
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # special tokens are read before anything else
+            return [text]
+        return text.split()
+
+    def of(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of every text of a slice."""
+        if b"<|" not in data.tobytes():
+            # letters and signs never share a token, and case is dropped: fewer distinct parts
+            cut = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
+            off = off + np.searchsorted(cut, off)
+            data = np.insert(C.LOWER[data], cut, 32)
+        raw = data.tobytes()
+        texts = [raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+        parts = [self._cut(t) for t in texts]
+        whole = {x[0] for x in parts if len(x) == 1 and b"<|" in x[0]}
+        new = {p for x in parts for p in x if p not in self.known} - whole
+        if len(self.known) + len(new) > KEPT_PARTS:
+            self.known.clear()
+            new = {p for x in parts for p in x} - whole
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        return [self._plain(x[0].decode("utf-8", "replace")) if len(x) == 1 and x[0] in whole else b"".join(map(get, x)) for x in parts]
 
 
 class BestFit:
@@ -149,9 +165,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
             rows: list[list] = [[] for _ in range(7)]
             ids = batch.column(0).to_pylist()
             for a, b, data, off in C.text_slices(batch.column(1)):
-                raw = data.tobytes()
                 pieces = []
-                for doc, tokens in zip(ids[a:b], ids_of.of([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())])):
+                for doc, tokens in zip(ids[a:b], ids_of.of(data, off)):
                     tokens += end
                     pieces += [(doc, piece, at // 4, tokens[at : at + size]) for piece, at in enumerate(range(0, len(tokens), size))]
                 pieces.sort(key=lambda x: -len(x[3]))  # a look-ahead of one slice: long pieces first
