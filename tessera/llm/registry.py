@@ -1,8 +1,9 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, urls, vectors
+from . import exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, substrings, urls, vectors
 
 QUERIES = {
+    "op1_repeated_substrings": substrings.op1,
     "op2_lm_score": lm_score.op2,
     "op3_pii": pii.op3,
     "op4_best_fit_packing": packing.op4,
