@@ -31,6 +31,8 @@ SEED = 20
 LANE_ROWS = 5000
 #: Slots that one row of the draw table is spread into at a time.
 CHUNK = 8192
+#: Slots that one task spreads.
+TASK_SLOTS = 250_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -128,7 +130,9 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIG
     slots = spark.createDataFrame(table, "shard int, source_no int, first long, n long, n_blocks long")
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("c")).select(
         "shard", "source_no", "n_blocks", (F.col("first") + F.col("c") * CHUNK).alias("lo"), F.least(F.lit(CHUNK), F.col("n") - F.col("c") * CHUNK).alias("len")
-    ).repartition(F.col("shard"), F.col("source_no"), F.col("lo"))
+    )
+    # a number of its own: rows here are few and small, what they spread into is not
+    slots = slots.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(owed.sum()) // TASK_SLOTS), "shard", "source_no", "lo")
 
     def spread(batches):
         for b in batches:
@@ -157,8 +161,9 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIG
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     rows, parts, slots = mix_plan(docs, **parameters)
+    # as many blocks as the input has words / BLOCK: never broadcast, though their size can't be estimated
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = parts.join(times, ["source_no", "block"]).groupBy("source_no", "lane", "row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     return rows.join(taken, ["source_no", "lane", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
