@@ -128,6 +128,12 @@ def held_out(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
 
 
+def margins(f: Features, w: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bias plus sparse dot product for every text of a slice; 0 is a score of a half."""
+    idx, doc, words = f.of(data, off)
+    return np.bincount(doc, w[idx], minlength=len(off) - 1) * (SCALE / np.maximum(words, 1)) + w[-1]
+
+
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     """docs' rows with a score: every column of docs is kept."""
     blob = docs.sparkSession.sparkContext.broadcast(weights.astype("<f4").tobytes())  # 2^bits + 1 floats, whatever the input
@@ -137,9 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
         for batch in batches:
             out = np.empty(batch.num_rows)
             for a, b, data, off in C.text_slices(batch.column(1)):
-                idx, doc, words = f.of(data, off)
-                dot = np.bincount(doc, w[idx], minlength=b - a) * (SCALE / np.maximum(words, 1)) + w[-1]
-                out[a:b] = 1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35)))
+                out[a:b] = 1.0 / (1.0 + np.exp(-np.clip(margins(f, w, data, off), -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
