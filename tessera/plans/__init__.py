@@ -1,7 +1,9 @@
 """Named queries over the driver tables, each with its SQL twin where one exists."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import pairs
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "pairs"]
 
 
 def flagship(spark, sf_dir):
