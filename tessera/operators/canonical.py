@@ -32,19 +32,19 @@ def rename_by_alias(df: DataFrame, aliases=ALIASES, required=("host", "phage", "
     return df
 
 
-def canonicalise(df: DataFrame, config: PairConfig = PairConfig(), row_id: str = "row_id") -> DataFrame:
+def canonicalise(df: DataFrame, config: PairConfig = PairConfig(), carry=("row_id", "seq")) -> DataFrame:
     """Clean names, 0/1 labels, numbers; rows without a name or outside the studies go."""
     df = rename_by_alias(df)
     by_lower = {c.lower(): c for c in df.columns}
     feats = [F.col(by_lower[f.lower()]).try_cast("double").alias(f.lower()) if f.lower() in by_lower else F.lit(None).cast("double").alias(f.lower()) for f in FEATURES]
     out = df.select(
         N.clean_name(F.col("phage")).alias("phage"), N.clean_name(F.col("host")).alias("host"), F.col("study"),
-        N.label_of(F.col("label"), config.positive_tokens, config.known_tokens).alias("label"), *feats, row_id,
+        N.label_of(F.col("label"), config.positive_tokens, config.known_tokens).alias("label"), *feats, *carry,
     ).where("phage <> '' AND host <> ''")
     return out.where(F.col("study").isin(*config.studies)) if config.studies else out
 
 
-def dedup_pairs(df: DataFrame, keys=("phage", "host"), order=("study", "row_id")) -> DataFrame:
+def dedup_pairs(df: DataFrame, keys=("phage", "host"), order=("study", "seq", "k3dist", "k6dist", "gcdiff", "homology")) -> DataFrame:
     """One row a pair: any positive label wins, the first row with it stays."""
     w = Window.partitionBy(*keys).orderBy(F.desc("label"), *order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

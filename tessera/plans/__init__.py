@@ -1,9 +1,9 @@
 """Named queries over the driver tables, each with its SQL twin where one exists."""
 
-from . import pairs
+from . import pairs, relations
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "pairs"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "pairs", "relations"]
 
 
 def flagship(spark, sf_dir):

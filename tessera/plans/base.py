@@ -34,7 +34,8 @@ def raw_pairs(spark, d: str) -> DataFrame:
         F.col("l_tax").cast("string").alias("k6dist"),
         F.col("l_quantity").cast("string").alias("GCdiff"),
         F.col("l_extendedprice").cast("string").alias("Homology"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("row_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
     )
 
 
@@ -43,14 +44,14 @@ PAIRS = """
 SELECT 'nc ' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '.1' AS phage, 'supplier ' || CAST(l_suppkey AS VARCHAR) AS host,
        l_linestatus AS study, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
        l_discount AS k3dist, l_tax AS k6dist, l_quantity AS gcdiff, l_extendedprice AS homology,
-       l_orderkey * 8 + l_linenumber AS row_id
+       l_partkey * 1000000 + l_suppkey AS row_id, l_orderkey * 8 + l_linenumber AS seq
 FROM lineitem
 """
 
 #: canonical pairs: one row a pair, any positive wins, the first row of the winning label gives the rest.
 CANON = f"""
-SELECT phage, host, study, label, k3dist, k6dist, gcdiff, homology, row_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY phage, host ORDER BY label DESC, study, row_id) AS rn FROM ({PAIRS}) p
+SELECT phage, host, study, label, k3dist, k6dist, gcdiff, homology, row_id, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY phage, host ORDER BY label DESC, study, seq, k3dist, k6dist, gcdiff, homology) AS rn FROM ({PAIRS}) p
 ) r WHERE rn = 1
 """
 

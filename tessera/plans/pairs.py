@@ -40,7 +40,7 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", slug.alias("slug"), N.accession_alias(slug).alias("alias"))
 
 
-@query("a01_canonicalise", f"SELECT phage, host, study, label, k3dist, k6dist, gcdiff, homology, row_id FROM ({PAIRS}) x")
+@query("a01_canonicalise", f"SELECT phage, host, study, label, k3dist, k6dist, gcdiff, homology, row_id, seq FROM ({PAIRS}) x")
 def _(s, d):
     return K.canonicalise(raw_pairs(s, d))
 
