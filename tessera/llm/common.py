@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,6 +61,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files go whose plans are no longer needed, their results being written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets): null is the empty text; a slice has whole texts."""
     if isinstance(column, pa.ChunkedArray):

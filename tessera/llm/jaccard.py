@@ -7,18 +7,21 @@ its own set.  The search never looks at all lists:
 1.  Every document posts the shingles whose hash lies in the lowest SHARE of the
     hash range, and more where that leaves too few to miss a fifth (small
     documents post all).  A document more than a fifth of whose set is posted by
-    nobody else links with nothing; that settles nearly every document.
-    Repeats inside a task meet on the map side, so a hot list has at most one
-    posting a task.
-2.  Equal sets are one set.  Each document left is checked against the member
-    that leads most of its lists, which joins families of copies with one check
-    a document, however large the family.
-3.  What this can't have found is a link between different components.  Lists
-    whose members are all of one component drop out; so do documents with fewer
-    lists left than the overlap needs.  The rest go through the T-occurrence
-    search proper: short lists (the rarest |x| - T + 1 of a document) are merged
-    with counts, and the long ones are probed by binary search in the sorted set
-    of each candidate (DivideSkip), which gives the exact overlap.
+    nobody else links with nothing; that settles most documents.  Equal sets are
+    one set from here on.
+2.  Those left post their whole sets, and learn how long each list is.  A
+    document that shares fewer than T = |x| - |x|/5 lists is dropped; the others
+    keep their short lists, the rarest |shared| - T + 1: linked documents meet
+    in one of them.  A list that fills in one task meets on the map side first.
+3.  In rounds, a document is checked against the leaders of most of its short
+    lists that are not of its component yet, which joins families of copies with
+    a few checks a document, however large the family; rounds go on while they
+    find links.  Lists whose members are then all of one component drop out; the
+    short lists that remain are merged into candidates, less those whose
+    position in both documents' orders leaves too few lists for the overlap.
+4.  The long lists are never merged: a candidate's shingles are probed in the
+    other's sorted set by binary search (DivideSkip), which gives the exact
+    overlap.
 
 Cases: a null or empty text, or one of white space, has an empty set and links
 with nothing; with fewer words than a shingle the whole sequence is the one
@@ -103,7 +106,7 @@ class Shingles:
 
 
 def posted(u: np.ndarray) -> int:
-    """How many of the lowest hashes of a set are posted."""
+    """How many of the lowest hashes of a set are posted in the first pass."""
     if len(u) <= SMALL:
         return len(u)
     return min(len(u), max(int(np.searchsorted(u, _ZONE)), misses(len(u)) + 8))
@@ -115,56 +118,69 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.r_[at, len(h)])
 
 
-POSTS = "kind int, h long, doc long, lead long, n long, z long"
+#: A list that one task fills beyond this is sent as its size and least member;
+#: lists beyond it are all alike in the order of lists, after the shorter ones.
+LONG = 32
 
+_WIDTHS = (6, 8, 8, 2)  # name of a list, document, leader, members (LONG + 1 for more)
+ONE, MANY, ALONG, SIGNED = range(4)
 
-def _posts(kind, h, doc, lead=None, n=None, z=None) -> pa.RecordBatch:
-    m = len(doc)
-    zero = np.zeros(m, np.int64)
-    cols = [np.full(m, kind, np.int32)] + [zero if c is None else np.asarray(c).astype(np.int64) for c in (h, doc, lead, n, z)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "h", "doc", "lead", "n", "z"])
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return np.int64(len(columns[0])).tobytes() + b"".join(C.planes(c.astype(np.int64).view(np.uint64), w) for c, w in zip(columns, _WIDTHS))
 
-LISTED, LINKED, SIGNED = 0, 1, 2
 
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(blob, "<i8", 1)[0]), 8, []
+    for w in _WIDTHS:
+        out.append(C.from_planes(blob, n, w, at).view(np.int64))
+        at += n * w
+    return out
+
+
+def _cut(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    cuts = C.split_points(h.view(np.uint64) << _NAME_SHIFT, buckets).tolist()
+    return [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
-def post_lists(docs: DataFrame, buckets: int, words: int) -> DataFrame:
-    """Rows of three kinds: shared postings (h, doc, lead), extra lead links, and signatures.
 
-    A signature has the set's size n, the posted count z within the common zone,
-    and two halves of a digest of the set in h and lead.
+def post(docs: DataFrame, buckets: int, words: int, whole: bool, bitmap=None) -> DataFrame:
+    """Blobs by range of list names: postings, and signatures of the sets.
+
+    whole: post whole sets, of the rows that the id filter (a broadcast) lets
+    through; else post what the first pass needs.  Long runs of one task meet
+    here: their members are sent along as settled, with a leader of the task.
     """
 
-    def post(batches):
+    def run(batches):
         shingles = Shingles(words)
-        hs, ds, held = [], [], 0
+        hs, ds, held, turn = [], [], 0, 0
 
         def flush():
-            h, d = np.concatenate(hs) >> _NAME_SHIFT, np.concatenate(ds)
+            h, d = (np.concatenate(hs) >> _NAME_SHIFT).view(np.int64), np.concatenate(ds)
             hs.clear()
             ds.clear()
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             at, size = _runs(h)
             low = np.minimum.reduceat(d, at)
-            many = np.repeat(size > 1, size)
+            long_ = np.repeat(size > LONG, size)
             rows = []
-            cuts = C.split_points(h << _NAME_SHIFT, buckets)
-            each = np.searchsorted(at, cuts)
-            shared_h, shared_d, shared_l = h[many], d[many], np.repeat(low, size)[many]
-            shared_cut = C.split_points(shared_h << _NAME_SHIFT, buckets)
-            heads, flags = h[at], (size > 1)
-            for i in range(buckets):
-                a, b = each[i], each[i + 1]
-                if a < b:
-                    rows.append((i, 0, b"".join((np.int64(b - a).tobytes(), C.planes(heads[a:b], 6), C.planes(low[a:b].view(np.uint64), 8), np.packbits(flags[a:b]).tobytes()))))
-                a, b = shared_cut[i], shared_cut[i + 1]
-                if a < b:
-                    rows.append((i, 1, b"".join((np.int64(b - a).tobytes(), C.planes(shared_h[a:b], 6), C.planes(shared_d[a:b].view(np.uint64), 8), C.planes(shared_l[a:b].view(np.uint64), 8)))))
+            for i, a, b in _cut(h[~long_], buckets):
+                x, y = h[~long_][a:b], d[~long_][a:b]
+                rows.append((i, ONE, _pack(x, y, y, np.ones(b - a))))
+            heads = size > LONG
+            for i, a, b in _cut(h[at[heads]], buckets):
+                x, y = h[at[heads]][a:b], low[heads][a:b]
+                rows.append((i, MANY, _pack(x, y, y, np.full(b - a, LONG + 1))))
+            lead = np.repeat(low, size)
+            for i, a, b in _cut(h[long_], buckets):
+                rows.append((i, ALONG, _pack(h[long_][a:b], d[long_][a:b], lead[long_][a:b], np.full(b - a, LONG + 1))))
             return C.blob_batch(rows)
 
-        turn = 0
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(C.passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, off in C.text_slices(batch.column(1)):
                 signed = []
@@ -172,14 +188,14 @@ def post_lists(docs: DataFrame, buckets: int, words: int) -> DataFrame:
                     if not len(u):
                         signed.append((doc, 0, 0, 0, 0))
                         continue
-                    z = int(np.searchsorted(u >> _NAME_SHIFT, np.uint64(_ZONE_NAME)))
-                    s1, s2 = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), "<i8").tolist()
-                    signed.append((doc, len(u), min(z, posted(u)), s1, s2))
-                    e = posted(u)
+                    e = len(u) if whole else posted(u)
+                    z = min(e, int(np.searchsorted(u >> _NAME_SHIFT, np.uint64(_ZONE_NAME))))
+                    s1, s2 = (0, 0) if whole else np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), "<i8").tolist()
+                    signed.append((doc, len(u), z, s1, s2))
                     hs.append(u[:e])
                     ds.append(np.full(e, doc, np.int64))
                     held += e
-                yield C.blob_batch([(turn % buckets, 2, np.array(signed, "<i8").tobytes())])
+                yield C.blob_batch([(turn % buckets, SIGNED, np.array(signed, "<i8").tobytes())])
                 turn += 1
                 if held > _POST_FLUSH:
                     yield flush()
@@ -187,34 +203,106 @@ def post_lists(docs: DataFrame, buckets: int, words: int) -> DataFrame:
         if hs:
             yield flush()
 
+    return docs.mapInArrow(run, C.BLOB)
+
+
+def _gather(t: pa.Table):
+    """Of one range: signatures, settled postings, and sorted postings with runs, members and leaders."""
+    signed, along, sent = [], [], []
+    for kind, blob in zip(t["kind"].to_pylist(), t["blob"].to_pylist()):
+        if kind == SIGNED:
+            signed.append(np.frombuffer(blob, "<i8").reshape(-1, 5))
+        elif kind == ALONG:
+            along.append(_unpack(blob))
+        else:
+            sent.append((*_unpack(blob), np.full(int(np.frombuffer(blob, "<i8", 1)[0]), kind == MANY)))
+    empty = [np.empty(0, np.int64)] * 4
+    along = [np.concatenate(c) for c in zip(*along)] if along else empty
+    h, d, _, m, many = (np.concatenate(c) for c in zip(*sent)) if sent else (*empty, np.empty(0, bool))
+    order = np.argsort(h, kind="stable")
+    h, d, m, many = h[order], d[order], m[order], many[order]
+    at, size = _runs(h)
+    if len(at):
+        df = np.repeat(np.minimum(np.add.reduceat(m, at), LONG + 1), size)
+        lead = np.repeat(np.minimum.reduceat(d, at), size)
+    else:
+        df, lead = m, d
+    return (np.concatenate(signed) if signed else np.empty((0, 5), np.int64)), along, (h, d, lead, df, many)
+
+
+COUNTED = "kind int, doc long, n long, z long, s1 long, s2 long"
+
+
+def first_pass(posts: DataFrame) -> DataFrame:
+    """Rows: signatures (kind SIGNED), and counts of shared postings in the zone, in z (kind ONE)."""
+
     def gather(t: pa.Table) -> pa.Table:
-        out, hs, ds, fs = [], [], [], []
+        signed, (ah, ad, _, _), (h, d, _, df, many) = _gather(t)
+        # a long run's head is one of the settled members already
+        own = (df > 1) & ~many & (h < _ZONE_NAME)
+        docs, v = np.unique(np.concatenate([d[own], ad[ah < _ZONE_NAME]]), return_counts=True)
+        # a document with shared postings outside the zone alone counts as met, too
+        other = np.setdiff1d(np.concatenate([d[(df > 1) & ~many], ad]), docs)
+        docs, v = np.concatenate([docs, other]), np.concatenate([v, np.zeros(len(other), np.int64)])
+        cols = [np.r_[np.full(len(signed), SIGNED), np.full(len(docs), ONE)].astype(np.int32), np.r_[signed[:, 0], docs]]
+        cols += [np.r_[signed[:, 1], np.zeros(len(docs), np.int64)], np.r_[signed[:, 2], v]]
+        cols += [np.r_[signed[:, k], np.zeros(len(docs), np.int64)] for k in (3, 4)]
+        return pa.table(dict(zip(("kind", "doc", "n", "z", "s1", "s2"), cols)))
+
+    return posts.groupBy("bucket").applyInArrow(gather, COUNTED)
+
+
+SHORT = "doc long, n long, h long, rank long, shared long"
+
+
+def short_lists(posts: DataFrame, buckets: int) -> DataFrame:
+    """(doc, n, h, rank, shared): of every document that may link, the lists to merge.
+
+    rank counts a document's lists from the rarest, shared is how many it has.  Those kept are its rarest |x| - T + 1 among lists that it shares, T being the
+    overlap that it needs; any two linked documents meet in one of them.  A
+    document that shares fewer than T lists is dropped.
+    """
+
+    def bucket_of(doc):
+        return (C.mix(doc.astype(np.int64).view(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+
+    def gather(t: pa.Table) -> pa.Table:
+        signed, along, (h, d, lead, df, many) = _gather(t)
+        own = (df > 1) & ~many
+        cols = [np.concatenate(c) for c in zip((h[own], d[own], lead[own], df[own]), along)]
+        b = bucket_of(cols[1])
+        order = np.argsort(b, kind="stable")
+        cuts = np.searchsorted(b[order], np.arange(buckets + 1)).tolist()
+        cols = [x[order] for x in cols]
+        rows = [(i, ONE, _pack(*(x[p:q] for x in cols))) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if p < q]
+        b = bucket_of(signed[:, 0])
+        rows += [(i, SIGNED, np.ascontiguousarray(signed[b == i]).tobytes()) for i in np.unique(b).tolist()]
+        return pa.Table.from_batches([C.blob_batch(rows)])
+
+    def choose(t: pa.Table) -> pa.Table:
+        out = [[] for _ in range(5)]
+        sizes, lots = {}, []
         for kind, blob in zip(t["kind"].to_pylist(), t["blob"].to_pylist()):
-            if kind == 2:
-                s = np.frombuffer(blob, "<i8").reshape(-1, 5)
-                out.append(_posts(SIGNED, s[:, 3], s[:, 0], s[:, 4], s[:, 1], s[:, 2]))
-                continue
-            n = int(np.frombuffer(blob, "<i8", 1)[0])
-            h, d = C.from_planes(blob, n, 6, 8), C.from_planes(blob, n, 8, 8 + 6 * n).view(np.int64)
-            if kind == 1:
-                out.append(_posts(LISTED, h, d, C.from_planes(blob, n, 8, 8 + 14 * n).view(np.int64)))
+            if kind == SIGNED:
+                sizes.update({r[0]: r[1] for r in np.frombuffer(blob, "<i8").reshape(-1, 5).tolist()})
             else:
-                hs.append(h)
-                ds.append(d)
-                fs.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 + 14 * n), count=n).astype(bool))
-        if hs:
-            h, d, f = np.concatenate(hs), np.concatenate(ds), np.concatenate(fs)
-            order = np.argsort(h, kind="stable")
-            h, d, f = h[order], d[order], f[order]
-            at, size = _runs(h)
-            lead, many = np.repeat(np.minimum.reduceat(d, at), size), np.repeat(size > 1, size)
-            new = many & ~f  # the only one of its task, but not of all
-            out.append(_posts(LISTED, h[new], d[new], lead[new]))
-            more = many & f & (d != lead)
-            out.append(_posts(LINKED, h[more], d[more], lead[more]))
-        return pa.Table.from_batches(out) if out else _posts(0, [], []).schema.empty_table()
+                lots.append(_unpack(blob))
+        if lots:
+            h, d, _, df = (np.concatenate(c) for c in zip(*lots))
+            order = np.lexsort((h, df, d))
+            h, d = h[order], d[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]  # a repeated row posts twice
+            h, d = h[new], d[new]
+            at, shared = _runs(d)
+            for a, k in zip(at.tolist(), shared.tolist()):
+                n = sizes[int(d[a])]
+                m = k - (n - misses(n)) + 1
+                if m > 0:
+                    for column, values in zip(out, ([int(d[a])] * m, [n] * m, h[a : a + m].tolist(), range(m), [k] * m)):
+                        column += values
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "n", "h", "rank", "shared"), out)})
 
-    return docs.mapInArrow(post, C.BLOB).groupBy("bucket").applyInArrow(gather, POSTS)
+    return posts.groupBy("bucket").applyInArrow(gather, C.BLOB).groupBy("bucket").applyInArrow(choose, SHORT)
 
 
 def shingle_sets(docs: DataFrame, bitmap: bytes, words: int) -> DataFrame:
@@ -250,15 +338,33 @@ def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").select("a", "b", "sa").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+#: Leaders that a document is checked against in a round.
+LEADERS = 2
+
+
+def may_link(x: str, y: str):
+    """Whether two documents that meet in a list can still overlap enough.
+
+    They need (n + m) PERCENT / (100 + PERCENT) common shingles, and have at most
+    those lists of each that are not rarer than this one: a bound by position,
+    which holds for the first list in which they meet.
+    """
+    c = lambda t, k: F.col(f"{t}.{k}")
+    need = F.ceil((c(x, "n") + c(y, "n")) * PERCENT / (100 + PERCENT))
+    left = lambda t: c(t, "shared") - c(t, "rank")
+    return (left(x) >= need) & (left(y) >= need) & (c(x, "n") * 100 >= c(y, "n") * PERCENT) & (c(y, "n") * 100 >= c(x, "n") * PERCENT)
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = all_docs.where("doc_id IS NOT NULL")
-    posts = scratch.keep(post_lists(named, buckets or C.n_buckets(docs), words))
-    signed = posts.where(f"kind = {SIGNED}").select("doc", "n", "z", F.col("h").alias("s1"), F.col("lead").alias("s2"))
-    listed = posts.where(f"kind = {LISTED}").select("h", "doc", "lead")
+    buckets = buckets or C.n_buckets(docs)
+    counted = scratch.keep(first_pass(post(named, buckets, words, False)))
+    C.tidy(spark)
+    signed = counted.where(f"kind = {SIGNED}")
 
     # equal sets are one set
     same = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
@@ -266,62 +372,44 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None
     copies = signed.join(same.hint("merge"), (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))).where("doc <> rep").select("doc", "rep")
     copies = scratch.keep(copies.distinct())
 
-    # documents that may link: no more unshared postings in the common zone than a document may miss
-    shared = listed.groupBy("doc").agg(F.count(F.when(F.col("h") < _ZONE_NAME, 1)).alias("v"))
+    # documents that may link: no more unshared postings in the zone than a document may miss
+    shared = counted.where(f"kind = {ONE}").groupBy("doc").agg(F.sum("z").alias("v"))
     near = signed.select("doc", "n", "z").distinct().join(shared.hint("merge"), "doc").where((F.col("z") - F.col("v")) <= F.floor(F.col("n") * (100 - PERCENT) / 100))
-    near = scratch.keep(near.select("doc", "n").join(copies.hint("merge"), "doc", "left_anti"))
-    rows = scratch.keep(listed.join(near.hint("merge"), "doc").select("h", "doc", "lead", "n").distinct())
-
-    # one check a document: against the leader of most of its lists, or that one's own copy of record
-    extra = posts.where(f"kind = {LINKED}").select("doc", "lead").join(near.select("doc").hint("merge"), "doc", "left_semi")
-    votes = rows.select("doc", "lead").unionByName(extra).where("doc <> lead").groupBy("doc", "lead").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
-    of = copies.select(F.col("doc").alias("lead"), "rep")
-    pairs = best.join(of.hint("merge"), "lead", "left").select(F.col("doc").alias("a"), F.coalesce("rep", "lead").alias("b")).where("a <> b")
-    pairs = scratch.keep(pairs)
-    sets = shingle_sets(named, C.id_filter(near.select("doc")), words)
-    sets = scratch.keep(sets.join(near.select("doc").hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
-    found = scratch.keep(check(pairs, sets))
-    roots = C.components(found, scratch)
-
-    # links between components: only over lists that hold more than one of them
-    root = lambda d: F.coalesce("root", F.col(d))
-    members = scratch.keep(rows.select("h", "doc", "n").join(roots.withColumnRenamed("id", "doc").hint("merge"), "doc", "left").select("h", "doc", "n", root("doc").alias("root")))
-    scratch.drop(rows)
+    near = scratch.keep(near.select("doc").join(copies.hint("merge"), "doc", "left_anti"))
+
+    # whole sets of those alone: lists to merge
+    some = spark.sparkContext.broadcast(C.id_filter(near))  # 8 MB
+    short = scratch.keep(short_lists(post(named, buckets, words, True, some), buckets))
+    C.tidy(spark)
+    sets = scratch.keep(shingle_sets(named, C.id_filter(short.select("doc")), words).join(short.select("doc").distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
+
+    # a round checks each document against leaders of its lists that are not of its component yet
+    found, turn = scratch.keep(short.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)), 0
     while True:
-        live = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("h", "df")
-        left = members.join(live.hint("merge"), "h")
-        # overlap that a partner needs within the postings: those of the zone at least, less what may be missed
-        need = F.greatest(F.lit(1), F.col("z") - F.floor(F.col("n") * (100 - PERCENT) / 100))
-        enough = left.groupBy("doc").agg(F.count(F.when(F.col("h") < _ZONE_NAME, 1)).alias("zone"), F.count("*").alias("lists"))
-        enough = enough.join(signed.select("doc", "n", "z").distinct().hint("merge"), "doc").where(F.col("zone") >= F.when(F.col("z") > F.floor(F.col("n") * (100 - PERCENT) / 100), need).otherwise(0)).select("doc", "lists", need.alias("need"))
-        kept = scratch.keep(left.join(enough.hint("merge"), "doc"))
-        before, now = members.count(), kept.count()
-        scratch.drop(members)
-        members = kept.select("h", "doc", "n", "root")
-        members._scratch_path = kept._scratch_path  # noqa: SLF001
-        if now == before or not now:
-            break
-        if now > 0.9 * before:
+        roots = C.components(found, scratch).withColumnRenamed("id", "doc")
+        members = scratch.keep(short.join(roots.hint("merge"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+        # a list of one component holds no link between components
+        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        live = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("doc", "n", "rank", "shared", "root"), F.struct(order, "doc")).alias("y")).where("lo <> hi").select("h", "y")
+        votes = members.alias("x").join(live.hint("merge"), "h").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+        votes = votes.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("votes"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
+        tried = scratch.keep(votes.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("a", "b"))
+        new = scratch.keep(check(tried, sets))
+        if not new.limit(1).count():
             break
-    final = found
-    if now:
-        # T-occurrence: any two partners share a list among the rarest |x| - T + 1 of each
-        t = kept.agg(F.min("need")).first()[0]
-        order = F.row_number().over(Window.partitionBy("doc").orderBy("df", "h"))
-        short = kept.withColumn("rank", order).where(F.col("rank") <= F.col("lists") - t + 1).select("h", "doc", "n", "root")
-        short = scratch.keep(short)
-        x, y = short.alias("x"), short.alias("y")
-        size = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-        cand = x.join(y.hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & size)
-        cand = scratch.keep(cand.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("common")).select("a", "b"))
-        final = found.unionByName(check(cand, sets))
-    roots = C.components(final.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))), scratch)
+        found, turn = scratch.keep(found.unionByName(new)), turn + 1
+    # what no leader settles: T-occurrence over the lists that still hold several components
+    open_ = scratch.keep(members.join(live.select("h").hint("merge"), "h", "left_semi"))
+    x, y = open_.alias("x"), open_.alias("y")
+    cand = x.join(y.hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+    cand = scratch.keep(cand.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
+    final = found.unionByName(check(cand, sets)).unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    roots = C.components(final, scratch)
     sized = signed.select("doc", F.col("n").alias("n_shingles")).distinct()
     out = sized.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("root", "doc").alias("component_id"))
     if all_docs.where("doc_id IS NULL").limit(1).count():
-        none = unnamed(all_docs.where("doc_id IS NULL"), words)
-        out = out.unionByName(none)
+        out = out.unionByName(unnamed(all_docs.where("doc_id IS NULL"), words))
     return out
 
 
