@@ -98,11 +98,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     # row numbers tell repeated ids apart
     hashed = scratch.keep(v.mapInArrow(keys, "vec_id long, x binary, sig binary, keys array<long>").withColumn("no", F.monotonically_increasing_id()))
     thin = hashed.select("no", F.posexplode("keys").alias("t", "key"))
-    counts = thin.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = scratch.keep(counts)
-    met = hashed.select("no", "vec_id", "x", "sig", F.posexplode("keys").alias("t", "key")).join(counts.hint("merge"), ["t", "key"])
+    # buckets beyond one block: at most vectors x tables / BLOCK of them
+    hot = scratch.keep(thin.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    met = hashed.select("no", "vec_id", "x", "sig", F.posexplode("keys").alias("t", "key")).join(hot, ["t", "key"], "left")
     # block b of a bucket of g blocks goes to the g tasks (b, *) and (*, b)
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    g = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("no", "t"), g).cast("int")
     met = met.withColumns({"g": g, "block": block})
     met = met.select("no", "vec_id", "x", "sig", "t", "key", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
