@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is processed in slices of about this many bytes, whatever the batch holds.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+#: What a batch for a Python worker may hold, so that long texts don't add up.
+BATCH_BYTES = "16m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -86,6 +92,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         b = min(max(b, a + 1), n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -178,10 +185,32 @@ def n_buckets(df: DataFrame, per: int = 2500, least: int = 64, most: int = 65536
     return max(least, min(most, df.count() // per))
 
 
+#: Edges that one task joins by itself (16 bytes each); more are contracted in rounds.
+FEW_EDGES = 500_000
+
+
+def _union_find(t: pa.Table) -> pa.Table:
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in zip(t["u"].to_pylist(), t["v"].to_pylist()):
+        u, v = find(u), find(v)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+    ids = list(root)
+    return pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array([find(x) for x in ids], pa.int64())})
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): each linked id with the smallest id reachable, by alternating star contraction.
 
-    Null ends and self links are ignored; an edge may repeat.  Every round
+    Null ends and self links are ignored; an edge may repeat.  A few edges are
+    joined by one task, which the count bounds; beyond that every round
     halves path lengths, so there are O(log n) rounds; each is written to the
     shared folder.  No edges: an empty table.
     """
@@ -191,6 +220,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
         .distinct()
     )
+    if e.count() <= FEW_EDGES:
+        out = scratch.keep(e.groupBy(F.lit(0).alias("one")).applyInArrow(_union_find, "id long, root long"))
+        scratch.drop(e)
+        return out
     mark = None
     while True:
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))

@@ -46,7 +46,7 @@ PERCENT = 80
 #: Share of the hash range that every document posts.
 SHARE = 0.26
 SMALL = 64  # sets up to this size post everything
-_POST_FLUSH = 2_000_000
+_POST_FLUSH = 700_000
 _ZONE = np.uint64(int(SHARE * (1 << 64)))
 _NAME_SHIFT = np.uint64(16)  # lists are named by 48 bits of the hash
 _ZONE_NAME = int(_ZONE >> _NAME_SHIFT)
@@ -164,17 +164,16 @@ def post(docs: DataFrame, buckets: int, words: int, whole: bool, bitmap=None) ->
             at, size = _runs(h)
             low = np.minimum.reduceat(d, at)
             long_ = np.repeat(size > LONG, size)
-            rows = []
-            for i, a, b in _cut(h[~long_], buckets):
-                x, y = h[~long_][a:b], d[~long_][a:b]
-                rows.append((i, ONE, _pack(x, y, y, np.ones(b - a))))
-            heads = size > LONG
-            for i, a, b in _cut(h[at[heads]], buckets):
-                x, y = h[at[heads]][a:b], low[heads][a:b]
-                rows.append((i, MANY, _pack(x, y, y, np.full(b - a, LONG + 1))))
-            lead = np.repeat(low, size)
-            for i, a, b in _cut(h[long_], buckets):
-                rows.append((i, ALONG, _pack(h[long_][a:b], d[long_][a:b], lead[long_][a:b], np.full(b - a, LONG + 1))))
+            rows, heads = [], size > LONG
+            x, y = h[~long_], d[~long_]
+            for i, a, b in _cut(x, buckets):
+                rows.append((i, ONE, _pack(x[a:b], y[a:b], y[a:b], np.ones(b - a))))
+            x, y = h[at[heads]], low[heads]
+            for i, a, b in _cut(x, buckets):
+                rows.append((i, MANY, _pack(x[a:b], y[a:b], y[a:b], np.full(b - a, LONG + 1))))
+            x, y, z = h[long_], d[long_], np.repeat(low, size)[long_]
+            for i, a, b in _cut(x, buckets):
+                rows.append((i, ALONG, _pack(x[a:b], y[a:b], z[a:b], np.full(b - a, LONG + 1))))
             return C.blob_batch(rows)
 
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)

@@ -30,7 +30,6 @@ not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -44,7 +43,9 @@ LENGTH = 50
 HALF = LENGTH // 2
 #: Postings that share an anchor in one task beyond which it is spread.
 HOT = 256
-_FLUSH = 1_500_000
+#: Bytes of text whose windows are ranked at a time.
+_SLICE = 500_000
+_FLUSH = 500_000
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _FAR = 1 << 40  # beyond any position in a text
 
@@ -166,7 +167,7 @@ def first_round(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, off in C.text_slices(batch.column(1)):
+            for a, b, data, off in C.text_slices(batch.column(1), _SLICE):
                 anchor, name, doc, at, n = segments(hash_, data, off, length)
                 if len(anchor):
                     # a name keeps 48 bits, which count within one anchor only
@@ -282,7 +283,7 @@ def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
         for batch in batches:
             ids, cuts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b, data, off in C.text_slices(batch.column(1)):
+            for a, b, data, off in C.text_slices(batch.column(1), _SLICE):
                 if len(data) < length:
                     continue
                 names = hash_.windows(hash_.prefix(data), half)
@@ -294,7 +295,7 @@ def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     pair = C.mix(names[i + at] * _PAIR + names[i + at + half])
                     held.append((pair, np.full(len(at), doc, np.int64), at))
                     count += len(at)
-                    if count > 2 * _FLUSH:
+                    if count > 3 * _FLUSH:
                         yield flush()
                         count = 0
         if held:
@@ -348,21 +349,17 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, buckets: int | None = No
     named = docs.where("doc_id IS NOT NULL")
     buckets = buckets or C.n_buckets(docs)
 
-    def tidy():  # shuffle files of rounds that are written go when the plans do
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
     blobs = scratch.keep(first_round(named, buckets, length))
-    tidy()
+    C.tidy(spark)
     contested = scratch.keep(by_document(blobs, CONTESTED))
     texts = picked(named, C.id_filter(contested.select("doc")), True)
     texts = texts.join(contested.hint("merge"), texts.doc_id == contested.doc).select("doc_id", "text", "cuts")
     more = scratch.keep(second_round(texts, buckets, length))
     del texts
-    tidy()
+    C.tidy(spark)
     cuts = scratch.keep(by_document(blobs.unionByName(more), SPAN))
     scratch.drop(blobs, more, contested)
-    tidy()
+    C.tidy(spark)
     return cuts.select(F.col("doc").alias("doc_id"), "cuts")
 
 
@@ -376,7 +373,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             runs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for a, b, data, off in C.text_slices(batch.column(1)):
+            for a, b, data, off in C.text_slices(batch.column(1), _SLICE):
                 raw = data.tobytes()
                 for doc, i, j, cut in zip(ids[a:b], off[:-1].tolist(), off[1:].tolist(), runs[a:b]):
                     parts, gone, n = kept_parts(raw[i:j], cut, length)
