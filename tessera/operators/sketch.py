@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SIGN = -(1 << 63)
 
@@ -21,7 +22,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def mix64(x: pd.Series) -> pd.Series:
     """Bit pattern of the mixed value as a long: multiplication must wrap, which SQL's can't."""
     return pd.Series(_mix64(x.to_numpy(np.int64).view(np.uint64)).view(np.int64), index=x.index)

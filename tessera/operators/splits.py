@@ -15,7 +15,8 @@ def leave_one_group_out(df: DataFrame, group: str, row_id: str = "row_id", **lea
     """(fold, row_id, role): a row tests in its own group's fold and trains in all others."""
     folds = eligible_groups(df, group, **least).select(F.col(group).alias("fold"))
     # one row a group; Spark broadcasts it only below its own limit
-    return df.select(group, row_id).crossJoin(folds).select("fold", row_id, F.when(F.col(group) == F.col("fold"), "test").otherwise("train").alias("role"))
+    rows = df.select(F.col(group).alias("_own"), row_id)
+    return rows.crossJoin(folds).select("fold", row_id, F.when(F.col("_own") == F.col("fold"), "test").otherwise("train").alias("role"))
 
 
 def hash_order(seed: int, column: str):

@@ -1,9 +1,9 @@
 """Named queries over the driver tables, each with its SQL twin where one exists."""
 
-from . import pairs, relations, sequences
+from . import evaluation, modelling, pairs, relations, sequences
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "pairs", "relations", "sequences"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "flagship", "modelling", "pairs", "relations", "sequences"]
 
 
 def flagship(spark, sf_dir):
