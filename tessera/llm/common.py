@@ -20,7 +20,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 #: What a batch for a Python worker may hold, so that long texts don't add up.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,6 +180,19 @@ def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("bucket", "kind", "blob"))}, BLOB_ARROW)
 
 
+def blob_batches(rows: list[tuple[int, int, bytes]], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes: the JVM holds one batch at a time."""
+    part, held = [], 0
+    for r in rows:
+        part.append(r)
+        held += len(r[2])
+        if held > limit:
+            yield blob_batch(part)
+            part, held = [], 0
+    if part:
+        yield blob_batch(part)
+
+
 def n_buckets(df: DataFrame, per: int = 2500, least: int = 64, most: int = 65536) -> int:
     """Buckets in proportion to the rows (a Parquet scan counts them from its footers)."""
     return max(least, min(most, df.count() // per))
@@ -240,7 +253,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         scratch.drop(e)
         e = new
         if tuple(got) == mark or not got[0]:
-            return e.select(u.alias("id"), v.alias("root"))
+            return e.select(u.alias("id"), v.alias("root")).unionByName(e.select(v.alias("id"), v.alias("root")).distinct())
         mark = tuple(got)
 
 
@@ -276,8 +289,7 @@ def id_filter(ids: DataFrame) -> bytes:
                 at = np.flatnonzero(bits[i * width : (i + 1) * width])
                 if len(at):
                     rows.append((i, 0, at.astype("<u4").tobytes()))
-            if rows:
-                yield blob_batch(rows)
+            yield from blob_batches(rows)
 
     def merge(t: pa.Table) -> pa.Table:
         bits = np.zeros(width, np.uint8)

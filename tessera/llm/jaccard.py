@@ -15,8 +15,7 @@ its own set.  The search never looks at all lists:
     in one of them.  A list that fills in one task meets on the map side first.
 3.  In rounds, a document is checked against the leaders of most of its short
     lists that are not of its component yet, which joins families of copies with
-    a few checks a document, however large the family; rounds go on while they
-    find links.  Lists whose members are then all of one component drop out; the
+    a few checks a document, however large the family.  Lists whose members are then all of one component drop out; the
     short lists that remain are merged into candidates, less those whose
     position in both documents' orders leaves too few lists for the overlap.
 4.  The long lists are never merged: a candidate's shingles are probed in the
@@ -174,7 +173,7 @@ def post(docs: DataFrame, buckets: int, words: int, whole: bool, bitmap=None) ->
             x, y, z = h[long_], d[long_], np.repeat(low, size)[long_]
             for i, a, b in _cut(x, buckets):
                 rows.append((i, ALONG, _pack(x[a:b], y[a:b], z[a:b], np.full(b - a, LONG + 1))))
-            return C.blob_batch(rows)
+            return C.blob_batches(rows)
 
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
@@ -197,10 +196,10 @@ def post(docs: DataFrame, buckets: int, words: int, whole: bool, bitmap=None) ->
                 yield C.blob_batch([(turn % buckets, SIGNED, np.array(signed, "<i8").tobytes())])
                 turn += 1
                 if held > _POST_FLUSH:
-                    yield flush()
+                    yield from flush()
                     held = 0
         if hs:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(run, C.BLOB)
 
@@ -276,7 +275,7 @@ def short_lists(posts: DataFrame, buckets: int) -> DataFrame:
         rows = [(i, ONE, _pack(*(x[p:q] for x in cols))) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if p < q]
         b = bucket_of(signed[:, 0])
         rows += [(i, SIGNED, np.ascontiguousarray(signed[b == i]).tobytes()) for i in np.unique(b).tolist()]
-        return pa.Table.from_batches([C.blob_batch(rows)])
+        return pa.Table.from_batches(C.blob_batches(rows), C.BLOB_ARROW)
 
     def choose(t: pa.Table) -> pa.Table:
         out = [[] for _ in range(5)]
@@ -337,8 +336,8 @@ def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").select("a", "b", "sa").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-#: Leaders that a document is checked against in a round.
-LEADERS = 2
+#: Leaders that a document is checked against in a round, and rounds.
+LEADERS, ROUNDS = 2, 3
 
 
 def may_link(x: str, y: str):
@@ -383,23 +382,23 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None
     sets = scratch.keep(shingle_sets(named, C.id_filter(short.select("doc")), words).join(short.select("doc").distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
 
     # a round checks each document against leaders of its lists that are not of its component yet
-    found, turn = scratch.keep(short.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)), 0
-    while True:
-        roots = C.components(found, scratch).withColumnRenamed("id", "doc")
-        members = scratch.keep(short.join(roots.hint("merge"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
-        # a list of one component holds no link between components
+    members, found = short.withColumn("root", F.col("doc")), None
+    for turn in range(ROUNDS):
+        # a list of one component holds no link between components, and never will
         order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
         live = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("doc", "n", "rank", "shared", "root"), F.struct(order, "doc")).alias("y")).where("lo <> hi").select("h", "y")
-        votes = members.alias("x").join(live.hint("merge"), "h").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
-        votes = votes.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("votes"))
+        open_ = scratch.keep(members.join(live.hint("merge"), "h"))
+        votes = open_.alias("x").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("votes"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
         tried = scratch.keep(votes.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("a", "b"))
         new = scratch.keep(check(tried, sets))
-        if not new.limit(1).count():
-            break
-        found, turn = scratch.keep(found.unionByName(new)), turn + 1
+        found = new if found is None else found.unionByName(new)
+        roots = C.components(found, scratch).withColumnRenamed("id", "doc")
+        members = open_.drop("root", "y").join(roots.hint("merge"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     # what no leader settles: T-occurrence over the lists that still hold several components
-    open_ = scratch.keep(members.join(live.select("h").hint("merge"), "h", "left_semi"))
+    members = scratch.keep(members)
+    live = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    open_ = scratch.keep(members.join(live.hint("merge"), "h", "left_semi"))
     x, y = open_.alias("x"), open_.alias("y")
     cand = x.join(y.hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
     cand = scratch.keep(cand.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
