@@ -88,3 +88,12 @@ def mcnemar(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     stat = F.when(n < 25, F.least("b", "c").cast("double")).otherwise(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)), 2) / n)
     t = t.withColumn("stat", stat)
     return t.withColumn("p", F.when(n == 0, 1.0).when(n < 25, tails.binomial_half("b", n)).otherwise(tails.chi2_one("stat")))
+
+
+def paired_bootstrap(df: DataFrame, cluster: str, y: str, p: str, q: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, diff): difference of the two areas under resampled clusters; one-class replicates are left out."""
+    w = cluster_weights(df, cluster, replicates, seed)
+    rows = df.select(cluster, y, p, q).join(w, cluster)
+    a = M.ranking(rows, ("replicate",), y, p, "w").select("replicate", F.col("auroc").alias("a1"))
+    b = M.ranking(rows, ("replicate",), y, q, "w").select("replicate", F.col("auroc").alias("a2"))
+    return a.join(b, "replicate").where("a1 IS NOT NULL AND a2 IS NOT NULL").select("replicate", (F.col("a1") - F.col("a2")).alias("diff"))

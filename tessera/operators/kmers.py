@@ -139,3 +139,41 @@ def translate_frames(df: DataFrame, seq: str, keep=("id",)) -> DataFrame:
 def peptides(frames: DataFrame, least: int, keep=("id",)) -> DataFrame:
     """(keep, frame, peptide): runs between breaks of at least so many residues."""
     return frames.select(*keep, "frame", F.explode(F.split("aa", r"\*+")).alias("peptide")).where(F.length("peptide") >= least)
+
+
+def spacer_matches(spacers: DataFrame, target: DataFrame, pairs: DataFrame, seq: str, k: int = 20, least: float = 0.6) -> DataFrame:
+    """(a, b, n_spacers, n_hits, best_frac, has_hit): spacers of a whose k-mers lie in b, either strand."""
+    s = spacers.select("id", "spacer").withColumn("sid", F.concat_ws(":", F.col("id").cast("string"), "spacer"))
+    sk = kmers(s, "spacer", k, ("id", "sid")).groupBy("id", "sid", "kmer").agg(F.count("*").alias("n"))
+    n = sk.groupBy("id", "sid").agg(F.sum("n").alias("windows"))
+    fwd = kmers(target, seq, k).select(F.col("id").alias("b"), "kmer")
+    t = fwd.unionByName(fwd.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
+    hit = pairs.join(sk.withColumnRenamed("id", "a"), "a").join(t, ["b", "kmer"]).groupBy("a", "b", "sid").agg(F.sum("n").alias("hits"))
+    every = pairs.join(n.withColumnRenamed("id", "a"), "a").join(hit, ["a", "b", "sid"], "left").withColumn("frac", F.coalesce("hits", F.lit(0)) / F.col("windows"))
+    got = every.groupBy("a", "b").agg(F.count("*").alias("n_spacers"), F.count_if(F.col("frac") >= least).alias("n_hits"), F.max("frac").alias("best_frac"))
+    out = pairs.join(got, ["a", "b"], "left").na.fill(0)
+    return out.select("a", "b", "n_spacers", "n_hits", "best_frac", (F.col("n_hits") > 0).alias("has_hit"))
+
+
+def protein_homology(query: DataFrame, target: DataFrame, pairs: DataFrame, seq: str, k: int = 7, least: int = 90) -> DataFrame:
+    """(a, b, frac, cov, log_shared, longest): peptide k-mers of six frames looked up in the other's."""
+    def pieces(df, side):
+        p = peptides(translate_frames(df, seq), least).withColumn("pid", F.concat_ws(":", F.col("frame").cast("string"), "peptide"))
+        at = F.sequence(F.lit(1), F.length("peptide") - k + 1)
+        rows = p.where(F.length("peptide") >= k).select(F.col("id").alias(side), "pid", F.length("peptide").alias("len"), "peptide", F.explode(at).alias("pos"))
+        return rows.select(side, "pid", "len", "pos", F.substring(F.col("peptide").cast("binary"), F.col("pos"), F.lit(k)).cast("string").alias("aa"))
+
+    q, t = pieces(query, "a"), pieces(target, "b").select("b", "aa").distinct()
+    hits = pairs.join(q, "a").join(t, ["b", "aa"]).select("a", "b", "pid", "pos")
+    size = q.groupBy("a").agg(F.count("*").alias("windows"))
+    total = q.select("a", "pid", "len").distinct().groupBy("a").agg(F.sum("len").alias("aas"))
+    n = hits.groupBy("a", "b").agg(F.count("*").alias("hits"))
+    c = interval_coverage(hits, ["a", "b", "pid"], "pos", k).groupBy("a", "b").agg(F.sum("covered").alias("covered"))
+    r = longest_run(hits, ["a", "b", "pid"], "pos").groupBy("a", "b").agg(F.max("longest").alias("run"))
+    third = query.select(F.col("id").alias("a"), F.greatest(F.floor(F.length(seq) / 3), F.lit(1)).alias("third"))
+    out = pairs.join(third, "a").join(size, "a", "left").join(total, "a", "left").join(n, ["a", "b"], "left").join(c, ["a", "b"], "left").join(r, ["a", "b"], "left").na.fill(0)
+    zero = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    return out.select(
+        "a", "b", zero(F.col("hits"), F.col("windows")).alias("frac"), zero(F.col("covered"), F.col("aas")).alias("cov"), F.log1p(F.col("hits").cast("double")).alias("log_shared"),
+        F.when(F.col("run") > 0, (F.col("run") + k - 1) / F.col("third")).otherwise(0.0).alias("longest"),
+    )

@@ -184,3 +184,36 @@ def isotonic(df: DataFrame, y: str, p: str, tie: float = 1e-6) -> DataFrame:
     return m.transform(x).withColumn("calibrated", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_c") + tie * F.col(p)))).select(*df.columns, "calibrated")
 
 
+
+
+def principal_axes(df: DataFrame, train: DataFrame, features, k: int) -> DataFrame:
+    """df with pc0..: components of the training rows, centred on their means."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    means = train.agg(*[F.avg(c).alias(c) for c in features]).first()
+    centre = lambda x: x.withColumns({f"_c_{c}": F.coalesce(F.col(c), F.lit(means[c])) - F.lit(means[c]) for c in features})
+    a = VectorAssembler(inputCols=[f"_c_{c}" for c in features], outputCol="_x")
+    m = PCA(k=min(k, len(features)), inputCol="_x", outputCol="_p").fit(a.transform(centre(train)))
+    out = m.transform(a.transform(centre(df))).withColumn("_p", vector_to_array("_p"))
+    return out.select(*df.columns, *[F.col("_p")[i].alias(f"pc{i}") for i in range(min(k, len(features)))])
+
+
+def class_forest(train: DataFrame, test: DataFrame, features, label: str, trees: int = 20) -> DataFrame:
+    """test with the forest's probability of the row's own class; 0 where training has not seen it."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    ix = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
+    a = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="keep")
+    m = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, seed=42).fit(a.transform(ix.transform(train)))
+    out = m.transform(a.transform(ix.transform(test))).withColumn("_q", vector_to_array("probability"))
+    seen = F.col("_y") < len(ix.labels)
+    return out.select(*test.columns, F.when(seen, F.coalesce(F.try_element_at("_q", F.col("_y").cast("int") + 1), F.lit(0.0))).otherwise(0.0).alias("p"))
+
+
+def inner_choice(df: DataFrame, folds: str, candidates: dict[str, str], y: str) -> DataFrame:
+    """(candidate, ap): mean average precision over folds of each candidate score, the best first."""
+    long = df.unpivot([folds, y], list(candidates), "candidate", "p")
+    return M.ranking(long, (folds, "candidate"), y, "p").where("ap IS NOT NULL").groupBy("candidate").agg(F.avg("ap").alias("ap")).orderBy(F.desc("ap"), "candidate")
