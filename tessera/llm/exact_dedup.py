@@ -116,8 +116,7 @@ def repeated_map(signed: DataFrame, buckets: int) -> bytes:
         fps = np.sort(np.concatenate(fps).view(np.uint64))
         cuts = C.split_points(fps, buckets)
         rows = [(i, 0, QuotientFilter(fps[cuts[i] : cuts[i + 1]]).to_bytes()) for i in range(buckets) if cuts[i] < cuts[i + 1]]
-        if rows:
-            yield C.blob_batch(rows)
+        yield from C.blob_batches(rows)
 
     def merge(t: pa.Table) -> pa.Table:
         f = QuotientFilter.merge([QuotientFilter.from_bytes(x) for x in t.column("blob").to_pylist()])

@@ -31,7 +31,7 @@ LENGTH = 2048
 OPEN_BINS = 4096
 VOCABULARY = "word_bpe_49k.json"
 #: Parts whose ids a Python worker keeps; beyond it the table starts afresh.
-KEPT_PARTS = 1_500_000
+KEPT_PARTS = 500_000
 _MARK = "<|endoftext|>"
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
