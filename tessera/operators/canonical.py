@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PairConfig
@@ -45,9 +45,13 @@ def canonicalise(df: DataFrame, config: PairConfig = PairConfig(), carry=("row_i
 
 
 def dedup_pairs(df: DataFrame, keys=("phage", "host"), order=("study", "seq", "k3dist", "k6dist", "gcdiff", "homology")) -> DataFrame:
-    """One row a pair: any positive label wins, the first row with it stays."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("label"), *order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row a pair: any positive label wins, the first row with it stays.
+
+    An aggregate, so repeats of a pair meet before the shuffle and nothing is sorted.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct((-F.col("label")).alias("_l"), *order)).alias("_x")
+    return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_x.{c}").alias(c) for c in df.columns])
 
 
 def canonical_pairs(raw: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:

@@ -89,10 +89,13 @@ def containment(query: DataFrame, target: DataFrame, pairs: DataFrame, seq: str,
     t = fwd.unionByName(fwd.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
     hits = pairs.join(q.withColumnRenamed("id", "a"), "a").join(t.withColumnRenamed("id", "b"), ["b", "kmer"]).select("a", "b", "pos")
     valid = q.groupBy(F.col("id").alias("a")).agg(F.count("*").alias("windows"))
-    n = hits.groupBy("a", "b").agg(F.count("*").alias("hits"))
-    c, r = interval_coverage(hits, ["a", "b"], "pos", k), longest_run(hits, ["a", "b"], "pos")
+    # one pass over the sorted hits: isles of consecutive positions give hits, coverage and the longest run
+    w = Window.partitionBy("a", "b").orderBy("pos")
+    isle = hits.select("a", "b", (F.col("pos") - F.row_number().over(w)).alias("_g"), F.least(F.lit(k), F.coalesce(F.lead("pos").over(w) - F.col("pos"), F.lit(k))).alias("_s"))
+    isle = isle.groupBy("a", "b", "_g").agg(F.count("*").alias("run"), F.sum("_s").alias("_s"))
+    n = isle.groupBy("a", "b").agg(F.sum("run").alias("hits"), F.sum("_s").alias("covered"), F.max("run").alias("longest"))
     size = query.select(F.col("id").alias("a"), F.length(seq).alias("len"))
-    out = pairs.join(size, "a").join(valid, "a", "left").join(n, ["a", "b"], "left").join(c, ["a", "b"], "left").join(r, ["a", "b"], "left").na.fill(0)
+    out = pairs.join(size, "a").join(valid, "a", "left").join(n, ["a", "b"], "left").na.fill(0)
     return out.select(
         "a", "b", F.when(F.col("windows") > 0, F.col("hits") / F.col("windows")).otherwise(0.0).alias("frac_kmers"), (F.col("covered") / F.col("len")).alias("cov_frac"),
         F.log1p(F.col("hits").cast("double")).alias("log_shared"), F.when(F.col("longest") > 0, (F.col("longest") + k - 1) / F.col("len")).otherwise(0.0).alias("longest_frac"),

@@ -26,7 +26,11 @@ def score_table(df: DataFrame, by=(), y="y", p="p", w: str | None = None) -> Dat
 
 def ranking(df: DataFrame, by=(), y="y", p="p", w: str | None = None) -> DataFrame:
     """auroc (ties count half) and step-wise average precision, by group."""
-    t = score_table(df, by, y, p, w)
+    return ranking_of(score_table(df, by, y, p, w), by, p)
+
+
+def ranking_of(t: DataFrame, by=(), p="p") -> DataFrame:
+    """ranking() from a table of distinct scores."""
     up = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up)})
     P, N = F.sum("pos"), F.sum("neg")

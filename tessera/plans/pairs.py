@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import canonical as K
 from ..operators import metrics as M
-from ..operators import splits as S
 from ..session import table
 from .base import CANON, PAIRS, SCORED, query, raw_pairs, scored
 
@@ -95,8 +95,6 @@ def _(s, d):
 
 @query("d03_group_extremes", f"SELECT row_id, max(label) OVER (PARTITION BY phage, host) AS hi, min(label) OVER (PARTITION BY phage, host) AS lo FROM ({PAIRS}) p")
 def _(s, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("phage", "host")
     return K.canonicalise(raw_pairs(s, d)).select("row_id", F.max("label").over(w).alias("hi"), F.min("label").over(w).alias("lo"))
 
@@ -125,9 +123,9 @@ k AS (SELECT s.* FROM s JOIN e USING (grp)), b AS (SELECT * FROM k UNION ALL SEL
 SELECT grp AS fold, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM r""")
 def logo_auroc(s, d):
     """Flagship: canonical pairs, leave-one-group-out folds, ranking by fold and pooled."""
-    rows = scored(s, d)
-    folds = S.eligible_groups(rows, "grp")
-    tested = rows.join(folds, "grp").select("grp", "label", "p")
-    # one pass for both levels: each row counts for its fold and for the pool
-    both = tested.withColumn("fold", F.explode(F.array(F.col("grp"), F.lit("(pooled)"))))
-    return M.ranking(both, ("fold",), "label").select("fold", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), R("auroc").alias("auroc"), R("ap").alias("ap"))
+    # rows meet once, as sums of each group's distinct scores; folds and the pool are made of those
+    t = M.score_table(scored(s, d), ("grp",), "label")
+    own = Window.partitionBy("grp")
+    t = t.withColumns({"_p": F.sum("pos").over(own), "_n": F.sum("neg").over(own)}).where("_p >= 3 AND _n >= 3")
+    both = t.withColumn("fold", F.explode(F.array(F.col("grp"), F.lit("(pooled)")))).groupBy("fold", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return M.ranking_of(both, ("fold",)).select("fold", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), R("auroc").alias("auroc"), R("ap").alias("ap"))
