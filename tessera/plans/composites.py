@@ -215,3 +215,11 @@ def _(s, d):
         F.struct(F.lit("half").alias("variant"), F.round(0.5 * F.col("p") + 0.5 * F.col("prev"), 9).alias("x")))).alias("v")).select("host", "phage", "label", "v.variant", "v.x")
     h = O.top_k(x, ["variant", "host"], [F.desc("x"), F.col("phage")], 3).groupBy("variant", "host").agg(F.max("label").alias("hit"))
     return h.groupBy("variant").agg(F.count("*").alias("n"), R(F.avg("hit")).alias("success"))
+
+
+@query("s01_tumbling_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(s, d):
+    from ..streaming.events import windowed
+
+    w = windowed(table(s, d, "events"), "1 day")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
