@@ -275,6 +275,7 @@ def short_lists(posts: DataFrame, buckets: int) -> DataFrame:
         rows = [(i, ONE, _pack(*(x[p:q] for x in cols))) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if p < q]
         b = bucket_of(signed[:, 0])
         rows += [(i, SIGNED, np.ascontiguousarray(signed[b == i]).tobytes()) for i in np.unique(b).tolist()]
+        C.give_back()
         return pa.Table.from_batches(C.blob_batches(rows), C.BLOB_ARROW)
 
     def choose(t: pa.Table) -> pa.Table:
@@ -337,7 +338,7 @@ def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Leaders that a document is checked against in a round, and rounds.
-LEADERS, ROUNDS = 2, 3
+LEADERS, ROUNDS = 2, 2
 
 
 def may_link(x: str, y: str):
@@ -385,7 +386,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None
     members, found = short.withColumn("root", F.col("doc")), None
     for turn in range(ROUNDS):
         # a list of one component holds no link between components, and never will
-        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        # a document with few lists of its own alone is in the middle of its family
+        order = F.struct(F.floor((F.col("n") - F.col("shared")) / (1 + turn)), F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn)))
         live = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("doc", "n", "rank", "shared", "root"), F.struct(order, "doc")).alias("y")).where("lo <> hi").select("h", "y")
         open_ = scratch.keep(members.join(live.hint("merge"), "h"))
         votes = open_.alias("x").where((F.col("x.root") != F.col("y.root")) & may_link("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("votes"))
