@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,8 +51,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """few: about two files a core, for tables far smaller than the shuffle that they come from."""
         self.n += 1
+        if few:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         df = self.spark.read.schema(df.schema).parquet(path)
@@ -73,6 +77,15 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers would keep it beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets): null is the empty text; a slice has whole texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,7 +105,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         b = min(max(b, a + 1), n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

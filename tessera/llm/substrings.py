@@ -84,23 +84,34 @@ def segments(hash_: C.SpanHash, data: np.ndarray, off: np.ndarray, length: int =
     stop[-1] = True
     last = np.flatnonzero(stop & open_)
     doc = np.searchsorted(off, first, side="right") - 1
-    return low[first], hash_.spans(c, first, last + length), doc, first - off[doc], last - first
+    # anchors are minima and lie low: mixed again, they spread over the ranges evenly
+    return C.mix(low[first]), hash_.spans(c, first, last + length), doc, first - off[doc], last - first
 
 
-def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
-    return np.int64(len(columns[0][0])).tobytes() + b"".join(C.planes(np.asarray(a).view(np.uint64) if np.asarray(a).dtype == np.int64 else a, w) for a, w in columns)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, each as wide as its largest value."""
+    columns = [c.view(np.uint64) if c.dtype == np.int64 else c for c in columns]
+    widths = [max(1, (int(c.max(initial=0)).bit_length() + 7) // 8) for c in columns]
+    return np.array([len(columns[0]), *widths], "<i8").tobytes() + b"".join(C.planes(c, w) for c, w in zip(columns, widths))
 
 
-def _unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, "<i8", 1)[0]), 8, []
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = np.frombuffer(blob, "<i8", 1 + columns).tolist()
+    at, out = 8 * (1 + columns), []
     for w in widths:
         out.append(C.from_planes(blob, n, w, at))
         at += n * w
     return out
 
 
-_POST = (8, 8, 8, 5, 4)  # name order, name, id, position, windows
-_CUT = (8, 5, 4)
+def _pack_posts(key, name, doc, at, n) -> bytes:
+    """A name's leading 16 bits are the key's last, and its last 16 are 0."""
+    return _pack(key, (name >> np.uint64(16)) & np.uint64(0xFFFFFFFF), doc, at, n)
+
+
+def _unpack_posts(blob: bytes) -> list[np.ndarray]:
+    key, middle, doc, at, n = _unpack(blob, 5)
+    return [key, (key << np.uint64(48)) | (middle << np.uint64(16)), doc, at, n]
 
 
 def _by_doc(kind: int, doc: np.ndarray, at: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -111,7 +122,7 @@ def _by_doc(kind: int, doc: np.ndarray, at: np.ndarray, n: np.ndarray, buckets:
     order = np.argsort(b, kind="stable")
     cuts = np.searchsorted(b[order], np.arange(buckets + 1))
     doc, at, n = doc[order].astype(np.int64), at[order].astype(np.int64), n[order].astype(np.int64)
-    return [(i, kind, _pack((doc[x:y], 8), (at[x:y], 5), (n[x:y], 4))) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+    return [(i, kind, _pack(doc[x:y], at[x:y], n[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
 
 
 def _settle(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +164,17 @@ def first_round(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 b = (C.mix(name[hot].copy()) % np.uint64(buckets)).astype(np.int64)
                 for i in np.unique(b).tolist():
                     own = np.flatnonzero(hot)[b == i]
-                    rows.append((i, HOT_POSTED, _pack(*((c[own], w) for c, w in zip((key, name, doc, at, n), _POST)))))
+                    rows.append((i, HOT_POSTED, _pack_posts(*(c[own] for c in (key, name, doc, at, n)))))
                 notes = key[starts[size > HOT]]
                 low = np.minimum.reduceat(doc, starts)[size > HOT]
                 cuts = C.split_points(notes, buckets)
-                rows += [(i, HOT_NOTE, _pack((notes[x:y], 8), (low[x:y], 8))) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+                rows += [(i, HOT_NOTE, _pack(notes[x:y], low[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
                 key, name, doc, at, n = (c[~hot] for c in (key, name, doc, at, n))
             cuts = C.split_points(key, buckets)
             for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if x < y:
-                    rows.append((i, POSTED, _pack(*((c[x:y], w) for c, w in zip((key, name, doc, at, n), _POST)))))
-            return C.blob_batch(rows)
+                    rows.append((i, POSTED, _pack_posts(*(c[x:y] for c in (key, name, doc, at, n)))))
+            return C.blob_batches(rows)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -175,10 +186,10 @@ def first_round(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     held.append((_key(anchor, name), name, ids[a:b][doc].astype(np.int64), at, n))
                     count += len(anchor)
                 if count > _FLUSH:
-                    yield flush()
+                    yield from flush()
                     count = 0
         if held:
-            yield flush()
+            yield from flush()
 
     def rank(t: pa.Table) -> pa.Table:
         rows, posted, hot, notes = [], [], [], []
@@ -186,9 +197,9 @@ def first_round(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             if kind == SPAN:
                 rows.append((t["bucket"][0].as_py(), SPAN, blob))
             elif kind == HOT_NOTE:
-                notes.append(_unpack(blob, 8, 8))
+                notes.append(_unpack(blob, 2))
             else:
-                (posted if kind == POSTED else hot).append(_unpack(blob, *_POST))
+                (posted if kind == POSTED else hot).append(_unpack_posts(blob))
         for lot in (posted, hot):
             if not lot:
                 continue
@@ -211,7 +222,8 @@ def first_round(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     open_anchor |= np.isin(anchor[starts], noted)
                 open_ = ~gone & np.repeat(open_anchor, size)
             rows += _by_doc(CONTESTED, doc[open_], at[open_], n[open_], buckets)
-        return pa.Table.from_batches([C.blob_batch(rows)])
+        C.give_back()
+        return pa.Table.from_batches(C.blob_batches(rows), C.BLOB_ARROW)
 
     return docs.mapInArrow(post, C.BLOB).groupBy("bucket").applyInArrow(rank, C.BLOB)
 
@@ -220,7 +232,7 @@ def by_document(blobs: DataFrame, kind: int) -> DataFrame:
     """doc, cuts: merged runs of first windows, as int64 pairs [first, last]; one row a document."""
 
     def merge(t: pa.Table) -> pa.Table:
-        parts = [_unpack(b, *_CUT) for b in t["blob"].to_pylist()]
+        parts = [_unpack(b, 3) for b in t["blob"].to_pylist()]
         doc, at, n = (np.concatenate(c) for c in zip(*parts))
         doc, at, n = doc.view(np.int64), at.astype(np.int64), n.astype(np.int64)
         ids, no = np.unique(doc, return_inverse=True)
@@ -240,8 +252,8 @@ def by_document(blobs: DataFrame, kind: int) -> DataFrame:
     return blobs.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(merge, "doc long, cuts binary")
 
 
-def picked(docs: DataFrame, bitmap: bytes, inside: bool) -> DataFrame:
-    """doc_id, text of the rows that the id filter lets through, or of the others."""
+def picked(docs: DataFrame, bitmap: bytes, inside: bool, then=None, schema: str = "doc_id long, text string") -> DataFrame:
+    """The rows that the id filter lets through, or the others; `then` maps them in the same worker."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
 
     def run(batches):
@@ -251,7 +263,7 @@ def picked(docs: DataFrame, bitmap: bytes, inside: bool) -> DataFrame:
             ok = C.passes(bits, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(ok if inside else ~ok))
 
-    return docs.mapInArrow(run, "doc_id long, text string")
+    return docs.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -277,9 +289,9 @@ def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
             cuts = C.split_points(name, buckets)
             for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 if x < y:
-                    rows.append((i, POSTED, _pack((name[x:y], 8), (doc[x:y], 8), (at[x:y], 5))))
+                    rows.append((i, POSTED, _pack(name[x:y], doc[x:y], at[x:y])))
             del low
-            return C.blob_batch(rows)
+            return C.blob_batches(rows)
 
         for batch in batches:
             ids, cuts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -296,10 +308,10 @@ def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     held.append((pair, np.full(len(at), doc, np.int64), at))
                     count += len(at)
                     if count > 3 * _FLUSH:
-                        yield flush()
+                        yield from flush()
                         count = 0
         if held:
-            yield flush()
+            yield from flush()
 
     def rank(t: pa.Table) -> pa.Table:
         rows, posted = [], []
@@ -307,14 +319,15 @@ def second_round(texts: DataFrame, buckets: int, length: int) -> DataFrame:
             if kind == SPAN:
                 rows.append((t["bucket"][0].as_py(), SPAN, blob))
             else:
-                posted.append(_unpack(blob, 8, 8, 5))
+                posted.append(_unpack(blob, 3))
         if posted:
             name, doc, at = (np.concatenate(c) for c in zip(*posted))
             order = np.argsort(name, kind="stable")
             name, doc, at = name[order], doc[order].view(np.int64), at[order].astype(np.int64)
             gone, _ = _settle(name, name, doc)
             rows += _by_doc(SPAN, doc[gone], at[gone], np.zeros(int(gone.sum()), np.int64), buckets)
-        return pa.Table.from_batches([C.blob_batch(rows)])
+        C.give_back()
+        return pa.Table.from_batches(C.blob_batches(rows), C.BLOB_ARROW)
 
     return texts.mapInArrow(post, C.BLOB).groupBy("bucket").applyInArrow(rank, C.BLOB)
 
@@ -349,15 +362,15 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, buckets: int | None = No
     named = docs.where("doc_id IS NOT NULL")
     buckets = buckets or C.n_buckets(docs)
 
-    blobs = scratch.keep(first_round(named, buckets, length))
+    blobs = scratch.keep(first_round(named, buckets, length), few=True)
     C.tidy(spark)
-    contested = scratch.keep(by_document(blobs, CONTESTED))
+    contested = scratch.keep(by_document(blobs, CONTESTED), few=True)
     texts = picked(named, C.id_filter(contested.select("doc")), True)
     texts = texts.join(contested.hint("merge"), texts.doc_id == contested.doc).select("doc_id", "text", "cuts")
-    more = scratch.keep(second_round(texts, buckets, length))
+    more = scratch.keep(second_round(texts, buckets, length), few=True)
     del texts
     C.tidy(spark)
-    cuts = scratch.keep(by_document(blobs.unionByName(more), SPAN))
+    cuts = scratch.keep(by_document(blobs.unionByName(more), SPAN), few=True)
     scratch.drop(blobs, more, contested)
     C.tidy(spark)
     return cuts.select(F.col("doc").alias("doc_id"), "cuts")
@@ -382,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
 
     inside = picked(docs, bitmap, True)
     cut = inside.join(cuts.withColumnRenamed("doc_id", "doc").hint("merge"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "cuts")
-    return cut.mapInArrow(digest, OUT).unionByName(picked(docs, bitmap, False).mapInArrow(digest, OUT))
+    return cut.mapInArrow(digest, OUT).unionByName(picked(docs, bitmap, False, digest, OUT))
 
 
 def op1(spark, sf_dir):
