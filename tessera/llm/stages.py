@@ -35,9 +35,9 @@ def _filtered(docs: DataFrame, keep) -> DataFrame:
 
 def without(docs: DataFrame, dropped: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """docs less the ids in dropped; ids in `once` keep one of their rows."""
-    ids = dropped.select(F.col("doc_id").alias("drop_id"))
-    ones = None if once is None else once.select(F.col("doc_id").alias("once_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(C.id_filter(ids if ones is None else ids.unionByName(ones.withColumnRenamed("once_id", "drop_id"))))
+    ids = dropped.select(F.col("doc_id").alias("_tessera_drop"))
+    ones = None if once is None else once.select(F.col("doc_id").alias("_tessera_once"))
+    shared = docs.sparkSession.sparkContext.broadcast(C.id_filter(ids if ones is None else ids.unionByName(ones.withColumnRenamed("_tessera_once", "_tessera_drop"))))
 
     def side(inside: bool):
         def keep(column, _):
@@ -47,10 +47,10 @@ def without(docs: DataFrame, dropped: DataFrame, once: DataFrame | None = None)
         return keep
 
     passed = _filtered(docs, side(False))
-    concerned = _filtered(docs, side(True)).join(ids.hint("merge"), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    concerned = _filtered(docs, side(True)).join(ids.hint("merge"), F.col("doc_id") == F.col("_tessera_drop"), "left_anti")
     if ones is not None:
-        single = concerned.join(ones.hint("merge"), F.col("doc_id") == F.col("once_id"), "left_semi").dropDuplicates(["doc_id"])
-        concerned = concerned.join(ones.hint("merge"), F.col("doc_id") == F.col("once_id"), "left_anti").unionByName(single)
+        single = concerned.join(ones.hint("merge"), F.col("doc_id") == F.col("_tessera_once"), "left_semi").dropDuplicates(["doc_id"])
+        concerned = concerned.join(ones.hint("merge"), F.col("doc_id") == F.col("_tessera_once"), "left_anti").unionByName(single)
     return passed.unionByName(concerned)
 
 
@@ -94,11 +94,11 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     drawn = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("runs"))
     plan = drawn.join(rows.select("doc_id", "size", "source_no", "lane", "row").hint("merge"), ["source_no", "lane", "row"])
-    plan = plan.groupBy("doc_id").agg(F.min_by("runs", F.struct("source_no", "lane", "row")).alias("runs")).withColumnRenamed("doc_id", "plan_id")
+    plan = plan.groupBy("doc_id").agg(F.min_by("runs", F.struct("source_no", "lane", "row")).alias("_tessera_runs")).withColumnRenamed("doc_id", "_tessera_id")
     names = docs.columns
     t = names.index("text")
     n_chars = names.index("n_chars") if "n_chars" in names else None
-    wide = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("plan_id"))).select(*[docs[c] for c in names], "runs")
+    wide = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tessera_id"))).select(*[docs[c] for c in names], "_tessera_runs")
     fields = docs.schema
 
     def run(batches):

@@ -19,9 +19,9 @@ ODD = [None, "", " \t\n", "a", "A", "a", "é ü 漢字 " * 20, "x" * 300, LONG,
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls anywhere, empty and very long texts, ties, repeated rows, clashing extra columns."""
-    rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, "clash", i) for i, t in enumerate(ODD)]
-    rows += [rows[3], (None, "no id", None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score string, component_id long").repartition(3)
+    rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, "clash", i, "x", "y") for i, t in enumerate(ODD)]
+    rows += [rows[3], (None, "no id", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score string, component_id long, runs string, drop_id string").repartition(3)
 
 
 @pytest.fixture(scope="module")
