@@ -16,5 +16,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_ngram_jaccard": jaccard.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
