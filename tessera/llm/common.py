@@ -45,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder; they cut lineage and outlive executors."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, few: bool = False):
+        self.spark, self.few = spark, few
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
@@ -54,7 +54,7 @@ class Scratch:
     def keep(self, df: DataFrame, few: bool = False) -> DataFrame:
         """few: about two files a core, for tables far smaller than the shuffle that they come from."""
         self.n += 1
-        if few:
+        if few or self.few:
             df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)

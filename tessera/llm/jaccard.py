@@ -357,7 +357,7 @@ def may_link(x: str, y: str):
 def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
-    scratch = C.Scratch(spark)
+    scratch = C.Scratch(spark, few=True)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = all_docs.where("doc_id IS NOT NULL")
     buckets = buckets or C.n_buckets(docs)
