@@ -3,9 +3,13 @@
 A target and a background model have the same order (2), smoothing and
 vocabulary: the words that the target corpus has at least MIN_COUNT times, all
 others being one unknown word.  Words and bigrams are counted over every text of
-both corpora, in tables of hashed cells whose size is fixed; each task sends
-the cells that it has filled, and ranges of cells are added up apart.  A
-document's score is the mean over its tokens of target loss minus background
+both corpora, each under its own name, so the tables grow with the corpora.
+Words have 64-bit hashed names; a bigram's name is its two places in the
+vocabulary.  The vocabulary with its counts is broadcast (24
+bytes a word); bigrams are never: each chunk of texts sends the bigrams of its
+documents by hash range, where they meet the counts, and gets back a sum of
+losses for each document (single precision, added up in double).
+A document's score is the mean over its tokens of target loss minus background
 loss, in bits: the lower, the closer to the target.  The background has counted
 the documents, so each token leaves its own count out there.
 
@@ -19,148 +23,295 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-WORD_BITS, PAIR_BITS = 18, 22
 MIN_COUNT = 2
 #: Shares of the bigram and of the unigram in a token's probability.
 LAMBDA = (0.7, 0.3)
 _CHUNK = 1 << 16
 _START, _UNKNOWN = 0, 1
+#: Tokens that a chunk of texts and a hash range of bigrams have, about.
+CHUNK_TOKENS = 1_000_000
+_TARGET, _DOCS, _ROWS = 0, 1, 2
 
 
 class Tokens:
-    """Classes of a slice's words: hashed cells of the vocabulary, else the unknown word."""
+    """Classes of a slice's words: 2 + the place in the sorted vocabulary, else the unknown word."""
 
     def __init__(self, known: np.ndarray | None = None):
         self.hash, self.known = C.SpanHash(7), known
 
-    def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def names(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit name and text number of every word."""
         start, end, doc = C.word_spans(data, off)
         if not len(start):
-            return np.empty(0, np.int64), doc
-        h = self.hash.spans(self.hash.prefix(C.LOWER[data]), start, end)
-        w = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        w[w < 2] += 2
-        if self.known is not None:
-            w[~self.known[w]] = _UNKNOWN
-        return w, doc
+            return np.empty(0, np.uint64), doc
+        return self.hash.spans(self.hash.prefix(C.LOWER[data]), start, end), doc
+
+    def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, doc = self.names(data, off)
+        if not len(self.known):
+            return np.full(len(h), _UNKNOWN, np.int64), doc
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, at + 2, _UNKNOWN), doc
 
     @staticmethod
     def pairs(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The word before each (a start sign at a text's first), and the cell of the two."""
+        """The word before each (a start sign at a text's first), and the name of the two."""
         before = np.empty_like(w)
         before[1:] = w[:-1]
         if len(w):
             first = np.r_[True, doc[1:] != doc[:-1]]
             before[first] = _START
-        h = C.mix((before.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64))
-        return before, (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        return before, (before.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
 
 
-def _send(kind: int, cells: np.ndarray) -> list[tuple[int, int, bytes]]:
-    out = []
-    for i in range(0, len(cells), _CHUNK):
-        part = cells[i : i + _CHUNK]
-        at = np.flatnonzero(part)
-        if len(at):
-            out.append((kind * 1024 + i // _CHUNK, len(at), at.astype("<u2").tobytes() + part[at].astype("<i8").tobytes()))
-    return out
+def words_of(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of a bigram's name."""
+    return (name >> np.uint64(32)).astype(np.int64), (name & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _gather(counted: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """Cells of every kind, added up range by range; the tables' sizes are fixed."""
+def _merged(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, sorted, and their counts added up."""
+    order = np.argsort(names, kind="stable")
+    names, counts = names[order], counts[order]
+    at = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.empty(0, np.int64)
+    return names[at], np.add.reduceat(counts, at) if len(at) else np.empty(0, np.int64)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, np.int64)
-        for n, blob in zip(t["kind"].to_pylist(), t["blob"].to_pylist()):
-            total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<i8", n, 2 * n)
-        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "cells": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    out = {k: np.zeros(n, np.float32) for k, n in sizes.items()}
-    for r in counted.groupBy("bucket").applyInArrow(add, "bucket int, cells binary").toLocalIterator():
-        kind, at = divmod(r.bucket, 1024)
-        out[kind][at * _CHUNK : (at + 1) * _CHUNK] = np.frombuffer(r.cells, "<f4")
-    return out
+class Counts:
+    """Exact counts of all words by 64-bit name, a blob of sorted names a hash range, in the shared folder."""
 
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def sum(self) -> int:
+        return int(self.table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+
+    def at_least(self, least: int) -> np.ndarray:
+        """Names that are counted so often, sorted."""
+
+        def often(batches):
+            for batch in batches:
+                out = []
+                for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    out.append(np.frombuffer(names, "<u8")[np.frombuffer(counts, "<i8") >= least].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["names"])
+
+        got = [np.frombuffer(r.names, "<u8") for r in self.table.select("names", "counts").mapInArrow(often, "names binary").toLocalIterator()]
+        return np.sort(np.concatenate(got)) if got else np.empty(0, np.uint64)
+
+
+def count_words(texts: DataFrame) -> Counts:
+    buckets = C.n_buckets(texts)
 
-def count_words(texts: DataFrame) -> np.ndarray:
     def run(batches):
-        tokens, cells = Tokens(), np.zeros(1 << WORD_BITS, np.int64)
+        tokens, names, counts = Tokens(), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def send():
+            cuts = C.split_points(names, buckets)
+            for i in range(buckets):
+                a, b = cuts[i], cuts[i + 1]
+                if a < b:
+                    yield i, int(b - a), names[a:b].astype("<u8").tobytes() + counts[a:b].astype("<i8").tobytes()
+
         for batch in batches:
             for _, _, data, off in C.text_slices(batch.column(0)):
-                np.add.at(cells, tokens.of(data, off)[0], 1)
-        rows = _send(0, cells)
-        yield from C.blob_batches(rows)
+                h = tokens.names(data, off)[0]
+                names, counts = _merged(np.concatenate([names, h]), np.concatenate([counts, np.ones(len(h), np.int64)]))
+            if len(names) > CHUNK_TOKENS:
+                yield from C.blob_batches(list(send()))
+                names, counts = names[:0], counts[:0]
+        yield from C.blob_batches(list(send()))
 
-    return _gather(texts.mapInArrow(run, C.BLOB), {0: 1 << WORD_BITS})[0]
+    def add(t: pa.Table) -> pa.Table:
+        n, blobs = t["kind"].to_pylist(), t["blob"].to_pylist()
+        names, counts = _merged(np.concatenate([np.frombuffer(x, "<u8", k) for k, x in zip(n, blobs)]), np.concatenate([np.frombuffer(x, "<i8", k, 8 * k) for k, x in zip(n, blobs)]))
+        return pa.table({"names": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
 
+    return Counts(C.Scratch(texts.sparkSession, few=True).keep(texts.mapInArrow(run, C.BLOB).groupBy("bucket").applyInArrow(add, "names binary, counts binary, total long")))
 
-def count_ngrams(texts: DataFrame, known) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bigram cells; `known` is the broadcast vocabulary."""
+
+def count_classes(texts: DataFrame, known, v: int) -> np.ndarray:
+    """How often every class of word occurs, the start sign once a text; `known` is the broadcast vocabulary."""
 
     def run(batches):
-        tokens = Tokens(np.frombuffer(known.value, bool))
-        words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+        tokens, words = Tokens(np.frombuffer(known.value, "<u8")), np.zeros(v + 2, np.int64)
         for batch in batches:
             for _, _, data, off in C.text_slices(batch.column(0)):
                 w, doc = tokens.of(data, off)
-                before, cell = Tokens.pairs(w, doc)
-                np.add.at(words, w, 1)
-                words[_START] += int((before == _START).sum())
-                np.add.at(pairs, cell, 1)
-        rows = _send(0, words) + _send(1, pairs)
+                words += np.bincount(w, minlength=v + 2)
+                words[_START] += len(np.unique(doc))
+        rows = []
+        for i in range(0, v + 2, _CHUNK):
+            part = words[i : i + _CHUNK]
+            at = np.flatnonzero(part)
+            if len(at):
+                rows.append((i // _CHUNK, len(at), at.astype("<u2").tobytes() + part[at].astype("<i8").tobytes()))
         yield from C.blob_batches(rows)
 
-    got = _gather(texts.mapInArrow(run, C.BLOB), {0: 1 << WORD_BITS, 1: 1 << PAIR_BITS})
-    return got[0], got[1]
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, np.int64)
+        for n, blob in zip(t["kind"].to_pylist(), t["blob"].to_pylist()):
+            total[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<i8", n, 2 * n)
+        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "cells": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    out = np.zeros(-(-(v + 2) // _CHUNK) * _CHUNK, np.int64)
+    for r in texts.mapInArrow(run, C.BLOB).groupBy("bucket").applyInArrow(add, "bucket int, cells binary").toLocalIterator():
+        out[r.bucket * _CHUNK : (r.bucket + 1) * _CHUNK] = np.frombuffer(r.cells, "<i8")
+    return out[: v + 2]
 
 
-def losses(words: np.ndarray, pairs: np.ndarray, total: float, w: np.ndarray, before: np.ndarray, cell: np.ndarray, own: float = 0.0) -> np.ndarray:
+def losses(words: np.ndarray, pairs: np.ndarray, total: float, w: np.ndarray, before: np.ndarray, own: float = 0.0) -> np.ndarray:
     """Bits of each token: the bigram's share of its first word, mixed with the smoothed word.
 
-    own: what each token has itself added to the counts (1 where the model has counted the text).
+    pairs: the count of each token's bigram.  own: what each token has itself
+    added to the counts (1 where the model has counted the text).
     """
     one = (np.maximum(words[w] - own, 0) + 1.0) / total
     first = np.maximum(words[before] - own, 0)
-    two = np.minimum(np.maximum(pairs[cell] - own, 0), first) / np.maximum(first, 1.0)
+    two = np.minimum(np.maximum(pairs - own, 0), first) / np.maximum(first, 1.0)
     return -np.log2(LAMBDA[0] * two + LAMBDA[1] * one)
 
 
-def lm_score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for every row of docs."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    target = target.select(F.col("text").cast("string"))
-    mask = count_words(target) >= MIN_COUNT
-    mask[_UNKNOWN] = True
-    v = int(mask.sum())
-    known = sc.broadcast(mask.tobytes())
-    models = [*count_ngrams(target, known), *count_ngrams(docs.select("text"), known)]
-    # four tables of fixed size: 34 MB, whatever the input
-    shared = sc.broadcast(b"".join(m.astype("<f4").tobytes() for m in models))
-    totals = [float(m[1:].astype(float).sum()) + v for m in (models[0], models[2])]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
+_SENT = "bucket int, kind int, chunk long, blob binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+
+
+def _postings(texts: DataFrame, known, buckets: int, target: bool) -> DataFrame:
+    """Bigrams of every chunk of texts by hash range: names, and the documents that have each, how often."""
+
+    def pack(chunk: int, name: np.ndarray, doc: np.ndarray):
+        order = np.argsort(name, kind="stable")
+        at = (C.mix(name[order]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        by = np.argsort(at.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        order, cuts = order[by], np.searchsorted(at[by], np.arange(buckets + 1).astype(np.uint64))
+        name, doc = name[order], doc[order]
+        for i in range(buckets):
+            x, d = name[cuts[i] : cuts[i + 1]], doc[cuts[i] : cuts[i + 1]]
+            if not len(x):
+                continue
+            new = np.r_[True, x[1:] != x[:-1]]
+            post = np.flatnonzero(new if target else new | np.r_[True, d[1:] != d[:-1]])
+            heads = np.flatnonzero(new[post])
+            n = np.diff(np.r_[post, len(x)])
+            # gaps: bigrams of one first word, and documents of one bigram, lie side by side
+            gaps = C.planes(np.diff(x[post][heads], prepend=np.uint64(0)), 8)
+            blob = np.array([len(heads), len(post)], "<i8").tobytes() + gaps + C.planes(np.diff(np.r_[heads, len(post)]), 4) + C.planes(n, 4)
+            if not target:
+                gap = np.diff(d[post], prepend=0)
+                gap[heads] = d[post][heads]
+                blob += C.planes(gap, 4)
+            yield i, _TARGET if target else _DOCS, chunk, blob
 
     def run(batches):
-        tokens, flat = Tokens(np.frombuffer(known.value, bool)), np.frombuffer(shared.value, "<f4")
-        cuts = np.cumsum([0, 1 << WORD_BITS, 1 << PAIR_BITS, 1 << WORD_BITS, 1 << PAIR_BITS])
-        tw, tp, bw, bp = (flat[i:j] for i, j in zip(cuts, cuts[1:]))
+        tokens, part, k = Tokens(np.frombuffer(known.value, "<u8")), TaskContext.get().partitionId() << 32, 0
+        held: list = [[], [], [], 0, 0]
+
+        def flush():
+            names, docs, ids, n_docs, n = held
+            doc = np.concatenate(docs) if docs else np.empty(0, np.int64)
+            rows = list(pack(part + k, np.concatenate(names), doc)) if n else []
+            if not target and n_docs:
+                id_ = pa.concat_arrays(ids)
+                valid = id_.is_valid().to_numpy(zero_copy_only=False)
+                blob = id_.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + np.bincount(doc, minlength=n_docs).astype("<i8").tobytes()
+                rows.append(((part + k) % buckets, _ROWS, part + k, blob))
+            held[:] = [[], [], [], 0, 0]
+            for a in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows[a : a + 64]] for i, c in enumerate(_SENT_ARROW.names)}, _SENT_ARROW)
+
         for batch in batches:
-            out = [np.zeros(batch.num_rows) for _ in range(3)]
             for a, b, data, off in C.text_slices(batch.column(1)):
                 w, doc = tokens.of(data, off)
-                before, cell = Tokens.pairs(w, doc)
-                out[0][a:b] = np.bincount(doc, minlength=b - a)
-                out[1][a:b] = np.bincount(doc, losses(tw, tp, totals[0], w, before, cell), minlength=b - a)
-                out[2][a:b] = np.bincount(doc, losses(bw, bp, totals[1], w, before, cell, 1.0), minlength=b - a)
-            none, n = out[0] == 0, np.maximum(out[0], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1] / n, mask=none), pa.array(out[2] / n, mask=none)], schema=schema)
-
-    scored = docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+                held[0].append(Tokens.pairs(w, doc)[1])
+                held[1].append(doc + held[3])
+                held[2].append(batch.column(0).slice(a, b - a))
+                held[3] += b - a
+                held[4] += len(w)
+                if held[4] > CHUNK_TOKENS or held[3] > CHUNK_TOKENS:
+                    yield from flush()
+                    k += 1
+        yield from flush()
+
+    return texts.mapInArrow(run, _SENT)
+
+
+def _unpack(blob: bytes, kind: int):
+    names, posts = np.frombuffer(blob, "<i8", 2)
+    at = 16
+    out = []
+    for n, width in ((names, 8), (names, 4), (posts, 4), *([] if kind == _TARGET else [(posts, 4)])):
+        out.append(C.from_planes(blob, n, width, at))
+        at += n * width
+    out = [np.cumsum(out[0], dtype=np.uint64), *(x.astype(np.int64) for x in out[1:])]
+    if kind == _DOCS:
+        first, run = np.cumsum(out[1]) - out[1], np.cumsum(out[3])
+        out[3] = run - np.repeat(run[first] - out[3][first], out[1])
+    return out
+
+
+def lm_score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score for every row of docs."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    target = target.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"))
+    vocabulary = count_words(target.select("text")).at_least(MIN_COUNT)
+    v = len(vocabulary)
+    known = sc.broadcast(vocabulary.astype("<u8").tobytes())
+    models = [count_classes(t.select("text"), known, v) for t in (target, docs)]
+    shared = sc.broadcast(b"".join(m.astype("<i8").tobytes() for m in models))
+    n_tokens = [int(m[1:].sum()) for m in models]
+    # the vocabulary and the unknown word
+    totals = [float(n + v + 1) for n in n_tokens]
+    buckets = max(16, -(-sum(n_tokens) // CHUNK_TOKENS))
+
+    def score(t: pa.Table) -> pa.Table:
+        tw, bw = np.frombuffer(shared.value, "<i8").reshape(2, v + 2)
+        kinds, chunks, blobs = (t[c].to_pylist() for c in ("kind", "chunk", "blob"))
+        got = [None if k == _ROWS else _unpack(x, k) for k, x in zip(kinds, blobs)]
+        names = [g[0] for g in got if g]
+        out = [(c, k, x) for c, k, x in zip(chunks, kinds, blobs) if k == _ROWS]
+        if names:
+            name = np.unique(np.concatenate(names))
+            counts = np.zeros((2, len(name)), np.int64)
+            place = [None if g is None else np.searchsorted(name, g[0]) for g in got]
+            for k, g, p in zip(kinds, got, place):
+                if g is not None:
+                    counts[k, p] += np.add.reduceat(g[2], np.cumsum(g[1]) - g[1])
+            before, w = words_of(name)
+            bits = losses(tw, counts[0], totals[0], w, before), losses(bw, counts[1], totals[1], w, before, 1.0)
+            for c, k, g, p in zip(chunks, kinds, got, place):
+                if k == _DOCS:
+                    doc, at = np.unique(g[3], return_inverse=True)
+                    each = np.repeat(p, g[1])
+                    sums = [np.bincount(at, g[2] * x[each]).astype("<f4").tobytes() for x in bits]
+                    out.append((c, len(doc) << 2 | k, C.planes(doc, 4) + sums[0] + sums[1]))
+        C.give_back()
+        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int64()), "blob": pa.array([r[2] for r in out], pa.binary())})
+
+    def gather(t: pa.Table) -> pa.Table:
+        rows = list(zip(t["kind"].to_pylist(), t["blob"].to_pylist()))
+        blob = next(x for k, x in rows if k == _ROWS)
+        m = len(blob) // 17
+        ids, valid, n = np.frombuffer(blob, "<i8", m), np.frombuffer(blob, bool, m, 8 * m), np.frombuffer(blob, "<i8", m, 9 * m)
+        bits = np.zeros((2, m))
+        # in an order of their own, so that sums don't depend on arrival
+        for k, x in sorted((r for r in rows if r[0] != _ROWS)):
+            j = k >> 2
+            doc = C.from_planes(x, j, 4).astype(np.int64)
+            for i in (0, 1):
+                bits[i, doc] += np.frombuffer(x, "<f4", j, 4 * j * (1 + i))
+        mean = [pa.array(b / np.maximum(n, 1), mask=n == 0) for b in bits]
+        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(n), "target_loss": mean[0], "background_loss": mean[1]})
+
+    sent = _postings(target, known, buckets, True).unionByName(_postings(docs, known, buckets, False))
+    sums = sent.groupBy("bucket").applyInArrow(score, "chunk long, kind long, blob binary")
+    scored = sums.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -106,6 +107,41 @@ def test_score_prefers_target(spark):
     assert s[1] < s[2]
 
 
+def plain_scores(docs, target):
+    """Losses by exact words and bigrams, in plain Python."""
+    words = [[re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in ts] for ts in (target, docs)]
+    known = {w for w, n in collections.Counter(w for ws in words[0] for w in ws).items() if n >= 2}
+    classed = [[["<s>", *(w if w in known else "<unk>" for w in ws)] if ws else [] for ws in part] for part in words]
+    one = [collections.Counter(w for ws in part for w in ws) for part in classed]
+    two = [collections.Counter(p for ws in part for p in zip(ws, ws[1:])) for part in classed]
+    totals = [sum(c.values()) - c["<s>"] + len(known) + 1 for c in one]
+    out = []
+    for ws in classed[1]:
+        bits = [0.0, 0.0]
+        for a, b in zip(ws, ws[1:]):
+            for m in (0, 1):
+                first = one[m][a] - m
+                p = 0.7 * (two[m][a, b] - m) / max(first, 1) + 0.3 * (one[m][b] - m + 1) / totals[m]
+                bits[m] -= math.log2(p)
+        out.append((max(len(ws) - 1, 0), *(x / (len(ws) - 1) if ws else None for x in bits)))
+    return out
+
+
+def test_scores_by_exact_counts(spark):
+    """No two words or bigrams share a count, however many there are: 100,000 unknown words beside 3,000 known."""
+    rng = random.Random(5)
+    target = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(40)] + ["Known known", None]
+    docs = [" ".join(f"w{rng.randrange(6000)}" for _ in range(200)) for _ in range(60)] + [" ".join(f"u{i}" for i in range(k, k + 10000)) for k in range(0, 100000, 10000)] + ["known", "", None, "known w1 known"]
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(docs)]
+    got = lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(t,) for t in target], "text string")).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[2] or 0, 3), round(r[3] or 0, 3))
+    want = sorted(((i, *x) for (i, _), x in zip(rows, plain_scores(docs, target))), key=key)
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want):
+        assert g[2:] == (pytest.approx(w[2], abs=1e-5), pytest.approx(w[3], abs=1e-5)) if w[1] else g[2:] == (None, None)
+
+
 def test_counts_cover_everything(spark):
     t = spark.createDataFrame([("a b a",), ("b",), (None,)], "text string").repartition(3)
     assert lm_score.count_words(t).sum() == 4
