@@ -35,18 +35,19 @@ CHUNK = 8192
 TASK_SLOTS = 250_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of whole texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of whole texts), and the column `key`, if any."""
+    keys = [] if key is None else [F.col(key).cast("long").alias("key")]
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), *[("key", pa.int64()) for _ in keys]])
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
             for a, b, data, off in C.text_slices(batch.column(2)):
                 out[a:b] = np.bincount(C.word_spans(data, off)[2], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(out)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(out), *batch.columns[3:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *keys).mapInArrow(run, "doc_id long, source string, size long" + ", key long" * len(keys))
 
 
 def targets(size: list[int], weight: list[float], most: float = MOST) -> list[float]:
@@ -95,11 +96,15 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED):
-    """(rows, segments, blocks): laid-out rows, their parts by block, and how often each block is drawn."""
+def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED, key: str | None = None):
+    """(rows, segments, blocks): laid-out rows, their parts by block, and how often each block is drawn.
+
+    key: a column of numbers that tell rows apart; rows have it as `key`.
+    """
+    keys = [] if key is None else ["key"]
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
-    sized = scratch.keep(sizes(docs))
+    sized = scratch.keep(sizes(docs, key))
     # one row a source
     per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     per.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
@@ -111,8 +116,8 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIG
     )
     # lanes: documents of a source dealt by hash, so no source is laid out by one task
     lane = F.pmod(F.xxhash64("doc_id", F.lit(seed)), "lanes").cast("int").alias("lane")
-    s = sized.alias("s").join(F.broadcast(names).alias("n"), F.col("s.source").eqNullSafe(F.col("n.source"))).select("s.doc_id", "s.size", "n.source_no", "n.source_size", "n.target", lane)
-    w = Window.partitionBy("source_no", "lane").orderBy("doc_id", "size")
+    s = sized.alias("s").join(F.broadcast(names).alias("n"), F.col("s.source").eqNullSafe(F.col("n.source"))).select("s.doc_id", "s.size", "n.source_no", "n.source_size", "n.target", lane, *keys)
+    w = Window.partitionBy("source_no", "lane").orderBy("doc_id", "size", *keys)
     rows = s.withColumns({"row": F.row_number().over(w), "at": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     rows = scratch.keep(rows)
     lanes = rows.groupBy("source_no", "lane").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block).cast("long"))

@@ -545,6 +545,21 @@ def test_stages_odd(spark, sf_dir, odd, empty):
     assert sorted(left, key=str) == sorted([1, 2, 5, 6, 7, 9, None], key=str)
 
 
+def test_mix_by_row(spark, sf_dir):
+    """One source is drawn evenly, so every row comes back whole, also without an id or with another's."""
+    texts = ["one two three", " ".join(f"w{i}" for i in range(1000)), " ".join(f"v{i}" for i in range(70)), "x y", " ".join(f"z{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(zip([None, None, 7, 7, None], texts, ["s"] * 5)), "doc_id long, text string, source string").repartition(2)
+    assert sorted(r.text for r in stages.mix_sources(spark, docs, sf_dir).collect()) == sorted(texts)
+
+
+def test_copies_by_row(spark, sf_dir):
+    """A decision holds for a row's id and text: null ids lose to others, an id's other texts stay."""
+    rows = [(None, "Same"), (None, "same"), (4, "same"), (None, "lone"), (None, "pair"), (None, "pair"), (2, "same"), (2, "other"), (3, "twice"), (3, "twice"), (3, "third")]
+    got = stages.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir).collect()
+    want = [(4, "same"), (None, "lone"), (None, "pair"), (None, "pair"), (2, "other"), (3, "twice"), (3, "third")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark, sf_dir, corpus):
     """Each stage does what its operator decides on the stage's own input."""
     import corpus_pipeline
