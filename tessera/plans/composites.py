@@ -150,8 +150,10 @@ def _(s, d):
 
 @query("m13_class_forest")
 def _(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("cls"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
-    p = L.class_forest(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), [f"x{i}" for i in range(16)], "cls", 10)
+    t = table(s, d, "embeddings")
+    x = [f"x{i}" for i in range(t.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    e = t.select("vec_id", F.col("label").cast("string").alias("cls"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(x)])
+    p = L.class_forest(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), x, "cls", 300)
     return p.groupBy("cls").agg(F.count("*").alias("n"), R(F.avg("p"), 4).alias("p"))
 
 

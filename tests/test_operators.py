@@ -228,3 +228,14 @@ def test_bootstrap_weights(spark):
     df = spark.createDataFrame([(g,) for g in "abcde"], "g string")
     w = inference.cluster_weights(df, "g", 10, 1).groupBy("replicate").agg(F.sum("w").alias("n")).collect()
     assert len(w) == 10 and all(r.n == 5 for r in w)
+
+
+def test_class_forest_reads_whole_vectors(spark, tmp_path):
+    """Classes that differ in the last components only are told apart."""
+    from tessera.plans import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i // 2 % 2, [*rng.normal(size=48).tolist(), *(rng.normal(size=16) + 4 * (i // 2 % 2)).tolist()]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["m13_class_forest"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 and all(r.n == 50 and r.p > 0.8 for r in got)
