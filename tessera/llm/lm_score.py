@@ -6,9 +6,11 @@ others being one unknown word.  Words and bigrams are counted over every text of
 both corpora, each under its own name, so the tables grow with the corpora.
 Words have 64-bit hashed names; a bigram's name is its two places in the
 vocabulary.  The vocabulary with its counts is broadcast (24
-bytes a word); bigrams are never: each chunk of texts sends the bigrams of its
-documents by hash range, where they meet the counts, and gets back a sum of
-losses for each document (single precision, added up in double).
+bytes a word); bigrams are never: each chunk of texts sends its distinct bigrams
+with their counts, a range of names at a time, to where all chunks' counts meet,
+and gets back the two corpora's counts for each.  So a bigram that every document
+has is one posting a chunk, and what is sent does not depend on the number of
+ranges.  The chunk's word classes go along and are scored where its counts come in.
 A document's score is the mean over its tokens of target loss minus background
 loss, in bits: the lower, the closer to the target.  The background has counted
 the documents, so each token leaves its own count out there.
@@ -34,9 +36,9 @@ MIN_COUNT = 2
 LAMBDA = (0.7, 0.3)
 _CHUNK = 1 << 16
 _START, _UNKNOWN = 0, 1
-#: Tokens that a chunk of texts and a hash range of bigrams have, about.
+#: Tokens that a chunk of texts and a range of bigrams have, about.
 CHUNK_TOKENS = 1_000_000
-_TARGET, _DOCS, _ROWS = 0, 1, 2
+_TARGET, _DOCS, _TOKENS = 0, 1, 2
 
 
 class Tokens:
@@ -113,11 +115,10 @@ def count_words(texts: DataFrame) -> Counts:
         tokens, names, counts = Tokens(), np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def send():
-            cuts = C.split_points(names, buckets)
-            for i in range(buckets):
-                a, b = cuts[i], cuts[i + 1]
+            cuts = C.split_points(names, buckets).tolist()
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    yield i, int(b - a), names[a:b].astype("<u8").tobytes() + counts[a:b].astype("<i8").tobytes()
+                    yield i, b - a, names[a:b].astype("<u8").tobytes() + counts[a:b].astype("<i8").tobytes()
 
         for batch in batches:
             for _, _, data, off in C.text_slices(batch.column(0)):
@@ -133,7 +134,7 @@ def count_words(texts: DataFrame) -> Counts:
         names, counts = _merged(np.concatenate([np.frombuffer(x, "<u8", k) for k, x in zip(n, blobs)]), np.concatenate([np.frombuffer(x, "<i8", k, 8 * k) for k, x in zip(n, blobs)]))
         return pa.table({"names": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
 
-    return Counts(C.Scratch(texts.sparkSession, few=True).keep(texts.mapInArrow(run, C.BLOB).groupBy("bucket").applyInArrow(add, "names binary, counts binary, total long")))
+    return Counts(C.Scratch(texts.sparkSession, C.tasks_for(buckets)).keep(texts.mapInArrow(run, C.BLOB).groupBy("bucket").applyInArrow(add, "names binary, counts binary, total long")))
 
 
 def count_classes(texts: DataFrame, known, v: int) -> np.ndarray:
@@ -182,79 +183,88 @@ _SENT = "bucket int, kind int, chunk long, blob binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
 
-def _postings(texts: DataFrame, known, buckets: int, target: bool) -> DataFrame:
-    """Bigrams of every chunk of texts by hash range: names, and the documents that have each, how often."""
-
-    def pack(chunk: int, name: np.ndarray, doc: np.ndarray):
-        order = np.argsort(name, kind="stable")
-        at = (C.mix(name[order]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        by = np.argsort(at.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
-        order, cuts = order[by], np.searchsorted(at[by], np.arange(buckets + 1).astype(np.uint64))
-        name, doc = name[order], doc[order]
-        for i in range(buckets):
-            x, d = name[cuts[i] : cuts[i + 1]], doc[cuts[i] : cuts[i + 1]]
-            if not len(x):
-                continue
-            new = np.r_[True, x[1:] != x[:-1]]
-            post = np.flatnonzero(new if target else new | np.r_[True, d[1:] != d[:-1]])
-            heads = np.flatnonzero(new[post])
-            n = np.diff(np.r_[post, len(x)])
-            # gaps: bigrams of one first word, and documents of one bigram, lie side by side
-            gaps = C.planes(np.diff(x[post][heads], prepend=np.uint64(0)), 8)
-            blob = np.array([len(heads), len(post)], "<i8").tobytes() + gaps + C.planes(np.diff(np.r_[heads, len(post)]), 4) + C.planes(n, 4)
-            if not target:
-                gap = np.diff(d[post], prepend=0)
-                gap[heads] = d[post][heads]
-                blob += C.planes(gap, 4)
-            yield i, _TARGET if target else _DOCS, chunk, blob
+def _narrow(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, each as wide as its largest value."""
+    widths = [max(1, (int(c.max(initial=0)).bit_length() + 7) // 8) for c in columns]
+    return np.array([len(columns[0]), *widths], "<i8").tobytes() + b"".join(C.planes(c, w) for c, w in zip(columns, widths))
+
+
+def _wide(blob: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = np.frombuffer(blob, "<i8", 1 + columns).tolist()
+    at, out = 8 * (1 + columns), []
+    for w in widths:
+        out.append(C.from_planes(blob, n, w, at).astype(np.int64))
+        at += n * w
+    return out
+
+
+class Ranges:
+    """Ranges of bigram names with about as many tokens each.
+
+    On a line every first word is as long as it is frequent, and parted by how
+    frequent words are: a bigram's place rises with its name.
+    """
+
+    def __init__(self, words: np.ndarray, buckets: int):
+        self.buckets, self.long = buckets, words.astype(float)
+        total = max(self.long.sum(), 1.0)
+        self.start, self.share = (np.concatenate([[0.0], np.cumsum(self.long)[:-1]]) / total * x for x in (buckets, 1.0))
+        self.long *= buckets / total
+
+    def cuts(self, name: np.ndarray) -> list[int]:
+        """Where each range begins among sorted names, plus the end."""
+        before, w = words_of(name)
+        place = np.minimum((self.start[before] + self.long[before] * self.share[w]).astype(np.int64), self.buckets - 1)
+        return np.searchsorted(place, np.arange(self.buckets + 1)).tolist()
+
+
+def _postings(texts: DataFrame, known, words, ranges: tuple[int, int], target: bool) -> DataFrame:
+    """Of every chunk of texts its bigrams with counts, range by range; of documents also their tokens."""
+    buckets, v = ranges
 
     def run(batches):
         tokens, part, k = Tokens(np.frombuffer(known.value, "<u8")), TaskContext.get().partitionId() << 32, 0
-        held: list = [[], [], [], 0, 0]
+        line = Ranges(np.frombuffer(words.value, "<i8").reshape(2, v + 2).sum(0), buckets)
+        held: list = [[], [], [], [], 0]
 
         def flush():
-            names, docs, ids, n_docs, n = held
-            doc = np.concatenate(docs) if docs else np.empty(0, np.int64)
-            rows = list(pack(part + k, np.concatenate(names), doc)) if n else []
-            if not target and n_docs:
+            classes, names, ids, sizes, _ = held
+            rows = []
+            if classes:
+                name, n = np.unique(np.concatenate(names), return_counts=True)
+                cuts = line.cuts(name)
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        rows.append((i, _TARGET if target else _DOCS, part + k, name[a : a + 1].tobytes() + _narrow(np.diff(name[a:b], prepend=name[a]), n[a:b])))
+            if not target and ids:
                 id_ = pa.concat_arrays(ids)
                 valid = id_.is_valid().to_numpy(zero_copy_only=False)
-                blob = id_.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + np.bincount(doc, minlength=n_docs).astype("<i8").tobytes()
-                rows.append(((part + k) % buckets, _ROWS, part + k, blob))
-            held[:] = [[], [], [], 0, 0]
+                w = np.concatenate(classes) if classes else np.empty(0, np.int64)
+                blob = np.int64(len(id_)).tobytes() + id_.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + np.concatenate(sizes).astype("<i8").tobytes() + _narrow(w)
+                rows.append(((part + k) % buckets, _TOKENS, part + k, blob))
+            held[:] = [[], [], [], [], 0]
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows[a : a + 64]] for i, c in enumerate(_SENT_ARROW.names)}, _SENT_ARROW)
 
+        n_rows = 0
         for batch in batches:
             for a, b, data, off in C.text_slices(batch.column(1)):
                 w, doc = tokens.of(data, off)
-                held[0].append(Tokens.pairs(w, doc)[1])
-                held[1].append(doc + held[3])
+                if len(w):
+                    held[0].append(w)
+                    held[1].append(Tokens.pairs(w, doc)[1])
                 held[2].append(batch.column(0).slice(a, b - a))
-                held[3] += b - a
+                held[3].append(np.bincount(doc, minlength=b - a))
                 held[4] += len(w)
-                if held[4] > CHUNK_TOKENS or held[3] > CHUNK_TOKENS:
+                n_rows += b - a
+                if held[4] > CHUNK_TOKENS or n_rows > CHUNK_TOKENS:
                     yield from flush()
-                    k += 1
+                    k, n_rows = k + 1, 0
         yield from flush()
 
     return texts.mapInArrow(run, _SENT)
 
 
-def _unpack(blob: bytes, kind: int):
-    names, posts = np.frombuffer(blob, "<i8", 2)
-    at = 16
-    out = []
-    for n, width in ((names, 8), (names, 4), (posts, 4), *([] if kind == _TARGET else [(posts, 4)])):
-        out.append(C.from_planes(blob, n, width, at))
-        at += n * width
-    out = [np.cumsum(out[0], dtype=np.uint64), *(x.astype(np.int64) for x in out[1:])]
-    if kind == _DOCS:
-        first, run = np.cumsum(out[1]) - out[1], np.cumsum(out[3])
-        out[3] = run - np.repeat(run[first] - out[3][first], out[1])
-    return out
-
-
 def lm_score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row of docs."""
     sc = docs.sparkSession.sparkContext
@@ -270,48 +280,43 @@ def lm_score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str
     totals = [float(n + v + 1) for n in n_tokens]
     buckets = max(16, -(-sum(n_tokens) // CHUNK_TOKENS))
 
+    def count(t: pa.Table) -> pa.Table:
+        """For every chunk's bigrams of one range, in order, the counts of both corpora; tokens pass through."""
+        out, got = [], []
+        for c, k, x in zip(*(t[name].to_pylist() for name in ("chunk", "kind", "blob"))):
+            if k == _TOKENS:
+                out.append((c, -1, x))
+            else:
+                gap, n = _wide(x[8:], 2)
+                got.append((c, k, np.frombuffer(x, "<u8", 1) + np.cumsum(gap, dtype=np.uint64), n))
+        if got:
+            name = np.unique(np.concatenate([g[2] for g in got]))
+            counts, place = np.zeros((2, len(name)), np.int64), [np.searchsorted(name, g[2]) for g in got]
+            for (_, k, _, n), p in zip(got, place):
+                counts[k, p] += n
+            bucket = t["bucket"][0].as_py()
+            out += [(c, bucket, _narrow(*counts[:, p])) for (c, k, _, _), p in zip(got, place) if k == _DOCS]
+        C.give_back()
+        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
+
     def score(t: pa.Table) -> pa.Table:
         tw, bw = np.frombuffer(shared.value, "<i8").reshape(2, v + 2)
-        kinds, chunks, blobs = (t[c].to_pylist() for c in ("kind", "chunk", "blob"))
-        got = [None if k == _ROWS else _unpack(x, k) for k, x in zip(kinds, blobs)]
-        names = [g[0] for g in got if g]
-        out = [(c, k, x) for c, k, x in zip(chunks, kinds, blobs) if k == _ROWS]
-        if names:
-            name = np.unique(np.concatenate(names))
-            counts = np.zeros((2, len(name)), np.int64)
-            place = [None if g is None else np.searchsorted(name, g[0]) for g in got]
-            for k, g, p in zip(kinds, got, place):
-                if g is not None:
-                    counts[k, p] += np.add.reduceat(g[2], np.cumsum(g[1]) - g[1])
-            before, w = words_of(name)
-            bits = losses(tw, counts[0], totals[0], w, before), losses(bw, counts[1], totals[1], w, before, 1.0)
-            for c, k, g, p in zip(chunks, kinds, got, place):
-                if k == _DOCS:
-                    doc, at = np.unique(g[3], return_inverse=True)
-                    each = np.repeat(p, g[1])
-                    sums = [np.bincount(at, g[2] * x[each]).astype("<f4").tobytes() for x in bits]
-                    out.append((c, len(doc) << 2 | k, C.planes(doc, 4) + sums[0] + sums[1]))
-        C.give_back()
-        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int64()), "blob": pa.array([r[2] for r in out], pa.binary())})
-
-    def gather(t: pa.Table) -> pa.Table:
-        rows = list(zip(t["kind"].to_pylist(), t["blob"].to_pylist()))
-        blob = next(x for k, x in rows if k == _ROWS)
-        m = len(blob) // 17
-        ids, valid, n = np.frombuffer(blob, "<i8", m), np.frombuffer(blob, bool, m, 8 * m), np.frombuffer(blob, "<i8", m, 9 * m)
-        bits = np.zeros((2, m))
-        # in an order of their own, so that sums don't depend on arrival
-        for k, x in sorted((r for r in rows if r[0] != _ROWS)):
-            j = k >> 2
-            doc = C.from_planes(x, j, 4).astype(np.int64)
-            for i in (0, 1):
-                bits[i, doc] += np.frombuffer(x, "<f4", j, 4 * j * (1 + i))
+        (_, blob), *parts = sorted(zip(t["bucket"].to_pylist(), t["blob"].to_pylist()))  # names rise with the range
+        m = int(np.frombuffer(blob, "<i8", 1)[0])
+        ids, valid, n = np.frombuffer(blob, "<i8", m, 8), np.frombuffer(blob, bool, m, 8 + 8 * m), np.frombuffer(blob, "<i8", m, 8 + 9 * m)
+        w, doc, bits = _wide(blob[8 + 17 * m :], 1)[0], np.repeat(np.arange(m), n), np.zeros((2, m))
+        if len(w):
+            before, name = Tokens.pairs(w, doc)
+            each = np.unique(name, return_inverse=True)[1]
+            counts = [np.concatenate(c)[each] for c in zip(*(_wide(x, 2) for _, x in parts))]
+            bits = [np.bincount(doc, losses(*x), m) for x in ((tw, counts[0], totals[0], w, before), (bw, counts[1], totals[1], w, before, 1.0))]
         mean = [pa.array(b / np.maximum(n, 1), mask=n == 0) for b in bits]
+        C.give_back()
         return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(n), "target_loss": mean[0], "background_loss": mean[1]})
 
-    sent = _postings(target, known, buckets, True).unionByName(_postings(docs, known, buckets, False))
-    sums = sent.groupBy("bucket").applyInArrow(score, "chunk long, kind long, blob binary")
-    scored = sums.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    sent = _postings(target, known, shared, (buckets, v), True).unionByName(_postings(docs, known, shared, (buckets, v), False))
+    counted = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket int, blob binary")
+    scored = counted.groupBy("chunk").applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
