@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local default only where none is set."""
+    """The folder that driver and executors share; a local one only where one machine is all there is."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="tessera-")
@@ -42,39 +44,51 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: With this set, Spark removes a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder; they cut lineage and outlive executors."""
+    """Tables written to the shared folder; they cut lineage and outlive executors.
+
+    What is left of them goes when the application ends.
+    """
 
-    def __init__(self, spark: SparkSession, few: bool = False):
-        self.spark, self.few = spark, few
+    def __init__(self, spark: SparkSession, tasks: int = 0):
+        """tasks: about how many files a table has that is far smaller than the shuffle it comes from; let it follow the input."""
+        self.spark, self.tasks = spark, tasks
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, few: bool = False) -> DataFrame:
-        """few: about two files a core, for tables far smaller than the shuffle that they come from."""
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
+    def keep(self, df: DataFrame, tasks: int = 0) -> DataFrame:
+        if not self.n:
+            root, files = self._path(self.root)
+            files.mkdirs(root)
+            files.deleteOnExit(root)
         self.n += 1
-        if few or self.few:
-            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        if tasks or self.tasks:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, tasks or self.tasks))
+        path, before = f"{self.root}/{self.n}", self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         df = self.spark.read.schema(df.schema).parquet(path)
         df._scratch_path = path  # noqa: SLF001
         return df
 
     def drop(self, *dfs: DataFrame) -> None:
         """Remove tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # noqa: SLF001
-            path.getFileSystem(conf).delete(path, True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let shuffle files go whose plans are no longer needed, their results being written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            path, files = self._path(df._scratch_path)  # noqa: SLF001
+            files.delete(path, True)
 
 
 def give_back() -> None:
@@ -178,10 +192,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def split_points(sorted_values: np.ndarray, n_buckets: int, shift: int = 0) -> np.ndarray:
+def split_points(sorted_values: np.ndarray, n_buckets: int) -> np.ndarray:
     """Where each of n_buckets equal ranges of uint64 begins, plus the end."""
-    step = (1 << 64) // n_buckets
-    cuts = np.array([i * step for i in range(1, n_buckets)], np.uint64)
+    cuts = np.arange(1, n_buckets, dtype=np.uint64) * U64((1 << 64) // n_buckets)
     return np.concatenate([[0], np.searchsorted(sorted_values, cuts), [len(sorted_values)]])
 
 
@@ -206,9 +219,14 @@ def blob_batches(rows: list[tuple[int, int, bytes]], limit: int = 2_000_000) ->
         yield blob_batch(part)
 
 
-def n_buckets(df: DataFrame, per: int = 2500, least: int = 64, most: int = 65536) -> int:
-    """Buckets in proportion to the rows (a Parquet scan counts them from its footers)."""
-    return max(least, min(most, df.count() // per))
+def n_buckets(df: DataFrame, per: int = 2500, least: int = 64) -> int:
+    """Buckets in proportion to the rows (a Parquet scan counts them from its footers), so that a bucket's size stays."""
+    return max(least, df.count() // per)
+
+
+def tasks_for(buckets: int) -> int:
+    """Tasks for tables by bucket: eight buckets each, however large the input."""
+    return -(-buckets // 8)
 
 
 #: Edges that one task joins by itself (16 bytes each); more are contracted in rounds.
@@ -274,51 +292,68 @@ def one_row_per(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-#: An id filter has 2**ID_BITS bits, whatever the input: 8 MB.
-ID_BITS = 26
+#: An id filter has about 8 bits an id, at least and at most 2**these (16 kB to 128 MB).
+LEAST_BITS, MOST_BITS = 17, 30
+_RANGE_BITS = 20
 
 
-def id_cells(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(1)) >> U64(64 - ID_BITS)).astype(np.int64)
+def filter_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
 
 
-def id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size over the hashed ids of a one-column table.
+def id_cells(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(1)) >> U64(64 - bits)).astype(np.int64)
 
-    It lets a scan leave most other rows behind; a row that shares a bit passes
-    too, so what follows must still join on the id.
-    """
-    ranges = 64
-    width = (1 << ID_BITS) // ranges
 
-    def build(batches):
-        bits = None
-        for b in batches:
-            bits = np.zeros(1 << ID_BITS, bool) if bits is None else bits
-            bits[id_cells(b.column(0).drop_null().to_numpy())] = True
-        if bits is not None:
-            rows = []
-            for i in range(ranges):
-                at = np.flatnonzero(bits[i * width : (i + 1) * width])
-                if len(at):
-                    rows.append((i, 0, at.astype("<u4").tobytes()))
-            yield from blob_batches(rows)
+def bitmap(cells: DataFrame, bits: int) -> bytes:
+    """A bit for each cell in blobs of BLOB (bucket: range of 2**_RANGE_BITS cells, blob: places there, 4 bytes each)."""
+    width = 1 << min(bits, _RANGE_BITS)
 
     def merge(t: pa.Table) -> pa.Table:
-        bits = np.zeros(width, np.uint8)
+        on = np.zeros(width, np.uint8)
         for x in t["blob"].to_pylist():
-            bits[np.frombuffer(x, "<u4")] = 1
-        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+            on[np.frombuffer(x, "<u4")] = 1
+        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "bits": pa.array([zlib.compress(np.packbits(on).tobytes(), 1)], pa.binary())})
 
-    out = bytearray((1 << ID_BITS) // 8)
-    for r in ids.mapInArrow(build, BLOB).groupBy("bucket").applyInArrow(merge, "bucket int, bits binary").toLocalIterator():
-        out[r.bucket * width // 8 : (r.bucket + 1) * width // 8] = r.bits
+    out = bytearray((1 << bits) // 8)
+    for r in cells.groupBy("bucket").applyInArrow(merge, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket * width // 8 : (r.bucket + 1) * width // 8] = zlib.decompress(r.bits)
     return bytes(out)
 
 
-def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = id_cells(ids)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def cell_blobs(cells: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct cells for bitmap()."""
+    width = min(bits, _RANGE_BITS)
+    at = np.searchsorted(cells, np.arange((1 << (bits - width)) + 1, dtype=np.int64) << width)
+    return blob_batches([(i, 0, (cells[a:b] - (i << width)).astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())) if a < b])
+
+
+def id_filter(ids: DataFrame, n: int | None = None) -> bytes:
+    """A bitmap over the hashed ids of a one-column table that has about n rows (None: count them).
+
+    It lets a scan leave most other rows behind; a row that shares a bit passes
+    too, so what follows must still join on the id.  Its size follows n up to a
+    bound; beyond that more rows pass, and the join alone decides.
+    """
+    bits = filter_bits(ids.count() if n is None else n)
+
+    def build(batches):
+        held, count = [], 0
+        for b in batches:
+            held.append(np.unique(id_cells(b.column(0).drop_null().to_numpy(), bits)))
+            count += len(held[-1])
+            if count > 2_000_000:
+                held, count = [np.unique(np.concatenate(held))], 0
+        if held:
+            yield from cell_blobs(np.unique(np.concatenate(held)), bits)
+
+    return bitmap(ids.mapInArrow(build, BLOB), bits)
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids an id filter (its bytes) lets through."""
+    at = id_cells(ids, (8 * len(bits)).bit_length() - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def planes(a: np.ndarray, width: int) -> bytes:

@@ -5,7 +5,7 @@ Each partition builds a counting quotient filter of its normalised texts: a
 remainder kept in sorted order within the run, with a count.  Filters of equal
 geometry merge losslessly, remainder by remainder, range of quotients by range.
 Fingerprints with a count above one route their rows to byte verification,
-by way of a bitmap of fixed size: those texts are grouped by their bytes.
+by way of a bitmap of bounded size: those texts are grouped by their bytes.
 
 Cases: a null text is the empty text; a null doc_id never wins over another
 and its row stays only if its whole group has none; a repeated row (same id and
@@ -16,7 +16,6 @@ empty result.  Columns beyond doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -100,35 +99,25 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
 
-#: The routing bitmap has 2**ROUTE_BITS bits, whatever the input: 8 MB.
-ROUTE_BITS = 26
-
-
-def repeated_map(signed: DataFrame, buckets: int) -> bytes:
-    """A bit for each leading ROUTE_BITS of a fingerprint whose merged count is above one."""
-    buckets = 1 << (buckets - 1).bit_length()
-    width = (1 << ROUTE_BITS) // buckets // 8
+def repeated_map(signed: DataFrame, buckets: int, bits: int) -> bytes:
+    """A bit for each leading `bits` of a fingerprint whose merged count is above one."""
 
     def build(batches):
         fps = [b.column(0).to_numpy() for b in batches]
         if not fps:
             return
         fps = np.sort(np.concatenate(fps).view(np.uint64))
-        cuts = C.split_points(fps, buckets)
-        rows = [(i, 0, QuotientFilter(fps[cuts[i] : cuts[i + 1]]).to_bytes()) for i in range(buckets) if cuts[i] < cuts[i + 1]]
+        cuts = C.split_points(fps, buckets).tolist()
+        rows = [(i, 0, QuotientFilter(fps[a:b]).to_bytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         yield from C.blob_batches(rows)
 
     def merge(t: pa.Table) -> pa.Table:
         f = QuotientFilter.merge([QuotientFilter.from_bytes(x) for x in t.column("blob").to_pylist()])
-        bucket = t.column("bucket")[0].as_py()
-        bits = np.zeros(width * 8, np.uint8)
-        bits[(f.fingerprints()[f.counts > 1] >> np.uint64(64 - ROUTE_BITS)).astype(np.int64) - bucket * width * 8] = 1
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+        cells = np.unique((f.fingerprints()[f.counts > 1] >> np.uint64(64 - bits)).astype(np.int64))
+        return pa.Table.from_batches(C.cell_blobs(cells, bits), C.BLOB_ARROW)
 
-    out = bytearray((1 << ROUTE_BITS) // 8)
-    for r in signed.select("fp").mapInArrow(build, C.BLOB).groupBy("bucket").applyInArrow(merge, "bucket int, bits binary").toLocalIterator():
-        out[r.bucket * width : (r.bucket + 1) * width] = zlib.decompress(r.bits)
-    return bytes(out)
+    merged = signed.select("fp").mapInArrow(build, C.BLOB).groupBy("bucket").applyInArrow(merge, C.BLOB)
+    return C.bitmap(merged, bits)
 
 
 def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -136,8 +125,9 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
     signed = scratch.keep(signatures(docs))
-    # what is broadcast has a fixed size; a row it routes in vain ends as a group of one
-    routes = spark.sparkContext.broadcast(repeated_map(signed, buckets or C.n_buckets(signed)))
+    # what is broadcast has a bounded size; a row it routes in vain ends as a group of one
+    route_bits = C.filter_bits(signed.count())
+    routes = spark.sparkContext.broadcast(repeated_map(signed, buckets or C.n_buckets(signed), route_bits))
 
     def route(batches):
         bits = np.frombuffer(routes.value, np.uint8)
@@ -147,7 +137,7 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             for a, b, data, off in C.text_slices(batch.column(1)):
                 low = C.LOWER[data].tobytes()
                 for k, i, j in zip(doc[a:b], off[:-1].tolist(), off[1:].tolist()):
-                    at = fingerprint(low[i:j]) >> (64 - ROUTE_BITS)
+                    at = fingerprint(low[i:j]) >> (64 - route_bits)
                     if bits[at >> 3] >> (7 - (at & 7)) & 1:
                         ids.append(k)
                         norm.append(low[i:j])
@@ -157,7 +147,7 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     routed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(route, "doc_id long, norm binary")
     groups = routed.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = scratch.keep(groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"))
-    out = signed.join(groups, signed.text_sha256 == groups.sha, "left")
+    out = signed.join(groups.hint("merge"), signed.text_sha256 == groups.sha, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

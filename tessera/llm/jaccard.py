@@ -84,10 +84,11 @@ class Shingles:
         w = self.hash.spans(self.hash.prefix(C.LOWER[data]), start, end)
         cut = np.searchsorted(doc, np.arange(n + 1))
         mul = np.uint64(0xD1342543DE82EF95)
-        s = np.zeros(max(0, len(w) - k + 1), np.uint64)
+        m = max(0, len(w) - k + 1)  # none where the whole slice is shorter than a shingle
+        s = np.zeros(m, np.uint64)
         for i in range(k):
             s *= mul
-            s += w[i : len(w) - k + 1 + i]
+            s += w[i : i + m]
         C.mix(s)
         out = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -306,7 +307,7 @@ def short_lists(posts: DataFrame, buckets: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, bitmap: bytes, words: int) -> DataFrame:
     """doc, set: sorted hashes of the documents that the id filter lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         shingles, bits = Shingles(words), np.frombuffer(shared.value, np.uint8)
@@ -357,12 +358,11 @@ def may_link(x: str, y: str):
 def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
-    scratch = C.Scratch(spark, few=True)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = all_docs.where("doc_id IS NOT NULL")
     buckets = buckets or C.n_buckets(docs)
+    scratch = C.Scratch(spark, C.tasks_for(buckets))
     counted = scratch.keep(first_pass(post(named, buckets, words, False)))
-    C.tidy(spark)
     signed = counted.where(f"kind = {SIGNED}")
 
     # equal sets are one set
@@ -377,10 +377,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, buckets: int | None = None
     near = scratch.keep(near.select("doc").join(copies.hint("merge"), "doc", "left_anti"))
 
     # whole sets of those alone: lists to merge
-    some = spark.sparkContext.broadcast(C.id_filter(near))  # 8 MB
+    n_near = near.count()
+    some = spark.sparkContext.broadcast(C.id_filter(near, n_near))
     short = scratch.keep(short_lists(post(named, buckets, words, True, some), buckets))
-    C.tidy(spark)
-    sets = scratch.keep(shingle_sets(named, C.id_filter(short.select("doc")), words).join(short.select("doc").distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
+    sets = scratch.keep(shingle_sets(named, C.id_filter(short.select("doc"), n_near), words).join(short.select("doc").distinct().hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
 
     # a round checks each document against leaders of its lists that are not of its component yet
     members, found = short.withColumn("root", F.col("doc")), None

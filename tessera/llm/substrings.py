@@ -254,7 +254,7 @@ def by_document(blobs: DataFrame, kind: int) -> DataFrame:
 
 def picked(docs: DataFrame, bitmap: bytes, inside: bool, then=None, schema: str = "doc_id long, text string") -> DataFrame:
     """The rows that the id filter lets through, or the others; `then` maps them in the same worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -357,22 +357,18 @@ def kept_parts(text: bytes, cuts: bytes | None, length: int) -> tuple[list[bytes
 def removed_runs(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """doc_id, cuts: the removed windows of each document that loses any, as [first, last] pairs."""
     spark = docs.sparkSession
-    scratch = C.Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
     buckets = buckets or C.n_buckets(docs)
+    scratch = C.Scratch(spark, C.tasks_for(buckets))
 
-    blobs = scratch.keep(first_round(named, buckets, length), few=True)
-    C.tidy(spark)
-    contested = scratch.keep(by_document(blobs, CONTESTED), few=True)
+    blobs = scratch.keep(first_round(named, buckets, length))
+    contested = scratch.keep(by_document(blobs, CONTESTED))
     texts = picked(named, C.id_filter(contested.select("doc")), True)
     texts = texts.join(contested.hint("merge"), texts.doc_id == contested.doc).select("doc_id", "text", "cuts")
-    more = scratch.keep(second_round(texts, buckets, length), few=True)
-    del texts
-    C.tidy(spark)
-    cuts = scratch.keep(by_document(blobs.unionByName(more), SPAN), few=True)
+    more = scratch.keep(second_round(texts, buckets, length))
+    cuts = scratch.keep(by_document(blobs.unionByName(more), SPAN))
     scratch.drop(blobs, more, contested)
-    C.tidy(spark)
     return cuts.select(F.col("doc").alias("doc_id"), "cuts")
 
 
