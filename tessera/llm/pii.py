@@ -4,13 +4,22 @@ The patterns find base spans (email, ip, card, phone) in whole texts.  The field
 labels the tokens that hold a digit, ``@`` or ``+`` (any other token can't be
 personal data here and is outside).  Potentials: hashed features of a token and
 its neighbours; a chain edge between tokens that follow each other; a skip edge
-from a token to the one before it with the same letters and digits, so copies
-far apart get the same label.  Weights are learned by pseudo-likelihood from a
-bounded sample, whose labels are the base spans; loopy sum-product messages
-label every document.  Tokens labelled with confidence and outside all base
-spans become further spans.  Skip edges join neighbouring occurrences only, so
+from a token to the one before it with the same letters and digits, the same
+last seven digits or the same local part of an address.  Tokens in base spans
+are observed; loopy sum-product messages carry their labels along the edges, so a
+mention that no pattern fits (a number without its country code, say) gets the label
+of its full form, however far away, and one that nothing else in the document
+supports gets none.  Tokens labelled with confidence and outside all base spans
+become further spans.  Skip edges join neighbouring occurrences only, so
 the graph grows with the text, not with the square of a token's count.
 
+Weights are learned by pseudo-likelihood from a bounded sample, whose labels are
+the base spans.  Patterns explain those labels by the token alone, so the sample
+is given, for each token of a span, mentions of it that no pattern fits, joined
+to it and labelled alike, and two strangers of the same form, joined to each other
+and outside: what tells them apart is the skip edge.  Tokens outside that share
+their letters and digits with a span are left out.
+
 Cases: a null or empty text has no spans; a repeated row is searched again; a
 text of one very long word is searched in linear time; no rows give an empty
 result; without any base span in the sample the field adds nothing.  Columns
@@ -33,9 +42,11 @@ from . import common as C
 KINDS = ("email", "ip", "card", "phone")
 #: At most this many documents are learned from: those whose hashed id is lowest.
 SAMPLE_ROWS = 400
-BITS, EPOCHS, RATE = 12, 6, 0.3
+BITS, STEPS, RATE, DECAY = 12, 300, 0.6, 0.01
 ROUNDS = 10
-CONFIDENT = 0.9
+CONFIDENT = 0.75
+#: Weight of an observed label.
+OBSERVED = 12.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,13 +109,43 @@ def _joined(spans: list[list[tuple[int, int]]]) -> str:
 _TRIM = "\"'`.,;:!?*#&%$()[]{}<>|"
 
 
+_DIGITS, _PLAIN = re.compile("[^0-9]+"), re.compile(r"[\W_]+")
+
+
+def features(bare: str, before: str, after: str) -> list[int]:
+    digits = _DIGITS.sub("", bare)
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[^\x00-\x7f]|[a-z]", "a", re.sub("[A-Z]", "A", bare))))
+    names = (
+        "bias", f"shape {shape}", f"length {min(len(bare), 24)}", f"digits {min(len(digits), 20)}", f"at {'@' in bare}", f"dots {min(bare.count('.'), 4)}",
+        f"plus {bare[0] == '+'}", f"luhn {13 <= len(digits) <= 19 and luhn(digits)}", f"before {before.lower()}", f"after {after.lower()}",
+    )
+    return [zlib.crc32(n.encode("utf-8", "replace")) & ((1 << BITS) - 1) for n in names]
+
+
+def keys(bare: str) -> list[str]:
+    """What another token must have to be joined to this one; short ones join nothing."""
+    low = bare.lower()
+    local, at, _ = low.partition("@")
+    out = [_PLAIN.sub("", low), _PLAIN.sub("", local) if at else ""]
+    digits = _DIGITS.sub("", bare)
+    if len(digits) >= 7 and not any(c.isalpha() for c in bare):
+        out.append(digits[-7:])
+    return [k for k in dict.fromkeys(out) if len(k) >= 4]
+
+
+def bare_form(token: str) -> str:
+    """A token as a mention in passing has it: an address without its domain, a number's digits alone."""
+    local, at, _ = token.partition("@")
+    return local if at and local else _DIGITS.sub("", token) or token
+
+
 class Graph:
     """Candidate tokens of many texts: features, edges, and where each stands."""
 
     def __init__(self):
         self.features, self.text, self.span = [], [], []
         self.word: list[int] = []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.bare, self.near = [], [], [], []
         self._last: dict[str, int] = {}
 
     def new_text(self) -> None:
@@ -115,24 +156,39 @@ class Graph:
         if not bare:
             return
         lead = token.index(bare)
-        digits = sum("0" <= c <= "9" for c in bare)
-        shape = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[^\x00-\x7f]|[a-z]", "a", re.sub("[A-Z]", "A", bare[:64]))))
-        names = (
-            "bias", f"shape {shape}", f"length {min(len(bare), 24)}", f"digits {min(digits, 20)}", f"at {'@' in bare}", f"dots {min(bare.count('.'), 4)}",
-            f"plus {bare[0] == '+'}", f"luhn {digits >= 13 and luhn(''.join(c for c in bare if '0' <= c <= '9')[-19:])}", f"before {before[:24].lower()}", f"after {after[:24].lower()}",
-        )
         i = len(self.features)
-        self.features.append([zlib.crc32(n.encode("utf-8", "replace")) & ((1 << BITS) - 1) for n in names])
+        self.features.append(features(bare, before, after))
+        self.bare.append(bare)
+        self.near.append((before, after))
         self.text.append(text_no)
         self.span.append((start + lead, start + lead + len(bare)))
         self.word.append(word_no)
         if i and self.text[i - 1] == text_no and self.word[i - 1] == word_no - 1:
             self.chain.append((i - 1, i))
-        key = "".join(c for c in bare.lower() if c.isalnum())
-        if len(key) >= 4:
-            if key in self._last:
-                self.skip.append((self._last[key], i))
-            self._last[key] = i
+        own = keys(bare)
+        self.skip += [(j, i) for j in dict.fromkeys(self._last[k] for k in own if k in self._last)]
+        self._last.update(dict.fromkeys(own, i))
+
+    def to_learn(self, y: np.ndarray) -> tuple[list[list[int]], np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
+        """Features, labels, chain and skip edges to learn from, given the patterns' labels.
+
+        A token outside all spans that a skip edge joins to one inside is neither
+        an example nor a neighbour: the patterns can't tell.  Every labelled token
+        has a bare mention and two strangers like it added, in the surroundings of other tokens.
+        """
+        y = y.copy()
+        doubt = [i if y[j] else j for i, j in self.skip if (y[i] > 0) != (y[j] > 0)]
+        y[doubt] = -1
+        x, labels = list(self.features), y.tolist()
+        chain, skip = ([(i, j) for i, j in edges if y[i] >= 0 and y[j] >= 0] for edges in (self.chain, self.skip))
+        for i in np.flatnonzero(y > 0).tolist():
+            for form in dict.fromkeys((self.bare[i], bare_form(self.bare[i]))):
+                if keys(form) and not any(base_spans(form)):
+                    n = len(x)
+                    x += [features(form, *self.near[(i + k) % len(self.near)]) for k in (1, 1, 2)]
+                    labels += [labels[i], 0, 0]
+                    skip += [(i, n), (n + 1, n + 2)]
+        return x, np.array(labels, np.int64), chain, skip
 
 
 _FLAG = np.zeros(256, bool)
@@ -187,39 +243,48 @@ class Field:
 
     def __init__(self, blob: bytes | None = None):
         k = self.LABELS
-        size = [(1 << BITS) * k, k * k, k * k]
-        flat = np.zeros(sum(size)) if blob is None else np.frombuffer(blob, "<f8").copy()
-        self.token = flat[: size[0]].reshape(-1, k)
-        self.chain = flat[size[0] : size[0] + size[1]].reshape(k, k)
-        self.skip = flat[size[0] + size[1] :].reshape(k, k)
-        self.flat = flat
+        self.flat = np.zeros(((1 << BITS) + 2 * k) * k) if blob is None else np.frombuffer(blob, "<f8").copy()
+        self.token, self.chain, self.skip = self._views(self.flat)
+
+    def _views(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.LABELS
+        return flat[: -2 * k * k].reshape(-1, k), flat[-2 * k * k : -k * k].reshape(k, k), flat[-k * k :].reshape(k, k)
 
     def learn(self, graphs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Ascend the pseudo-likelihood: each token given its neighbours' labels."""
-        for epoch in range(EPOCHS):
-            rate = RATE / (1 + epoch)
-            for x, y, chain, skip in graphs:
-                k = self.LABELS
-                u = self.token[x].sum(1)
-                for edges, w in ((chain, self.chain), (skip, self.skip)):
-                    if len(edges):
-                        np.add.at(u, edges[:, 1], w[y[edges[:, 0]]])
-                        np.add.at(u, edges[:, 0], w.T[y[edges[:, 1]]])
-                p = np.exp(u - u.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                g = np.eye(k)[y] - p
-                for f in range(x.shape[1]):
-                    np.add.at(self.token, x[:, f], rate * g)
-                for edges, w in ((chain, self.chain), (skip, self.skip)):
-                    if len(edges):
-                        step = np.zeros((k, k))
-                        np.add.at(step, y[edges[:, 0]], g[edges[:, 1]])
-                        np.add.at(step.T, y[edges[:, 1]], g[edges[:, 0]])
-                        w += rate * step / np.sqrt(len(edges))
-
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy sum-product in logarithms, damped, a fixed number of rounds."""
+        """Ascend the pseudo-likelihood, each token given its neighbours' labels, all documents at once; labels below 0 are not known."""
+        if not graphs:
+            return
+        at = np.cumsum([0, *(len(y) for _, y, _, _ in graphs)])
+        x, y = (np.concatenate([g[i] for g in graphs]) for i in (0, 1))
+        chain, skip = (np.concatenate([g[i] + a for g, a in zip(graphs, at.tolist())]) for i in (2, 3))
+        k, known = self.LABELS, y >= 0
+        want, squares = np.eye(k)[np.maximum(y, 0)], np.full_like(self.flat, 1e-8)
+        step = np.empty_like(self.flat)
+        token, *joint = self._views(step)
+        for _ in range(STEPS):
+            u = self.token[x].sum(1)
+            for edges, w in ((chain, self.chain), (skip, self.skip)):
+                np.add.at(u, edges[:, 1], w[y[edges[:, 0]]])
+                np.add.at(u, edges[:, 0], w.T[y[edges[:, 1]]])
+            p = np.exp(u - u.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = np.where(known[:, None], want - p, 0)
+            for label in range(k):
+                token[:, label] = np.bincount(x.ravel(), np.repeat(g[:, label], x.shape[1]), len(token))
+            for edges, w in ((chain, joint[0]), (skip, joint[1])):
+                w[:] = 0
+                np.add.at(w, y[edges[:, 0]], g[edges[:, 1]])
+                np.add.at(w.T, y[edges[:, 1]], g[edges[:, 0]])
+            step -= DECAY * self.flat
+            squares += step * step
+            self.flat += RATE * step / np.sqrt(squares)
+
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, observed: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product in logarithms, damped, a fixed number of rounds; observed: labels above 0 are known."""
         k, unary = self.LABELS, self.token[x].sum(1)
+        if observed is not None:
+            known = np.flatnonzero(observed)
+            unary[known, observed[known]] += OBSERVED
         edges = np.concatenate([chain, skip]).astype(np.int64)
         belief = unary
         if len(edges):
@@ -261,8 +326,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
                     texts, g = candidates(data[off[d] : off[d + 1]], np.array([0, off[d + 1] - off[d]]))
                     if texts[0] is None or not g.features:
                         continue
-                    y = silver(g, {0: base_spans(texts[0])})
-                    out.append((ids[a + d], *(np.asarray(v, "<i4").tobytes() for v in (g.features, y, _edges(g.chain), _edges(g.skip)))))
+                    x, y, chain, skip = g.to_learn(silver(g, {0: base_spans(texts[0])}))
+                    out.append((ids[a + d], *(np.asarray(v, "<i4").tobytes() for v in (x, y, _edges(chain), _edges(skip)))))
             yield pa.RecordBatch.from_pydict({k: [r[i] for r in out] for i, k in enumerate(("doc_id", "x", "y", "c", "s"))}, pa.schema([("doc_id", pa.int64())] + [(k, pa.binary()) for k in "xycs"]))
 
     def fit(t: pa.Table) -> pa.Table:
@@ -298,9 +363,9 @@ def find(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
                 base = {d: ([len(s) for s in found], _joined(found)) for d, found in spans.items()}
                 added = dict.fromkeys(spans, 0)
                 if g.features:
-                    p = field.marginals(np.array(g.features), _edges(g.chain), _edges(g.skip))
-                    label, sure = p.argmax(1), p.max(1) >= CONFIDENT
-                    free = silver(g, spans) == 0
+                    known = silver(g, spans)
+                    p = field.marginals(np.array(g.features), _edges(g.chain), _edges(g.skip), known)
+                    label, sure, free = p.argmax(1), p.max(1) >= CONFIDENT, known == 0
                     last = None
                     for i in np.flatnonzero(sure & free & (label > 0)).tolist():
                         t, kind, span = g.text[i], int(label[i]) - 1, g.span[i]
