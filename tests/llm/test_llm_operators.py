@@ -202,6 +202,43 @@ def test_field_links_copies():
     assert alone[1].max() == pytest.approx(0.2)
 
 
+def mentions(spark):
+    """Full forms that the patterns find, and bare mentions far away that only a skip edge can label."""
+    rng, rows, want = random.Random(2), [], {}
+    far = lambda: " ".join(rng.choice("abcdefghijkl") * rng.randint(1, 9) for _ in range(100)) + " "
+    for i in range(120):
+        phone, mail, other = f"555-{rng.randrange(1000, 9999)}", f"{rng.choice('abcdefgh')}user{rng.randrange(100, 999)}", rng.randrange(10**15, 10**16)
+        full = f"call +1 (743) {phone} or {mail}@mail.example.com today"
+        if i % 3 == 0:
+            t = f"{full} {far()}{phone} {far()}{mail} {far()}{other} {far()}{other}"
+            want[i] = {f"phone:{t.rindex(phone)}:{t.rindex(phone) + len(phone)}", f"email:{t.rindex(mail)}:{t.rindex(mail) + len(mail)}"}
+        elif i % 3 == 1:
+            t, want[i] = f"{far()}{phone} {far()}{mail} {other} {far()}{phone}", set()
+        else:
+            t, want[i] = f"{full} {far()}{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", set()
+        rows.append((i, t))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {}
+    for i, t in rows:
+        base = {f"{k}:{a}:{b}" for k, found in zip(pii.KINDS, plain_spans(t)) for a, b in found}
+        spans = set(filter(None, got[i].spans.split(",")))
+        assert base <= spans and len(spans - base) == got[i].n_added
+        added[i] = spans - base
+    return added, want
+
+
+def test_mentions_are_labelled_by_skip_edges(spark):
+    added, want = mentions(spark)
+    assert all(added[i] <= want[i] for i in want)
+    assert sum(map(len, added.values())) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_no_skip_edges_no_mentions(spark, monkeypatch):
+    monkeypatch.setattr(pii, "keys", lambda bare: [])
+    added, _ = mentions(spark)
+    assert not any(added.values())
+
+
 def test_marginals_exact_on_chain():
     rng = np.random.default_rng(4)
     field = pii.Field()
@@ -430,6 +467,33 @@ def test_jaccard_corpus(spark, sf_dir, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(texts)
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_jaccard_few_words(spark, parts):
+    """Slices of 0 to 5 words, alone and together."""
+    texts = ["", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c", "A B C D", "x y z"]
+    docs = dict(enumerate(texts))
+    got = jaccard.jaccard_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(parts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(docs)
+    one = jaccard.Shingles()
+    for n in range(7):
+        (got,) = one.of(*next((d, o) for _, _, d, o in common.text_slices(pa.array([" ".join("abcdefg"[:n]) + " "]))))
+        assert len(got) == (0 if n == 0 else max(1, n - 4))
+
+
+@pytest.mark.parametrize("word", ["a", "1", "@"])
+def test_one_word(spark, word):
+    """Every operator on text takes a table of one word."""
+    d = spark.createDataFrame([(1, word, "s")], "doc_id long, text string, source string")
+    assert substrings.without_repeats(d).first().n_bytes == 1
+    assert lm_score.lm_score(d, d).first().n_tokens == 1
+    assert pii.find(d).first().spans == ""
+    assert packing.pack(d).first().length == 2
+    assert 0 <= quality.quality(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).first().score <= 1
+    assert mixing.mix(d).first().taken <= 3
+    assert jaccard.jaccard_join(d).first().n_shingles == 1
+    assert exact_dedup.exact_dedup(d).first().kept
+
+
 def test_jaccard_odd(odd, empty):
     got = {r.doc_id: r for r in jaccard.jaccard_join(odd).collect()}
     assert {i: r.component_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 8, None: None}
@@ -463,10 +527,47 @@ def test_vectors(spark, block, monkeypatch):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+def linked_vectors():
+    """Groups of copies, chains and strangers: unit vectors, links and components by brute force."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(500, 24))
+    chain = [rng.normal(size=24)]
+    for _ in range(30):
+        chain.append(chain[-1] + rng.normal(size=24) * 0.25)
+    x = np.concatenate([base, base[:100] + rng.normal(size=(100, 24)) * 0.2, np.repeat(base[7:8], 300, 0), base[20:40] * 3.5, np.array(chain)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], len(x)).min(1))
+        if (new == root).all():
+            return x, near, root
+        root = new
+
+
+def test_vectors_against_brute_force(spark, monkeypatch):
+    x, near, root = linked_vectors()
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(vectors, "shape", lambda n, t: (3, 60))  # finds all links here
+    got = {r.vec_id: r for r in vectors.near_vectors(rows).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+
+
+def test_vectors_recall(spark):
+    """At the settings of the query: nine links in ten at least, none that is not there."""
+    x, near, _ = linked_vectors()
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_vectors(rows).collect()}
+    assert all(got[i].n_links <= near[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * near.sum()
+
+
 def test_vectors_odd(spark):
     x = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0, 2.0]), (5, [1.0, 2.1]), (None, [1.0, 2.0]), (7, [1.0]), (8, [1e200, 2e200]), (9, [None, 1.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()}
-    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (3, 4), 5: (3, 4), None: (0, None), 7: (0, 7), 8: (3, 4), 9: (0, 9)}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (3, 4), 5: (3, 4), None: (3, None), 7: (0, 7), 8: (3, 4), 9: (0, 9)}
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
