@@ -23,6 +23,8 @@ result.  Columns beyond the id and the text are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -241,7 +243,7 @@ def _postings(texts: DataFrame, known, words, ranges: tuple[int, int], target: b
                 valid = id_.is_valid().to_numpy(zero_copy_only=False)
                 w = np.concatenate(classes) if classes else np.empty(0, np.int64)
                 blob = np.int64(len(id_)).tobytes() + id_.fill_null(0).to_numpy().astype("<i8").tobytes() + valid.tobytes() + np.concatenate(sizes).astype("<i8").tobytes() + _narrow(w)
-                rows.append(((part + k) % buckets, _TOKENS, part + k, blob))
+                rows.append((zlib.crc32(np.int64(part + k).tobytes()) % buckets, _TOKENS, part + k, blob))
             held[:] = [[], [], [], [], 0]
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows[a : a + 64]] for i, c in enumerate(_SENT_ARROW.names)}, _SENT_ARROW)

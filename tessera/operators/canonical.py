@@ -47,7 +47,7 @@ def canonicalise(df: DataFrame, config: PairConfig = PairConfig(), carry=("row_i
 def dedup_pairs(df: DataFrame, keys=("phage", "host"), order=("study", "seq", "k3dist", "k6dist", "gcdiff", "homology")) -> DataFrame:
     """One row a pair: any positive label wins, the first row with it stays.
 
-    An aggregate, so repeats of a pair meet before the shuffle and nothing is sorted.
+    An aggregate, so repeats of a pair meet before the shuffle; its buffer holds strings, so Spark sorts by pair.
     """
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct((-F.col("label")).alias("_l"), *order)).alias("_x")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from . import metrics as M
+from .series import dense_index
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
@@ -22,10 +23,10 @@ def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
 def cluster_weights(df: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, cluster, w): how often each cluster is drawn, with as many draws as clusters.
 
-    Weights stand for repeated rows, so replicates never multiply the data.
+    Weights stand for repeated rows; what they weigh is summed by cluster first,
+    so replicates multiply clusters, never rows.
     """
-    c = df.select(cluster).distinct()
-    c = c.withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    c = dense_index(df, cluster).select(cluster, F.col("idx").cast("long").alias("_i"))
     n = c.agg(F.count("*").alias("_n"))  # one row
     slots = c.crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = slots.select("replicate", draw(seed, F.col("replicate"), F.col("_i"), F.col("_n")).alias("_i"))
@@ -42,48 +43,69 @@ def bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int, see
     return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(ends))
 
 
-def two_way_bootstrap(df: DataFrame, a: str, b: str, y: str, p: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, auroc, ap) with weight count_a x count_b; one-class replicates are left out."""
-    wa = cluster_weights(df, a, replicates, seed).withColumnRenamed("w", "_wa")
-    wb = cluster_weights(df, b, replicates, seed + 1).withColumnRenamed("w", "_wb")
-    rows = df.select(a, b, y, p).join(wa, a).join(wb, ["replicate", b]).withColumn("_w", F.col("_wa") * F.col("_wb"))
-    return M.ranking(rows, ("replicate",), y, p, "_w").where("auroc IS NOT NULL").select("replicate", "auroc", "ap")
+def two_way_bootstrap(df: DataFrame, a: str, b: str, y: str, p: str, replicates: int, seed: int, attempts: int = 20) -> DataFrame:
+    """(replicate, auroc, ap) with weight count_a x count_b of exactly so many replicates that have both classes.
+
+    Replicates of one class are drawn anew, at most `attempts` times as many in all; then fewer come back.
+    """
+    cells = df.groupBy(a, b, y, p).agg(F.count("*").alias("_n"))
+
+    def drawn(n: int) -> DataFrame:
+        wa = cluster_weights(df, a, n, seed).withColumnRenamed("w", "_wa")
+        wb = cluster_weights(df, b, n, seed + 1).withColumnRenamed("w", "_wb")
+        rows = cells.join(wa, a).join(wb, ["replicate", b]).withColumn("_w", F.col("_wa") * F.col("_wb") * F.col("_n"))
+        return M.ranking(rows, ("replicate",), y, p, "_w").where("auroc IS NOT NULL").select("replicate", "auroc", "ap")
+
+    n = replicates
+    out = drawn(n)
+    while (valid := out.count()) < replicates and n < attempts * replicates:
+        n = min(attempts * replicates, 2 * n if not valid else -(-n * replicates // valid) + 16)
+        out = drawn(n)
+    return out.orderBy("replicate").limit(replicates)
 
 
-def permutation_auroc(df: DataFrame, key: str, y: str, p: str, replicates: int, seed: int) -> DataFrame:
-    """AUROC, and p = (count of permuted at least as high + 1) / (n + 1)."""
-    ranked = M.midrank(df.select(key, y, p), p, name="_r")
-    n = df.agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("n"))
+def permutation_auroc(df: DataFrame, key: str, y: str, p: str, replicates: int, seed: int, by=()) -> DataFrame:
+    """AUROC, and p = (count of permuted at least as high + 1) / (n + 1), by group.
+
+    A relabelling is an order of all rows by digest, so this is rows times
+    replicates of work; each replicate's order is one sort in its own task.
+    """
+    by = list(by)
+    ranked = M.midrank(df.select(*by, key, y, p), p, by, name="_r")
+    n = df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("n"))
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256)
     rep = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(order, key))
-    rep = rep.withColumn("_k", place).crossJoin(F.broadcast(n))
+    rep = rep.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(order, key)))
+    rep = rep.join(F.broadcast(n), by) if by else rep.crossJoin(F.broadcast(n))
     area = (F.sum(F.when(F.col("_k") <= F.col("m"), F.col("_r"))) - F.max(F.col("m") * (F.col("m") + 1) / 2)) / F.max(F.col("m") * F.col("n"))
-    perm = rep.groupBy("replicate").agg(area.alias("perm"))
-    own = M.ranking(df, (), y, p).select("auroc")
+    perm = rep.groupBy(*by, "replicate").agg(area.alias("perm"))
+    own = M.ranking(df, by, y, p).select(*by, "auroc")
+    both = perm.join(own, by) if by else perm.crossJoin(F.broadcast(own))
     # equal areas differ in the last digits by the order of their sums
-    return perm.crossJoin(F.broadcast(own)).groupBy("auroc").agg(((F.count_if(F.round("perm", 9) >= F.round("auroc", 9)) + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def delong(df: DataFrame, key: str, y: str, p: str, q: str) -> DataFrame:
-    """Both areas, their difference, its variance, z and p, from placement values."""
-    long = df.select(key, y, F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col(p).alias("x")), F.struct(F.lit(2).alias("k"), F.col(q).alias("x")))).alias("s")).select(key, y, "s.k", "s.x")
-    r = M.midrank(long, "x", ("k",), "_all")
-    r = M.midrank(r, "x", ("k", y), "_own")
-    n = df.agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("n"))
-    v = r.crossJoin(F.broadcast(n)).withColumn("v", F.when(F.col(y) == 1, (F.col("_all") - F.col("_own")) / F.col("n")).otherwise(1 - (F.col("_all") - F.col("_own")) / F.col("m")))
-    wide = v.groupBy(key, y, "m", "n").agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("v1"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("v2"))
-    g = wide.groupBy(y, "m", "n").agg(F.avg("v1").alias("a1"), F.avg("v2").alias("a2"), F.var_samp("v1").alias("s1"), F.var_samp("v2").alias("s2"), F.covar_samp("v1", "v2").alias("c"))
+    return both.groupBy(*by, "auroc").agg(((F.count_if(F.round("perm", 9) >= F.round("auroc", 9)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def delong(df: DataFrame, key: str, y: str, p: str, q: str, by=()) -> DataFrame:
+    """Both areas, their difference, its variance, z and p, from placement values, by group."""
+    by = list(by)
+    long = df.select(*by, key, y, F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col(p).alias("x")), F.struct(F.lit(2).alias("k"), F.col(q).alias("x")))).alias("s")).select(*by, key, y, "s.k", "s.x")
+    r = M.midrank(long, "x", (*by, "k"), "_all")
+    r = M.midrank(r, "x", (*by, "k", y), "_own")
+    n = F.broadcast(df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("n")))  # a row a group
+    r = r.join(n, by) if by else r.crossJoin(n)
+    v = r.withColumn("v", F.when(F.col(y) == 1, (F.col("_all") - F.col("_own")) / F.col("n")).otherwise(1 - (F.col("_all") - F.col("_own")) / F.col("m")))
+    wide = v.groupBy(*by, key, y, "m", "n").agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("v1"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("v2"))
+    g = wide.groupBy(*by, y, "m", "n").agg(F.avg("v1").alias("a1"), F.avg("v2").alias("a2"), F.var_samp("v1").alias("s1"), F.var_samp("v2").alias("s2"), F.covar_samp("v1", "v2").alias("c"))
     size = F.when(F.col(y) == 1, F.col("m")).otherwise(F.col("n"))
-    out = g.agg(F.max(F.when(F.col(y) == 1, F.col("a1"))).alias("auc1"), F.max(F.when(F.col(y) == 1, F.col("a2"))).alias("auc2"), F.sum((F.col("s1") + F.col("s2") - 2 * F.col("c")) / size).alias("var"))
+    out = g.groupBy(*by).agg(F.max(F.when(F.col(y) == 1, F.col("a1"))).alias("auc1"), F.max(F.when(F.col(y) == 1, F.col("a2"))).alias("auc2"), F.sum((F.col("s1") + F.col("s2") - 2 * F.col("c")) / size).alias("var"))
     z = F.when(F.col("var") > 0, (F.col("auc1") - F.col("auc2")) / F.sqrt("var"))
     return out.withColumns({"z": z}).withColumn("p", tails.two_sided_normal("z"))
 
 
-def mcnemar(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
-    """Discordant counts of two decisions; exact below 25, else with continuity correction."""
+def mcnemar(df: DataFrame, y: str, a: str, b: str, by=()) -> DataFrame:
+    """Discordant counts of two decisions, by group; exact below 25, else with continuity correction."""
     ca, cb = F.col(a) == F.col(y), F.col(b) == F.col(y)
-    t = df.agg(F.count_if(ca & ~cb).alias("b"), F.count_if(~ca & cb).alias("c"))
+    t = df.groupBy(*by).agg(F.count_if(ca & ~cb).alias("b"), F.count_if(~ca & cb).alias("c"))
     n = F.col("b") + F.col("c")
     stat = F.when(n < 25, F.least("b", "c").cast("double")).otherwise(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)), 2) / n)
     t = t.withColumn("stat", stat)
@@ -93,7 +115,10 @@ def mcnemar(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
 def paired_bootstrap(df: DataFrame, cluster: str, y: str, p: str, q: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, diff): difference of the two areas under resampled clusters; one-class replicates are left out."""
     w = cluster_weights(df, cluster, replicates, seed)
-    rows = df.select(cluster, y, p, q).join(w, cluster)
-    a = M.ranking(rows, ("replicate",), y, p, "w").select("replicate", F.col("auroc").alias("a1"))
-    b = M.ranking(rows, ("replicate",), y, q, "w").select("replicate", F.col("auroc").alias("a2"))
-    return a.join(b, "replicate").where("a1 IS NOT NULL AND a2 IS NOT NULL").select("replicate", (F.col("a1") - F.col("a2")).alias("diff"))
+
+    def areas(score: str, name: str) -> DataFrame:
+        cells = df.groupBy(cluster, y, score).agg(F.count("*").alias("_n"))
+        rows = cells.join(w, cluster).withColumn("_w", F.col("w") * F.col("_n"))
+        return M.ranking(rows, ("replicate",), y, score, "_w").select("replicate", F.col("auroc").alias(name))
+
+    return areas(p, "a1").join(areas(q, "a2"), "replicate").where("a1 IS NOT NULL AND a2 IS NOT NULL").select("replicate", (F.col("a1") - F.col("a2")).alias("diff"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def left_with_default(pairs: DataFrame, features: DataFrame, on, value: float = 0.0) -> DataFrame:
@@ -49,6 +54,59 @@ def range_shift(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
     return test.crossJoin(F.broadcast(ends)).agg(F.count("*").alias("n"), n.alias("n_outside"), F.round(n / F.count("*"), 6).alias("share"))
 
 
+def query_distances(queries: DataFrame, rows: DataFrame, key: str, vector: str, nearest: int | None = None, most: float | None = None, block: int = 2048, slice_rows: int = 20_000) -> DataFrame:
+    """(q, t, d): cosine distances of a stated query set to all rows, itself left out, six digits.
+
+    nearest: the k nearest of each query alone; most: distances up to this one.
+    Blocks of queries meet slices of rows, one matrix product a pair of them;
+    what a product keeps is bounded by nearest, or is what is asked for.  Rows
+    without a vector, of another size than most, or of length zero are left out.
+    """
+    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    t = rows.select(F.col(key).alias("t"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n_q, n_t = max(1, -(-q.count() // block)), max(1, -(-t.count() // slice_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda k, n: F.pmod(F.xxhash64(k), F.lit(n)).cast("int")
+    q = q.withColumn("b", place("q", n_q)).withColumn("s", every(n_t))
+    t = t.withColumn("s", place("t", n_t)).withColumn("b", every(n_q))
+
+    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        size = np.asarray(pc.list_value_length(table["v"]))
+        dim = int(np.bincount(size).argmax()) if len(size) else 0
+        table = table.filter(pa.array(size == dim))
+        x = pc.list_flatten(table["v"]).to_numpy().reshape(table.num_rows, dim) if table.num_rows else np.empty((0, dim))
+        long = np.sqrt((x * x).sum(1))
+        ok = np.isfinite(long) & (long > 0)
+        return table.column(0).to_numpy()[ok], x[ok] / long[ok, None]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, x), (b, y) = unit(left), unit(right)
+        out: list[list] = [[], [], []]
+        if len(a) and len(b) and x.shape[1] == y.shape[1]:
+            order = np.argsort(b, kind="stable")  # ties go by key
+            b, y = b[order], y[order]
+            for i in range(0, len(a), 256):
+                d = np.round(1 - x[i : i + 256] @ y.T, 6)
+                d[a[i : i + 256, None] == b[None, :]] = np.inf
+                if nearest is not None and nearest < len(b):
+                    keep = np.argsort(d, axis=1, kind="stable")[:, :nearest]
+                else:
+                    keep = np.broadcast_to(np.arange(len(b)), d.shape)
+                got = np.take_along_axis(d, keep, 1)
+                r, c = np.nonzero(np.isfinite(got) & (got <= (np.inf if most is None else most)))
+                for column, values in zip(out, (a[i + r], b[keep[r, c]], got[r, c])):
+                    column.append(values)
+        return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0), f) for k, v, f in zip("qtd", out, types)})
+
+    schema = T.StructType([T.StructField("q", q.schema["q"].dataType), T.StructField("t", t.schema["t"].dataType), T.StructField("d", T.DoubleType())])
+    types = [to_arrow_type(f.dataType) for f in schema]
+    out = q.groupBy("b", "s").cogroup(t.groupBy("b", "s")).applyInArrow(meet, schema)
+    if nearest is None:
+        return out
+    w = Window.partitionBy("q").orderBy("d", "t")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= nearest).drop("_r")
+
+
 def knn(queries: DataFrame, train: DataFrame, distances: DataFrame, k: int, prior: float, q="q", t="t", floor: float = 1e-6) -> DataFrame:
     """Weighted vote of the k nearest observed training rows; the prior where none has a distance.
 

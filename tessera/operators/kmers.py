@@ -1,12 +1,107 @@
-"""Sequence kernels as exploded rows: k-mers, spectra, containment, translation."""
+"""Sequence kernels: windows as integer codes, spectra, containment, translation.
+
+Windows are found by NumPy over Arrow batches: a window is a base-4 number (A0 C1
+G2 T3, at most 31 letters), so what is shuffled and joined is a long, and what
+a sequence can reduce by itself (spectra, distinct sets, sketches) is reduced
+before any shuffle.  A row is a sequence: its kernel never looks at another.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import interval_coverage, longest_run
 
+#: Bases whose windows are held at a time, whatever a batch has.
+SLICE_BASES = 1_000_000
+_LETTERS = b"ACGT"
+_BASE = np.full(256, 4, np.uint8)
+_BASE[list(_LETTERS)] = range(4)
+
+
+def slices(column: pa.Array, limit: int = SLICE_BASES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of a text column; null is empty; a slice has whole texts."""
+    column = column.cast(pa.large_string()).fill_null("")
+    n = len(column)
+    bufs = column.buffers()
+    off = np.frombuffer(bufs[1], np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.empty(0, np.uint8)
+    a = 0
+    while a < n:
+        b = min(max(int(np.searchsorted(off, off[a] + limit, side="right")) - 1, a + 1), n)
+        yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+        a = b
+
+
+def window_codes(data: np.ndarray, off: np.ndarray, k: int, reverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, position and code of every window of ACGT alone; reverse: the code of its reverse complement."""
+    n = len(data) - k + 1
+    none = np.empty(0, np.int64)
+    if n <= 0:
+        return none, none, none
+    base = _BASE[data]
+    bad = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(base > 3, out=bad[1:])
+    text = np.searchsorted(off, np.arange(n), side="right") - 1
+    at = np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(n) + k <= off[text + 1]))
+    code = np.zeros(len(at), np.int64)
+    for j in range(k):
+        code <<= 2
+        code |= (3 - base[at + k - 1 - j]) if reverse else base[at + j]
+    return text[at], at - off[text[at]], code
+
+
+def _mapped(df: DataFrame, seq: str, keep, fields: list[tuple[str, T.DataType]], kernel: Callable) -> DataFrame:
+    """Rows (keep, fields) where kernel(data, offsets) gives the text number of each row, and its fields."""
+    n = len(keep)
+    schema = T.StructType([df.select(*keep).schema[c] for c in keep] + [T.StructField(c, t) for c, t in fields])
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, off in slices(batch.column(n)):
+                text, *columns = kernel(data, off)
+                kept = [batch.column(i).slice(a, b - a).take(pa.array(text)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, columns)], names=schema.names)
+
+    return df.select(*keep, seq).mapInArrow(run, schema)
+
+
+def kmer_codes(df: DataFrame, seq: str, k: int, keep=("id",), strands: str = "forward", distinct: bool = False) -> DataFrame:
+    """(keep, pos, code) of every window; with distinct (keep, code, n): a sequence's own windows, counted.
+
+    strands: 'forward'; 'both', a row a strand; 'canonical', the lesser of the two.
+    """
+
+    def kernel(data, off):
+        text, pos, code = window_codes(data, off, k)
+        if strands != "forward":
+            back = window_codes(data, off, k, True)[2]
+            if strands == "canonical":
+                code = np.minimum(code, back)
+            else:
+                text, pos, code = np.concatenate([text, text]), np.concatenate([pos, pos]), np.concatenate([code, back])
+        if not distinct:
+            return text, pos, code
+        order = np.lexsort((code, text))
+        text, code = text[order], code[order]
+        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.empty(0, np.int64)
+        return text[first], code[first], np.diff(np.r_[first, len(code)])
+
+    names = ("code", "n") if distinct else ("pos", "code")
+    return _mapped(df, seq, keep, [(c, T.LongType()) for c in names], kernel)
+
+
+def letters(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    digit = lambda i: F.substring(F.lit(_LETTERS.decode()), F.shiftright(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    return F.concat(*map(digit, range(k)))
+
 
 def clean_sequence(raw: Column, min_length: int = 200) -> Column:
     """Upper case, U as T, letters beyond ACGTN dropped; null below the least length."""
@@ -24,27 +119,62 @@ def reverse_complement(s: Column) -> Column:
 
 
 def kmers(df: DataFrame, seq: str, k: int, keep=("id",)) -> DataFrame:
-    """(keep, pos, kmer) of every window of ACGT alone; positions from 0.
-
-    Windows are cut from the bytes: a substring of text would be counted off
-    from the start each time.
-    """
-    n = F.length(seq)
-    at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    rows = df.select(*keep, seq, F.explode(at).alias("_at"))
-    return rows.select(*keep, (F.col("_at") - 1).alias("pos"), F.substring(F.col(seq).cast("binary"), F.col("_at"), F.lit(k)).cast("string").alias("kmer")).where(~F.col("kmer").contains("N"))
-
-
-def canonical(kmer: Column) -> Column:
-    return F.least(kmer, reverse_complement(kmer))
+    """(keep, pos, kmer) of every window of ACGT alone; positions from 0."""
+    return kmer_codes(df, seq, k, keep).select(*keep, "pos", letters(F.col("code"), k).alias("kmer"))
 
 
 def spectrum(df: DataFrame, seq: str, k: int, keep=("id",), both_strands: bool = True) -> DataFrame:
-    """(keep, kmer, n, freq): counts of k-mer classes and their shares."""
-    m = kmers(df, seq, k, keep)
-    m = m.withColumn("kmer", canonical(F.col("kmer"))) if both_strands else m
-    n = m.groupBy(*keep, "kmer").agg(F.count("*").alias("n"))
-    return n.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(*keep)))
+    """(keep, kmer, n, freq): counts of each sequence's k-mer classes and their shares; nothing is shuffled."""
+
+    def kernel(data, off):
+        text, _, code = window_codes(data, off, k)
+        if both_strands:
+            code = np.minimum(code, window_codes(data, off, k, True)[2])
+        cell, n = np.unique(text << 2 * k | code, return_counts=True)
+        text = cell >> 2 * k
+        total = np.bincount(text, n, len(off))
+        return text, cell & ((1 << 2 * k) - 1), n, n / total[text]
+
+    rows = _mapped(df, seq, keep, [("code", T.LongType()), ("n", T.LongType()), ("freq", T.DoubleType())], kernel)
+    return rows.select(*keep, letters(F.col("code"), k).alias("kmer"), "n", "freq")
+
+
+def classes(k: int, both_strands: bool = True) -> np.ndarray:
+    """Codes of the k-mer classes, in order."""
+    code = np.arange(4**k)
+    back, rest = np.zeros(4**k, np.int64), code.copy()
+    for _ in range(k):
+        back = back << 2 | (3 - (rest & 3))
+        rest >>= 2
+    return np.unique(np.minimum(code, back)) if both_strands else code
+
+
+def frequencies(df: DataFrame, seq: str, k: int, keep=("id",), both_strands: bool = True, name: str = "v") -> DataFrame:
+    """(keep, v): the share of every k-mer class as one array a sequence; null where it has no window."""
+    codes = classes(k, both_strands)
+    place = np.full(4**k, -1)
+    place[codes] = np.arange(len(codes))
+
+    def kernel(data, off):
+        text, _, code = window_codes(data, off, k)
+        if both_strands:
+            code = np.minimum(code, window_codes(data, off, k, True)[2])
+        n = np.bincount(text * len(codes) + place[code], minlength=(len(off) - 1) * len(codes)).reshape(-1, len(codes))
+        total = n.sum(1, keepdims=True)
+        v = (n / np.maximum(total, 1)).tolist()
+        return np.arange(len(off) - 1), [x if t else None for x, t in zip(v, total[:, 0].tolist())]
+
+    return _mapped(df, seq, keep, [(name, T.ArrayType(T.DoubleType()))], kernel)
+
+
+def node_vectors(df: DataFrame, seq: str, keep=("id",)) -> DataFrame:
+    """(keep, v): 212 numbers a sequence: shares of the 136 canonical 4-mers, 10 canonical 2-mers and 64 codons, GC share, log length."""
+    parts, kept = [], (*keep, seq)
+    for name, k, both in (("_4", 4, True), ("_2", 2, True), ("_3", 3, False)):
+        df = frequencies(df.select(*kept), seq, k, kept, both, name)
+        parts.append(F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), len(classes(k, both)))))
+        kept = (*kept, name)
+    return df.select(*keep, F.concat(*parts, F.array(gc_content(F.col(seq)), log_length(F.col(seq)))).alias("v"))
 
 
 def gc_content(seq: Column) -> Column:
@@ -56,68 +186,74 @@ def log_length(seq: Column) -> Column:
     return F.log10(F.length(seq) + F.lit(1.0))
 
 
-def spectrum_distances(a: DataFrame, b: DataFrame, pairs: DataFrame, dims: int) -> DataFrame:
+def spectrum_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, cosine_distance, l1, pearson, weighted_jaccard) for pairs of (a, b).
 
-    a and b: (id, kmer, freq).  Classes that a sequence lacks count as 0, so sums
-    over common classes and per-sequence totals give every distance; all
-    classes are dims in number, which Pearson's means divide by.
+    a and b: (id, v) from frequencies(); an undefined distance is 0 similarity.
     """
-    tot = lambda t, x: t.groupBy(F.col("id").alias(x)).agg(F.sum("freq").alias(f"s_{x}"), F.sum(F.col("freq") * F.col("freq")).alias(f"q_{x}"))
-    p = pairs.join(a.select(F.col("id").alias("a"), "kmer", F.col("freq").alias("fa")), "a").join(b.select(F.col("id").alias("b"), "kmer", F.col("freq").alias("fb")), ["b", "kmer"])
-    c = p.groupBy("a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("dot"), F.sum(F.least("fa", "fb")).alias("mn"))
-    t = pairs.join(tot(a, "a"), "a", "left").join(tot(b, "b"), "b", "left").join(c, ["a", "b"], "left").na.fill(0.0)
-    d = float(dims)
-    va, vb = F.col("q_a") - F.col("s_a") * F.col("s_a") / d, F.col("q_b") - F.col("s_b") * F.col("s_b") / d
-    cov = F.col("dot") - F.col("s_a") * F.col("s_b") / d
-    zero = lambda num, den: F.when(den > 0, num / den).otherwise(0.0)
-    mx = F.col("s_a") + F.col("s_b") - F.col("mn")
-    return t.select(
-        "a", "b", (1 - zero(F.col("dot"), F.sqrt(F.col("q_a") * F.col("q_b")))).alias("cosine_distance"), (mx - F.col("mn")).alias("l1"),
-        zero(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))).alias("pearson"), zero(F.col("mn"), mx).alias("weighted_jaccard"),
-    )
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) if part.num_rows else np.empty((0, 1)) for i in (2, 3))
+                zero = lambda num, den: np.divide(num, den, out=np.zeros(len(num)), where=den > 0)
+                low, high = np.minimum(x, y).sum(1), np.maximum(x, y).sum(1)
+                cx, cy = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+                cos = zero((x * y).sum(1), np.sqrt((x * x).sum(1) * (y * y).sum(1)))
+                out = (1 - cos, high - low, zero((cx * cy).sum(1), np.sqrt((cx * cx).sum(1) * (cy * cy).sum(1))), zero(low, high))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, out)], names=names)
+
+    names = ["a", "b", "cosine_distance", "l1", "pearson", "weighted_jaccard"]
+    x, y = (t.where("v IS NOT NULL").select(F.col("id").alias(c), F.col("v").alias(f"_{c}")) for t, c in ((a, "a"), (b, "b")))
+    p = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "_a", "_b")
+    return p.mapInArrow(run, T.StructType([*p.schema.fields[:2], *(T.StructField(c, T.DoubleType()) for c in names[2:])]))
+
+
+def hits(query: DataFrame, target: DataFrame, seq: str, k: int) -> DataFrame:
+    """(a, b, pos): windows of query a that are among target b's windows of either strand; every pair that shares one."""
+    q = kmer_codes(query, seq, k).withColumnRenamed("id", "a")
+    t = kmer_codes(target, seq, k, strands="both", distinct=True).select(F.col("id").alias("b"), "code")
+    return q.join(t, "code").select("a", "b", "pos")
 
-def containment(query: DataFrame, target: DataFrame, pairs: DataFrame, seq: str, k: int) -> DataFrame:
-    """(a, b, frac_kmers, cov_frac, log_shared, longest_frac) for pairs (query a, target b).
 
-    Query windows are looked up in the target's k-mers of both strands.
+def containment(query: DataFrame, target: DataFrame, seq: str, k: int, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, frac_kmers, cov_frac, log_shared, longest_frac) of every pair (query a, target b) that shares a window.
+
+    pairs: these pairs instead, with zeros where they share none.
     """
-    q = kmers(query.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"), seq, k)
-    both = target.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-    fwd = kmers(both, seq, k).select("id", "kmer")
-    t = fwd.unionByName(fwd.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
-    hits = pairs.join(q.withColumnRenamed("id", "a"), "a").join(t.withColumnRenamed("id", "b"), ["b", "kmer"]).select("a", "b", "pos")
-    valid = q.groupBy(F.col("id").alias("a")).agg(F.count("*").alias("windows"))
+    hit = hits(query, target, seq, k)
+    hit = hit if pairs is None else hit.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
+    valid = kmer_codes(query, seq, k, distinct=True).groupBy(F.col("id").alias("a")).agg(F.sum("n").alias("windows"))
     # one pass over the sorted hits: isles of consecutive positions give hits, coverage and the longest run
     w = Window.partitionBy("a", "b").orderBy("pos")
-    isle = hits.select("a", "b", (F.col("pos") - F.row_number().over(w)).alias("_g"), F.least(F.lit(k), F.coalesce(F.lead("pos").over(w) - F.col("pos"), F.lit(k))).alias("_s"))
+    isle = hit.select("a", "b", (F.col("pos") - F.row_number().over(w)).alias("_g"), F.least(F.lit(k), F.coalesce(F.lead("pos").over(w) - F.col("pos"), F.lit(k))).alias("_s"))
     isle = isle.groupBy("a", "b", "_g").agg(F.count("*").alias("run"), F.sum("_s").alias("_s"))
     n = isle.groupBy("a", "b").agg(F.sum("run").alias("hits"), F.sum("_s").alias("covered"), F.max("run").alias("longest"))
     size = query.select(F.col("id").alias("a"), F.length(seq).alias("len"))
-    out = pairs.join(size, "a").join(valid, "a", "left").join(n, ["a", "b"], "left").na.fill(0)
+    out = n if pairs is None else pairs.select("a", "b").join(n, ["a", "b"], "left")
+    out = out.join(size, "a").join(valid, "a", "left").na.fill(0)
     return out.select(
         "a", "b", F.when(F.col("windows") > 0, F.col("hits") / F.col("windows")).otherwise(0.0).alias("frac_kmers"), (F.col("covered") / F.col("len")).alias("cov_frac"),
         F.log1p(F.col("hits").cast("double")).alias("log_shared"), F.when(F.col("longest") > 0, (F.col("longest") + k - 1) / F.col("len")).otherwise(0.0).alias("longest_frac"),
     )
 
 
-def shared_kmers(a: DataFrame, b: DataFrame, pairs: DataFrame, seq: str, k: int) -> DataFrame:
-    """(a, b, shared): distinct common k-mers of each pair, 0 where none."""
-    ka, kb = (kmers(x, seq, k).select("id", "kmer").distinct() for x in (a, b))
-    hit = pairs.join(ka.withColumnRenamed("id", "a"), "a").join(kb.withColumnRenamed("id", "b"), ["b", "kmer"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+def shared_kmers(a: DataFrame, b: DataFrame, seq: str, k: int) -> DataFrame:
+    """(a, b, shared): distinct common k-mers of every pair that has any."""
+    ka, kb = (kmer_codes(x, seq, k, distinct=True).select(F.col("id").alias(c), "code") for x, c in ((a, "a"), (b, "b")))
+    return ka.join(kb, "code").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def repeat_spacers(df: DataFrame, seq: str, k: int = 23, copies=(3, 100), period=None, spacer=(20, 75), most: int = 500) -> DataFrame:
     """(id, spacer): text between copies of one anchor k-mer that repeats at a steady distance."""
     lo, hi = period or (k + 20, k + 75)
-    m = kmers(df, seq, k)
+    m = kmer_codes(df, seq, k).withColumnRenamed("code", "kmer")  # codes order as their letters do
     w = Window.partitionBy("id", "kmer")
     m = m.withColumn("copies", F.count("*").over(w)).where(F.col("copies").between(*copies)).withColumn("gap", F.lead("pos").over(w.orderBy("pos")) - F.col("pos"))
     good = F.count_if(F.col("gap").between(lo, hi)).over(w)
     m = m.withColumn("good", good).where((F.col("good") >= F.lit(copies[0] - 1)) & F.col("gap").between(lo, hi))
-    cut = m.join(df.select("id", seq), "id").select("id", "kmer", "pos", F.substring(F.col(seq), F.col("pos") + k + 1, F.col("gap") - k).alias("spacer"))
+    cut = m.join(df.select("id", seq), "id").select("id", "kmer", "pos", F.substring(F.col(seq), (F.col("pos") + k + 1).cast("int"), (F.col("gap") - k).cast("int")).alias("spacer"))
     cut = cut.where(F.length("spacer").between(*spacer)).groupBy("id", "spacer").agg(F.min(F.struct("kmer", "pos")).alias("o"))
     return cut.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("o", "spacer"))).where(F.col("_r") <= most).select("id", "spacer")
 
@@ -125,18 +261,29 @@ def repeat_spacers(df: DataFrame, seq: str, k: int = 23, copies=(3, 100), period
 _BASES = "TCAG"
 #: The standard code, codons in TCAG order, * for stop.  Fixed value.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_RESIDUE = np.full(125, ord("*"), np.uint8)  # by base-5 codon in ACGT order, 4 for N
+for _i, _x in enumerate(CODE):
+    _RESIDUE[sum(25 // 5**_j * _LETTERS.index(_BASES[_i // 4 ** (2 - _j) % 4].encode()) for _j in range(3))] = ord(_x)
 
 
 def translate_frames(df: DataFrame, seq: str, keep=("id",)) -> DataFrame:
     """(keep, frame, aa) in six frames; a codon with N or a stop is a break, written *."""
-    codons = [a + b + c for a in _BASES for b in _BASES for c in _BASES]
-    table = F.map_from_arrays(F.array(*map(F.lit, codons)), F.array(*[F.lit(x) for x in CODE]))
-    both = df.select(*keep, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col(seq).alias("x")), F.struct(F.lit(3).alias("s"), reverse_complement(F.col(seq)).alias("x")))).alias("st"))
-    rows = both.select(*keep, F.explode(F.array(*[F.struct((F.col("st.s") + i).alias("frame"), F.substring(F.col("st.x"), F.lit(i + 1), F.length("st.x")).alias("x")) for i in range(3)])).alias("f"))
-    n = F.length("f.x")
-    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    aa = F.transform(starts, lambda i: F.coalesce(F.try_element_at(table, F.substring(F.col("f.x").cast("binary"), i, F.lit(3)).cast("string")), F.lit("*")))
-    return rows.select(*keep, F.col("f.frame").alias("frame"), F.array_join(aa, "").alias("aa"))
+
+    def kernel(data, off):
+        texts, frames, out = [], [], []
+        base = _BASE[data].astype(np.int64)
+        for t, (i, j) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            x = base[i:j]
+            for strand, y in ((0, x), (3, np.where(x < 4, 3 - x, 4)[::-1])):
+                for f in range(3):
+                    n = max(0, (len(y) - f) // 3)
+                    c = y[f : f + 3 * n].reshape(n, 3)
+                    texts.append(t)
+                    frames.append(strand + f)
+                    out.append(_RESIDUE[c[:, 0] * 25 + c[:, 1] * 5 + c[:, 2]].tobytes().decode())
+        return np.array(texts, np.int64), np.array(frames, np.int32), out
+
+    return _mapped(df, seq, keep, [("frame", T.IntegerType()), ("aa", T.StringType())], kernel)
 
 
 def peptides(frames: DataFrame, least: int, keep=("id",)) -> DataFrame:
@@ -144,22 +291,21 @@ def peptides(frames: DataFrame, least: int, keep=("id",)) -> DataFrame:
     return frames.select(*keep, "frame", F.explode(F.split("aa", r"\*+")).alias("peptide")).where(F.length("peptide") >= least)
 
 
-def spacer_matches(spacers: DataFrame, target: DataFrame, pairs: DataFrame, seq: str, k: int = 20, least: float = 0.6) -> DataFrame:
-    """(a, b, n_spacers, n_hits, best_frac, has_hit): spacers of a whose k-mers lie in b, either strand."""
+def spacer_matches(spacers: DataFrame, target: DataFrame, seq: str, k: int = 20, least: float = 0.6) -> DataFrame:
+    """(a, b, n_spacers, n_hits, best_frac, has_hit): spacers of a whose k-mers lie in b, either strand; every pair that shares one."""
     s = spacers.select("id", "spacer").withColumn("sid", F.concat_ws(":", F.col("id").cast("string"), "spacer"))
-    sk = kmers(s, "spacer", k, ("id", "sid")).groupBy("id", "sid", "kmer").agg(F.count("*").alias("n"))
-    n = sk.groupBy("id", "sid").agg(F.sum("n").alias("windows"))
-    fwd = kmers(target, seq, k).select(F.col("id").alias("b"), "kmer")
-    t = fwd.unionByName(fwd.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
-    hit = pairs.join(sk.withColumnRenamed("id", "a"), "a").join(t, ["b", "kmer"]).groupBy("a", "b", "sid").agg(F.sum("n").alias("hits"))
-    every = pairs.join(n.withColumnRenamed("id", "a"), "a").join(hit, ["a", "b", "sid"], "left").withColumn("frac", F.coalesce("hits", F.lit(0)) / F.col("windows"))
-    got = every.groupBy("a", "b").agg(F.count("*").alias("n_spacers"), F.count_if(F.col("frac") >= least).alias("n_hits"), F.max("frac").alias("best_frac"))
-    out = pairs.join(got, ["a", "b"], "left").na.fill(0)
+    sk = kmer_codes(s, "spacer", k, ("id", "sid"), distinct=True)
+    n = sk.groupBy(F.col("id").alias("a"), "sid").agg(F.sum("n").alias("windows"))
+    t = kmer_codes(target, seq, k, strands="both", distinct=True).select(F.col("id").alias("b"), "code")
+    hit = sk.withColumnRenamed("id", "a").join(t, "code").groupBy("a", "b", "sid").agg(F.sum("n").alias("hits"))
+    frac = hit.join(n, ["a", "sid"]).withColumn("frac", F.col("hits") / F.col("windows"))
+    got = frac.groupBy("a", "b").agg(F.count_if(F.col("frac") >= least).alias("n_hits"), F.max("frac").alias("best_frac"))
+    out = got.join(n.groupBy("a").agg(F.count("*").alias("n_spacers")), "a")
     return out.select("a", "b", "n_spacers", "n_hits", "best_frac", (F.col("n_hits") > 0).alias("has_hit"))
 
 
-def protein_homology(query: DataFrame, target: DataFrame, pairs: DataFrame, seq: str, k: int = 7, least: int = 90) -> DataFrame:
-    """(a, b, frac, cov, log_shared, longest): peptide k-mers of six frames looked up in the other's."""
+def protein_homology(query: DataFrame, target: DataFrame, seq: str, k: int = 7, least: int = 90) -> DataFrame:
+    """(a, b, frac, cov, log_shared, longest): peptide k-mers of six frames looked up in the other's; every pair that shares one."""
     def pieces(df, side):
         p = peptides(translate_frames(df, seq), least).withColumn("pid", F.concat_ws(":", F.col("frame").cast("string"), "peptide"))
         at = F.sequence(F.lit(1), F.length("peptide") - k + 1)
@@ -167,16 +313,35 @@ def protein_homology(query: DataFrame, target: DataFrame, pairs: DataFrame, seq:
         return rows.select(side, "pid", "len", "pos", F.substring(F.col("peptide").cast("binary"), F.col("pos"), F.lit(k)).cast("string").alias("aa"))
 
     q, t = pieces(query, "a"), pieces(target, "b").select("b", "aa").distinct()
-    hits = pairs.join(q, "a").join(t, ["b", "aa"]).select("a", "b", "pid", "pos")
+    found = q.join(t, "aa").select("a", "b", "pid", "pos")
     size = q.groupBy("a").agg(F.count("*").alias("windows"))
     total = q.select("a", "pid", "len").distinct().groupBy("a").agg(F.sum("len").alias("aas"))
-    n = hits.groupBy("a", "b").agg(F.count("*").alias("hits"))
-    c = interval_coverage(hits, ["a", "b", "pid"], "pos", k).groupBy("a", "b").agg(F.sum("covered").alias("covered"))
-    r = longest_run(hits, ["a", "b", "pid"], "pos").groupBy("a", "b").agg(F.max("longest").alias("run"))
+    n = found.groupBy("a", "b").agg(F.count("*").alias("hits"))
+    c = interval_coverage(found, ["a", "b", "pid"], "pos", k).groupBy("a", "b").agg(F.sum("covered").alias("covered"))
+    r = longest_run(found, ["a", "b", "pid"], "pos").groupBy("a", "b").agg(F.max("longest").alias("run"))
     third = query.select(F.col("id").alias("a"), F.greatest(F.floor(F.length(seq) / 3), F.lit(1)).alias("third"))
-    out = pairs.join(third, "a").join(size, "a", "left").join(total, "a", "left").join(n, ["a", "b"], "left").join(c, ["a", "b"], "left").join(r, ["a", "b"], "left").na.fill(0)
-    zero = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    out = n.join(c, ["a", "b"]).join(r, ["a", "b"]).join(third, "a").join(size, "a").join(total, "a")
     return out.select(
-        "a", "b", zero(F.col("hits"), F.col("windows")).alias("frac"), zero(F.col("covered"), F.col("aas")).alias("cov"), F.log1p(F.col("hits").cast("double")).alias("log_shared"),
-        F.when(F.col("run") > 0, (F.col("run") + k - 1) / F.col("third")).otherwise(0.0).alias("longest"),
+        "a", "b", (F.col("hits") / F.col("windows")).alias("frac"), (F.col("covered") / F.col("aas")).alias("cov"), F.log1p(F.col("hits").cast("double")).alias("log_shared"),
+        ((F.col("run") + k - 1) / F.col("third")).alias("longest"),
     )
+
+
+#: Columns of pair_features(), for each kind of evidence.
+PAIR_FEATURES = tuple(
+    [f"hom{k}_{c}" for k in (16, 20) for c in ("frac_kmers", "cov_frac", "log_shared", "longest_frac")]
+    + [f"crispr_{c}" for c in ("n_spacers", "n_hits", "best_frac", "has_hit")] + [f"prot_{c}" for c in ("frac_kmers", "cov_frac", "log_shared", "longest_frac")]
+)
+
+
+def pair_features(query: DataFrame, target: DataFrame, seq: str, anchor: int = 23, match: int = 20, aa: int = 7, least: int = 90) -> DataFrame:
+    """(a, b, 16 features) of every pair with any evidence; evidence that a pair lacks is 0."""
+    parts = [containment(query, target, seq, k).toDF("a", "b", *PAIR_FEATURES[4 * i : 4 * i + 4]) for i, k in enumerate((16, 20))]
+    found = spacer_matches(repeat_spacers(query, seq, anchor), target, seq, match).withColumn("has_hit", F.col("has_hit").cast("double"))
+    parts += [found.toDF("a", "b", *PAIR_FEATURES[8:12]), protein_homology(query, target, seq, aa, least).toDF("a", "b", *PAIR_FEATURES[12:])]
+    # long rows and one aggregate instead of three outer joins
+    long = [p.select("a", "b", *[F.col(c).cast("double").alias(c) if c in p.columns else F.lit(None).cast("double").alias(c) for c in PAIR_FEATURES]) for p in parts]
+    rows = long[0]
+    for p in long[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("a", "b").agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in PAIR_FEATURES])

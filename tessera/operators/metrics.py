@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import running
+
 #: Edges of ten equal bins as doubles; comparing with them differs from floor(10 p).
 EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 
@@ -31,8 +33,11 @@ def ranking(df: DataFrame, by=(), y="y", p="p", w: str | None = None) -> DataFra
 
 def ranking_of(t: DataFrame, by=(), p="p") -> DataFrame:
     """ranking() from a table of distinct scores."""
-    up = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up)})
+    if by:
+        up = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+        t = t.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up)})
+    else:
+        t = running(t, (F.desc(p),), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
     P, N = F.sum("pos"), F.sum("neg")
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -84,8 +89,11 @@ def roc_points(df: DataFrame, by=(), y="y", p="p") -> DataFrame:
 def midrank(df: DataFrame, x: str, by=(), name: str = "midrank") -> DataFrame:
     """Average rank of ties, from counts of distinct values: one row a value is sorted."""
     v = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
+    if by:
+        v = v.withColumn(name, F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        v = running(v, (x,), {name: ("sum", F.col("_n"))})
+    v = v.withColumn(name, F.col(name) - (F.col("_n") - 1) / 2.0).drop("_n")
     return df.join(v, [*by, x])
 
 

@@ -7,22 +7,20 @@ grouped maps.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import pickle
+from dataclasses import asdict, is_dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metrics as M
-
-
-def scaled(df: DataFrame, features, fold: str = "fold", role: str = "role") -> DataFrame:
-    """Features less the fold's training mean over its population deviation; a missing value is the mean."""
-    tr = df.where(F.col(role) == "train").groupBy(fold).agg(*[f(c).alias(f"_{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = df.join(tr.withColumnRenamed(fold, "_fold"), F.col(fold) == F.col("_fold"))
-    z = lambda c: F.coalesce(F.nanvl((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0), F.lit(0.0)), F.lit(0.0))
-    return out.select(*[c for c in df.columns if c not in features], *[z(c).alias(c) for c in features])
+from . import splits as S
+from .boosting import Boosting, Tuned
 
 
 def balanced_weight(df: DataFrame, y: str, by=()) -> DataFrame:
@@ -50,94 +48,224 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool =
     return b
 
 
-def logistic_model(c: float = 1.0, balanced: bool = False) -> Callable:
-    def run(xtr, ytr, xte, seed):
-        if len(np.unique(ytr)) < 2:
-            return np.full(len(xte), float(np.mean(ytr)) if len(ytr) else 0.5)
-        b = fit_logistic(xtr, ytr, c, balanced)
-        return sigmoid(xte @ b[:-1] + b[-1])
+class Logistic:
+    """Penalised logistic regression; a share alone where training has one class."""
+
+    def __init__(self, c: float = 1.0, balanced: bool = False):
+        self.c, self.balanced = c, balanced
+
+    def fit(self, x, y, seed=42):
+        if len(np.unique(y)) < 2:
+            return {"share": float(np.mean(y)) if len(y) else 0.5}
+        return {"b": fit_logistic(x, y, self.c, self.balanced)}
+
+    def predict(self, model, x):
+        if "share" in model:
+            return np.full(len(x), model["share"])
+        return sigmoid(x @ model["b"][:-1] + model["b"][-1])
 
-    return run
 
+class Network:
+    """Two hidden layers with weighted loss, dropout, Adam, and early stopping on a part held back."""
 
-def mlp_model(hidden: int = 32, epochs: int = 60, rate: float = 1e-2, share: float = 0.15, patience: int = 10) -> Callable:
-    """One hidden layer with weighted loss, Adam, and early stopping on a part held back."""
+    def __init__(self, hidden=(128, 64), epochs: int = 200, rate: float = 1e-3, share: float = 0.15, patience: int = 25, drop: float = 0.3, batch: int = 1024):
+        self.hidden, self.epochs, self.rate, self.share, self.patience, self.drop, self.batch = hidden, epochs, rate, share, patience, drop, batch
 
-    def run(xtr, ytr, xte, seed):
+    @staticmethod
+    def _forward(p, x, keep=None):
+        layers = [x]
+        for i in range(0, len(p) - 2, 2):
+            h = np.maximum(layers[-1] @ p[i] + p[i + 1], 0)
+            layers.append(h if keep is None else h * keep[i // 2])
+        return layers, sigmoid((layers[-1] @ p[-2])[:, 0] + p[-1][0])
+
+    def fit(self, x, y, seed=42):
+        if len(np.unique(y)) < 2:
+            return {"share": float(np.mean(y)) if len(y) else 0.5}
         rng = np.random.default_rng(seed)
-        if len(np.unique(ytr)) < 2:
-            return np.full(len(xte), float(np.mean(ytr)) if len(ytr) else 0.5)
-        order = rng.permutation(len(ytr))
-        cut = max(1, int(share * len(ytr)))
+        order = rng.permutation(len(y))
+        cut = max(1, int(self.share * len(y)))
         va, tr = order[:cut], order[cut:]
-        pos = np.clip((ytr == 0).sum() / max((ytr == 1).sum(), 1), 1, 50)
-        p = [rng.normal(0, 1 / np.sqrt(xtr.shape[1]), (xtr.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-        m, v, best, wait = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], (np.inf, p), 0
-
-        def forward(x, p):
-            h = np.maximum(x @ p[0] + p[1], 0)
-            return h, sigmoid(h @ p[2] + p[3][0])
-
-        for t in range(1, epochs + 1):
-            x, y = xtr[tr], ytr[tr]
-            h, out = forward(x, p)
-            d = np.where(y == 1, pos, 1.0) * (out - y) / len(y)
-            dh = np.outer(d, p[2]) * (h > 0)
-            grads = [x.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
-            for i, g in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-            out = forward(xtr[va], p)[1]
-            loss = -np.mean(np.where(ytr[va] == 1, pos * np.log(out + 1e-12), np.log(1 - out + 1e-12)))
+        pos = np.clip((y == 0).sum() / max((y == 1).sum(), 1), 1, 50)
+        size = [x.shape[1], *self.hidden, 1]
+        p = [q for a, b in zip(size, size[1:]) for q in (rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b))]
+        m, v, best, wait, t = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], (np.inf, p), 0, 0
+        for _ in range(self.epochs):
+            for rows in np.array_split(rng.permutation(tr), max(1, len(tr) // self.batch)):
+                t += 1
+                keep = [(rng.random((len(rows), h)) >= self.drop) / (1 - self.drop) for h in self.hidden]
+                layers, out = self._forward(p, x[rows], keep)
+                d = (np.where(y[rows] == 1, pos, 1.0) * (out - y[rows]) / max(len(rows), 1))[:, None]
+                grads = []
+                for i in range(len(p) - 2, -1, -2):
+                    grads = [layers[i // 2].T @ d, d.sum(0), *grads]
+                    if i:
+                        d = d @ p[i].T * (layers[i // 2] > 0) * keep[i // 2 - 1]
+                new = []
+                for i, g in enumerate(grads):
+                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                    new.append(p[i] - self.rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8))
+                p = new
+            out = self._forward(p, x[va])[1]
+            loss = -np.mean(np.where(y[va] == 1, pos * np.log(out + 1e-12), np.log(1 - out + 1e-12)))
             if loss < best[0] - 1e-6:
-                best, wait = (loss, [q.copy() for q in p]), 0
+                best, wait = (loss, p), 0
             else:
                 wait += 1
-                if wait >= patience:
+                if wait >= self.patience:
                     break
-        return forward(xte, best[1])[1]
+        return {"p": best[1]}
+
+    def predict(self, model, x):
+        return np.full(len(x), model["share"]) if "share" in model else self._forward(model["p"], x)[1]
+
+
+#: Training rows that one fold's model learns from at most: those whose hashed id is lowest, about.
+TRAIN_ROWS = 100_000
+#: Test rows that one task scores, about.
+SCORE_ROWS = 100_000
 
-    return run
 
+def train_sample(df: DataFrame, row_id: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """df where it has at most so many rows, else about so many, chosen by a hash of the id."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(row_id), F.lit(42)), F.lit(1 << 30)) < F.lit(int(rows / n * (1 << 30))))
 
-def grouped_cv(rows: DataFrame, folds: DataFrame, features, model: Callable, label: str = "label", row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """(fold, row_id, y, p): the model fitted in every fold's training rows and scored on its test rows.
 
-    One fold is one group; a group holds the fold's rows, which bounds what this
-    runner suits to training sets that fit one task.
+def fold_scales(rows: DataFrame, features, fold: str = "fold") -> DataFrame:
+    """(fold, means, deviations): of each fold's training rows, all of them, from one pass: everything less the fold's own."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    sums = {}
+    for i, c in enumerate(features):
+        x = F.when(ok(c), F.col(c).cast("double")).otherwise(0.0)
+        sums |= {f"n{i}": ok(c).cast("double"), f"s{i}": x, f"q{i}": x * x}
+    t = S.role_totals(rows, sums, fold).where("role = 'train'")
+    mean = lambda i: F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).otherwise(0.0)
+    spread = lambda i: F.sqrt(F.greatest(F.when(F.col(f"n{i}") > 0, F.col(f"q{i}") / F.col(f"n{i}")).otherwise(0.0) - mean(i) * mean(i), F.lit(0.0)))
+    k = range(len(features))
+    return t.select(fold, F.array(*[mean(i) for i in k]).alias("means"), F.array(*[spread(i) for i in k]).alias("deviations"))
+
+
+def _scaled_rows(x: np.ndarray, means, deviations) -> np.ndarray:
+    d = np.asarray(deviations, float)
+    z = (x - np.asarray(means, float)) / np.where(d > 0, d, 1.0)
+    return np.where(np.isfinite(z), z, 0.0)  # a missing value is the mean
+
+
+def grouped_cv(rows: DataFrame, features, model, label: str = "label", row_id: str = "row_id", seed: int = 42, fold: str = "fold", sample: int = TRAIN_ROWS) -> DataFrame:
+    """(fold, row_id, y, p): a model a fold, fitted on rows of other folds and scored on every row of its own.
+
+    rows has the fold in which a row tests, null where it only trains.  Scales come
+    from all training rows, each model from a bounded sample of them (a task
+    a fold); models are small, and every row is scored once, so nothing is as large as rows times folds.
     """
     feats = list(features)
+    rows = rows.withColumn("_fold", F.col(fold).cast("string")).select(F.col("_fold").alias("fold"), row_id, F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in feats])
+    scales = fold_scales(rows, feats)
+    some = train_sample(rows, row_id, sample)
+    folds = F.broadcast(scales.select(F.col("fold").alias("_in"), "means", "deviations"))  # a row a fold
+    train = some.join(folds, ~F.col("fold").eqNullSafe(F.col("_in")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id)
-        tr, te = pdf[pdf.role == "train"], pdf[pdf.role == "test"]
-        p = model(tr[feats].to_numpy(float), tr[label].to_numpy(float), te[feats].to_numpy(float), seed)
-        p = np.clip(np.where(np.isfinite(p), p, 0.5), 0, 1)
-        return pd.DataFrame({"fold": te.fold.astype(str), "row_id": te[row_id].astype("int64"), "y": te[label].astype("int32"), "p": p})
+        x = _scaled_rows(pdf[feats].to_numpy(float), pdf.means.iloc[0], pdf.deviations.iloc[0])
+        m = model.fit(x, pdf.y.to_numpy(float), seed)
+        return pd.DataFrame({"fold": [pdf["_in"].iloc[0]], "model": [pickle.dumps((m, pdf.means.iloc[0], pdf.deviations.iloc[0]))]})
 
-    wide = folds.select("fold", row_id, "role").join(rows.select(row_id, label, *feats), row_id)
-    return scaled(wide, feats).groupBy("fold").applyInPandas(one, "fold string, row_id long, y int, p double")
+    models = train.groupBy("_in").applyInPandas(fit, "fold string, model binary")
+    test = rows.where("fold IS NOT NULL")
+    salts = max(1, -(-test.count() // SCORE_ROWS))
 
+    def score(key, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(mdf) or not len(pdf):
+            return pd.DataFrame({"fold": pd.Series(dtype=str), "row_id": pd.Series(dtype="int64"), "y": pd.Series(dtype="int32"), "p": pd.Series(dtype=float)})
+        m, means, deviations = pickle.loads(mdf.model.iloc[0])  # noqa: S301 (written above)
+        p = model.predict(m, _scaled_rows(pdf[feats].to_numpy(float), means, deviations))
+        return pd.DataFrame({"fold": pdf.fold, "row_id": pdf[row_id].astype("int64"), "y": pdf.y.astype("int32"), "p": np.clip(np.where(np.isfinite(p), p, 0.5), 0, 1)})
 
-def gbt_predictions(train: DataFrame, test: DataFrame, features, label: str = "label", trees: int = 20, depth: int = 5) -> DataFrame:
-    """test with p, by boosted trees fitted on train."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    test = test.withColumn("_s", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    models = models.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return test.groupBy("fold", "_s").cogroup(models.groupBy("fold", "_s")).applyInPandas(score, "fold string, row_id long, y int, p double")
 
-    a = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    m = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42).fit(a.transform(train))
-    return m.transform(a.transform(test)).withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
 
+def describe(model) -> str:
+    """A model's kind and settings as JSON; build() is its inverse."""
+    plain = asdict(model) if is_dataclass(model) else vars(model)
+    return json.dumps([type(model).__name__, plain])
 
-def forest_importance(train: DataFrame, features, label: str, trees: int = 30) -> list[tuple[str, float]]:
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    a = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    m = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, seed=42).fit(a.transform(train))
-    return sorted(zip(features, map(float, m.featureImportances.toArray())), key=lambda x: -x[1])
+def build(text: str):
+    kind, plain = json.loads(text)
+    if kind == "Tuned":
+        plain["grid"] = tuple(Boosting(**g) for g in plain["grid"])
+    return {"Logistic": Logistic, "Network": Network, "Boosting": Boosting, "Tuned": Tuned}[kind](**plain)
+
+
+def fit_once(train: DataFrame, features, model, label: str = "label", row_id: str = "row_id", seed: int = 42, sample: int = TRAIN_ROWS) -> DataFrame:
+    """An artifact of one row: the model, its features and scales, and a digest; a table that can be written and read like any other."""
+    feats, kind = list(features), describe(model)
+    tr = train.select(row_id, F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in feats])
+    stats = tr.agg(*[f(F.when(~F.isnan(c), F.col(c))).alias(f"{n}{i}") for i, c in enumerate(feats) for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    means, deviations = ([stats[f"{n}{i}"] or 0.0 for i in range(len(feats))] for n in "md")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id)
+        blob = pickle.dumps(model.fit(_scaled_rows(pdf[feats].to_numpy(float), means, deviations), pdf.y.to_numpy(float), seed))
+        return pd.DataFrame({"kind": [kind], "features": [feats], "means": [means], "deviations": [deviations], "model": [blob], "sha256": [hashlib.sha256(blob).hexdigest()]})
+
+    return train_sample(tr, row_id, sample).groupBy(F.lit(0).alias("one")).applyInPandas(fit, "kind string, features array<string>, means array<double>, deviations array<double>, model binary, sha256 string")
+
+
+def score_with(artifact: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with p, by an artifact of fit_once(); a digest that differs raises, a feature that rows lack is missing."""
+    a = artifact.first()
+    if hashlib.sha256(a.model).hexdigest() != a.sha256:
+        raise ValueError("the model is not the one that was written")
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(a.model))  # one model
+    feats, means, deviations, model = list(a.features), list(a.means), list(a.deviations), build(a.kind)
+
+    @F.pandas_udf(T.DoubleType())
+    def p(x: pd.Series) -> pd.Series:
+        m = pickle.loads(shared.value)  # noqa: S301 (checked above)
+        z = np.array(x.tolist(), float).reshape(len(x), len(feats))
+        return pd.Series(np.clip(model.predict(m, _scaled_rows(z, means, deviations)), 0, 1))
+
+    have = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) if c in rows.columns else F.lit(float("nan")) for c in feats]
+    return rows.withColumn("p", p(F.array(*have)))
+
+
+def graph_cv(rows: DataFrame, a: str, b: str, nodes: DataFrame, features, net, label: str = "label", row_id: str = "row_id", fold: str = "fold", seed: int = 42, sample: int = TRAIN_ROWS) -> DataFrame:
+    """(fold, row_id, y, p): a network a fold over the graph of its training positives; nodes: (id, v).
+
+    A fold's task holds a bounded sample of training pairs, its own pairs and their ends' vectors.
+    """
+    feats = list(features)
+    v = nodes.select("id", "v")
+    rows = rows.select(F.col(fold).cast("string").alias("fold"), row_id, F.col(a).alias("a"), F.col(b).alias("b"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in feats])
+    wide = rows.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    folds = F.broadcast(rows.where("fold IS NOT NULL").select(F.col("fold").alias("_in")).distinct())  # a row a fold
+    own = wide.where("fold IS NOT NULL").withColumn("_in", F.col("fold"))
+    both = train_sample(wide, row_id, sample).join(folds, ~F.col("fold").eqNullSafe(F.col("_in"))).unionByName(own)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id)
+        train = (pdf.fold != pdf["_in"]).to_numpy()
+        ends = pd.concat([pd.DataFrame({"id": "a:" + pdf.a.astype(str), "v": pdf.va}), pd.DataFrame({"id": "b:" + pdf.b.astype(str), "v": pdf.vb})])
+        no, ids = pd.factorize(ends.id, sort=True)
+        first = np.unique(no, return_index=True)[1]
+        x = np.array(ends.v.iloc[first].tolist(), float)
+        pairs = no.reshape(2, -1).T
+        seen = np.unique(pairs[train])
+        z = _scaled_rows(x, np.nanmean(x[seen], 0), np.nanstd(x[seen], 0)) if len(seen) else x
+        e = pdf[feats].to_numpy(float)
+        e = _scaled_rows(e, np.nanmean(e[train], 0), np.nanstd(e[train], 0)) if train.any() else e
+        p = net.fit_predict(z, pairs, e, pdf.y.to_numpy(float), train, seed)
+        out = pdf[~train]
+        return pd.DataFrame({"fold": out.fold, "row_id": out[row_id].astype("int64"), "y": out.y.astype("int32"), "p": np.clip(p[~train], 0, 1)})
+
+    return both.groupBy("_in").applyInPandas(one, "fold string, row_id long, y int, p double")
 
 
 def rare_pooled(df: DataFrame, column: str, least: int = 3) -> DataFrame:

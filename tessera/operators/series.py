@@ -6,8 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running(df: DataFrame, order, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with running aggregates over all rows in a total order: name -> ('sum' | 'min' | 'max', value).
+
+    Rows are ranged by the order and each range runs by itself, upon what the
+    ranges before it came to, so no task has all rows.
+    """
+    spark = df.sparkSession
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    fns = {"sum": F.sum, "min": F.min, "max": F.max}
+    # a given number of ranges: both readers see the same ones
+    x = df.withColumns({f"_v_{n}": e for n, (_, e) in columns.items()}).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    ends = x.groupBy("_p").agg(*[fns[op](f"_v_{n}").alias(f"_b_{n}") for n, (op, _) in columns.items()])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ends = ends.select("_p", *[fns[op](f"_b_{n}").over(before).alias(f"_b_{n}") for n, (op, _) in columns.items()])
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    join = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}  # least and greatest pass nulls over
+    out = x.join(F.broadcast(ends), "_p").withColumns({n: join[op](fns[op](f"_v_{n}").over(own), F.col(f"_b_{n}")) for n, (op, _) in columns.items()})
+    return out.select(*df.columns, *columns)
+
+
+def numbered(df: DataFrame, order, name: str) -> DataFrame:
+    """df with the place of each row, from 0, in a total order."""
+    return running(df, order, {name: ("sum", F.lit(1).cast("long"))}).withColumn(name, F.col(name) - 1)
+
+
 def bh_qvalues(df: DataFrame, p: str, key: str, by=()) -> DataFrame:
     """Benjamini-Hochberg: reverse running minimum of p n / rank, held within [0, 1]."""
+    if not by:
+        ranked = numbered(df, (p, key), "_rk").withColumn("_rk", F.col("_rk") + 1)
+        n = ranked.agg(F.count("*").alias("_n"))  # one row
+        raw = F.col(p) * F.col("_n") / F.col("_rk")
+        q = running(ranked.crossJoin(F.broadcast(n)), (F.desc("_rk"),), {"q": ("min", raw)})
+        return q.withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("q")))).select(*df.columns, "q")
     w = Window.partitionBy(*by)
     rk = F.row_number().over(w.orderBy(p, key))
     ranked = df.withColumn("_rk", rk).withColumn("_raw", F.col(p) * F.count("*").over(w) / F.col("_rk"))
@@ -40,15 +71,9 @@ def first_reaching(df: DataFrame, by, order: str, value: str, threshold) -> Data
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """(key, idx): sorted distinct keys from 0.
-
-    Keys are counted by range first, so the numbering needs no task with all keys.
-    """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    # one row a partition
-    n = keys.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = n.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
-    return keys.join(base, "_p").select(key, (F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1).cast("int").alias("idx"))
+    """(key, idx): sorted distinct keys from 0."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return numbered(keys, (key,), "idx").select(key, F.col("idx").cast("int").alias("idx"))
 
 
 def product_miss(df: DataFrame, by, p: str) -> DataFrame:

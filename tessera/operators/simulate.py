@@ -3,7 +3,7 @@
 For each host h: sensitive S and resistant R cells grow logistically towards a
 common capacity; each active item's load V infects S by mass action, and
 resistance appears at rate mu ** (1 + alpha (n - 1)) with n items against the
-host.  The grid is embarrassingly parallel: one scenario is one group.
+host.  Scenarios are independent: a task integrates some of them as one array.
 Results are illustrative, never measurements.
 """
 
@@ -35,28 +35,32 @@ def effective_rate(mu: float, alpha: float, n: int) -> float:
     return mu ** (1 + alpha * (n - 1)) if n else 0.0
 
 
-def integrate(a: np.ndarray, mu: float, cost: float, alpha: float, t_max: float, n_steps: int, model: Model = Model(), inner: int = 20) -> pd.DataFrame:
-    """Trajectory of total, resistant and load sums on an even grid, by RK4 with fixed inner steps."""
-    items, hosts = a.shape
-    n = (a >= 0.5).sum(0)
-    rate = np.array([effective_rate(mu, alpha, int(x)) for x in n])
-    x = np.concatenate([np.full(hosts, model.start), np.zeros(hosts), np.full(items, model.dose)])
+def integrate_many(a: np.ndarray, mu, cost, alpha, t_max: float, n_steps: int, model: Model = Model(), inner: int = 20) -> np.ndarray:
+    """Trajectories of many scenarios at once: scenario x time x (sensitive, resistant, load), by RK4 with fixed inner steps.
+
+    a: scenario x item x host susceptibilities; an item that a scenario lacks has only zeros and no load.
+    """
+    size, items, hosts = a.shape
+    n = (a >= 0.5).sum(1)
+    rate = np.array([[effective_rate(float(m), float(x), int(k)) for k in row] for m, x, row in zip(mu, alpha, n)]).reshape(size, hosts)
+    keep = (1 - np.asarray(cost, float))[:, None]
+    dose = np.where(a.any(2), model.dose, 0.0)
+    x = np.concatenate([np.full((size, hosts), model.start), np.zeros((size, hosts)), dose], 1)
 
     def slope(x):
         x = np.maximum(x, 0)
-        s, r, v = x[:hosts], x[hosts : 2 * hosts], x[2 * hosts :]
-        room = 1 - (s + r).sum() / model.capacity
-        hit = model.adsorption * s * (a * v[:, None]).sum(0)
+        s, r, v = x[:, :hosts], x[:, hosts : 2 * hosts], x[:, 2 * hosts :]
+        room = 1 - (s + r).sum(1, keepdims=True) / model.capacity
+        hit = model.adsorption * s * (a * v[:, :, None]).sum(1)
         born = model.growth * s * room
-        ds = born - rate * np.maximum(born, 0) - hit
-        dr = model.growth * (1 - cost) * r * room + rate * np.maximum(born, 0)
-        dv = model.burst * model.adsorption * (a * s[None, :]).sum(1) * v - model.decay * v
-        return np.concatenate([ds, dr, dv])
+        new = rate * np.maximum(born, 0)
+        dv = model.burst * model.adsorption * (a * s[:, None, :]).sum(2) * v - model.decay * v
+        return np.concatenate([born - new - hit, model.growth * keep * r * room + new, dv], 1)
 
-    grid, out = np.linspace(0, t_max, n_steps), []
-    for k, t in enumerate(grid):
+    grid, out = np.linspace(0, t_max, n_steps), np.empty((size, n_steps, 3))
+    for k in range(n_steps):
         if k:
-            h = (t - grid[k - 1]) / inner
+            h = (grid[k] - grid[k - 1]) / inner
             for _ in range(inner):
                 k1 = slope(x)
                 k2 = slope(x + h / 2 * k1)
@@ -64,19 +68,42 @@ def integrate(a: np.ndarray, mu: float, cost: float, alpha: float, t_max: float,
                 k4 = slope(x + h * k3)
                 # stiff bursts overshoot: populations stay finite and non-negative
                 x = np.clip(np.nan_to_num(x + h / 6 * (k1 + 2 * k2 + 2 * k3 + k4), posinf=1e15), 0, 1e15)
-        out.append((t, x[:hosts].sum(), x[hosts : 2 * hosts].sum(), x[2 * hosts :].sum()))
-    return pd.DataFrame(out, columns=["t", "sensitive", "resistant", "load"])
+        out[:, k] = np.stack([x[:, :hosts].sum(1), x[:, hosts : 2 * hosts].sum(1), x[:, 2 * hosts :].sum(1)], 1)
+    return out
 
 
-def run_grid(scenarios: DataFrame, t_max: float = 48.0, n_steps: int = 97) -> DataFrame:
-    """scenarios: scenario, n_items, n_hosts, mu, cost, alpha.  One trajectory a scenario."""
+def integrate(a: np.ndarray, mu: float, cost: float, alpha: float, t_max: float, n_steps: int, model: Model = Model(), inner: int = 20) -> pd.DataFrame:
+    """One trajectory: totals of sensitive and resistant cells and load on an even grid."""
+    x = integrate_many(a[None], [mu], [cost], [alpha], t_max, n_steps, model, inner)[0]
+    return pd.DataFrame({"t": np.linspace(0, t_max, n_steps), "sensitive": x[:, 0], "resistant": x[:, 1], "load": x[:, 2]})
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        a = np.ones((int(r.n_items), int(r.n_hosts)))
-        return integrate(a, r.mu, r.cost, r.alpha, t_max, n_steps).assign(scenario=int(r.scenario))[["scenario", "t", "sensitive", "resistant", "load"]]
 
-    return scenarios.groupBy("scenario").applyInPandas(one, "scenario long, t double, sensitive double, resistant double, load double")
+#: Scenarios that one task integrates together.
+TOGETHER = 64
+
+
+def run_grid(scenarios: DataFrame, t_max: float = 48.0, n_steps: int = 97) -> DataFrame:
+    """scenarios: scenario, mu, cost, alpha, and n_items with n_hosts (all fully susceptible) or a (items x hosts).  One trajectory each."""
+    given = "a" in scenarios.columns
+
+    def together(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[at : at + TOGETHER]
+                one = [np.array(x.tolist(), float).reshape(len(x), -1) for x in part.a] if given else [np.ones((int(i), int(h))) for i, h in zip(part.n_items, part.n_hosts)]
+                a = np.zeros((len(part), max(max(x.shape[0] for x in one), 1), max(x.shape[1] for x in one)))
+                for k, x in enumerate(one):
+                    a[k, : x.shape[0], : x.shape[1]] = x
+                got = integrate_many(a, part.mu, part.cost, part.alpha, t_max, n_steps)
+                # hosts that only pad have grown by themselves: scenarios of one width share a batch
+                yield pd.DataFrame({"scenario": np.repeat(part.scenario.to_numpy(), n_steps), "t": np.tile(np.linspace(0, t_max, n_steps), len(part)), "sensitive": got[:, :, 0].ravel(), "resistant": got[:, :, 1].ravel(), "load": got[:, :, 2].ravel()})
+
+    def by_width(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(list(together([pdf.sort_values("scenario")])))
+
+    width = F.size(F.get("a", F.lit(0))) if given else F.col("n_hosts")
+    dealt = scenarios.withColumns({"_w": width, "_g": F.pmod(F.xxhash64("scenario"), F.greatest(F.lit(1), F.ceil(F.lit(scenarios.count()) / TOGETHER))).cast("int")})
+    return dealt.groupBy("_w", "_g").applyInPandas(by_width, "scenario long, t double, sensitive double, resistant double, load double")
 
 
 def trajectory_metrics(t: DataFrame, by=("scenario",)) -> DataFrame:

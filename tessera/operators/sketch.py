@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,26 @@ def bottom_sketch(hashes: DataFrame, size: int, key: str = "id", h: str = "h") -
     return rows.groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("sketch"))
 
 
+def minhash(df: DataFrame, seq: str, k: int = 21, size: int = 256, keep=("id",)) -> DataFrame:
+    """(keep, sketch): bottom sketches of the mixed codes of each sequence's windows, forward strand; nothing is shuffled.
+
+    A sequence without a window has none.
+    """
+    from . import kmers as Q
+
+    def kernel(data, off):
+        text, _, code = Q.window_codes(data, off, k)
+        order = (_mix64(code.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+        cut, texts, out = np.searchsorted(text, np.arange(len(off))).tolist(), [], []
+        for t, (a, b) in enumerate(zip(cut, cut[1:])):
+            if a < b:
+                texts.append(t)
+                out.append(np.unique(order[a:b])[:size].tolist())
+        return np.array(texts, np.int64), pa.array(out, pa.list_(pa.int64()))
+
+    return Q._mapped(df, seq, keep, [("sketch", T.ArrayType(T.LongType()))], kernel)  # noqa: SLF001
+
+
 def sketch_jaccard(a: Column, b: Column, size: int) -> Column:
     """Share of the union's bottom that both have; 0 where either is empty."""
     bottom = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
@@ -77,24 +98,40 @@ def sketch_pairs(sketches: DataFrame, size: int, least: float, key: str = "id")
     return p.withColumn("j", j).where(F.col("j") >= least).select("a", "b", "j")
 
 
-def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", key: str = "id", most: int = 100) -> DataFrame:
-    """(key, root): least node reachable; nodes without an edge are roots of their own.
+def similar_components(sketches: DataFrame, size: int, least: float, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """(key, root): single-linkage clusters of sketches; equal sketches meet once, however many there are."""
+    same = sketches.groupBy("sketch").agg(F.min(key).alias("_rep"))
+    copies = sketches.join(same, "sketch").where(F.col(key) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(key).alias("b"))
+    pairs = sketch_pairs(same.withColumnRenamed("_rep", key), size, least, key).select("a", "b")
+    return components(pairs.unionByName(copies), nodes, key=key)
 
-    Label propagation with pointer jumping; each round is checkpointed, so a
-    lost executor costs no more than the round.
-    """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            import tempfile
 
-            where = tempfile.mkdtemp(prefix="tessera-")
+def shared_dir(spark) -> str:
+    """Where checkpoints go: the folder that the cluster names; a local one only on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="tessera-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", key: str = "id") -> DataFrame:
+    """(key, root): least node reachable; nodes without an edge are roots of their own.
+
+    Label propagation with pointer jumping until nothing moves; each round is
+    checkpointed, so a lost executor costs no more than the round.
+    """
+    shared_dir(edges.sparkSession)
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    lab = nodes.select(F.col(key).alias("n")).distinct().withColumn("root", F.col("n")).checkpoint()
-    for _ in range(most):
+    # only nodes with an edge take part in the rounds
+    lab = e.select(F.col("u").alias("n")).distinct().withColumn("root", F.col("n")).checkpoint()
+    while True:
         near = e.join(lab.withColumnRenamed("n", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
         new = lab.join(near, lab.n == near.u, "left").select("n", F.least("root", F.coalesce("m", "root")).alias("root"))
         hop = new.select(F.col("n").alias("root"), F.col("root").alias("far"))
@@ -103,7 +140,8 @@ def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", k
         lab = new
         if not moved:
             break
-    return lab.select(F.col("n").alias(key), "root")
+    every = nodes.select(F.col(key).alias("n")).distinct()
+    return every.join(lab, "n", "left").select(F.col("n").alias(key), F.coalesce("root", "n").alias("root"))
 
 
 def feature_hash(h: Column, buckets: int = 65536) -> Column:

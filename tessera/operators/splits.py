@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .series import numbered
 
 
 def eligible_groups(df: DataFrame, group: str, label: str = "label", min_positive: int = 3, min_negative: int = 3) -> DataFrame:
@@ -11,12 +17,35 @@ def eligible_groups(df: DataFrame, group: str, label: str = "label", min_positiv
     return df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")).where((F.col("_p") >= min_positive) & (F.col("_n") >= min_negative)).select(group)
 
 
+def own_folds(df: DataFrame, group: str, **least) -> DataFrame:
+    """df with `fold`: the fold in which a row tests, its own group; null where the group only trains.
+
+    A row trains in every other fold.  That need not be written out: see
+    role_totals() and models.grouped_cv().
+    """
+    ok = eligible_groups(df, group, **least).withColumn("fold", F.col(group))
+    return df.join(ok, group, "left").select(*df.columns, "fold")
+
+
+def role_totals(df: DataFrame, sums: dict[str, Column], fold: str = "fold") -> DataFrame:
+    """(fold, role, sums): totals of the test and training rows of every fold, from one pass: training is all less the own."""
+    own = df.groupBy(fold).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    all_ = own.agg(*[F.sum(n).alias(f"_{n}") for n in sums])  # one row
+    both = own.where(F.col(fold).isNotNull()).crossJoin(F.broadcast(all_))
+    role = lambda r, f: F.struct(F.lit(r).alias("role"), *[f(n).alias(n) for n in sums])
+    x = both.select(fold, F.explode(F.array(role("test", F.col), role("train", lambda n: F.col(f"_{n}") - F.col(n)))).alias("x"))
+    return x.select(fold, "x.*")
+
+
 def leave_one_group_out(df: DataFrame, group: str, row_id: str = "row_id", **least) -> DataFrame:
-    """(fold, row_id, role): a row tests in its own group's fold and trains in all others."""
-    folds = eligible_groups(df, group, **least).select(F.col(group).alias("fold"))
-    # one row a group; Spark broadcasts it only below its own limit
-    rows = df.select(F.col(group).alias("_own"), row_id)
-    return rows.crossJoin(folds).select("fold", row_id, F.when(F.col("_own") == F.col("fold"), "test").otherwise("train").alias("role"))
+    """(fold, row_id, role): a row tests in its own group's fold and trains in all others, written out.
+
+    Rows times folds; what only needs totals or models takes own_folds().
+    """
+    own = own_folds(df, group, **least)
+    folds = F.broadcast(own.where("fold IS NOT NULL").agg(F.sort_array(F.collect_set("fold")).alias("_folds")))  # one row
+    rows = own.crossJoin(folds).select(row_id, F.col("fold").alias("_own"), F.explode("_folds").alias("fold"))
+    return rows.select("fold", row_id, F.when(F.col("_own") == F.col("fold"), "test").otherwise("train").alias("role"))
 
 
 def hash_order(seed: int, column: str):
@@ -26,9 +55,8 @@ def hash_order(seed: int, column: str):
 
 def round_robin_bins(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """(key, bin): distinct keys dealt in a seeded order."""
-    keys = df.select(key).distinct()
-    w = Window.orderBy(hash_order(seed, key), key)
-    return keys.withColumn("bin", ((F.row_number().over(w) - 1) % n).cast("int"))
+    keys = df.select(key).distinct().withColumn("_o", hash_order(seed, key))
+    return numbered(keys, ("_o", key), "bin").select(key, (F.col("bin") % n).cast("int").alias("bin"))
 
 
 def dual_cold_start(df: DataFrame, a: str, b: str, n: int, seed: int, label: str = "label", row_id: str = "row_id", min_positive: int = 1, min_negative: int = 1) -> DataFrame:
@@ -66,23 +94,28 @@ def leakage_audit(df: DataFrame, cluster: str, group: str) -> DataFrame:
 def group_k_fold(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): largest group first onto the lightest fold.
 
-    The assignment is sequential over groups, so sizes (one row a group) come to
-    the driver; rows never do.
+    The assignment is sequential over groups: one task takes their sizes, one row
+    a group in order, and holds k loads.
     """
-    sizes = sorted(((r[group], r.n) for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[1], str(x[0])))
-    load, out = [0] * k, []
-    for g, n in sizes:
-        i = min(range(k), key=lambda j: (load[j], j))
-        load[i] += n
-        out.append((g, i))
-    return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(F.desc("n"), F.col(group).cast("string"))
+
+    def deal(batches):
+        load = [(0, i) for i in range(k)]
+        for batch in batches:
+            out = []
+            for n in batch.column(1).to_pylist():
+                total, i = load[0]
+                heapq.heapreplace(load, (total + n, i))
+                out.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=[group, "fold"])
+
+    return sizes.mapInArrow(deal, T.StructType([sizes.schema[group], T.StructField("fold", T.IntegerType())]))
 
 
 def stratified_group_fold(df: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups in a seeded order within their positive share, dealt in turn."""
-    g = df.groupBy(group).agg(F.avg(label).alias("rate"))
-    w = Window.orderBy(F.round("rate", 3), hash_order(seed, group), group)
-    return g.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).select(group, "fold")
+    g = df.groupBy(group).agg(F.round(F.avg(label), 3).alias("_rate")).withColumn("_o", hash_order(seed, group))
+    return numbered(g, ("_rate", "_o", group), "fold").select(group, (F.col("fold") % k).cast("int").alias("fold"))
 
 
 def inner_validation(df: DataFrame, label: str, row_id: str, share: float, seed: int) -> DataFrame:

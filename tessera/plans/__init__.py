@@ -1,9 +1,9 @@
 """Named queries over the driver tables, each with its SQL twin where one exists."""
 
-from . import composites, evaluation, modelling, pairs, relations, sequences
+from . import composites, drivers, evaluation, modelling, pairs, relations, sequences
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "composites", "evaluation", "flagship", "modelling", "pairs", "relations", "sequences"]
+__all__ = ["ORACLE_SQL", "QUERIES", "composites", "drivers", "evaluation", "flagship", "modelling", "pairs", "relations", "sequences"]
 
 
 def flagship(spark, sf_dir):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import cover as V
 from ..operators import inference as I
 from ..operators import joins as J
-from ..operators import kmers as Q
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import series as O
@@ -17,8 +16,7 @@ from ..operators import splits as S
 from ..session import table
 from .base import SCORED, query, scored
 from .evaluation import _AP, _AUC, _EDGES, _T, _weights, edges
-from .modelling import _FEATS, regional
-from .sequences import bench_seqs, pairs, seqs
+from .modelling import _FEATS
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -59,36 +57,20 @@ def _(s, d):
     return table(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 3), ",").alias("top"))
 
 
-@query("h06_node_vectors")
-def _(s, d):
-    x = seqs(s, d).where("s IS NOT NULL")
-    spec = Q.spectrum(x, "s", 4).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("spectrum"))
-    return x.join(spec, "id", "left").select("id", F.size("spectrum").alias("classes"), R(Q.gc_content(F.col("s"))).alias("gc"), R(Q.log_length(F.col("s"))).alias("log_len"))
-
-
-@query("h14_spacer_matches")
-def _(s, d):
-    b = bench_seqs(s, d)
-    sp = Q.repeat_spacers(seqs(s, d).where("s IS NOT NULL"), "s", k=11)
-    return Q.spacer_matches(sp, b, pairs(s, d), "s", 12)
-
-
-@query("h18_protein_homology")
-def _(s, d):
-    return Q.protein_homology(seqs(s, d).where("s IS NOT NULL"), bench_seqs(s, d), pairs(s, d), "s", 5, 20)
-
-
 @query("h22_jaccard_threshold", "SELECT round(exp(-21 * 0.05) / (2 - exp(-21 * 0.05)), 6) AS j")
 def _(s, d):
     return s.range(1).select(F.round(F.lit(Z.jaccard_threshold(0.05, 21)), 6).alias("j"))
 
 
-@query("i11_paired_bootstrap", f"""
-WITH s AS ({SCORED}), {_weights('s', 'grp', 30, 11, 'w')}, r AS (SELECT replicate, label, p, p2, w FROM s JOIN w USING (grp)),
-{_T.format(k='replicate', p='p', w='w', src='r').replace('t AS', 't1 AS').replace('FROM t)', 'FROM t1)').replace('u AS', 'u1 AS')}, {_T.format(k='replicate', p='p2', w='w', src='r').replace('t AS', 't2 AS').replace('FROM t)', 'FROM t2)').replace('u AS', 'u2 AS')},
-a AS (SELECT replicate, {_AUC} AS a FROM u1 GROUP BY 1), b AS (SELECT replicate, {_AUC} AS b FROM u2 GROUP BY 1) SELECT CAST(replicate AS INTEGER) AS replicate, round(a - b, 6) AS diff FROM a JOIN b USING (replicate)""")
+def _areas(n: str, score: str) -> str:
+    """Areas ({n}: replicate, {n}) under the weights w of clusters."""
+    t = _T.format(k="replicate", p="p", w="w", src=f"r{n}").replace("t AS", f"t{n} AS").replace("FROM t)", f"FROM t{n})").replace("u AS", f"u{n} AS")
+    return f"r{n} AS (SELECT replicate, label, p, w * n AS w FROM (SELECT grp, label, {score} AS p, count(*) AS n FROM s GROUP BY ALL) c JOIN w USING (grp)), {t}, {n} AS (SELECT replicate, {_AUC} AS {n} FROM u{n} GROUP BY 1)"
+
+
+@query("i11_paired_bootstrap", f"WITH s AS ({SCORED}), {_weights('s', 'grp', 2000, 11, 'w')}, {_areas('a', 'p')}, {_areas('b', 'p2')} SELECT CAST(replicate AS INTEGER) AS replicate, round(a - b, 6) AS diff FROM a JOIN b USING (replicate)")
 def _(s, d):
-    return I.paired_bootstrap(scored(s, d), "grp", "label", "p", "p2", 30, 11).select("replicate", R("diff").alias("diff"))
+    return I.paired_bootstrap(scored(s, d), "grp", "label", "p", "p2", 2000, 11).select("replicate", R("diff").alias("diff"))
 
 
 @query("i12_qvalues_of_groups", f"""
@@ -101,17 +83,16 @@ def _(s, d):
 
 @query("j02_exact_min_cover")
 def _(s, d):
-    few = edges(s, d).join(edges(s, d).groupBy("target").agg(F.count("*").alias("n")).orderBy("n", "target").limit(12).select("target"), "target", "left_semi")
-    items, status = V.exact_min_cover(few, nodes=20_000)
-    return s.createDataFrame([(x, len(items), status) for x in items], "item string, size int, status string")
+    items, status, bound = V.exact_min_cover(edges(s, d), nodes=300)
+    return s.createDataFrame([(x, len(items), status, bound) for x in items], "item string, size int, status string, bound int")
 
 
 @query("j06_random_cover", f"""
-WITH e AS ({_EDGES}), i AS (SELECT DISTINCT item FROM e), o AS (SELECT replicate, item, row_number() OVER (PARTITION BY replicate ORDER BY sha256('5|' || CAST(replicate AS VARCHAR) || '|' || item), item) - 1 AS step FROM i, range(10) r(replicate)),
+WITH e AS ({_EDGES}), i AS (SELECT DISTINCT item FROM e), o AS (SELECT replicate, item, row_number() OVER (PARTITION BY replicate ORDER BY sha256('5|' || CAST(replicate AS VARCHAR) || '|' || item), item) - 1 AS step FROM i, range(50) r(replicate)),
 f AS (SELECT replicate, target FROM e JOIN o USING (item) WHERE step < 20 GROUP BY 1, 2) SELECT CAST(replicate AS INTEGER) AS replicate, count(*) AS covered FROM f GROUP BY 1""")
 def _(s, d):
     e = edges(s, d)
-    o = e.select("item").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    o = e.select("item").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(49))))
     order = F.sha2(F.concat_ws("|", F.lit("5"), F.col("replicate").cast("string"), "item"), 256)
     o = O.top_k(o, ["replicate"], [order, F.col("item")], 20)
     return o.join(e, "item").select("replicate", "target").distinct().groupBy("replicate").agg(F.count("*").alias("covered"))
@@ -164,21 +145,21 @@ def _(s, d):
     return L.inner_choice(scored(s, d), "grp", {"p": "first", "p2": "second"}, "label").select("candidate", R("ap").alias("ap"))
 
 
-@query("m17_importance_rollup")
-def _(s, d):
-    imp = L.forest_importance(scored(s, d), _FEATS, "label", 10)
-    rows = s.createDataFrame(imp, "feature string, gain double")
-    fam = F.when(F.startswith("feature", F.lit("k")), "kmer").otherwise("other")
-    return rows.groupBy(fam.alias("family")).agg(R(F.sum("gain")).alias("share"))
+def gains(s, d):
+    """(feature, gain): shares of the boosted trees' gain."""
+    import pickle
 
+    from ..operators.boosting import Boosting
 
-@query("q02_baseline_regimes")
+    a = L.fit_once(scored(s, d), _FEATS, Boosting(trees=100)).first()
+    gain = pickle.loads(a.model)["gain"]
+    return s.createDataFrame([(f, float(g / max(gain.sum(), 1e-12))) for f, g in zip(a.features, gain)], "feature string, gain double")
+
+
+@query("m17_importance_rollup")
 def _(s, d):
-    rows, folds = regional(s, d)
-    p = L.grouped_cv(rows, folds, _FEATS, L.logistic_model())
-    per = M.ranking(p, ("fold",))
-    pooled = M.ranking(p).select(F.col("auroc").alias("pooled"))
-    return per.agg(F.count("auroc").alias("folds"), R(F.avg("auroc"), 4).alias("mean")).crossJoin(pooled.select(R("pooled", 4).alias("pooled")))
+    fam = F.when(F.startswith("feature", F.lit("k")), "kmer").otherwise("other")
+    return gains(s, d).groupBy(fam.alias("family")).agg(R(F.sum("gain")).alias("share"))
 
 
 @query("q04_leakage_regimes", f"""

@@ -65,11 +65,11 @@ def _weights(src: str, key: str, reps: int, seed: int, name: str) -> str:
 
 
 @query("i07_cluster_bootstrap", f"""
-WITH s AS ({SCORED}), {_weights('s', 'grp', 100, 42, 'w')}, per AS (SELECT grp, sum(p) AS s, count(p) AS c FROM s GROUP BY grp),
+WITH s AS ({SCORED}), {_weights('s', 'grp', 2000, 42, 'w')}, per AS (SELECT grp, sum(p) AS s, count(p) AS c FROM s GROUP BY grp),
 m AS (SELECT replicate, sum(w * s) / sum(w * c) AS m FROM w JOIN per USING (grp) GROUP BY replicate)
 SELECT round((SELECT avg(p) FROM s), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def _(s, d):
-    return I.bootstrap_mean(scored(s, d), "p", "grp", 100, 42).select(*[R(c).alias(c) for c in ("mean", "lo", "hi")])
+    return I.bootstrap_mean(scored(s, d), "p", "grp", 2000, 42).select(*[R(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
 _PLACE = f"""
@@ -86,9 +86,23 @@ def _(s, d):
     return I.delong(scored(s, d), "row_id", "label", "p", "p2").select(R("auc1").alias("auc1"), R("auc2").alias("auc2"), R(F.col("var") * 1000000, 4).alias("var_e6"), R("z", 4).alias("z"))
 
 
-@query("i09_permutation_test")
+def _permuted(src: str, by: str, reps: int, seed: int) -> str:
+    """Rows ({by}, auroc, p) of a label permutation test in each group."""
+    return f"""
+WITH s AS ({src}), r AS (SELECT {by} AS g, row_id, label, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2 AS r FROM s),
+n AS (SELECT g, sum(label)::DOUBLE AS m, sum(1 - label)::DOUBLE AS n, sum(CASE WHEN label = 1 THEN r END) AS own FROM r GROUP BY g),
+x AS (SELECT g, replicate, r, row_number() OVER (PARTITION BY g, replicate ORDER BY sha256('{seed}|' || CAST(replicate AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)), row_id) AS k FROM r, range({reps}) t(replicate)),
+q AS (SELECT g, replicate, (sum(CASE WHEN k <= m THEN r END) - any_value(m * (m + 1) / 2)) / any_value(m * n) AS perm FROM x JOIN n USING (g) GROUP BY 1, 2)
+SELECT g AS {by}, any_value((own - m * (m + 1) / 2) / (m * n)) AS auroc, (count_if(round(perm, 9) >= round((own - m * (m + 1) / 2) / (m * n), 9)) + 1) / (count(*) + 1) AS p FROM q JOIN n USING (g) GROUP BY g"""
+
+
+#: Label permutations: each is an order of all rows, unlike the bootstraps, whose weights go by cluster.
+PERMUTATIONS = 99
+
+
+@query("i09_permutation_test", f"SELECT round(auroc, 6) AS auroc, round(p, 6) AS p FROM ({_permuted(f'SELECT *, 0 AS one FROM ({SCORED}) y', 'one', PERMUTATIONS, 42)}) z")
 def _(s, d):
-    return I.permutation_auroc(scored(s, d), "row_id", "label", "p", 20, 42)
+    return I.permutation_auroc(scored(s, d), "row_id", "label", "p", PERMUTATIONS, 42).select(R("auroc").alias("auroc"), R("p").alias("p"))
 
 
 @query("i10_mcnemar", f"""SELECT CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round(CASE WHEN b + c < 25 THEN least(b, c) ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END, 6) AS stat FROM (
@@ -109,18 +123,19 @@ def _(s, d):
 
 
 @query("i15_two_way_bootstrap", f"""
-WITH s AS ({SCORED}), {_weights('s', 'grp', 20, 7, 'wa')}, {_weights('s', 'study', 20, 8, 'wb')}, b AS (SELECT replicate, label, p, wa.w * wb.w AS w FROM s JOIN wa USING (grp) JOIN wb USING (replicate, study)),
+WITH s AS ({SCORED}), {_weights('s', 'grp', 2000, 7, 'wa')}, {_weights('s', 'study', 2000, 8, 'wb')}, c AS (SELECT grp, study, label, p, count(*) AS n FROM s GROUP BY ALL),
+b AS (SELECT replicate, label, p, wa.w * wb.w * c.n AS w FROM c JOIN wa USING (grp) JOIN wb USING (replicate, study)),
 {_T.format(k='replicate', p='p', w='w', src='b')} SELECT CAST(replicate AS INTEGER) AS replicate, round({_AUC}, 6) AS auroc, round({_AP}, 6) AS ap FROM u GROUP BY replicate""")
 def _(s, d):
-    return I.two_way_bootstrap(scored(s, d), "grp", "study", "label", "p", 20, 7).select("replicate", R("auroc").alias("auroc"), R("ap").alias("ap"))
+    return I.two_way_bootstrap(scored(s, d), "grp", "study", "label", "p", 2000, 7).select("replicate", R("auroc").alias("auroc"), R("ap").alias("ap"))
 
 
 @query("i17_group_difference", f"""
-WITH s AS ({SCORED}), {_weights('s', 'grp', 100, 9, 'w')}, per AS (SELECT grp, sum(p - p2) AS s, count(*) AS c FROM s GROUP BY grp), m AS (SELECT replicate, sum(w * s) / sum(w * c) AS m FROM w JOIN per USING (grp) GROUP BY replicate)
+WITH s AS ({SCORED}), {_weights('s', 'grp', 5000, 9, 'w')}, per AS (SELECT grp, sum(p - p2) AS s, count(*) AS c FROM s GROUP BY grp), m AS (SELECT replicate, sum(w * s) / sum(w * c) AS m FROM w JOIN per USING (grp) GROUP BY replicate)
 SELECT round((SELECT avg(p - p2) FROM s), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def _(s, d):
     r = scored(s, d).withColumn("diff", F.col("p") - F.col("p2"))
-    return I.bootstrap_mean(r, "diff", "grp", 100, 9).select(*[R(c).alias(c) for c in ("mean", "lo", "hi")])
+    return I.bootstrap_mean(r, "diff", "grp", 5000, 9).select(*[R(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
 @query("i18_entity_auroc_summary", f"""WITH s AS ({SCORED}), {_T.format(k='host', p='p', w='1', src='s')}, r AS (SELECT host, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {_AUC} END AS auroc FROM u GROUP BY host)
@@ -158,9 +173,8 @@ def _(s, d):
 
 @query("j03_exact_budget_cover")
 def _(s, d):
-    e = edges(s, d).join(edges(s, d).groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(40), "item")
-    items, n, status = V.exact_max_cover(e, 4)
-    return s.createDataFrame([(x, n, status) for x in items], "item string, covered int, status string")
+    items, n, status, bound = V.exact_max_cover(edges(s, d), 4, 5_000)
+    return s.createDataFrame([(x, n, status, bound) for x in items], "item string, covered int, status string, bound int")
 
 
 _CHOSEN = f"SELECT item, row_number() OVER (ORDER BY n DESC, item) - 1 AS step FROM (SELECT item, count(*) AS n FROM ({_EDGES}) e GROUP BY item ORDER BY n DESC, item LIMIT 20) x"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
+from ..operators import graphnet as G
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import series as O
@@ -73,17 +75,17 @@ def _(s, d):
 
 
 def regional(s, d):
-    rows = scored(s, d).withColumn("fold", F.col("region").cast("string"))
-    return rows, S.leave_one_group_out(rows, "fold")
+    """Scored pairs with the fold in which each tests: its region."""
+    return S.own_folds(scored(s, d).withColumn("_region", F.col("region").cast("string")), "_region").drop("_region")
 
 
 @query("m07_fold_scaling", f"""
 WITH s AS ({SCORED}), f AS (SELECT DISTINCT CAST(region AS VARCHAR) AS fold FROM s), m AS (SELECT fold, avg(gcdiff) AS mu, stddev_pop(gcdiff) AS sd FROM f JOIN s ON CAST(region AS VARCHAR) <> fold GROUP BY fold)
 SELECT fold, count(*) AS n, round(avg((gcdiff - mu) / sd), 6) AS mean, round(stddev_pop((gcdiff - mu) / sd), 6) AS std FROM m JOIN s ON CAST(region AS VARCHAR) = fold GROUP BY fold""")
 def _(s, d):
-    rows, folds = regional(s, d)
-    z = L.scaled(folds.join(rows.select("row_id", "gcdiff"), "row_id"), ["gcdiff"])
-    return z.where("role = 'test'").groupBy("fold").agg(F.count("*").alias("n"), R(F.avg("gcdiff")).alias("mean"), R(F.stddev_pop("gcdiff")).alias("std"))
+    rows = regional(s, d)
+    z = rows.join(L.fold_scales(rows, ["gcdiff"]), "fold").withColumn("z", (F.col("gcdiff") - F.col("means")[0]) / F.col("deviations")[0])
+    return z.groupBy("fold").agg(F.count("*").alias("n"), R(F.avg("z")).alias("mean"), R(F.stddev_pop("z")).alias("std"))
 
 
 @query("m09_rare_pooling", "SELECT CASE WHEN n >= 30 THEN p_type ELSE '(rare)' END AS p_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1) x GROUP BY 1")
@@ -97,40 +99,73 @@ def _(s, d):
     return L.rank_average(scored(s, d), ("region",), "p", "p2").select("row_id", R("ensemble").alias("ensemble"))
 
 
-@query("m12_prevalence_shrinkage", f"WITH s AS ({SCORED}), v AS (SELECT phage, avg(label) AS prev FROM s GROUP BY phage) SELECT row_id, alpha, round((alpha * p + (1 - alpha) * prev) * 0.7770317::DOUBLE, 6) AS p FROM s JOIN v USING (phage), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(alpha)")
+@query("m12_prevalence_shrinkage", f"WITH s AS ({SCORED}), v AS (SELECT phage, avg(label) AS prev FROM s GROUP BY phage) SELECT row_id, alpha, round(alpha * p + (1 - alpha) * prev, 9) AS p FROM s JOIN v USING (phage), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(alpha)")
 def _(s, d):
     r = scored(s, d)
     prev = r.groupBy("phage").agg(F.avg("label").alias("prev"))
-    return L.shrink(r.join(prev, "phage"), "p", "prev").select("row_id", "alpha", R(F.col("p") * 0.7770317).alias("p"))
+    return L.shrink(r.join(prev, "phage"), "p", "prev").select("row_id", "alpha", R("p", 9).alias("p"))
 
 
 @query("m15_threshold_choice", f"""
-WITH s AS ({SCORED}), g AS (SELECT CAST(x AS DOUBLE) / 10 AS t FROM range(1, 10) r(x)), f AS (SELECT region, t, 2.0::DOUBLE * count_if(p >= t AND label = 1) / (count_if(p >= t) + count_if(label = 1)) AS f1 FROM s, g GROUP BY 1, 2)
+WITH s AS ({SCORED}), g AS (SELECT CAST(x AS DOUBLE) / 50 AS t FROM range(5, 46) r(x)), f AS (SELECT region, t, 2.0::DOUBLE * count_if(p >= t AND label = 1) / (count_if(p >= t) + count_if(label = 1)) AS f1 FROM s, g GROUP BY 1, 2)
 SELECT region, t, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(f1, 9) DESC, t) AS r FROM f) x WHERE r = 1""")
 def _(s, d):
-    f = L.threshold_sweep(scored(s, d), ("region",), "label", "p", [i / 10 for i in range(1, 10)])
+    f = L.threshold_sweep(scored(s, d), ("region",), "label", "p", [i / 50 for i in range(5, 46)])
     return O.argbest(f.withColumn("f1", F.round("f1", 9)), ["region"], "f1", "t").select("region", "t", R("f1").alias("f1"))
 
 
+def _by_fold(p):
+    return M.ranking(p, ("fold",)).select("fold", "n_pos", "n_neg", R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+
+
 @query("m14_logistic_cv")
 def _(s, d):
-    rows, folds = regional(s, d)
-    p = L.grouped_cv(rows, folds, _FEATS, L.logistic_model())
-    return M.ranking(p, ("fold",)).select("fold", "n_pos", "n_neg", R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+    return _by_fold(L.grouped_cv(regional(s, d), _FEATS, L.Logistic()))
 
 
 @query("m04_network_cv")
 def _(s, d):
-    rows, folds = regional(s, d)
-    p = L.grouped_cv(rows, folds, _FEATS, L.mlp_model(epochs=30))
-    return M.ranking(p, ("fold",)).select("fold", "n_pos", "n_neg", R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+    return _by_fold(L.grouped_cv(regional(s, d), _FEATS, L.Network(epochs=30), sample=20_000))
+
+
+def across(s, d, model, features=_FEATS, sample=L.TRAIN_ROWS):
+    """Scores of one study by a model of the other."""
+    r = scored(s, d)
+    return L.score_with(L.fit_once(r.where("study = 'F'"), features, model, sample=sample), r.where("study = 'O'").drop("p"))
 
 
 @query("m01_boosted_trees")
 def _(s, d):
-    r = scored(s, d)
-    p = L.gbt_predictions(r.where("study = 'F'"), r.where("study = 'O'"), _FEATS, trees=5)
-    return M.ranking(p, (), "label").select(R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+    return M.ranking(across(s, d, B.Boosting()), (), "label").select(R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+
+
+@query("m02_tuned_boosting")
+def _(s, d):
+    p = across(s, d, B.Tuned(), sample=5_000)
+    one = M.ranking(p, (), "label").select(R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
+    return one.crossJoin(F.broadcast(M.ece(p, (), "label").select(R("ece", 4).alias("ece"))))  # one row each
+
+
+def nodes(s, d):
+    """(id, v): what is known of each end by itself."""
+    v = lambda *c: F.array(*[F.col(x).cast("double") if isinstance(x, str) else F.lit(float(x)) for x in c]).alias("v")
+    part = table(s, d, "part").select(F.concat(F.lit("nc "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".1")).alias("id"), v(1, "p_size", "p_retailprice", 0, 0))
+    return part.unionByName(table(s, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("id"), v(0, 0, 0, "s_acctbal", "s_nationkey")))
+
+
+def graph_scores(s, d, graph: bool, rows=None, sample=5_000):
+    rows = regional(s, d) if rows is None else rows
+    return L.graph_cv(rows, "phage", "host", nodes(s, d), _FEATS, G.GraphNet(epochs=30, graph=graph), sample=sample)
+
+
+@query("m05_graph_network")
+def _(s, d):
+    return _by_fold(graph_scores(s, d, True))
+
+
+@query("m06_no_graph")
+def _(s, d):
+    return _by_fold(graph_scores(s, d, False))
 
 
 @query("i21_isotonic_calibration")

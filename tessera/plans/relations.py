@@ -73,30 +73,24 @@ SELECT a.vec_id AS q, b.vec_id AS t, round(1 - list_cosine_similarity(CAST(a.emb
 FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id"""
 
 
-def distances(s, d):
+def distances(s, d, **bounds):
     """Cosine distance from every 20th vector, the stated query set, to all others."""
     e = table(s, d, "embeddings")
-    v = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    v = v.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    # vec_id % 20 = 0 is the stated query set; the other side is every row
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    t = v.select(F.col("vec_id").alias("t"), "v", "n")
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return t.join(q, F.col("q") != F.col("t")).select("q", "t", F.round(1 - dot / (F.col("qn") * F.col("n")), 6).alias("d"))
+    return J.query_distances(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", **bounds)
 
 
 @query("c09_nearest_neighbour", f"SELECT q, min(d) AS d FROM ({_COS}) x GROUP BY q")
 def _(s, d):
-    return distances(s, d).groupBy("q").agg(F.min("d").alias("d"))
+    return distances(s, d, nearest=1).select("q", "d")
 
 
 @query("c10_knn_vote", f"""
 SELECT q, round(sum(y / greatest(d, 1e-6)) / sum(1 / greatest(d, 1e-6)), 6) AS p FROM (
  SELECT q, d, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY q ORDER BY d, t) AS r FROM ({_COS}) x JOIN embeddings e ON e.vec_id = t) k WHERE r <= 20 GROUP BY q""")
 def _(s, d):
-    train = table(s, d, "embeddings").select(F.col("vec_id").alias("t"), (F.col("label") < 5).cast("int").alias("y"), F.col("vec_id").alias("pos"))
-    dist = distances(s, d)
-    return J.knn(dist.select("q"), train, dist, 20, 0.5).select("q", R("p").alias("p"))
+    e = table(s, d, "embeddings")
+    train = e.select(F.col("vec_id").alias("t"), (F.col("label") < 5).cast("int").alias("y"), F.col("vec_id").alias("pos"))
+    return J.knn(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q")), train, distances(s, d, nearest=20), 20, 0.5).select("q", R("p").alias("p"))
 
 
 @query("c11_membership_mark", "SELECT event_id, user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS hit FROM events")
@@ -359,13 +353,12 @@ _ELIG = f"s AS ({SCORED}), e AS (SELECT grp AS fold FROM s GROUP BY grp HAVING c
 
 @query("k01_leave_one_group_out", f"WITH {_ELIG} SELECT fold, CASE WHEN grp = fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM s, e GROUP BY 1, 2")
 def _(s, d):
-    f = S.leave_one_group_out(scored(s, d), "grp")
-    return f.groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+    return S.role_totals(S.own_folds(scored(s, d), "grp"), {"n": F.lit(1), "ids": F.col("row_id")})
 
 
 @query("k02_cross_study", f"WITH s AS ({CANON}), e AS (SELECT study AS fold FROM s GROUP BY study HAVING count_if(label = 1) >= 3 AND count_if(label = 0) >= 3) SELECT fold, CASE WHEN study = fold THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM s, e GROUP BY 1, 2")
 def _(s, d):
-    return S.leave_one_group_out(canon(s, d), "study").groupBy("fold", "role").agg(F.count("*").alias("n"))
+    return S.role_totals(S.own_folds(canon(s, d), "study"), {"n": F.lit(1)})
 
 
 _DUAL = f"""
@@ -388,7 +381,11 @@ def _(s, d):
     return S.overlap_of_roles(S.dual_cold_start(c, "phage", "host", 5, 42), c, "host")
 
 
-@query("k06_group_k_fold")
+@query("k06_group_k_fold", f"""
+WITH RECURSIVE g AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp) AS r FROM (SELECT grp, count(*) AS n FROM ({SCORED}) s GROUP BY 1) x),
+w AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS grp, CAST(0 AS INTEGER) AS fold, list_transform(range(10), lambda x: CAST(0 AS BIGINT)) AS load
+ UNION ALL SELECT g.r, g.grp, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + g.n ELSE x END) FROM w JOIN g ON g.r = w.r + 1)
+SELECT grp, fold FROM w WHERE r > 0""")
 def _(s, d):
     return S.group_k_fold(scored(s, d), "grp", 10)
 

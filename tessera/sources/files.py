@@ -84,3 +84,15 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_bundle(arrays: dict[str, DataFrame], path: str) -> None:
+    """Named tables of (id, v array) as one Parquet table, a folder a name."""
+    for i, (name, df) in enumerate(sorted(arrays.items())):
+        df.select(F.lit(name).alias("name"), "id", "v").write.partitionBy("name").mode("append" if i else "overwrite").parquet(path)
+
+
+def read_bundle(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """(name, id, v) of a bundle, or of some names, whose folders alone are read."""
+    t = spark.read.parquet(path)
+    return t.where(F.col("name").isin(*names)) if names else t

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.config import SimulationConfig
 from tessera.functions import names as N
 from tessera.functions import tails
-from tessera.operators import canonical, cover, inference, joins, kmers, metrics, models, series, simulate, sketch, splits
+from tessera.operators import boosting, canonical, cover, graphnet, inference, joins, kmers, metrics, models, series, simulate, sketch, splits
 from tessera.sources import files, manifest
 
 
@@ -147,7 +147,8 @@ def test_cover(spark):
     e = spark.createDataFrame([("p0", "h0"), ("p0", "h1"), ("p1", "h1"), ("p1", "h2"), ("p2", "h2")], "item string, target string")
     assert [i for i, _ in cover.greedy_cover(e)] == ["p0", "p1"]
     assert sorted(i for i, _ in cover.greedy_cover(e, 2)) == ["p0", "p1", "p2"]
-    assert cover.exact_min_cover(e) == (["p0", "p1"], "optimal")
+    assert cover.exact_min_cover(e) == (["p0", "p1"], "optimal", 2)
+    assert cover.exact_min_cover(e, 2)[:2] == (["p0", "p1", "p2"], "optimal")
     rng = np.random.default_rng(0)
     e = spark.createDataFrame([(f"p{a}", f"h{b}") for a, b in rng.integers(0, 12, (60, 2))], "item string, target string").distinct()
     greedy = cover.greedy_cover(e, 1, 3)
@@ -155,6 +156,28 @@ def test_cover(spark):
     assert len(cover.exact_min_cover(e)[0]) <= len(cover.greedy_cover(e))
 
 
+def test_exact_covers_against_all_choices(spark, monkeypatch):
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for trial in range(6):
+        pairs = {(f"p{a}", f"h{b}") for a, b in rng.integers(0, 9, (8 + 4 * trial, 2)).tolist()}
+        e = spark.createDataFrame(sorted(pairs), "item string, target string")
+        items, targets = sorted({a for a, _ in pairs}), {b for _, b in pairs}
+        have = {t: sum(b == t for _, b in pairs) for t in targets}
+        for k in (1, 2):
+            fits = lambda c: all(sum((i, t) in pairs for i in c) >= min(k, have[t]) for t in targets)  # noqa: E731, B023
+            least = next(n for n in range(len(items) + 1) if any(fits(c) for c in itertools.combinations(items, n)))
+            chosen, status, bound = cover.exact_min_cover(e, k)
+            assert (len(chosen), status, bound) == (least, "optimal", least) and fits(chosen)
+            assert cover.exact_min_cover(e, k, nodes=0)[2] <= least
+        most = max(len({b for a, b in pairs if a in c}) for c in itertools.combinations(items, min(3, len(items))))
+        chosen, n, status, bound = cover.exact_max_cover(e, 3)
+        assert (n, status, bound) == (most, "optimal", most) and len({b for a, b in pairs if a in chosen}) == most
+    monkeypatch.setattr(cover, "EXACT_EDGES", 3)
+    assert cover.exact_min_cover(e)[1] == cover.exact_max_cover(e, 2)[2] == "greedy"
+
+
 def test_simulation():
     assert SimulationConfig().n_steps == 193
     assert [simulate.effective_rate(1e-7, a, 2) for a in (0, 0.5, 1)] == pytest.approx([1e-7, 10**-10.5, 1e-14])
@@ -180,9 +203,122 @@ def test_logo_and_cold_start(spark):
 
 
 def test_scaling_uses_training_only(spark):
-    df = spark.createDataFrame([("f", "train", 1.0), ("f", "train", 3.0), ("f", "test", 100.0), ("f", "test", None)], "fold string, role string, x double")
-    got = {(r.role, r.x) for r in models.scaled(df, ["x"]).collect()}
-    assert got == {("train", -1.0), ("train", 1.0), ("test", 98.0), ("test", 0.0)}
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("f", 100.0), ("f", None)], "fold string, x double")
+    r = models.fold_scales(df, ["x"]).first()
+    assert (r.fold, r.means, r.deviations) == ("f", [2.0], [1.0])
+    assert models._scaled_rows(np.array([[100.0], [np.nan]]), r.means, r.deviations).ravel().tolist() == [98.0, 0.0]
+
+
+def learnable(spark, n=400):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n, 2))
+    y = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    rows = [(i, f"g{i % 4}", int(y[i]), float(x[i, 0]), float(x[i, 1]), f"a{i % 20}", f"b{i % 30}") for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, g string, label int, x double, z double, a string, b string")
+
+
+@pytest.mark.parametrize("model", [models.Logistic(), models.Network((16, 8), epochs=40, rate=1e-2), boosting.Boosting(trees=40), boosting.Tuned(tuple(boosting.Boosting(trees=40, depth=d, patience=5) for d in (1, 3)))])
+def test_grouped_models(spark, model, monkeypatch):
+    monkeypatch.setattr(models, "SCORE_ROWS", 30)  # several tasks score a fold
+    rows = splits.own_folds(learnable(spark), "g")
+    p = models.grouped_cv(rows, ["x", "z"], model)
+    assert p.count() == 400 and p.select("row_id").distinct().count() == 400
+    assert all(r.auroc > 0.9 for r in metrics.ranking(p, ("fold",)).collect())
+    few = models.grouped_cv(rows, ["x", "z"], model, sample=200)
+    assert few.count() == 400
+
+
+def test_artifact_round_trip(spark, tmp_path):
+    rows = learnable(spark)
+    a = models.fit_once(rows, ["x", "z"], boosting.Boosting(trees=30))
+    files.write_table(a, str(tmp_path / "model"))
+    back = files.read_table(spark, str(tmp_path / "model"))
+    assert metrics.ranking(models.score_with(back, rows), (), "label").first().auroc > 0.95
+    assert models.score_with(back, rows.drop("z")).where("p IS NULL").count() == 0
+    with pytest.raises(ValueError, match="not the one"):
+        models.score_with(back.withColumn("sha256", F.lit("0")), rows)
+
+
+def test_graph_network_uses_edges(spark):
+    """Labels that follow hidden classes of both ends show in the graph alone."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i, (a, b) in enumerate((a, b) for a in range(30) for b in range(30)):
+        rows.append((i, f"g{rng.integers(3)}", int((a % 2) == (b % 2)), 0.0, f"a{a}", f"b{b}"))
+    df = splits.own_folds(spark.createDataFrame(rows, "row_id long, g string, label int, x double, a string, b string"), "g")
+    nodes = spark.createDataFrame([(f"{s}{i}", rng.normal(size=8).tolist()) for s in "ab" for i in range(30)], "id string, v array<double>")
+    auc = {}
+    for graph in (True, False):
+        p = models.graph_cv(df, "a", "b", nodes, ["x"], graphnet.GraphNet(epochs=120, graph=graph))
+        assert p.count() == 900
+        auc[graph] = metrics.ranking(p).first().auroc
+    assert auc[True] > 0.7
+
+
+def test_boosting_against_plain_split():
+    """One tree of depth 1 takes the split of largest gain."""
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    m = boosting.Boosting(trees=1, depth=1, rows=1, columns=1, rate=1, least=0).fit(x, np.array([0, 0, 1, 1.0]))
+    assert m["feature"].tolist() == [[0]] and 1 <= m["threshold"][0, 0] < 2
+    assert m["leaf"].tolist() == [pytest.approx([-1 / 1.5, 1 / 1.5])]
+    p = boosting.Boosting(trees=1, depth=1, rows=1, columns=1, rate=1, least=0).predict(m, np.array([[0.5], [9.0], [np.nan]]))
+    assert p[0] < 0.5 < p[1] and p[2] == p[0]
+
+
+def test_isotonic():
+    x, level = boosting.isotonic_fit(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
+    assert level.tolist() == [0, 0.5, 0.5, 1] and x.tolist() == [0.1, 0.2, 0.3, 0.4]
+
+
+def test_running_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    v = rng.permutation(500).tolist()
+    got = series.running(spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x int").repartition(7), ("i",), {"s": ("sum", F.col("x")), "m": ("min", F.col("x")), "n": ("max", F.col("x"))}).orderBy("i").collect()
+    assert [r.s for r in got] == np.cumsum(v).tolist()
+    assert [r.m for r in got] == np.minimum.accumulate(v).tolist() and [r.n for r in got] == np.maximum.accumulate(v).tolist()
+    assert [r.k for r in series.numbered(spark.createDataFrame([(x,) for x in v], "x int"), ("x",), "k").orderBy("x").collect()] == list(range(500))
+
+
+def test_nearest_of_a_query_set(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)] + [(900, None), (901, [0.0] * 8), (902, [1.0])], "id long, v array<double>")
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    d = 1 - u @ u.T
+    got = joins.query_distances(rows.where("id % 20 = 0"), rows, "id", "v", nearest=5, block=4, slice_rows=70).collect()
+    assert len(got) == 75
+    for q in range(0, 300, 20):
+        want = [i for i in np.argsort(d[q], kind="stable").tolist() if i != q][:5]
+        assert [r.t for r in sorted((r for r in got if r.q == q), key=lambda r: (r.d, r.t))] == want
+    near = joins.query_distances(rows.where("id % 20 = 0"), rows, "id", "v", most=0.4, block=4, slice_rows=70).collect()
+    assert {(r.q, r.t) for r in near} == {(q, t) for q in range(0, 300, 20) for t in range(300) if q != t and round(d[q, t], 6) <= 0.4}
+
+
+def test_window_codes():
+    def plain(s, k, rev):
+        out = []
+        for i in range(len(s) - k + 1):
+            w = s[i : i + k]
+            if set(w) <= set("ACGT"):
+                w = w[::-1].translate(str.maketrans("ACGT", "TGCA")) if rev else w
+                out.append((i, int("".join(str("ACGT".index(c)) for c in w), 4)))
+        return out
+
+    texts = ["ACGTNACG", "", "AC", "TTTTT", "N", "GATTACA"]
+    off = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    for rev in (False, True):
+        t, pos, code = kmers.window_codes(data, off, 3, rev)
+        for i, s in enumerate(texts):
+            assert list(zip(pos[t == i].tolist(), code[t == i].tolist())) == plain(s, 3, rev)
+
+
+def test_containment_finds_every_pair(spark):
+    q, t = seq(spark, "ACGTACGTAA", "TTTTTTTTTT"), seq(spark, "GGACGTACGG", "AAAAAAAAAA", "CCCCCCCCCC")
+    got = {(r.a, r.b) for r in kmers.containment(q, t, "s", 5).collect()}
+    assert got == {(0, 0), (1, 1)}  # the second by its other strand
+    zeros = kmers.containment(q, t, "s", 5, spark.createDataFrame([(0, 2), (1, 1)], "a int, b int"))
+    assert {(r.a, r.b): r.frac_kmers for r in zeros.collect()} == {(0, 2): 0.0, (1, 1): 1.0}
 
 
 def test_join_checks(spark):
