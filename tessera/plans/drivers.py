@@ -143,9 +143,11 @@ def _(s, d):
 
 def compared(both, key: str = "regime"):
     """Paired tests of two models' scores p and p2 in every regime: areas, z, both p-values and their q-values."""
+    Z.shared_dir(both.sparkSession)  # scores and tests are checkpointed there: each is read several times
+    both = both.checkpoint()
     t = I.delong(both, "row_id", "label", "p", "p2", (key,)).withColumnRenamed("p", "p_area")
     c = both.select(key, "label", (F.col("p") >= 0.5).cast("int").alias("a"), (F.col("p2") >= 0.5).cast("int").alias("b"))
-    t = t.join(I.mcnemar(c, "label", "a", "b", (key,)).select(key, F.col("p").alias("p_decision")), key)
+    t = t.join(I.mcnemar(c, "label", "a", "b", (key,)).select(key, F.col("p").alias("p_decision")), key).checkpoint()
     t = O.bh_qvalues(t.withColumn("p_area", F.coalesce("p_area", F.lit(1.0))), "p_area", key).withColumnRenamed("q", "q_area")
     t = O.bh_qvalues(t, "p_decision", key).withColumnRenamed("q", "q_decision")
     return t.select(key, *[R(c).alias(c) for c in ("auc1", "auc2", "z", "p_area", "q_area", "p_decision", "q_decision")])
@@ -192,7 +194,8 @@ def _(s, d):
     hit = chosen.select("method", "k", "budget", F.explode("items").alias("item")).join(e, "item")
     per = hit.groupBy("method", "k", "budget", "target").agg(F.count("*").alias("c")).groupBy("method", "k", "budget").agg(F.count("*").alias("once"), F.count_if(F.col("c") >= F.col("k")).alias("k_times"))
     n = e.agg(F.count_distinct("target").alias("n"))  # one row
-    out = chosen.drop("items").join(per, (chosen.method == per.method) & (chosen.k == per.k) & chosen.budget.eqNullSafe(per.budget)).select(chosen.method, chosen.k, chosen.budget, "size", "once", "k_times")
+    per = per.toDF("m", "r", "b", "once", "k_times")
+    out = chosen.drop("items").join(per, (F.col("method") == F.col("m")) & (F.col("k") == F.col("r")) & F.col("budget").eqNullSafe(F.col("b")))
     return out.crossJoin(F.broadcast(n)).select("method", "k", "budget", "size", R(F.col("once") / F.col("n")).alias("once"), R(F.col("k_times") / F.col("n")).alias("k_times"))
 
 
