@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_repeated_substrings": substrings.SQL,
     "op7_ngram_jaccard": jaccard.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -396,3 +396,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
 
 def op1(spark, sf_dir):
     return without_repeats(C.table(spark, sf_dir, "documents"))
+
+
+#: Every 50-byte string by its digest, with the least document that it starts in; windows at most 50 apart are one removed run.
+SQL = """
+WITH b AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1 : i + 50]) AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM b) x),
+m AS (SELECT w, min(doc_id) AS low FROM w GROUP BY w),
+h AS (SELECT DISTINCT doc_id, i FROM w JOIN m USING (w) WHERE low < doc_id),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM h) x) y GROUP BY doc_id, run),
+n AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, hi AS p0, lead(lo) OVER (PARTITION BY doc_id ORDER BY hi) AS until FROM (SELECT doc_id, lo, hi FROM r UNION ALL SELECT doc_id, -1, 0 FROM b) x),
+k AS (SELECT doc_id, unhex(string_agg(hex(b[p0 + 1 : coalesce(until, octet_length(b))]), '' ORDER BY p0)) AS k FROM g JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(k) AS kept_sha256
+FROM b JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import common, exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, stages, substrings, urls, vectors
+from tessera.llm import common, exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, registry, stages, substrings, urls, vectors
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 ODD = [None, "", " \t\n", "a", "A", "a", "é ü 漢字 " * 20, "x" * 300, LONG, LONG]
@@ -712,3 +712,15 @@ def test_pipeline(spark, sf_dir, corpus):
         else:
             assert check_packing(docs.collect(), 2048)
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql_twin(spark, sf_dir, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(registry.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(df[sorted(df.columns)].itertuples(index=False, name=None))
+    assert rows(got) == rows(want)
