@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import exact_dedup, jaccard, lm_score, mixing, packing, pii, quality, substrings, urls, vectors
+from . import exact_dedup, jaccard, lm_score, mixing, packing, pieces, pii, quality, substrings, urls, vectors
 
 QUERIES = {
     "op1_repeated_substrings": substrings.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_vectors": vectors.op8,
     "op9_url_filter": urls.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op12_sentencepiece": pieces.op12,
 }
 
 SQL = {
