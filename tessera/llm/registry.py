@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import exact_dedup, jaccard, lm_score, mixing, packing, pieces, pii, quality, substrings, urls, vectors
+from . import divergence, exact_dedup, jaccard, lm_score, mixing, packing, pieces, pii, quality, substrings, urls, vectors
 
 QUERIES = {
     "op1_repeated_substrings": substrings.op1,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_url_filter": urls.op9,
     "op10_exact_dedup": exact_dedup.op10,
     "op12_sentencepiece": pieces.op12,
+    "op13_source_divergence": divergence.op13,
 }
 
 SQL = {
     "op1_repeated_substrings": substrings.SQL,
     "op7_ngram_jaccard": jaccard.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
