@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import divergence, exact_dedup, jaccard, lm_score, mixing, packing, pieces, pii, quality, substrings, urls, vectors
+from . import divergence, exact_dedup, jaccard, lm_score, mixing, packing, phrases, pieces, pii, quality, substrings, urls, vectors
 
 QUERIES = {
     "op1_repeated_substrings": substrings.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_vectors": vectors.op8,
     "op9_url_filter": urls.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_collocations": phrases.op11,
     "op12_sentencepiece": pieces.op12,
     "op13_source_divergence": divergence.op13,
 }
@@ -21,5 +22,6 @@ SQL = {
     "op1_repeated_substrings": substrings.SQL,
     "op7_ngram_jaccard": jaccard.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_collocations": phrases.SQL,
     "op13_source_divergence": divergence.SQL,
 }
