@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
 def running(df: DataFrame, order, columns: dict[str, tuple[str, Column]]) -> DataFrame:
     """df with running aggregates over all rows in a total order: name -> ('sum' | 'min' | 'max', value).
 
     Rows are ranged by the order and each range runs by itself, upon what the
-    ranges before it came to, so no task has all rows.
+    ranges before it came to, so no task has all rows.  The ranged table is written
+    with each row's range: Spark samples bounds anew for every reader of a range
+    exchange, and the offsets must be those of the rows they are added to.
     """
     spark = df.sparkSession
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     fns = {"sum": F.sum, "min": F.min, "max": F.max}
-    # a given number of ranges: both readers see the same ones
     x = df.withColumns({f"_v_{n}": e for n, (_, e) in columns.items()}).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    x = written(x)
     ends = x.groupBy("_p").agg(*[fns[op](f"_v_{n}").alias(f"_b_{n}") for n, (op, _) in columns.items()])
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     ends = ends.select("_p", *[fns[op](f"_b_{n}").over(before).alias(f"_b_{n}") for n, (op, _) in columns.items()])
@@ -42,7 +45,7 @@ def bh_qvalues(df: DataFrame, p: str, key: str, by=()) -> DataFrame:
     w = Window.partitionBy(*by)
     rk = F.row_number().over(w.orderBy(p, key))
     ranked = df.withColumn("_rk", rk).withColumn("_raw", F.col(p) * F.count("*").over(w) / F.col("_rk"))
-    q = F.min("_raw").over(w.orderBy("_rk").rowsBetween(0, Window.unboundedFollowing))
+    q = F.min("_raw").over(w.orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0))  # a frame that only grows
     return ranked.withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))).drop("_rk", "_raw")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 _SIGN = -(1 << 63)
 
 
@@ -106,20 +108,6 @@ def similar_components(sketches: DataFrame, size: int, least: float, nodes: Data
     return components(pairs.unionByName(copies), nodes, key=key)
 
 
-def shared_dir(spark) -> str:
-    """Where checkpoints go: the folder that the cluster names; a local one only on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="tessera-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", key: str = "id") -> DataFrame:
     """(key, root): least node reachable; nodes without an edge are roots of their own.
 

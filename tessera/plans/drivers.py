@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from ..operators import series as O
 from ..operators import simulate as X
 from ..operators import sketch as Z
 from ..operators import splits as S
-from ..session import table
+from ..session import scratch_path, shared_dir, table
 from ..sources import files as A
 from ..sources import manifest as D
 from .base import CANON, SCORED, query, scored
@@ -33,10 +31,6 @@ R = lambda c, n=6: F.round(c, n)
 # sources and sinks
 
 
-def _folder(s) -> str:
-    return f"{Z.shared_dir(s)}/tessera-{uuid.uuid4().hex}"
-
-
 @query("a05_name_index", """
 WITH p AS (SELECT c_custkey AS rank, CAST(c_custkey AS VARCHAR) || '.fa' AS path, 'nc_' || lpad(CAST(c_custkey % 500 AS VARCHAR), 6, '0') AS base, CAST(c_custkey % 3 AS VARCHAR) AS version FROM customer),
 r AS (SELECT path, rank, base || '_' || version AS slug FROM p UNION ALL SELECT path, rank, base FROM p) SELECT slug, arg_min(path, rank) AS path FROM r GROUP BY slug""")
@@ -51,7 +45,7 @@ _TRIP = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
 
 @query("a06_table_round_trip", f"{_TRIP} UNION ALL {_TRIP}")
 def _(s, d):
-    t, at = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), _folder(s)
+    t, at = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), scratch_path(s)
     A.write_table(t, f"{at}/parquet")
     A.write_table(t, f"{at}/text", csv=True)
     text = A.read_table(s, f"{at}/text")  # no Parquet there: read as CSV
@@ -60,21 +54,21 @@ def _(s, d):
 
 @query("a07_json_round_trip", "SELECT n_nationkey, n_name FROM nation")
 def _(s, d):
-    at = f"{_folder(s)}/json"
+    at = f"{scratch_path(s)}/json"
     A.write_json(table(s, d, "nation").select("n_nationkey", "n_name"), at)
     return s.read.json(at).select("n_nationkey", "n_name")
 
 
 @query("a08_array_bundle", "SELECT 'embeddings' AS name, vec_id AS id, len(embedding) AS size FROM embeddings UNION ALL SELECT 'embeddings2', vec_id, len(embedding) FROM embeddings")
 def _(s, d):
-    e, at = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), f"{_folder(s)}/bundle"
+    e, at = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), f"{scratch_path(s)}/bundle"
     A.write_bundle({"embeddings": e, "embeddings2": e}, at)
     return A.read_bundle(s, at).select("name", "id", F.size("v").alias("size"))
 
 
 @query("a11_result_tables", f"SELECT study, count(*) AS n FROM ({CANON}) c GROUP BY study")
 def _(s, d):
-    at = f"{_folder(s)}/result"
+    at = f"{scratch_path(s)}/result"
     A.write_table(canon(s, d).groupBy("study").agg(F.count("*").alias("n")), at, csv=True)
     return A.read_table(s, at).select("study", F.col("n").cast("long").alias("n"))
 
@@ -143,7 +137,7 @@ def _(s, d):
 
 def compared(both, key: str = "regime"):
     """Paired tests of two models' scores p and p2 in every regime: areas, z, both p-values and their q-values."""
-    Z.shared_dir(both.sparkSession)  # scores and tests are checkpointed there: each is read several times
+    shared_dir(both.sparkSession)  # scores and tests are checkpointed there: each is read several times
     both = both.checkpoint()
     t = I.delong(both, "row_id", "label", "p", "p2", (key,)).withColumnRenamed("p", "p_area")
     c = both.select(key, "label", (F.col("p") >= 0.5).cast("int").alias("a"), (F.col("p2") >= 0.5).cast("int").alias("b"))
@@ -296,7 +290,7 @@ def _(s, d):
     r, out = scored(s, d), None
     train, test = r.where("study = 'F'"), r.where("study = 'O'").drop("p")
     for name, feats in SCHEMAS.items():
-        at = f"{_folder(s)}/model"
+        at = f"{scratch_path(s)}/model"
         A.write_table(L.fit_once(train, feats, B.Boosting(trees=100), sample=20_000), at)  # the model is a table like any other
         p = L.score_with(A.read_table(s, at), test)
         m = M.ranking(p, (), "label").crossJoin(F.broadcast(M.ece(p, (), "label"))).crossJoin(F.broadcast(p.agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))))  # one row each

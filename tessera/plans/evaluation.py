@@ -156,6 +156,21 @@ def _(s, d):
     return M.spearman(table(s, d, "lineitem"), "l_quantity", "l_discount").select(R("rho").alias("rho"))
 
 
+@query("i20_spearman_wide", "SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS rx, rank() OVER (ORDER BY l_partkey) + (count(*) OVER (PARTITION BY l_partkey) - 1) / 2 AS ry FROM lineitem) x")
+def _(s, d):
+    return M.spearman(table(s, d, "lineitem"), "l_extendedprice", "l_partkey").select(R("rho").alias("rho"))
+
+
+_BY_PRICE = "(SELECT 0 AS one, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_extendedprice AS p FROM lineitem)"
+
+
+@query("i02_ranking_wide", f"WITH {_T.format(k='one', p='p', w='1', src=_BY_PRICE)} SELECT round({_AUC}, 6) AS auroc, round({_AP}, 6) AS ap FROM u GROUP BY one")
+def _(s, d):
+    """All rows as one group of about as many distinct scores."""
+    t = table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_extendedprice").alias("p"))
+    return M.ranking(t, (), "label").select(R("auroc").alias("auroc"), R("ap").alias("ap"))
+
+
 _EDGES = f"SELECT DISTINCT phage AS item, host AS target FROM ({CANON}) c WHERE label = 1 AND gcdiff > 40"
 
 

@@ -246,6 +246,19 @@ def _(s, d):
     return midrank(table(s, d, "events").select("event_id", F.floor("value").alias("x")), "x").select("event_id", "midrank")
 
 
+@query("e01_midrank_wide", "SELECT event_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS midrank FROM events")
+def _(s, d):
+    """About as many distinct values as rows."""
+    from ..operators.metrics import midrank
+
+    return midrank(table(s, d, "events"), "value").select("event_id", "midrank")
+
+
+@query("e08_numbered_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS place FROM lineitem")
+def _(s, d):
+    return O.numbered(table(s, d, "lineitem"), ("l_extendedprice", "l_orderkey", "l_linenumber"), "place").select("l_orderkey", "l_linenumber", "place")
+
+
 @query("e02_rank_percentile", """SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY floor(value)) + (count(*) OVER (PARTITION BY event_type, floor(value)) - 1) / 2) / (count(*) OVER (PARTITION BY event_type) + 1), 6) AS pct FROM events""")
 def _(s, d):
     from ..operators.metrics import midrank
@@ -262,6 +275,14 @@ def _(s, d):
     return O.bh_qvalues(t, "p", "s_suppkey", ("s_nationkey",)).select("s_suppkey", R("q").alias("q"))
 
 
+@query("e03_bh_qvalues_wide", """SELECT l_orderkey, l_linenumber, round(least(1, min(p * n / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM (
+ SELECT l_orderkey, l_linenumber, l_extendedprice / 200000 AS p, count(*) OVER () AS n, row_number() OVER (ORDER BY l_extendedprice / 200000, l_orderkey * 8 + l_linenumber) AS rk FROM lineitem) x""")
+def _(s, d):
+    """One family of all rows."""
+    t = table(s, d, "lineitem").withColumns({"p": F.col("l_extendedprice") / 200000, "k": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
+    return O.bh_qvalues(t, "p", "k").select("l_orderkey", "l_linenumber", R("q").alias("q"))
+
+
 @query("e04_interval_coverage", """SELECT user_id, CAST(sum(least(7, coalesce(nx - pos, 7))) AS BIGINT) AS covered FROM (
  SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS nx FROM (SELECT DISTINCT user_id, event_id % 1000 AS pos FROM events) y) x GROUP BY user_id""")
 def _(s, d):
