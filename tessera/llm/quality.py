@@ -9,7 +9,7 @@ follow-the-regularised-leader (per-coordinate steps, L1 and L2) on a bounded
 sample of labelled rows; scoring reads every whole text.
 
 Cases: a null or empty text has no n-grams, so its score is the bias alone; a
-label that is null is not learned; without usable labels every weight is zero
+label that is null is not learned, of several labels of one document the smallest is; without usable labels every weight is zero
 and the score is 0.5; a repeated row is scored again; no rows give an empty
 result.  Columns beyond doc_id and text are never inputs of a score.
 """
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")
     )
     # the bound makes this side safe to broadcast
-    sample = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = usable.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def extract(batches):
