@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -232,6 +232,12 @@ def phrase_filter(phrases: DataFrame, sc):
     return sc.broadcast(C.bitmap(phrases.select("lang", "phrase").mapInArrow(build, C.BLOB), bits))
 
 
+def cut_score(a: str, l: str, r: str, n: str) -> Column:
+    """floor(1000 a n / (l r)) in decimals of 38 digits."""
+    d = lambda c: c.cast("decimal(19,0)")
+    return F.call_function("div", d(F.col(a) * 1000) * d(F.col(n)), d(F.col(l)) * d(F.col(r))).cast("long")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, share: int = SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases, all of them without `top`."""
     spark, scratch = docs.sparkSession, C.Scratch(docs.sparkSession)
@@ -256,9 +262,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     cuts = cuts.select("lang", "phrase", "a", "k", join(1, F.col("k")).alias("first"), join(F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
     cuts = cuts.join(every.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"])
     cuts = cuts.join(every.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"]).join(totals, "lang")
-    d = lambda c: c.cast("decimal(19,0)")
-    score = F.call_function("div", d(F.col("a") * 1000) * d(F.col("n")), d(F.col("l")) * d(F.col("r")))
-    scored = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    scored = cuts.withColumn("score", cut_score("a", "l", "r", "n")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
     # each candidate's parts that are one word shorter, with its own count
     long_ = candidates.withColumn("w", w).where(F.size("w") > 2)
     parts = long_.select("lang", F.explode(F.array(join(1, F.size("w") - 1), join(2, F.size("w") - 1))).alias("phrase"), "a")
