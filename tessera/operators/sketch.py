@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import shared_dir, written
 
 _SIGN = -(1 << 63)
 
@@ -84,28 +84,72 @@ def jaccard_threshold(distance: float, k: int) -> float:
     return e / (2 - e)
 
 
-def sketch_pairs(sketches: DataFrame, size: int, least: float, key: str = "id") -> DataFrame:
-    """(a, b, j) with j at least the threshold.
+def prefixes(sketches: DataFrame, least: float, key: str = "id") -> DataFrame:
+    """(key, n, at, o): of every sketch of n hashes the rarest n - ceil(least n) + 1, from the rarest, that others have too.
 
-    Similar sketches share a hash, so candidates come from an equi-join on
-    hashes; a pair needs `least` x size of them in common at least when both
-    sketches are full, and any in common otherwise.
+    Two sketches of which the larger shares `least` of its hashes have a hash in
+    common within these.  Rarity is how many sketches have the hash, ties by the
+    hash, so all sketches agree on the order; a hash that no other has takes its
+    place and is left out.
     """
     rows = sketches.select(key, F.explode("sketch").alias("o"))
-    x, y = rows.select(F.col(key).alias("a"), "o"), rows.select(F.col(key).alias("b"), "o")
-    cand = x.join(y, "o").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
-    s = sketches.select(F.col(key).alias("_k"), "sketch")
-    j = sketch_jaccard(F.col("sa"), F.col("sb"), size)
-    p = cand.join(s.select(F.col("_k").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("_k").alias("b"), F.col("sketch").alias("sb")), "b")
-    return p.withColumn("j", j).where(F.col("j") >= least).select("a", "b", "j")
+    held = rows.groupBy("o").agg(F.count("*").alias("_c")).where("_c > 1")
+    known = rows.join(held, "o", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_c", F.lit(1)).alias("c"), "o"))).alias("s"))  # at most a sketch's size
+    n = F.size("s")
+    # ceil(least n) in steps of a millionth, so that rounding never makes it one more
+    cut = n - F.ceil(n * F.lit(least) - 1e-6).cast("int") + 1
+    return known.select(key, n.alias("n"), F.posexplode(F.slice("s", 1, F.greatest(cut, F.lit(0)))).alias("at", "x")).where("x.c > 1").select(key, "n", "at", "x.o")
+
+
+def candidate_pairs(sketches: DataFrame, least: float, key: str = "id") -> DataFrame:
+    """(a, b), a < b: pairs of sketches that may share `least` of the larger one's hashes.
+
+    Prefixes are joined on the hash.  At the first common hash of a pair no more than
+    what follows on both sides can be shared; pairs that fall short there go.
+    """
+    p = prefixes(sketches, least, key)
+    x, y = p.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), "o"), p.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), "o")
+    enough = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= F.greatest("na", "nb") * F.lit(least) - 1e-6
+    return x.join(y, "o").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+
+
+def _classes(sketches: DataFrame, key: str) -> DataFrame:
+    """(key, sketch, _rep): equal sketches have one representative."""
+    same = sketches.where(F.size("sketch") > 0).groupBy("sketch").agg(F.min(key).alias("_rep"))
+    return sketches.join(same, "sketch").select(key, "sketch", "_rep")
+
+
+def _class_pairs(classes: DataFrame, size: int, least: float, key: str) -> DataFrame:
+    """(a, b, j) between representatives."""
+    reps = classes.where(F.col(key) == F.col("_rep")).select(key, "sketch")
+    side = lambda c, name: reps.select(F.col(key).alias(c), F.col("sketch").alias(name))
+    p = candidate_pairs(reps, least, key).join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    return p.select("a", "b", sketch_jaccard(F.col("sa"), F.col("sb"), size).alias("j")).where(F.col("j") >= least)
+
+
+def sketch_pairs(sketches: DataFrame, size: int, least: float, key: str = "id") -> DataFrame:
+    """(a, b, j) with j at least the threshold, above 0.
+
+    A sketch of the union has at least as many hashes as the larger of the two, so
+    a pair shares `least` of those: a prefix join finds it.  Equal sketches are
+    compared as one; the pairs among their owners are the result asked for.
+    """
+    c = written(_classes(sketches, key))
+    between = _class_pairs(c, size, least, key)
+    owner = lambda n: c.select(F.col("_rep").alias(f"_r{n}"), F.col(key).alias(n))
+    far = between.withColumnsRenamed({"a": "_ra", "b": "_rb"}).join(owner("a"), "_ra").join(owner("b"), "_rb")
+    far = far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j")
+    many = c.groupBy("_rep").agg(F.count("*").alias("_n")).where("_n > 1").select("_rep")
+    own = c.join(many, "_rep", "left_semi").select("_rep", F.col(key).alias("a"))
+    near = own.join(own.withColumnRenamed("a", "b"), "_rep").where(F.col("a") < F.col("b")).select("a", "b", F.lit(1.0).alias("j"))
+    return far.unionByName(near)
 
 
 def similar_components(sketches: DataFrame, size: int, least: float, nodes: DataFrame, key: str = "id") -> DataFrame:
     """(key, root): single-linkage clusters of sketches; equal sketches meet once, however many there are."""
-    same = sketches.groupBy("sketch").agg(F.min(key).alias("_rep"))
-    copies = sketches.join(same, "sketch").where(F.col(key) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(key).alias("b"))
-    pairs = sketch_pairs(same.withColumnRenamed("_rep", key), size, least, key).select("a", "b")
-    return components(pairs.unionByName(copies), nodes, key=key)
+    c = written(_classes(sketches, key))
+    copies = c.where(F.col(key) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(key).alias("b"))
+    return components(_class_pairs(c, size, least, key).select("a", "b").unionByName(copies), nodes, key=key)
 
 
 def components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", key: str = "id") -> DataFrame:
