@@ -44,8 +44,8 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Entries (source, term) that a bucket of terms has, about.
 BUCKET_ENTRIES = 100_000
-#: Distinct (source, term) rows that a worker holds before it sends them.
-HELD_TERMS = 200_000
+#: Bytes of texts whose terms are counted together.
+CHUNK_BYTES = 10_000_000
 _TERM = np.zeros(256, bool)
 _TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -93,49 +93,38 @@ def slice_groups(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of chunks of texts, to be added up; a null term marks a group that occurs."""
 
-    def run(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
-
-        def flush():
-            cols = [[], [], [], [], []]
-            for (lang, source), terms in held.items():
-                rows = [(None, 0, 0), *((t, n, d) for t, (n, d) in terms.items())]
-                for a in range(0, len(rows), 50_000):
-                    part = rows[a : a + 50_000]
-                    t, n, d = zip(*part)
-                    text = pa.array(t, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), text, pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
-            held.clear()
+    def counted(batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
+        langs, sources = table.column(1).to_pylist(), table.column(2).to_pylist()
+        for a, b, data, off in C.text_slices(table.column(0), CHUNK_BYTES):
+            start, end, doc = term_spans(data, off)
+            group, terms = slice_groups(C.LOWER[data], start, end)
+            keys = list(zip(langs[a:b], sources[a:b]))
+            names = list(dict.fromkeys(keys))
+            number = {k: i for i, k in enumerate(names)}
+            of_doc = np.fromiter(map(number.__getitem__, keys), np.int64, b - a)
+            # occurrences by (group of texts, term), and those of them that are a document's first
+            width = len(terms) + 1
+            cell, n = np.unique(of_doc[doc] * width + group, return_counts=True)
+            pair = np.unique(doc * width + group)
+            docs = np.unique(of_doc[pair // width] * width + pair % width, return_counts=True)[1]
+            every = np.arange(len(names)) * width + len(terms)  # the null term of each group of texts
+            cell, n, docs = (np.concatenate(x) for x in ((cell, every), (n, 0 * every), (docs, 0 * every)))
+            text = pa.concat_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
+            lang, source = (pa.array(x, pa.string()) for x in zip(*names))
+            for i in range(0, len(cell), 50_000):
+                at, of = cell[i : i + 50_000] % width, pa.array(cell[i : i + 50_000] // width)
+                yield pa.RecordBatch.from_arrays([lang.take(of), source.take(of), text.take(pa.array(at)), pa.array(n[i : i + 50_000]), pa.array(docs[i : i + 50_000])], names=["lang", "source", "term", "n", "docs"])
 
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b, data, off in C.text_slices(batch.column(0)):
-                low = C.LOWER[data]
-                start, end, doc = term_spans(data, off)
-                group, terms = slice_groups(low, start, end)
-                keys = [(langs[k] or "", sources[k] or "") for k in range(a, b)]
-                number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-                of_doc = np.fromiter(map(number.__getitem__, keys), np.int64, b - a)
-                # occurrences by (group of texts, term), and those of them that are a document's first
-                width = len(terms) + 1
-                cell, count = np.unique(of_doc[doc] * width + group, return_counts=True)
-                pair = np.unique(doc * width + group)
-                in_docs = np.unique(of_doc[pair // width] * width + pair % width, return_counts=True)[1]
-                names = list(number)
-                into = [held.setdefault(k, {}) for k in names]
-                for c, n, d in zip(cell.tolist(), count.tolist(), in_docs.tolist()):
-                    got, t = into[c // width], terms[c % width]
-                    if t in got:
-                        got[t][0] += n
-                        got[t][1] += d
-                    else:
-                        got[t] = [n, d]
-                        size += 1
-                if size > HELD_TERMS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+            held.append(batch)
+            if sum(x.nbytes for x in held) > CHUNK_BYTES:
+                yield from counted(held)
+                held = []
+        if held:
+            yield from counted(held)
 
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")]
     return docs.select(*columns).mapInArrow(run, COUNTS)
