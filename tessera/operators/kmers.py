@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .series import interval_coverage, longest_run
 
 #: Bases whose windows are held at a time, whatever a batch has.
@@ -210,11 +211,203 @@ def spectrum_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFram
     return p.mapInArrow(run, T.StructType([*p.schema.fields[:2], *(T.StructField(c, T.DoubleType()) for c in names[2:])]))
 
 
+#: Letters of a minimizer, windows of a bucket (about), and windows from which a minimizer's runs are joined window by window.
+MINIMIZER = 9
+BUCKET_WINDOWS = 500_000
+HEAVY_WINDOWS = 200_000
+RUNS = (("pos", T.LongType()), ("minimizer", T.LongType()), ("windows", T.IntegerType()), ("packed", T.BinaryType()))
+
+
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every w neighbours, by doubling."""
+    size = 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
+
+
+def _runs(base: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
+    """Text, first position, minimizer and number of windows of every run of windows with one minimizer."""
+    none = np.empty(0, np.int64)
+    n = len(base) - k + 1
+    if n <= 0:
+        return none, none, none, none
+    bad = np.zeros(len(base) + 1, np.int64)
+    np.cumsum(base > 3, out=bad[1:])
+    code = np.zeros(len(base) - m + 1, np.uint64)
+    for j in range(m):
+        code = code << np.uint64(2) | (base[j : j + len(code)] & 3).astype(np.uint64)
+    # an order of m-mers in which those of one letter are nothing special; odd factors are bijections
+    code = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(29)
+    least = _sliding_min((code * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(2), k - m + 1)[:n].view(np.int64)
+    text = np.searchsorted(off, np.arange(n), side="right") - 1
+    good = (bad[k:] == bad[:-k]) & (np.arange(n) + k <= off[text + 1])
+    first = good & np.r_[True, ~good[:-1] | (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
+    at = np.flatnonzero(first)
+    windows = np.bincount(np.cumsum(first)[good] - 1, minlength=len(at))
+    return text[at], at, least[at], windows
+
+
+def _pack(base: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Two bits a letter of the slices at..at + size, each filled up to whole bytes."""
+    width = -(-size // 4)
+    off = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(width, out=off[1:])
+    inner = np.arange(4 * off[-1]) - np.repeat(4 * off[:-1], 4 * width)
+    x = base[np.minimum(np.repeat(at, 4 * width) + inner, len(base) - 1)].reshape(-1, 4) if len(at) else np.empty((0, 4), np.uint8)
+    data = (x[:, 0] & 3) << 6 | (x[:, 1] & 3) << 4 | (x[:, 2] & 3) << 2 | (x[:, 3] & 3)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data.astype(np.uint8))])
+
+
+def _unpacked_codes(packed: pa.Array, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run number, place within the run and code of every window of packed runs."""
+    if isinstance(packed, pa.ChunkedArray):
+        packed = packed.combine_chunks()
+    n = len(packed)
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    bufs = packed.buffers()
+    off = np.frombuffer(bufs[1], np.int32)[packed.offset : packed.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]]
+    base = np.stack([data >> 6, data >> 4 & 3, data >> 2 & 3, data & 3], 1).ravel().astype(np.int64)
+    run = np.repeat(np.arange(n), windows)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at, code = 4 * (off[:-1] - off[0])[run] + place, np.zeros(len(run), np.int64)
+    for j in range(k):
+        code = code << 2 | base[at + j]
+    return run, place, code
+
+
+def super_kmers(df: DataFrame, seq: str, k: int, keep=("id",), both_strands: bool = False) -> DataFrame:
+    """(keep, pos, minimizer, windows, packed): one row a run of consecutive windows that share a minimizer.
+
+    A window's minimizer is the least of its m-mers in a fixed scrambled order, so
+    equal windows have equal ones, and a run of w windows is w + k - 1 letters in
+    two bits each instead of w codes.  Both strands: the runs of the reverse
+    complement too, whose positions mean nothing.
+    """
+    m = min(MINIMIZER, k)
+
+    def kernel(data, off):
+        base = _BASE[data]
+        parts = [(base, *_runs(base, off, k, m))]
+        if both_strands:
+            back = np.where(base > 3, 4, 3 - base).astype(np.uint8)[::-1]
+            turned = (off[-1] - off[::-1]).astype(np.int64)
+            text, *rest = _runs(back, turned, k, m)
+            parts.append((back, len(off) - 2 - text, *rest))
+        packed = pa.concat_arrays([_pack(b, at, n + k - 1) for b, _, at, _, n in parts])
+        text, at, least, n = (np.concatenate(x) for x in zip(*(p[1:] for p in parts)))
+        return text, at - off[text], least, n.astype(np.int32), packed
+
+    return _mapped(df, seq, keep, list(RUNS), kernel)
+
+
+def _matches(qrun, qcode, tid, tcode):
+    """Numbers of the query windows and places of the target rows (distinct, in the order of codes) with equal codes."""
+    lo, hi = np.searchsorted(tcode, qcode), np.searchsorted(tcode, qcode, side="right")
+    n = hi - lo
+    rows = np.repeat(np.arange(len(qcode)), n)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _distinct(ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, code))
+    ids, code = ids[order], code[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (code[1:] != code[:-1])] if len(ids) else np.empty(0, bool)
+    return ids[new], code[new]
+
+
+def _expanded(t: pa.Table, k: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, and id number, position and code of every window."""
+    run, place, code = _unpacked_codes(t["packed"], t["windows"].to_numpy().astype(np.int64), k)
+    ids = t["id"].combine_chunks().dictionary_encode()
+    number = ids.indices.to_numpy().astype(np.int64)
+    return ids.dictionary, number[run], t["pos"].to_numpy()[run] + place, code
+
+
+class RunJoin:
+    """Windows that queries and targets share, by way of written runs of both.
+
+    Runs meet by the hash of their minimizer in buckets of about BUCKET_WINDOWS
+    windows and are expanded there only.  A minimizer with HEAVY_WINDOWS windows or more
+    (a stretch of one letter, a repeat that all have) would make its bucket one
+    large task: its runs are joined window by window instead, where Spark splits
+    skewed keys.
+    """
+
+    def __init__(self, query: DataFrame, target: DataFrame, seq: str, k: int, both_strands: bool):
+        self.k = k
+        side = lambda df, both: super_kmers(df, seq, k, both_strands=both)
+        self.q, self.t = written(side(query, False)), written(side(target, both_strands))
+        runs = self.q.select("minimizer", "windows").unionByName(self.t.select("minimizer", "windows"))
+        per = runs.groupBy("minimizer").agg(F.sum("windows").alias("n"))
+        total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") >= HEAVY_WINDOWS).alias("heavy")).first()
+        self.buckets = max(1, -(-total.n // BUCKET_WINDOWS))
+        # as many as windows / HEAVY_WINDOWS at most; Spark broadcasts them only under its own limit
+        self.heavy = per.where(F.col("n") >= HEAVY_WINDOWS).select("minimizer") if total.heavy else None
+
+    def _light(self, runs: DataFrame) -> DataFrame:
+        runs = runs if self.heavy is None else runs.join(self.heavy, "minimizer", "left_anti")
+        return runs.withColumn("bucket", F.pmod("minimizer", F.lit(self.buckets))).groupBy("bucket")
+
+    def _windows(self, runs: DataFrame) -> DataFrame:
+        """(id, pos, code) of the runs of heavy minimizers."""
+        k, schema = self.k, T.StructType([runs.schema["id"], T.StructField("pos", T.LongType()), T.StructField("code", T.LongType())])
+
+        def expand(batches):
+            for b in batches:
+                run, place, code = _unpacked_codes(b.column(3), b.column(2).to_numpy().astype(np.int64), k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(run)), pa.array(b.column(1).to_numpy()[run] + place), pa.array(code)], names=schema.names)
+
+        return runs.join(self.heavy, "minimizer", "left_semi").select("id", "pos", "windows", "packed").mapInArrow(expand, schema)
+
+    def hits(self) -> DataFrame:
+        """(a, b, pos): windows of query a that target b has too."""
+        k, schema = self.k, T.StructType([T.StructField("a", self.q.schema["id"].dataType), T.StructField("b", self.t.schema["id"].dataType), T.StructField("pos", T.LongType())])
+
+        def join(q: pa.Table, t: pa.Table) -> pa.Table:
+            if not len(q) or not len(t):
+                return pa.table({"a": q["id"].slice(0, 0), "b": t["id"].slice(0, 0), "pos": pa.array([], pa.int64())})
+            (a, ai, pos, qcode), (b, bi, _, tcode) = _expanded(q, k), _expanded(t, k)
+            bi, tcode = _distinct(bi, tcode)
+            rows, at = _matches(ai, qcode, bi, tcode)
+            return pa.table({"a": a.take(pa.array(ai[rows])), "b": b.take(pa.array(bi[at])), "pos": pa.array(pos[rows])})
+
+        out = self._light(self.q).cogroup(self._light(self.t)).applyInArrow(join, schema)
+        if self.heavy is not None:
+            q, t = self._windows(self.q).withColumnRenamed("id", "a"), self._windows(self.t).select(F.col("id").alias("b"), "code").distinct()
+            out = out.unionByName(q.join(t, "code").select("a", "b", "pos"))
+        return out
+
+    def shared(self) -> DataFrame:
+        """(a, b, shared): distinct common windows."""
+        k, schema = self.k, T.StructType([T.StructField("a", self.q.schema["id"].dataType), T.StructField("b", self.t.schema["id"].dataType), T.StructField("shared", T.LongType())])
+
+        def join(q: pa.Table, t: pa.Table) -> pa.Table:
+            if not len(q) or not len(t):
+                return pa.table({"a": q["id"].slice(0, 0), "b": t["id"].slice(0, 0), "shared": pa.array([], pa.int64())})
+            (a, ai, _, qcode), (b, bi, _, tcode) = _expanded(q, k), _expanded(t, k)
+            (ai, qcode), (bi, tcode) = _distinct(ai, qcode), _distinct(bi, tcode)
+            rows, at = _matches(ai, qcode, bi, tcode)
+            pair, n = np.unique(ai[rows] * len(b) + bi[at], return_counts=True)
+            return pa.table({"a": a.take(pa.array(pair // len(b))), "b": b.take(pa.array(pair % len(b))), "shared": pa.array(n.astype(np.int64))})
+
+        out = self._light(self.q).cogroup(self._light(self.t)).applyInArrow(join, schema)
+        if self.heavy is not None:
+            q, t = (self._windows(x).select(F.col("id").alias(c), "code").distinct() for x, c in ((self.q, "a"), (self.t, "b")))
+            out = out.unionByName(q.join(t, "code").groupBy("a", "b").agg(F.count("*").alias("shared")))
+        return out.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+    def query_windows(self) -> DataFrame:
+        return self.q.groupBy(F.col("id").alias("a")).agg(F.sum("windows").alias("windows"))
+
+
 def hits(query: DataFrame, target: DataFrame, seq: str, k: int) -> DataFrame:
     """(a, b, pos): windows of query a that are among target b's windows of either strand; every pair that shares one."""
-    q = kmer_codes(query, seq, k).withColumnRenamed("id", "a")
-    t = kmer_codes(target, seq, k, strands="both", distinct=True).select(F.col("id").alias("b"), "code")
-    return q.join(t, "code").select("a", "b", "pos")
+    return RunJoin(query, target, seq, k, True).hits()
 
 
 def containment(query: DataFrame, target: DataFrame, seq: str, k: int, pairs: DataFrame | None = None) -> DataFrame:
@@ -222,9 +415,9 @@ def containment(query: DataFrame, target: DataFrame, seq: str, k: int, pairs: Da
 
     pairs: these pairs instead, with zeros where they share none.
     """
-    hit = hits(query, target, seq, k)
+    joined = RunJoin(query, target, seq, k, True)
+    hit, valid = joined.hits(), joined.query_windows()
     hit = hit if pairs is None else hit.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
-    valid = kmer_codes(query, seq, k, distinct=True).groupBy(F.col("id").alias("a")).agg(F.sum("n").alias("windows"))
     # one pass over the sorted hits: isles of consecutive positions give hits, coverage and the longest run
     w = Window.partitionBy("a", "b").orderBy("pos")
     isle = hit.select("a", "b", (F.col("pos") - F.row_number().over(w)).alias("_g"), F.least(F.lit(k), F.coalesce(F.lead("pos").over(w) - F.col("pos"), F.lit(k))).alias("_s"))
@@ -241,8 +434,7 @@ def containment(query: DataFrame, target: DataFrame, seq: str, k: int, pairs: Da
 
 def shared_kmers(a: DataFrame, b: DataFrame, seq: str, k: int) -> DataFrame:
     """(a, b, shared): distinct common k-mers of every pair that has any."""
-    ka, kb = (kmer_codes(x, seq, k, distinct=True).select(F.col("id").alias(c), "code") for x, c in ((a, "a"), (b, "b")))
-    return ka.join(kb, "code").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return RunJoin(a, b, seq, k, False).shared()
 
 
 def repeat_spacers(df: DataFrame, seq: str, k: int = 23, copies=(3, 100), period=None, spacer=(20, 75), most: int = 500) -> DataFrame:

@@ -375,3 +375,48 @@ def test_class_forest_reads_whole_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = QUERIES["m13_class_forest"](spark, str(tmp_path)).collect()
     assert len(got) == 2 and all(r.n == 50 and r.p > 0.8 for r in got)
+
+
+@pytest.mark.parametrize("heavy", [1, 40, 1 << 40])
+def test_super_kmers(spark, heavy, monkeypatch):
+    """Runs of one minimizer give the windows that a row a window gives, stretches of one letter included."""
+    import random
+
+    monkeypatch.setattr(kmers, "HEAVY_WINDOWS", heavy)
+    monkeypatch.setattr(kmers, "BUCKET_WINDOWS", 300)
+    rng = random.Random(8)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    cut = lambda: base[(i := rng.randint(0, 250)) : i + rng.randint(0, 60)]
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    make = lambda: "".join(rng.choice([cut(), back(cut()), "A" * 30, "N", "ACGTN"]) for _ in range(rng.randint(0, 5)))
+    qs, ts = [make() for _ in range(15)], [make() for _ in range(12)] + [None, "", "ACG"]
+    q, t = seq(spark, *qs, None).repartition(3), seq(spark, *ts).repartition(2)
+    for k in (9, 16, 25):
+        grams = lambda s: [(i, s[i : i + k]) for i in range(len(s or "") - k + 1) if "N" not in s[i : i + k]]
+        sets = [{g for x in (s or "", back(s or "")) for _, g in grams(x)} for s in ts]
+        want = sorted((a, b, i) for a, s in enumerate(qs) for i, g in grams(s) for b, own in enumerate(sets) if g in own)
+        assert sorted(tuple(r) for r in kmers.hits(q, t, "s", k).collect()) == want
+        one = [{g for _, g in grams(s)} for s in ts]
+        want = sorted((a, b, n) for a, s in enumerate(qs) for b, own in enumerate(one) if (n := len({g for _, g in grams(s)} & own)))
+        assert sorted(tuple(r) for r in kmers.shared_kmers(q, t, "s", k).collect()) == want
+    n = kmers.super_kmers(q, "s", 16).agg(F.sum("windows"), F.count("*")).first()
+    assert n[0] == sum(len([1 for i in range(len(s) - 15) if "N" not in s[i : i + 16]]) for s in qs) and n[1] < n[0] / 3
+
+
+def test_prefix_join(spark):
+    """Every pair of sketches at the threshold is found, equal ones and hashes that all have included."""
+    import random
+
+    rng = random.Random(9)
+    sets = [sorted(rng.sample(range(40), rng.randint(0, 12)) + [99]) for _ in range(60)] + [[1, 2, 3]] * 5 + [[]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, sketch array<long>")
+    for least in (0.2, 0.5, 1.0):
+        want = []
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                bottom = sorted({*a, *sets[j]})[:12]
+                both = len({*bottom} & {*a} & {*sets[j]})
+                if a and sets[j] and both / len(bottom) >= least:
+                    want.append((i, j, round(both / len(bottom), 9)))
+        got = sketch.sketch_pairs(df, 12, least).select("a", "b", F.round("j", 9)).collect()
+        assert sorted(tuple(r) for r in got) == want
