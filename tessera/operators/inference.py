@@ -6,12 +6,19 @@ results are exploratory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tails
+from ..session import written
 from . import metrics as M
-from .series import dense_index
+from .series import dense_index, running
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
@@ -43,18 +50,116 @@ def bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int, see
     return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(ends))
 
 
-def two_way_bootstrap(df: DataFrame, a: str, b: str, y: str, p: str, replicates: int, seed: int, attempts: int = 20) -> DataFrame:
-    """(replicate, auroc, ap) with weight count_a x count_b of exactly so many replicates that have both classes.
+#: Draws that one task makes at a time, and entities of a block on either side.
+CHUNK_DRAWS = 4_000_000
+BLOCK_ENTITIES = 512
+
+
+def weight_vectors(df: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
+    """(cluster, i, first, w): cluster_weights() as vectors: the weights of some replicates, from `first` on, as packed 32-bit numbers.
+
+    A task makes all draws of its replicates and counts them, so what is sent is a
+    row a cluster and chunk, never one a draw.
+    """
+    spark = df.sparkSession
+    c = written(dense_index(df, cluster).select(cluster, F.col("idx").cast("long").alias("i")))
+    n = c.count()
+    each = max(1, min(replicates, CHUNK_DRAWS // max(n, 1)))
+
+    def draws(batches):
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                own = range(chunk * each, min(replicates, (chunk + 1) * each))
+                w = np.zeros((len(own), n), "<i4")
+                for row, r in enumerate(own):
+                    head = f"{seed}|{r}|".encode()
+                    at = np.fromiter((int(hashlib.sha256(head + b"%d" % j).hexdigest()[:15], 16) % n for j in range(n)), np.int64, n)
+                    w[row] = np.bincount(at, minlength=n)
+                for a in range(0, n, 20_000):
+                    part = np.ascontiguousarray(w[:, a : a + 20_000].T)
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + k)), pa.array(np.full(k, own.start)), pa.array([x.tobytes() for x in part], pa.binary())], names=["i", "first", "w"])
+
+    chunks = -(-replicates // each)
+    made = spark.range(0, chunks, 1, chunks).mapInArrow(draws, "i long, first long, w binary") if n else spark.createDataFrame([], "i long, first long, w binary")
+    return c.join(made, "i").select(cluster, "i", "first", "w")
+
+
+def weighted_scores(df: DataFrame, y: str, p: str, axes: dict[str, int], replicates: int) -> DataFrame:
+    """(p, pos, neg): positive and negative weight of every distinct score, a vector over the replicates each.
+
+    axes: the one or two columns whose entities are drawn, with their seeds; a row
+    weighs the product of its entities' counts.  Cells (entity, entity, label, score)
+    lie in a grid of blocks of entities; a block of the grid takes its entities'
+    vectors and its cells, and multiplies and adds whole vectors.
+    """
+    names = list(axes)
+    cells = df.where(F.col(p).isNotNull()).groupBy(*names, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n"))
+    vectors = {}
+    for k, (c, seed) in enumerate(axes.items()):
+        vectors[k] = written(weight_vectors(df, c, replicates, seed))
+        cells = cells.join(vectors[k].select(c, F.col("i").alias(f"_i{k}")).distinct(), c)
+    if len(names) == 1:
+        cells = cells.withColumn("_i1", F.lit(0).cast("long"))
+    block = lambda c: F.floor(F.col(c) / BLOCK_ENTITIES)
+    cells = written(cells.select("_i0", "_i1", "_y", "_p", "_n", block("_i0").alias("ba"), block("_i1").alias("bb")))
+    grid = cells.select(F.col("ba").alias("ga"), F.col("bb").alias("gb")).distinct()
+    w = None
+    for k, v in vectors.items():
+        own = v.select(F.lit(k).alias("side"), "i", "first", "w").withColumn("ga" if k == 0 else "gb", block("i")).join(grid, "ga" if k == 0 else "gb").select(F.col("ga").alias("ba"), F.col("gb").alias("bb"), "side", "i", "first", "w")
+        w = own if w is None else w.unionByName(own)
+    two = len(names) == 2
+
+    def add(t: pa.Table, v: pa.Table) -> pa.Table:
+        if not len(t):
+            return pa.table({"p": pa.array([], pa.float64()), "pos": pa.array([], pa.binary()), "neg": pa.array([], pa.binary())})
+        dense = np.zeros((2, BLOCK_ENTITIES, replicates), "<i4")
+        side, at, first_of = (v[c].to_numpy() for c in ("side", "i", "first"))
+        rows = v["w"].to_pylist()
+        for s_, i, r, x in zip(side.tolist(), (at % BLOCK_ENTITIES).tolist(), first_of.tolist(), rows):
+            dense[s_, i, r : r + len(x) // 4] = np.frombuffer(x, "<i4")
+        if not two:
+            dense[1] = 1
+        x, label = t["_p"].to_numpy(), t["_y"].to_numpy()
+        order = np.lexsort((label, x))
+        x, label = x[order], label[order]
+        i, j, n = (t[c].to_numpy()[order] for c in ("_i0", "_i1", "_n"))
+        score = np.unique(x)
+        out = np.zeros((2, len(score), replicates), np.int64)
+        place = np.searchsorted(score, x)
+        for a in range(0, len(x), 512):
+            part = slice(a, a + 512)
+            got = dense[0, i[part] % BLOCK_ENTITIES].astype(np.int64) * dense[1, j[part] % BLOCK_ENTITIES] * n[part, None]
+            cell = 2 * place[part] + label[part]
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            np.add.at(out, (label[part][first], place[part][first]), np.add.reduceat(got, first, axis=0))
+        return pa.table({"p": score, "pos": pa.array([r.tobytes() for r in out[1]], pa.binary()), "neg": pa.array([r.tobytes() for r in out[0]], pa.binary())})
+
+    def total(t: pa.Table) -> pa.Table:
+        pos, neg = (np.sum([np.frombuffer(r, "<i8") for r in t[c].to_pylist()], axis=0, dtype=np.int64) for c in ("pos", "neg"))
+        return pa.table({"p": t["p"].slice(0, 1), "pos": pa.array([pos.tobytes()], pa.binary()), "neg": pa.array([neg.tobytes()], pa.binary())})
+
+    parts = cells.groupBy("ba", "bb").cogroup(w.groupBy("ba", "bb")).applyInArrow(add, "p double, pos binary, neg binary")
+    return parts.groupBy("p").applyInArrow(total, "p double, pos binary, neg binary")
+
+
+def bootstrap_ranking(df: DataFrame, y: str, p: str, axes: dict[str, int], replicates: int, attempts: int = 20) -> DataFrame:
+    """(replicate, auroc, ap) of exactly so many replicates that have both classes, one-way or two-way by its axes.
 
     Replicates of one class are drawn anew, at most `attempts` times as many in all; then fewer come back.
+    Rows are multiplied by no replicate: only distinct scores are, when areas are added up.
     """
-    cells = df.groupBy(a, b, y, p).agg(F.count("*").alias("_n"))
 
     def drawn(n: int) -> DataFrame:
-        wa = cluster_weights(df, a, n, seed).withColumnRenamed("w", "_wa")
-        wb = cluster_weights(df, b, n, seed + 1).withColumnRenamed("w", "_wb")
-        rows = cells.join(wa, a).join(wb, ["replicate", b]).withColumn("_w", F.col("_wa") * F.col("_wb") * F.col("_n"))
-        return M.ranking(rows, ("replicate",), y, p, "_w").where("auroc IS NOT NULL").select("replicate", "auroc", "ap")
+        def spread(batches):
+            for batch in batches:
+                for x, pos, neg in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    a, b = np.frombuffer(pos, "<i8"), np.frombuffer(neg, "<i8")
+                    at = np.flatnonzero(a + b)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), x)), pa.array(a[at].astype(float)), pa.array(b[at].astype(float))], names=["replicate", "p", "pos", "neg"])
+
+        t = weighted_scores(df, y, p, axes, n).mapInArrow(spread, "replicate int, p double, pos double, neg double")
+        return written(M.ranking_of(t, ("replicate",)).where("auroc IS NOT NULL").select("replicate", "auroc", "ap"))
 
     n = replicates
     out = drawn(n)
@@ -64,25 +169,83 @@ def two_way_bootstrap(df: DataFrame, a: str, b: str, y: str, p: str, replicates:
     return out.orderBy("replicate").limit(replicates)
 
 
-def permutation_auroc(df: DataFrame, key: str, y: str, p: str, replicates: int, seed: int, by=()) -> DataFrame:
-    """AUROC, and p = (count of permuted at least as high + 1) / (n + 1), by group.
+def two_way_bootstrap(df: DataFrame, a: str, b: str, y: str, p: str, replicates: int, seed: int, attempts: int = 20) -> DataFrame:
+    """bootstrap_ranking() over the entities of both sides: a row weighs count_a x count_b."""
+    return bootstrap_ranking(df, y, p, {a: seed, b: seed + 1}, replicates, attempts)
+
+
+#: Distinct scores of a block, whose draws one task makes.
+BLOCK_SCORES = 4096
+#: What the generator draws exactly; a split of more rows takes the normal law of the same mean and variance.
+EXACT_ROWS = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, first: int, rest: int, take: np.ndarray) -> np.ndarray:
+    """How many of `take` rows drawn without return from first + rest lie among the first, elementwise."""
+    if first + rest < EXACT_ROWS:
+        return rng.hypergeometric(first, rest, take)
+    n = float(first + rest)
+    share = first / n
+    sd = np.sqrt(take * share * (1 - share) * np.maximum(n - take, 0) / max(n - 1, 1))
+    return np.clip(np.rint(take * share + sd * rng.standard_normal(len(take))), np.maximum(0, take - rest), np.minimum(first, take)).astype(np.int64)
 
-    A relabelling is an order of all rows by digest, so this is rows times
-    replicates of work; each replicate's order is one sort in its own task.
+
+def split_draws(rng: np.random.Generator, sizes: np.ndarray, take: np.ndarray):
+    """For each part in turn how many of `take` rows, drawn without return from all parts, lie in it, by replicate."""
+    rest, left = int(sizes.sum()), take.astype(np.int64)
+    for n in sizes.tolist():
+        rest -= n
+        got = hypergeometric(rng, n, rest, left)
+        left = left - got
+        yield got
+
+
+def permutation_auroc(df: DataFrame, y: str, p: str, replicates: int, seed: int, by=()) -> DataFrame:
+    """(by, auroc, p): p = (count of permuted at least as high + 1) / (replicates + 1); nulls for a group of one class.
+
+    A permutation of the labels matters by how many positives each distinct score
+    gets, and those are a multivariate hypergeometric draw.  So the positives of a
+    group are first drawn for blocks of its scores, then within each block for its
+    scores, all replicates at once: distinct scores times replicates of work,
+    whatever the rows, and no row is sorted.  Draws follow from the seed, the group
+    and the block.
     """
     by = list(by)
-    ranked = M.midrank(df.select(*by, key, y, p), p, by, name="_r")
-    n = df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("n"))
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256)
-    rep = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rep = rep.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(order, key)))
-    rep = rep.join(F.broadcast(n), by) if by else rep.crossJoin(F.broadcast(n))
-    area = (F.sum(F.when(F.col("_k") <= F.col("m"), F.col("_r"))) - F.max(F.col("m") * (F.col("m") + 1) / 2)) / F.max(F.col("m") * F.col("n"))
-    perm = rep.groupBy(*by, "replicate").agg(area.alias("perm"))
-    own = M.ranking(df, by, y, p).select(*by, "auroc")
-    both = perm.join(own, by) if by else perm.crossJoin(F.broadcast(own))
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    t = M.score_table(df.select(*by, y, p).where(F.col(p).isNotNull()), by, y, p).select(key.alias("g"), F.col(p).alias("x"), *[F.col(c).cast("long").alias(c) for c in ("pos", "neg")])
+    n = F.col("pos") + F.col("neg")
+    t = running(t, ("g", "x"), {"cum": ("sum", n), "no": ("sum", F.lit(1).cast("long"))}).withColumn("block", F.floor((F.col("no") - 1) / BLOCK_SCORES))
+    blocks = t.groupBy("g", "block").agg(F.sum(n).alias("n"), F.sum("pos").alias("pos"), F.min(F.col("cum") - n).alias("before"))
+    totals = blocks.groupBy("g").agg(F.sum("n").alias("n"), F.sum("pos").alias("m"), F.min("before").alias("before"))
+
+    def deal(key, g):
+        g = g.sort_by("block")
+        rng = np.random.default_rng([seed, zlib.crc32(key[0].as_py().encode())])
+        take = np.full(replicates, sum(g["pos"].to_pylist()), np.int64)
+        drawn = [x.astype("<i8").tobytes() for x in split_draws(rng, g["n"].to_numpy(), take)]
+        return pa.table({"g": g["g"], "block": g["block"], "drawn": pa.array(drawn, pa.binary())})
+
+    def within(key, scores, drawn):
+        scores = scores.sort_by("x")
+        rng = np.random.default_rng([seed + 1, zlib.crc32(key[0].as_py().encode()), key[1].as_py()])
+        sums = np.zeros(replicates)
+        for got, r in zip(split_draws(rng, scores["n"].to_numpy(), np.frombuffer(drawn["drawn"][0].as_py(), "<i8")), scores["rank"].to_numpy()):
+            sums += got * r
+        own = float((scores["pos"].to_numpy() * scores["rank"].to_numpy()).sum())
+        return pa.table({"g": [key[0].as_py()] * (replicates + 1), "replicate": pa.array(np.arange(-1, replicates), pa.int32()), "sum": np.r_[own, sums]})
+
+    # a row a block of scores; a group's blocks are dealt by one task
+    dealt = blocks.select("g", "block", "n", "pos").groupBy("g").applyInArrow(deal, "g string, block long, drawn binary")
+    ranked = t.join(totals.select("g", F.col("before").alias("_b")), "g").select("g", "block", "x", n.alias("n"), "pos", (F.col("cum") - F.col("_b") - (n - 1) / 2.0).alias("rank"))
+    sums = ranked.groupBy("g", "block").cogroup(dealt.groupBy("g", "block")).applyInArrow(within, "g string, replicate int, sum double")
+    m, k = F.col("m"), F.col("n") - F.col("m")
     # equal areas differ in the last digits by the order of their sums
-    return both.groupBy(*by, "auroc").agg(((F.count_if(F.round("perm", 9) >= F.round("auroc", 9)) + 1) / (F.count("*") + 1)).alias("p"))
+    area = F.when((m > 0) & (k > 0), (F.col("sum") - m * (m + 1) / 2) / (m * k))
+    areas = sums.groupBy("g", "replicate").agg(F.sum("sum").alias("sum")).join(totals.select("g", "n", "m"), "g").select("g", "replicate", area.alias("area"))
+    own, drawn = areas.where("replicate < 0").select("g", F.col("area").alias("auroc")), areas.where("replicate >= 0")
+    out = drawn.join(own, "g").groupBy("g", "auroc").agg(((F.count_if(F.round("area", 9) >= F.round("auroc", 9)) + 1) / (F.count("*") + 1)).alias("p"))
+    out = out.select(*[F.from_json("g", T.StructType([df.schema[c] for c in by]))[c].alias(c) for c in by], "auroc", F.when(F.col("auroc").isNotNull(), F.col("p")).alias("p"))
+    return out
 
 
 def delong(df: DataFrame, key: str, y: str, p: str, q: str, by=()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,9 +114,33 @@ def group_k_fold(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def stratified_group_fold(df: DataFrame, group: str, label: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): groups in a seeded order within their positive share, dealt in turn."""
-    g = df.groupBy(group).agg(F.round(F.avg(label), 3).alias("_rate")).withColumn("_o", hash_order(seed, group))
-    return numbered(g, ("_rate", "_o", group), "fold").select(group, (F.col("fold") % k).cast("int").alias("fold"))
+    """(group, fold): groups, the most one-sided first, each onto the fold that keeps the classes' shares most even.
+
+    A fold is judged by the spread, over the folds, of the share of each class that
+    they would hold, the mean of both classes; ties go to the fold with fewer rows,
+    then the lower number.  Groups of one spread come in a seeded order.  The
+    assignment is sequential over groups: one task takes their class counts, one
+    row a group in order, and holds 2 k loads.
+    """
+    y = F.col(label)
+    g = df.groupBy(group).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n")).withColumn("_o", hash_order(seed, group))
+    total = g.agg(F.greatest(F.sum("p"), F.lit(1)).alias("_p"), F.greatest(F.sum("n"), F.lit(1)).alias("_n"))  # one row
+    rows = g.crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(F.desc(F.abs(F.col("p") - F.col("n"))), "_o", F.col(group).cast("string"))
+
+    def deal(batches):
+        load = np.zeros((k, 2), np.int64)
+        for batch in batches:
+            out = []
+            for p, n, tp, tn in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                # load with the group in fold i, for all i at once: k x k x 2 shares
+                x = (load[None] + np.eye(k, dtype=np.int64)[:, :, None] * np.array([p, n])) / np.array([tp, tn])
+                spread = np.round(x.std(1).mean(1), 9)
+                i = min(range(k), key=lambda i: (spread[i], load[i].sum(), i))
+                load[i] += (p, n)
+                out.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=[group, "fold"])
+
+    return rows.select(group, "p", "n", "_p", "_n").mapInArrow(deal, T.StructType([rows.schema[group], T.StructField("fold", T.IntegerType())]))
 
 
 def inner_validation(df: DataFrame, label: str, row_id: str, share: float, seed: int) -> DataFrame:

@@ -86,23 +86,10 @@ def _(s, d):
     return I.delong(scored(s, d), "row_id", "label", "p", "p2").select(R("auc1").alias("auc1"), R("auc2").alias("auc2"), R(F.col("var") * 1000000, 4).alias("var_e6"), R("z", 4).alias("z"))
 
 
-def _permuted(src: str, by: str, reps: int, seed: int) -> str:
-    """Rows ({by}, auroc, p) of a label permutation test in each group."""
-    return f"""
-WITH s AS ({src}), r AS (SELECT {by} AS g, row_id, label, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2 AS r FROM s),
-n AS (SELECT g, sum(label)::DOUBLE AS m, sum(1 - label)::DOUBLE AS n, sum(CASE WHEN label = 1 THEN r END) AS own FROM r GROUP BY g),
-x AS (SELECT g, replicate, r, row_number() OVER (PARTITION BY g, replicate ORDER BY sha256('{seed}|' || CAST(replicate AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)), row_id) AS k FROM r, range({reps}) t(replicate)),
-q AS (SELECT g, replicate, (sum(CASE WHEN k <= m THEN r END) - any_value(m * (m + 1) / 2)) / any_value(m * n) AS perm FROM x JOIN n USING (g) GROUP BY 1, 2)
-SELECT g AS {by}, any_value((own - m * (m + 1) / 2) / (m * n)) AS auroc, (count_if(round(perm, 9) >= round((own - m * (m + 1) / 2) / (m * n), 9)) + 1) / (count(*) + 1) AS p FROM q JOIN n USING (g) GROUP BY g"""
-
-
-#: Label permutations: each is an order of all rows, unlike the bootstraps, whose weights go by cluster.
-PERMUTATIONS = 99
-
-
-@query("i09_permutation_test", f"SELECT round(auroc, 6) AS auroc, round(p, 6) AS p FROM ({_permuted(f'SELECT *, 0 AS one FROM ({SCORED}) y', 'one', PERMUTATIONS, 42)}) z")
+@query("i09_permutation_test")
 def _(s, d):
-    return I.permutation_auroc(scored(s, d), "row_id", "label", "p", PERMUTATIONS, 42).select(R("auroc").alias("auroc"), R("p").alias("p"))
+    """p is drawn: compared with enumeration in the tests."""
+    return I.permutation_auroc(scored(s, d), "label", "p", 1000, 42).select(R("auroc").alias("auroc"), R("p").alias("p"))
 
 
 @query("i10_mcnemar", f"""SELECT CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round(CASE WHEN b + c < 25 THEN least(b, c) ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END, 6) AS stat FROM (
@@ -122,12 +109,25 @@ def _(s, d):
     return M.reliability(scored(s, d), ("grp",), "label").where("n >= 5").select("grp", "bin", "n", R("rate").alias("rate"))
 
 
-@query("i15_two_way_bootstrap", f"""
-WITH s AS ({SCORED}), {_weights('s', 'grp', 2000, 7, 'wa')}, {_weights('s', 'study', 2000, 8, 'wb')}, c AS (SELECT grp, study, label, p, count(*) AS n FROM s GROUP BY ALL),
-b AS (SELECT replicate, label, p, wa.w * wb.w * c.n AS w FROM c JOIN wa USING (grp) JOIN wb USING (replicate, study)),
-{_T.format(k='replicate', p='p', w='w', src='b')} SELECT CAST(replicate AS INTEGER) AS replicate, round({_AUC}, 6) AS auroc, round({_AP}, 6) AS ap FROM u GROUP BY replicate""")
+def _replicates(axes: dict[str, int], src: str, reps: int) -> str:
+    """Rows (replicate, auroc, ap) with the product of the axes' weights, of replicates with both classes."""
+    keys = list(axes)
+    weights = ", ".join(_weights("s", k, reps, seed, f"w{i}") for i, (k, seed) in enumerate(axes.items()))
+    joins = f"JOIN w0 USING ({keys[0]})" + (f" JOIN w1 ON w1.replicate = w0.replicate AND w1.{keys[1]} = c.{keys[1]}" if len(keys) > 1 else "")
+    return f"""
+WITH s AS ({src}), {weights}, c AS (SELECT {', '.join(keys)}, label, p, count(*) AS n FROM s GROUP BY ALL),
+b AS (SELECT w0.replicate, label, p, {' * '.join(f'w{i}.w' for i in range(len(keys)))} * c.n AS w FROM c {joins}),
+{_T.format(k='replicate', p='p', w='w', src='b')} SELECT CAST(replicate AS INTEGER) AS replicate, round({_AUC}, 6) AS auroc, round({_AP}, 6) AS ap FROM u GROUP BY replicate HAVING sum(pos) > 0 AND sum(neg) > 0"""
+
+
+@query("i15_two_way_bootstrap", _replicates({"phage": 7, "host": 8}, SCORED, 2000))
+def _(s, d):
+    return I.two_way_bootstrap(scored(s, d), "phage", "host", "label", "p", 2000, 7).select("replicate", R("auroc").alias("auroc"), R("ap").alias("ap"))
+
+
+@query("i16_one_way_bootstrap", _replicates({"host": 42030}, f"SELECT * FROM ({SCORED}) z WHERE study = 'O'", 2000))
 def _(s, d):
-    return I.two_way_bootstrap(scored(s, d), "grp", "study", "label", "p", 2000, 7).select("replicate", R("auroc").alias("auroc"), R("ap").alias("ap"))
+    return I.bootstrap_ranking(scored(s, d).where("study = 'O'"), "label", "p", {"host": 42030}, 2000, attempts=50).select("replicate", R("auroc").alias("auroc"), R("ap").alias("ap"))
 
 
 @query("i17_group_difference", f"""

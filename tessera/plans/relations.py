@@ -411,7 +411,15 @@ def _(s, d):
     return S.group_k_fold(scored(s, d), "grp", 10)
 
 
-@query("k07_stratified_group_fold", f"""SELECT grp, CAST((row_number() OVER (ORDER BY round(rate, 3), sha256('42:' || grp), grp) - 1) % 5 AS INTEGER) AS fold FROM (SELECT grp, avg(label) AS rate FROM ({SCORED}) s GROUP BY grp) x""")
+@query("k07_stratified_group_fold", f"""
+WITH RECURSIVE c AS (SELECT grp, count_if(label = 1) AS p, count_if(label = 0) AS n FROM ({SCORED}) s GROUP BY 1), tot AS (SELECT sum(p)::DOUBLE AS tp, sum(n)::DOUBLE AS tn FROM c),
+g AS (SELECT *, row_number() OVER (ORDER BY abs(p - n) DESC, sha256('42:' || grp), grp) AS r FROM c, tot),
+w AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS grp, CAST(-1 AS INTEGER) AS fold, list_transform(range(5), lambda x: CAST(0 AS BIGINT)) AS lp, list_transform(range(5), lambda x: CAST(0 AS BIGINT)) AS ln
+ UNION ALL SELECT r, grp, best, list_transform(lp, lambda x, i: CASE WHEN i = best + 1 THEN x + p ELSE x END), list_transform(ln, lambda x, i: CASE WHEN i = best + 1 THEN x + n ELSE x END) FROM (
+  SELECT g.r, g.grp, g.p, g.n, lp, ln, CAST(list_min(list_transform(range(5), lambda f: {{'s': round((
+    list_aggregate(list_transform(lp, lambda x, i: (x + CASE WHEN i = f + 1 THEN g.p ELSE 0 END) / tp), 'stddev_pop') + list_aggregate(list_transform(ln, lambda x, i: (x + CASE WHEN i = f + 1 THEN g.n ELSE 0 END) / tn), 'stddev_pop')) / 2, 9),
+    'c': lp[f + 1] + ln[f + 1], 'f': f}})).f AS INTEGER) AS best FROM w JOIN g ON g.r = w.r + 1) z)
+SELECT grp, fold FROM w WHERE r > 0""")
 def _(s, d):
     return S.stratified_group_fold(scored(s, d), "grp", "label", 5, 42)
 

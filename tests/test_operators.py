@@ -420,3 +420,65 @@ def test_prefix_join(spark):
                     want.append((i, j, round(both / len(bottom), 9)))
         got = sketch.sketch_pairs(df, 12, least).select("a", "b", F.round("j", 9)).collect()
         assert sorted(tuple(r) for r in got) == want
+
+
+def test_permutation_by_draws(spark, monkeypatch):
+    """p against all relabellings of a small case; moments of the draws; blocks of scores."""
+    from itertools import combinations
+
+    import numpy as np
+
+    y, p = [1, 0, 1, 1, 0, 0, 1, 0, 0, 0], [0.9, 0.8, 0.8, 0.7, 0.5, 0.5, 0.5, 0.3, 0.2, 0.1]
+    area = lambda pos: sum((p[i] > p[j]) + (p[i] == p[j]) / 2 for i in pos for j in range(10) if j not in pos) / 24
+    own = area([i for i in range(10) if y[i]])
+    every = [area(c) for c in combinations(range(10), 4)]
+    exact = sum(a >= own - 1e-9 for a in every) / len(every)
+    rows = [("a", *r) for r in zip(y, p)] * 1 + [("b", 1, 0.5), ("b", 1, 0.7)]
+    df = spark.createDataFrame(rows, "g string, y int, p double").repartition(3)
+    for block in (2, 4096):
+        monkeypatch.setattr(inference, "BLOCK_SCORES", block)
+        got = {r.g: r for r in inference.permutation_auroc(df, "y", "p", 4000, 3, ("g",)).collect()}
+        assert got["a"].auroc == pytest.approx(own) and got["b"].auroc is None and got["b"].p is None
+        assert got["a"].p == pytest.approx(exact, abs=4 * (exact * (1 - exact) / 4000) ** 0.5 + 1 / 4000)
+    sizes, rng = np.array([3, 50, 7]), np.random.default_rng(1)
+    drawn = np.array(list(inference.split_draws(rng, sizes, np.full(20_000, 20))))
+    assert (drawn.sum(0) == 20).all() and (drawn.max(1) <= sizes).all()
+    assert drawn.mean(1) == pytest.approx(sizes / 3, rel=0.02)
+    monkeypatch.setattr(inference, "EXACT_ROWS", 10)
+    near = inference.hypergeometric(rng, 40_000, 60_000, np.full(20_000, 1000))
+    assert near.mean() == pytest.approx(400, rel=0.01) and near.std() == pytest.approx((1000 * 0.4 * 0.6 * 99_000 / 99_999) ** 0.5, rel=0.03)
+
+
+@pytest.mark.parametrize("blocks", [(512, 4_000_000), (3, 40)])
+def test_replicate_vectors(spark, blocks, monkeypatch):
+    """Vectors of weights give what repeated rows give."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(inference, "BLOCK_ENTITIES", blocks[0])
+    monkeypatch.setattr(inference, "CHUNK_DRAWS", blocks[1])
+    rng = random.Random(6)
+    rows = [(f"a{rng.randrange(7)}", f"b{rng.randrange(5)}", rng.randrange(2), rng.randrange(6) / 5) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a string, b string, y int, p double").repartition(3)
+    w = {k: {(r.replicate, r[1]): r.w for r in inference.cluster_weights(df, k, 9, seed).collect()} for k, seed in (("a", 4), ("b", 5))}
+    for axes in ({"a": 4, "b": 5}, {"a": 4}):
+        got = {r.replicate: r.auroc for r in inference.bootstrap_ranking(df, "y", "p", axes, 9, 1).collect()}
+        for rep in range(9):
+            cell = Counter()
+            for a, b, y, p in rows:
+                cell[y, p] += w["a"].get((rep, a), 0) * (w["b"].get((rep, b), 0) if "b" in axes else 1)
+            P, N = (sum(n for (y, _), n in cell.items() if y == k) for k in (1, 0))
+            if P and N:
+                area = sum(n * k * ((p > q) + (p == q) / 2) for (y, p), n in cell.items() if y for (z, q), k in cell.items() if not z) / (P * N)
+                assert got[rep] == pytest.approx(area)
+            else:
+                assert rep not in got
+
+
+def test_stratified_groups(spark):
+    rows = [(g, int(i < pos)) for g, (pos, n) in enumerate([(30, 30), (0, 30), (10, 20), (10, 20), (5, 40), (1, 3), (2, 3), (0, 1)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, y int")
+    folds = splits.stratified_group_fold(df, "g", "y", 2, 1)
+    assert folds.count() == 8
+    share = df.join(folds, "g").groupBy("fold").agg(F.avg("y").alias("r"), F.count("*").alias("n")).collect()
+    assert abs(share[0].r - share[1].r) < 0.1 and abs(share[0].n - share[1].n) < 30
