@@ -32,10 +32,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = False, steps: int = 25) -> np.ndarray:
-    """Newton's method on the penalised likelihood, the intercept penalised too."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = False, steps: int = 25, counts: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method on the penalised likelihood, the intercept penalised too; counts: how often each row occurs."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1))) if balanced else np.ones(len(y))
+    n = np.ones(len(y)) if counts is None else np.asarray(counts, float)
+    w = n * np.where(y == 1, n.sum() / (2 * max((n * y).sum(), 1)), n.sum() / (2 * max((n * (1 - y)).sum(), 1))) if balanced else n
     b = np.zeros(x.shape[1])
     for _ in range(steps):
         p = sigmoid(x @ b)

@@ -8,9 +8,10 @@ from ..operators import boosting as B
 from ..operators import graphnet as G
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import nested as N
 from ..operators import series as O
 from ..operators import splits as S
-from ..session import table
+from ..session import table, written
 from ..sources import files as A
 from ..sources import manifest as D
 from .base import CANON, SCORED, query, scored
@@ -120,7 +121,53 @@ def _by_fold(p):
 
 @query("m14_logistic_cv")
 def _(s, d):
-    return _by_fold(L.grouped_cv(regional(s, d), _FEATS, L.Logistic()))
+    return _by_fold(N.logistic_cv(regional(s, d), "fold", _FEATS))
+
+
+def _stratified(rows: str, k: int, seed: str, name: str) -> str:
+    """Tables for a recursive query: {name}w has (o, grp, fold) of stratified group folds of rows (o, grp, label), by o."""
+    one = lambda l, c, t: f"list_aggregate(list_transform({l}, lambda x, i: (x + CASE WHEN i = f + 1 THEN g.{c} ELSE 0 END) / {t}), 'stddev_pop')"
+    return f"""
+{name}c AS (SELECT o, grp, count_if(label = 1) AS p, count_if(label = 0) AS n FROM {rows} GROUP BY 1, 2), {name}t AS (SELECT o, sum(p)::DOUBLE AS tp, sum(n)::DOUBLE AS tn FROM {name}c GROUP BY 1),
+{name}g AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY abs(p - n) DESC, sha256(CAST({seed} AS VARCHAR) || ':' || grp), grp) AS r FROM {name}c JOIN {name}t USING (o)),
+{name}w AS (SELECT o, CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS grp, CAST(-1 AS INTEGER) AS fold, list_transform(range({k}), lambda x: CAST(0 AS BIGINT)) AS lp, list_transform(range({k}), lambda x: CAST(0 AS BIGINT)) AS ln FROM {name}t
+ UNION ALL SELECT o, r, grp, best, list_transform(lp, lambda x, i: CASE WHEN i = best + 1 THEN x + p ELSE x END), list_transform(ln, lambda x, i: CASE WHEN i = best + 1 THEN x + n ELSE x END) FROM (
+  SELECT g.o, g.r, g.grp, g.p, g.n, lp, ln, CAST(list_min(list_transform(range({k}), lambda f: {{'s': round(({one('lp', 'p', 'tp')} + {one('ln', 'n', 'tn')}) / 2, 9), 'c': lp[f + 1] + ln[f + 1], 'f': f}})).f AS INTEGER) AS best
+  FROM {name}w w JOIN {name}g g ON g.o = w.o AND g.r = w.r + 1) z)"""
+
+
+@query("m15_nested_layout", f"""
+WITH RECURSIVE s AS (SELECT 0 AS o, grp, label FROM ({SCORED}) z), {_stratified('s', 5, '42 + o', 'outer_')},
+x AS (SELECT CAST(k AS INTEGER) AS o, s.grp, label FROM s JOIN (SELECT grp, fold FROM outer_w WHERE r > 0) f USING (grp), range(5) t(k) WHERE k <> fold), {_stratified('x', 4, '43 + o', 'inner_')}
+SELECT o AS "outer", fold AS "inner", count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM (SELECT x.o, w.fold, label FROM x JOIN inner_w w ON w.o = x.o AND w.grp = x.grp AND w.r > 0
+ UNION ALL SELECT w.fold, -1, label FROM s JOIN outer_w w ON w.grp = s.grp AND w.r > 0) y GROUP BY 1, 2""")
+def _(s, d):
+    """Rows and positives of every inner fold of every outer fold; -1: the outer fold's own."""
+    r = written(scored(s, d).select("grp", "label"))
+    x = r.join(N.layout(r, "grp", "label", 5, 4, 42), "grp").select("label", F.posexplode("cells").alias("outer", "inner"))
+    return x.groupBy("outer", "inner").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+
+
+def nested(s, d, cs=(1.0,)):
+    r = written(scored(s, d))
+    return N.nested(r, N.layout(r, "grp", "label", 5, 4, 42), "grp", _FEATS, cs=cs)
+
+
+@query("m15_nested_thresholds")
+def _(s, d):
+    """Thresholds from inner scores alone, and the decisions of the outer rows."""
+    scores, chosen = nested(s, d)
+    got = M.threshold_metrics(scores.withColumn("p", F.col("decision").cast("double")), ("fold",)).select("fold", "n", "tp", "fp", "fn", "tn")
+    return got.join(chosen, "fold").select("fold", "threshold", R("f1", 4).alias("inner_f1"), "n", "tp", "fp", "fn", "tn")
+
+
+@query("m09_entity_logistic")
+def _(s, d):
+    """Hosts as entities; categories of the pair; folds of parts."""
+    r = scored(s, d)
+    bins = S.round_robin_bins(r, "phage", 4, 29).withColumnRenamed("bin", "fold")
+    r = r.join(bins, "phage").withColumns({"size": F.floor(F.col("gcdiff") / 10).cast("string"), "rate": F.floor(F.col("k6dist") * 50).cast("string")})
+    return N.entity_logistic(r, "host", ("study", "size", "rate"), "label", "fold").withColumn("p", R("p"))
 
 
 @query("m04_network_cv")
