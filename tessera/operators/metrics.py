@@ -31,6 +31,20 @@ def ranking(df: DataFrame, by=(), y="y", p="p", w: str | None = None) -> DataFra
     return ranking_of(score_table(df, by, y, p, w), by, p)
 
 
+def with_zeros(t: DataFrame, totals: DataFrame, by=(), p="p") -> DataFrame:
+    """A table of distinct scores with all pairs that were never written out, at score 0.
+
+    totals: (by, n_pos, n_neg) of the whole population.  What the table lacks of it
+    has no evidence and joins the cell of score 0; nothing is written out by pair.
+    """
+    by = list(by)
+    seen = t.groupBy(*by).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    rest = totals.join(seen, by, "left") if by else totals.crossJoin(F.broadcast(seen))  # a row a group
+    left = lambda n, s: (F.col(n) - F.coalesce(s, F.lit(0.0))).cast("double")
+    zero = rest.select(*by, F.lit(0.0).cast(t.schema[p].dataType).alias(p), left("n_pos", "_pos").alias("pos"), left("n_neg", "_neg").alias("neg"))
+    return t.unionByName(zero).groupBy(*by, p).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def ranking_of(t: DataFrame, by=(), p="p") -> DataFrame:
     """ranking() from a table of distinct scores."""
     if by:

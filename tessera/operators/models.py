@@ -14,10 +14,12 @@ from dataclasses import asdict, is_dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from . import metrics as M
 from . import splits as S
 from .boosting import Boosting, Tuned
@@ -342,6 +344,95 @@ def class_forest(train: DataFrame, test: DataFrame, features, label: str, trees:
     return out.select(*test.columns, F.when(seen, F.coalesce(F.try_element_at("_q", F.col("_y").cast("int") + 1), F.lit(0.0))).otherwise(0.0).alias("p"))
 
 
+def fingerprints(codes: DataFrame, buckets: int = 65536, key: str = "id", bucket: str = "bucket", name: str = "fingerprint") -> DataFrame:
+    """(key, fingerprint): the buckets that each key has, as a sparse 0/1 vector; an aggregate and a vocabulary of bucket numbers."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    words = codes.groupBy(key).agg(F.collect_set(F.col(bucket).cast("string")).alias("_w"))  # at most `buckets` of them
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], "_w", name).setBinary(True)
+    return model.transform(words).select(key, name)
+
+
+def class_scores(train: DataFrame, test: DataFrame, vector: str, label: str, keep=("id",), trees: int = 300, least: int = 5) -> DataFrame:
+    """(keep, class, p): a forest's probability of every class for every test row; 0 for a class of fewer than `least` training rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    train = written(train)
+    ix = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    few = {r[0] for r in train.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < least).collect()}  # a row a class
+    m = RandomForestClassifier(featuresCol=vector, labelCol="_y", numTrees=trees, seed=42, maxBins=2).fit(ix.transform(train))
+    q = vector_to_array("probability")
+    each = F.array(*[F.struct(F.lit(c).alias("class"), (F.lit(0.0) if c in few else F.get(q, F.lit(i))).alias("p")) for i, c in enumerate(ix.labels)])
+    return m.transform(test).select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.class", "_x.p")
+
+
+def fold_axes(rows: DataFrame, k: int = 64, vector: str = "v", fold: str = "fold") -> DataFrame:
+    """(fold, n, mean, axes, explained): at most k principal axes of the rows outside each fold, strongest first.
+
+    One pass adds up every fold's rows, their sums and their Gram matrix; what a
+    fold trains on is everything less its own, so no row is read twice and no fold
+    holds rows.  axes: k vectors, those beyond the rank zero; of each axis the largest
+    coordinate is positive; explained: the share of variance along each.  A null fold only trains.
+    """
+
+    def sums(batches):
+        held: dict = {}
+        for batch in batches:
+            folds = batch.column(0).to_pylist()
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
+            for f in dict.fromkeys(folds):
+                own = x[[i for i, g in enumerate(folds) if g == f]]
+                n, s, g = held.get(f, (0, 0.0, 0.0))
+                held[f] = (n + len(own), s + own.sum(0), g + own.T @ own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.int64()), *(pa.array([h[i].tobytes() for h in held.values()], pa.binary()) for i in (1, 2))], names=["fold", "n", "s", "g"])
+
+    def total(t):
+        add = lambda c: np.sum([np.frombuffer(x) for x in t[c].to_pylist()], axis=0).tobytes()
+        return pa.table({"fold": t["fold"].slice(0, 1), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "s": pa.array([add("s")], pa.binary()), "g": pa.array([add("g")], pa.binary())})
+
+    def everything(t):
+        return total(t).drop_columns(["fold"]).rename_columns(["_n", "_s", "_g"])
+
+    def axes(batches):
+        for batch in batches:
+            out = []
+            for f, n, s, g, an, as_, ag in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                n, s = an - n, np.frombuffer(as_) - np.frombuffer(s)
+                d = len(s)
+                mean = s / max(n, 1)
+                cov = (np.frombuffer(ag) - np.frombuffer(g)).reshape(d, d) / max(n, 1) - np.outer(mean, mean)
+                value, vec = np.linalg.eigh((cov + cov.T) / 2)
+                order = np.argsort(-value)[:k]
+                value, vec = np.maximum(value[order], 0), vec[:, order].T
+                real = value > 1e-12 * max(value[0], 1e-300) if n > 1 else np.zeros(len(value), bool)
+                vec = vec * np.where(vec[np.arange(len(vec)), np.abs(vec).argmax(1)] < 0, -1.0, 1.0)[:, None] * real[:, None]
+                full = np.zeros((k, d))
+                full[: len(vec)] = vec
+                share = np.zeros(k)
+                share[: len(value)] = value * real / max(np.trace(cov), 1e-300)
+                out.append((f, n, mean.tolist(), full.tolist(), share.tolist()))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.list_(pa.float64()))), pa.array(cols[4], pa.list_(pa.float64()))], names=["fold", "n", "mean", "axes", "explained"])
+
+    schema = "fold string, n long, s binary, g binary"
+    part = rows.select(F.col(fold).cast("string").alias("fold"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(sums, schema)
+    own = written(part.groupBy("fold").applyInArrow(total, schema))
+    all_ = own.groupBy(F.lit(0).alias("one")).applyInArrow(everything, "_n long, _s binary, _g binary")  # a row a fold goes in
+    both = own.where("fold IS NOT NULL").crossJoin(F.broadcast(all_))
+    return both.mapInArrow(axes, "fold string, n long, mean array<double>, axes array<array<double>>, explained array<double>")
+
+
+def project(rows: DataFrame, axes: DataFrame, vector: str = "v", fold: str = "fold", name: str = "axes_v") -> DataFrame:
+    """rows with their coordinates on the axes of the fold that they name."""
+    x = axes.select(F.col("fold").alias("_f"), F.col("mean").alias("_m"), F.col("axes").alias("_a"))  # a row a fold
+    centred = F.zip_with(F.col(vector).cast("array<double>"), "_m", lambda a, b: a - b)
+    dot = lambda axis: F.aggregate(F.zip_with("_c", axis, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    out = rows.join(x, rows[fold].cast("string") == F.col("_f")).withColumn("_c", centred)
+    return out.withColumn(name, F.transform("_a", dot)).select(*rows.columns, name)
+
+
 def inner_choice(df: DataFrame, folds: str, candidates: dict[str, str], y: str) -> DataFrame:
     """(candidate, ap): mean average precision over folds of each candidate score, the best first."""
     long = df.unpivot([folds, y], list(candidates), "candidate", "p")

@@ -129,6 +129,20 @@ def _(s, d):
     return L.principal_axes(r, r.where("study = 'F'"), _FEATS, 2).groupBy("study").agg(F.count("*").alias("n"), R(F.abs(F.avg("pc0")), 3).alias("pc0"))
 
 
+@query("m08_fold_axes")
+def _(s, d):
+    """64 axes of the vectors of either end for each fold: documents by language, items by number."""
+    from ..operators import kmers as Q
+    from .sequences import bench_seqs, long_seqs
+
+    lang = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("fold"))
+    a = Q.node_vectors(long_seqs(s, d), "s").join(lang, "id")
+    b = Q.node_vectors(bench_seqs(s, d), "s").withColumn("fold", F.pmod("id", F.lit(4)))
+    ends = [L.fold_axes(x, 64).withColumn("end", F.lit(n)) for n, x in (("a", a), ("b", b))]
+    first = lambda k: R(F.aggregate(F.slice("explained", 1, k), F.lit(0.0), lambda u, v: u + v), 4)
+    return ends[0].unionByName(ends[1]).select("end", "fold", "n", F.size(F.filter("explained", lambda v: v > 0)).alias("width"), first(1).alias("first"), first(64).alias("all"))
+
+
 @query("m13_class_forest")
 def _(s, d):
     t = table(s, d, "embeddings")

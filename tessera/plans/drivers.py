@@ -15,7 +15,7 @@ from ..operators import series as O
 from ..operators import simulate as X
 from ..operators import sketch as Z
 from ..operators import splits as S
-from ..session import scratch_path, shared_dir, table
+from ..session import scratch_path, shared_dir, table, written
 from ..sources import files as A
 from ..sources import manifest as D
 from .base import CANON, SCORED, query, scored
@@ -23,7 +23,7 @@ from .composites import gains
 from .evaluation import _AP, _AUC, _BIN, _T, _weights, edges
 from .modelling import _FEATS, across, graph_scores, regional
 from .relations import canon
-from .sequences import _hit, bench_seqs, long_seqs
+from .sequences import BSEQS, SEQS, _hit, _kmers, bench_seqs, long_seqs
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -237,29 +237,44 @@ WITH f AS ({_hit(16)}), w AS (SELECT f.a, f.b, frac_kmers, CASE WHEN contains(t.
 """
 
 
-@query("q12_kmer_comparator", f"{_LABELLED}, s AS (SELECT lang, label, frac_kmers AS p FROM w), {_T.format(k='lang', p='p', w='1', src='s')} SELECT lang, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round({_AUC}, 6) END AS auroc, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round({_AP}, 6) END AS ap FROM u GROUP BY lang")
+# Every document is paired with every item that has a window.  An item inside a text shares its windows, so
+# all positives are among the pairs with a hit, and the others count as negatives of score 0.
+_ALL_PAIRS = f"""
+n AS (SELECT lang, count(*) * (SELECT count(DISTINCT id) FROM ({_kmers(BSEQS, 16)}) k) AS n FROM ({SEQS}) q JOIN documents d ON d.doc_id = q.id WHERE s IS NOT NULL GROUP BY lang),
+s AS (SELECT lang, frac_kmers AS p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM w GROUP BY 1, 2 UNION ALL SELECT lang, 0, 0, n - (SELECT count(*) FROM w WHERE w.lang = n.lang) FROM n),
+t AS (SELECT lang, p, sum(pos) AS pos, sum(neg) AS neg FROM s GROUP BY 1, 2), u AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY lang ORDER BY p DESC) AS fp FROM t)"""
+
+
+@query("q12_kmer_comparator", f"{_LABELLED}, {_ALL_PAIRS} SELECT lang, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round({_AUC}, 6) END AS auroc, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round({_AP}, 6) END AS ap FROM u GROUP BY lang")
 def _(s, d):
     from ..operators import kmers as Q
 
-    f = Q.containment(long_seqs(s, d), bench_seqs(s, d), "s", 16).select("a", "b", R("frac_kmers").alias("p"))
+    docs, bench = written(long_seqs(s, d)), bench_seqs(s, d)
+    f = Q.containment(docs, bench, "s", 16).select("a", "b", R("frac_kmers").alias("p"))
     t = table(s, d, "documents").select(F.col("doc_id").alias("a"), "text", "lang")
     i = table(s, d, "benchmark").select(F.col("item_id").alias("b"), F.col("text").alias("item"))
     w = f.join(t, "a").join(i, "b").select("lang", "p", F.contains("text", "item").cast("int").alias("label"))
-    r = M.ranking(w, ("lang",), "label")
+    scores = written(M.score_table(w, ("lang",), "label"))
+    n = docs.select(F.col("id").alias("a")).join(t.select("a", "lang"), "a").groupBy("lang").agg(F.count("*").alias("n"))
+    items = Q.super_kmers(bench, "s", 16).agg(F.count_distinct("id").alias("items"))  # one row
+    known = scores.groupBy("lang").agg(F.sum("pos").alias("n_pos"))
+    all_ = n.crossJoin(F.broadcast(items)).join(known, "lang", "left").withColumn("n_pos", F.coalesce("n_pos", F.lit(0.0)))
+    r = M.ranking_of(M.with_zeros(scores, all_.select("lang", "n_pos", (F.col("n") * F.col("items") - F.col("n_pos")).alias("n_neg")), ("lang",)), ("lang",))
     return r.select("lang", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), R("auroc").alias("auroc"), R("ap").alias("ap"))
 
 
 @query("q13_fingerprint_comparator")
 def _(s, d):
+    """Languages as classes: fingerprints of 65,536 buckets, a forest on one half of the documents, pair scores of the other."""
     from ..operators import kmers as Q
 
-    v = Q.frequencies(long_seqs(s, d), "s", 3, both_strands=False).where("v IS NOT NULL")
-    t = v.join(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cls")), "id").where("cls IS NOT NULL")
-    x = [f"x{i}" for i in range(64)]
-    t = t.select("id", "cls", *[(F.get("v", F.lit(i)) > 0.02).cast("double").alias(c) for i, c in enumerate(x)])
+    codes = Q.kmer_codes(long_seqs(s, d), "s", 8, distinct=True).select("id", Z.feature_hash(Z.mix64("code")).alias("bucket"))
+    cls = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cls")).where("cls IS NOT NULL")
+    t = L.fingerprints(codes).join(cls, "id")
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-    p = L.class_forest(t.where(half), t.where(~half), x, "cls", 50)
-    return p.groupBy("cls").agg(F.count("*").alias("n"), R(F.avg("p"), 4).alias("p"))
+    p = L.class_scores(t.where(half), t.where(~half), "fingerprint", "cls", ("id", "cls"), trees=60)
+    p = p.select("class", "p", (F.col("cls") == F.col("class")).cast("int").alias("label"))
+    return M.ranking(p, ("class",), "label").select("class", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), R("auroc", 4).alias("auroc"), R("ap", 4).alias("ap"))
 
 
 @query("q14_comparator_table", f"""

@@ -104,3 +104,45 @@ def test_entity_fits(spark):
                 own.append(float((r.u, r.v)[k] in rare))
         b = models.fit_logistic(np.array(columns).T, ys, r.c, True)
         assert r.p == pytest.approx(float(models.sigmoid(np.array(own) @ b[:-1] + b[-1])), abs=1e-6)
+
+
+def test_fold_axes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5)) * [3, 1, 1, 1, 0] + 7
+    fold = [["a", "b", None][i % 3] for i in range(90)]
+    df = spark.createDataFrame([(i, f, v.tolist()) for i, (f, v) in enumerate(zip(fold, x))], "id long, fold string, v array<double>").repartition(4)
+    axes = models.fold_axes(df, 6)
+    got = {r.fold: r for r in axes.collect()}
+    assert set(got) == {"a", "b"}
+    for f, r in got.items():
+        own = x[[g != f for g in fold]]
+        centred = own - own.mean(0)
+        _, s, vt = np.linalg.svd(centred, full_matrices=False)
+        assert r.n == len(own) and r.explained[:4] == pytest.approx((s**2 / (s**2).sum())[:4]) and r.explained[4:] == [0, 0]
+        for k in range(4):
+            assert abs(np.dot(r.axes[k], vt[k])) == pytest.approx(1) and max(r.axes[k], key=abs) > 0
+        assert not np.any(r.axes[4:])
+    for r in models.project(df, axes).where("fold = 'a'").collect():
+        want = np.array(got["a"].axes) @ (x[r.id] - np.array(got["a"].mean))
+        assert r.axes_v == pytest.approx(want.tolist())
+
+
+def test_fingerprints_and_class_scores(spark):
+    rows = [(i, b) for i in range(60) for b in [*range(i % 2, 8000, 2), 65535 - i % 2]]
+    t = models.fingerprints(spark.createDataFrame(rows, "id long, bucket long")).withColumn("cls", F.when(F.col("id") == 0, "rare").when(F.col("id") % 2 == 1, "odd").otherwise("even"))
+    v = t.where("id = 1").first().fingerprint
+    assert v.size == 65536 and v.indices.tolist() == [*range(1, 8000, 2), 65534] and set(v.values) == {1.0}
+    got = models.class_scores(t.where("id < 40"), t.where("id >= 40"), "fingerprint", "cls", ("id", "cls"), trees=60).collect()
+    assert len(got) == 60 and all(r.p == 0 for r in got if r["class"] == "rare")
+    assert all((r.p > 0.5) == (r.cls == r["class"]) for r in got if r["class"] != "rare")
+
+
+def test_zeros_for_unseen_pairs(spark):
+    from tessera.operators import metrics
+
+    seen = spark.createDataFrame([("x", 1, 0.9), ("x", 0, 0.9), ("x", 1, 0.2), ("x", 0, 0.0)], "g string, y int, p double")
+    totals = spark.createDataFrame([("x", 3, 10), ("z", 1, 2)], "g string, n_pos long, n_neg long")
+    got = {r.g: r for r in metrics.ranking_of(metrics.with_zeros(metrics.score_table(seen, ("g",)), totals, ("g",)), ("g",)).collect()}
+    full = [(1, 0.9), (0, 0.9), (1, 0.2), (1, 0.0)] + [(0, 0.0)] * 9
+    area = sum((p > q) + (p == q) / 2 for y, p in full if y for z, q in full if not z) / 30
+    assert got["x"].auroc == pytest.approx(area) and (got["x"].n_pos, got["x"].n_neg) == (3, 10) and got["z"].auroc == 0.5
