@@ -180,10 +180,12 @@ def edges(s, d):
     return canon(s, d).where("label = 1 AND gcdiff > 40").select(F.col("phage").alias("item"), F.col("host").alias("target")).distinct()
 
 
-@query("j01_greedy_cover")
+@query("j01_greedy_cover", f"""
+WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT CAST(-1 AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS item, CAST(0 AS BIGINT) AS gain, CAST([] AS VARCHAR[]) AS done
+ UNION ALL SELECT w.step + 1, b.item, b.gain, list_concat(w.done, b.targets) FROM w, LATERAL (SELECT item, count(*) AS gain, list(target) AS targets FROM e WHERE NOT list_contains(w.done, target) GROUP BY item ORDER BY count(*) DESC, item LIMIT 1) b WHERE w.step < 29)
+SELECT step, item, gain FROM w WHERE step >= 0""")
 def _(s, d):
-    chosen = V.greedy_cover(edges(s, d), 1, 30)
-    return s.createDataFrame([(i, a, g) for i, (a, g) in enumerate(chosen)], "step int, item string, gain int")
+    return V.greedy_picks(edges(s, d), 1, 30)
 
 
 @query("j03_exact_budget_cover")

@@ -482,3 +482,25 @@ def test_stratified_groups(spark):
     assert folds.count() == 8
     share = df.join(folds, "g").groupBy("fold").agg(F.avg("y").alias("r"), F.count("*").alias("n")).collect()
     assert abs(share[0].r - share[1].r) < 0.1 and abs(share[0].n - share[1].n) < 30
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_greedy_rounds(spark, k):
+    """Rounds take what one-by-one choice takes, in its order, with its gains."""
+    import random
+
+    rng = random.Random(k)
+    pairs = sorted({(f"i{rng.randrange(25):02}", f"t{min(rng.randrange(40), rng.randrange(40))}") for _ in range(160)})
+    sets = {i: {t for x, t in pairs if x == i} for i, _ in pairs}
+    need = {t: min(k, sum(t in own for own in sets.values())) for _, t in pairs}
+    want, left = [], dict(sets)
+    while True:
+        gain, item = max(((sum(need[t] > 0 for t in own), i) for i, own in left.items()), key=lambda r: (r[0], [-ord(c) for c in r[1]]), default=(0, ""))
+        if not gain:
+            break
+        want.append((item, gain))
+        for t in left.pop(item):
+            need[t] = max(0, need[t] - 1)
+    e = spark.createDataFrame(pairs + pairs[:5], "item string, target string").repartition(3)
+    assert cover.greedy_cover(e, k) == want and cover.greedy_cover(e, k, 4) == want[:4]
+    assert cover.greedy_cover(e.limit(0)) == []
