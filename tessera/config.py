@@ -1,8 +1,8 @@
-"""Settings of the analytics pipelines as one frozen tree."""
+"""Settings of the analytics pipelines."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -14,13 +14,6 @@ class PairConfig:
     min_negative: int = 3
 
 
-@dataclass(frozen=True)
-class SketchConfig:
-    k: int = 21
-    size: int = 256
-    distance: float = 0.05
-
-
 @dataclass(frozen=True)
 class SimulationConfig:
     mutation_rate: float = 1e-7
@@ -33,11 +26,3 @@ class SimulationConfig:
     @property
     def n_steps(self) -> int:
         return int(round(self.horizon / self.dt)) + 1
-
-
-@dataclass(frozen=True)
-class Config:
-    seed: int = 42
-    pairs: PairConfig = field(default_factory=PairConfig)
-    sketch: SketchConfig = field(default_factory=SketchConfig)
-    simulation: SimulationConfig = field(default_factory=SimulationConfig)

@@ -308,7 +308,7 @@ def _(s, d):
         A.write_table(L.fit_once(train, feats, B.Boosting(trees=100), sample=20_000), at)  # the model is a table like any other
         p = L.score_with(A.read_table(s, at), test)
         m = M.ranking(p, (), "label").crossJoin(F.broadcast(M.ece(p, (), "label"))).crossJoin(F.broadcast(p.agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))))  # one row each
-        ends = I.two_way_bootstrap(p.withColumn("p", F.round("p", 3)), "grp", "region", "label", "p", 200, 13).agg(F.percentile("auroc", 0.025).alias("lo"), F.percentile("auroc", 0.975).alias("hi"))
+        ends = I.two_way_bootstrap(p.withColumn("p", F.round("p", 3)), "grp", "region", "label", "p", 2000, 13).agg(F.percentile("auroc", 0.025).alias("lo"), F.percentile("auroc", 0.975).alias("hi"))
         row = m.crossJoin(F.broadcast(ends)).select(F.lit(name).alias("schema"), *[R(c, 4).alias(c) for c in ("auroc", "ap", "brier", "ece", "lo", "hi")])
         out = row if out is None else out.unionByName(row)
     return out
@@ -333,7 +333,7 @@ a AS (SELECT region, host, max(label) AS sel FROM (SELECT *, row_number() OVER (
 d AS (SELECT region, host, sel - gen AS diff, sel, gen FROM a JOIN b USING (host))"""
 
 
-@query("q31_nested_selection", f"""{_NESTED}, {_weights('d', 'host', 200, 17, 'w')}, m AS (SELECT replicate, sum(w * diff)::DOUBLE / sum(w) AS m FROM w JOIN d USING (host) GROUP BY 1)
+@query("q31_nested_selection", f"""{_NESTED}, {_weights('d', 'host', 2000, 17, 'w')}, m AS (SELECT replicate, sum(w * diff)::DOUBLE / sum(w) AS m FROM w JOIN d USING (host) GROUP BY 1)
 SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(sel) FROM d), 6) AS selected, round((SELECT avg(gen) FROM d), 6) AS generalist, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def _(s, d):
     r = scored(s, d)
@@ -350,5 +350,5 @@ def _(s, d):
     z = z.withColumn("prev", F.round(F.when(F.col("_n") > F.col("n"), (F.col("_y") - F.col("y")) / (F.col("_n") - F.col("n"))).otherwise(0.0), 9))
     best = lambda by, name: O.top_k(z, ["host"], [F.desc(by), F.col("phage")], 3).groupBy("host").agg(F.max("label").alias(name))
     x = best("score", "sel").join(best("prev", "gen"), "host").withColumn("diff", (F.col("sel") - F.col("gen")).cast("double"))
-    ends = I.bootstrap_mean(x, "diff", "host", 200, 17).select(R("lo").alias("lo"), R("hi").alias("hi"))
+    ends = I.bootstrap_mean(x, "diff", "host", 2000, 17).select(R("lo").alias("lo"), R("hi").alias("hi"))
     return x.agg(F.count("*").alias("n"), R(F.avg("sel")).alias("selected"), R(F.avg("gen")).alias("generalist")).crossJoin(F.broadcast(ends))  # one row each
