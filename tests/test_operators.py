@@ -476,12 +476,25 @@ def test_replicate_vectors(spark, blocks, monkeypatch):
 
 
 def test_stratified_groups(spark):
-    rows = [(g, int(i < pos)) for g, (pos, n) in enumerate([(30, 30), (0, 30), (10, 20), (10, 20), (5, 40), (1, 3), (2, 3), (0, 1)]) for i in range(n)]
-    df = spark.createDataFrame(rows, "g int, y int")
-    folds = splits.stratified_group_fold(df, "g", "y", 2, 1)
-    assert folds.count() == 8
-    share = df.join(folds, "g").groupBy("fold").agg(F.avg("y").alias("r"), F.count("*").alias("n")).collect()
-    assert abs(share[0].r - share[1].r) < 0.1 and abs(share[0].n - share[1].n) < 30
+    """Each group, the most one-sided first, goes where the spread of the classes' shares is least."""
+    import hashlib
+    import statistics
+
+    sizes = [(30, 30), (0, 30), (10, 20), (10, 20), (5, 40), (1, 3), (2, 3), (0, 1), (7, 9), (3, 11)]
+    df = spark.createDataFrame([(g, int(i < pos)) for g, (pos, n) in enumerate(sizes) for i in range(n)], "g int, y int")
+    P, N = sum(p for p, _ in sizes), sum(n - p for p, n in sizes)
+    load = [[0, 0] for _ in range(3)]
+    want = {}
+    for g in sorted(range(len(sizes)), key=lambda g: (-abs(2 * sizes[g][0] - sizes[g][1]), hashlib.sha256(f"1:{g}".encode()).hexdigest())):
+        own = (sizes[g][0], sizes[g][1] - sizes[g][0])
+
+        def spread(i, own=own):
+            shares = [[(x[c] + (own[c] if j == i else 0)) / t for j, x in enumerate(load)] for c, t in enumerate((P, N))]
+            return round(sum(map(statistics.pstdev, shares)) / 2, 9)
+
+        want[g] = i = min(range(3), key=lambda i: (spread(i), sum(load[i]), i))
+        load[i] = [a + b for a, b in zip(load[i], own)]
+    assert {r.g: r.fold for r in splits.stratified_group_fold(df, "g", "y", 3, 1).collect()} == want
 
 
 @pytest.mark.parametrize("k", [1, 2])
