@@ -11,10 +11,10 @@ its vectors' link counts, a pair being counted in the first table where its two
 vectors meet, and sends a star for each component of the links it saw.  A bucket beyond
 BLOCK vectors is cut into blocks that meet two by two in different tasks.
 
-Cases: vectors that are null, zero, of another dimension than the first, or hold
-null or non-finite components link with nothing; a repeated row is a vector of
-its own for the counts, linked with its copy; a row without an id links like
-any other and has no component; no rows give an empty result.
+Cases: vectors that are null, empty, zero, or hold null or non-finite components
+link with nothing; vectors of several dimensions link each with their like; a
+repeated row is a vector of its own for the counts, linked with its copy; a row
+without an id links like any other and has no component; no rows give an empty result.
 Columns beyond the id and the vector are not read.
 """
 
@@ -90,30 +90,37 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     scratch = C.Scratch(spark)
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     n = v.count()
-    # the first non-empty vector in id order sets the dimension
-    first = v.where("v IS NOT NULL AND size(v) > 0 AND vec_id IS NOT NULL").select("vec_id", F.size("v").alias("d")).agg(F.min_by("d", "vec_id").alias("d")).first()
-    dim = first.d or 1
     hashes, tables = shape(n, threshold)
-    rng = np.random.default_rng(SEED)
-    a, b = rng.standard_normal((dim, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes)
-    mul = rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def projections(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rng = np.random.default_rng([SEED, dim])
+        return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes), rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(batches):
         """A row a vector: unit vector (as bytes) with its digest, and its key in every table; nulls where it links with nothing."""
+        drawn: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, ok = _unit(part.column(1), dim)
-                x += 0.0  # no negative zeros: equal vectors have equal bytes
-                h = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, hashes)
-                key = C.mix((h * mul).sum(2, dtype=np.uint64) + np.arange(tables, dtype=np.uint64))
-                sig = (key >> np.uint64(32)).astype("<u4")
-                raw = [r.tobytes() for r in x.astype("<f8")]
-                place = np.full(part.num_rows, -1)
-                place[ok] = np.arange(len(ok))
-                pick = lambda values, t: pa.array(values, t).take(pa.array(place, mask=place < 0))
+                raw, key, place = [], [np.empty((0, tables), np.uint64)], np.full(part.num_rows, -1)
+                for dim in np.unique(np.array(part.column(1).value_lengths().fill_null(0))).tolist():
+                    if not dim:
+                        continue
+                    if dim not in drawn:
+                        if len(drawn) == 8:
+                            drawn.clear()
+                        drawn[dim] = projections(dim)
+                    a, b, mul = drawn[dim]
+                    x, ok = _unit(part.column(1), dim)
+                    x += 0.0  # no negative zeros: equal vectors have equal bytes
+                    h = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), tables, hashes)
+                    key.append(C.mix((h * mul).sum(2, dtype=np.uint64) + np.arange(tables, dtype=np.uint64)))
+                    place[ok] = len(raw) + np.arange(len(ok))
+                    raw += [r.tobytes() for r in x.astype("<f8")]
+                key = np.concatenate(key)
+                pick = lambda values, t: pa.array(values, t).take(pa.array(place, mask=place < 0))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pick(raw, pa.binary()), pick([hashlib.sha256(r).digest() for r in raw], pa.binary()), pick([r.tobytes() for r in sig], pa.binary()), pick(key.view(np.int64).tolist(), pa.list_(pa.int64()))],
+                    [part.column(0), pick(raw, pa.binary()), pick([hashlib.sha256(r).digest() for r in raw], pa.binary()), pick([r.tobytes() for r in key.astype("<u8")], pa.binary()), pick(key.view(np.int64).tolist(), pa.list_(pa.int64()))],
                     names=["vec_id", "x", "sha", "sig", "keys"],
                 )
 
@@ -126,18 +133,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
         hashed = hashed.withColumn("m", F.lit(1).cast("long"))
     else:
         hashed = hashed.join(groups.select("rep", "m").hint("merge"), F.col("no") == F.col("rep"))
-    thin = hashed.select("no", F.posexplode("keys").alias("t", "key"))
+    # a dimension's vectors meet only each other
+    dim = F.length("x").alias("d")
+    thin = hashed.select(dim, F.posexplode("keys").alias("t", "key"))
     # buckets beyond one block: at most vectors x tables / BLOCK of them
-    hot = scratch.keep(thin.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    met = hashed.select("no", "m", "x", "sig", F.posexplode("keys").alias("t", "key")).join(hot, ["t", "key"], "left")
+    hot = scratch.keep(thin.groupBy("d", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    met = hashed.select("no", "m", "x", "sig", dim, F.posexplode("keys").alias("t", "key")).join(hot, ["d", "t", "key"], "left")
     # block b of a bucket of g blocks goes to the g tasks (b, *) and (*, b)
     g = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("no", "t"), g).cast("int")
     met = met.withColumns({"g": g, "block": block})
-    met = met.select("no", "m", "x", "sig", "t", "key", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    # of a vector's keys those of earlier tables go along: a pair counts in the first table where it meets
+    met = met.select("no", "m", "x", F.expr("substring(sig, 1, 8 * t)").alias("sig"), "d", "t", "key", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     met = met.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(max(parts, n * tables // 20000), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "no")
+    met = met.repartition(max(parts, n * tables // 20000), "d", "t", "key", "i", "j").sortWithinPartitions("d", "t", "key", "i", "j", "no")
 
     def meet(batches):
         held: list[pa.RecordBatch] = []
@@ -153,8 +163,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
                 return
             no, m = t["no"].to_numpy(), t["m"].to_numpy()
             x = np.frombuffer(b"".join(t["x"].to_pylist()), "<f8").reshape(len(no), -1)
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(len(no), -1)
             block, table, i, j = t["block"].to_numpy(), t["t"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u8").reshape(len(no), table)
             rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
             links, low = np.zeros(len(no)), np.arange(len(no))
             for r in range(0, len(rows), 512):
@@ -165,7 +175,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
                 p, q = p[keep], q[keep]
                 for k in range(0, len(p), 65536):
                     u, w = p[k : k + 65536], q[k : k + 65536]
-                    fresh = ~(sig[u, :table] == sig[w, :table]).any(1)
+                    fresh = ~(sig[u] == sig[w]).any(1)
                     links += np.bincount(u[fresh], m[w[fresh]], len(no)) + np.bincount(w[fresh], m[u[fresh]], len(no))
                 if len(p):
                     low = _least_linked(len(no), np.concatenate([p, np.arange(len(no))]), np.concatenate([q, low]))
@@ -182,7 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("t", "key", "i", "j")])
+            group = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("d", "t", "key", "i", "j")])
             cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 if last is not None and tuple(group[:, s]) != last:

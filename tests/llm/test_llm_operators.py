@@ -555,6 +555,29 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(x))] == root.tolist()
 
 
+def test_vectors_of_two_dimensions(spark, monkeypatch):
+    """Each dimension's vectors link as they do alone."""
+    x, near, root = linked_vectors()
+    wide = np.concatenate([x, x[:, ::-1], x[:, :1]], axis=1)  # 49 components
+    close = (u := wide / np.linalg.norm(wide, axis=1, keepdims=True)) @ u.T >= 0.9
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(len(x) + i, [float(v) for v in r]) for i, r in enumerate(wide)]
+    monkeypatch.setattr(vectors, "shape", lambda n, t: (3, 60))
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+    assert [got[len(x) + i].n_links for i in range(len(x))] == (close.sum(1) - 1).tolist()
+    assert min(got[len(x) + i].component_id for i in range(len(x))) == len(x)
+
+
+def test_vectors_with_equal_key_halves(spark, monkeypatch):
+    """Only whole keys tell whether a pair has met: links stay whole when the upper halves of all keys agree."""
+    x, near, _ = linked_vectors()
+    monkeypatch.setattr(vectors, "shape", lambda n, t: (3, 60))
+    monkeypatch.setattr(vectors.C, "mix", lambda v: v & np.uint64(0xFFFFFFFF))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert [r.n_links for r in vectors.near_vectors(rows).orderBy("vec_id").collect()] == near.sum(1).tolist()
+
+
 def test_vectors_recall(spark):
     """At the settings of the query: nine links in ten at least, none that is not there."""
     x, near, _ = linked_vectors()
