@@ -7,9 +7,12 @@ owes, so the counts of all shards add up to the targets.  The slots of a source
 run through a pseudorandom permutation of its block numbers (a Feistel network,
 walked back into range), epoch after epoch, and join the blocks by number.
 
+Rows alike in source, id and size (and key, if any) are counted before they are laid
+out and stand end to end as copies, so no id, null included, holds up a lane.
+
 Cases: a null or empty text has size 0 and takes 0; a null source is a source of
-its own, last in order; a repeated row is mixed again as a row of its own; no
-words at all give targets of 0; no rows give an empty result.  Columns beyond
+its own, last in order; a repeated row is mixed again as a row of its own; rows
+without an id are dealt by size like any others; no words at all give targets of 0; no rows give an empty result.  Columns beyond
 doc_id, text and source are not read.
 """
 
@@ -29,7 +32,9 @@ SHARDS = 256
 SEED = 20
 #: Documents of a source that are laid out together: about this many a lane.
 LANE_ROWS = 5000
-#: Slots that one row of the draw table is spread into at a time.
+#: Lanes whose block counts are summed up together before those of a source are.
+LANE_GROUP = 1024
+#: Slots, or copies of a row, that one row of the draw table is spread into at a time.
 CHUNK = 8192
 #: Slots that one task spreads.
 TASK_SLOTS = 250_000
@@ -96,6 +101,26 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _first_blocks(lanes: DataFrame) -> DataFrame:
+    """lanes with `first`, the blocks of its source before a lane's own: summed within groups of lanes, then over groups."""
+    before = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    lanes = lanes.withColumn("part", F.floor(F.col("lane") / LANE_GROUP))
+    parts = lanes.groupBy("source_no", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("source_no", "part", before(Window.partitionBy("source_no").orderBy("part")).alias("ahead"))
+    inner = before(Window.partitionBy("source_no", "part").orderBy("lane"))
+    return lanes.withColumn("inner", inner).join(parts, ["source_no", "part"]).select("source_no", "lane", (F.col("ahead") + F.col("inner")).alias("first"), "n", "words")
+
+
+def _each_copy(laid: DataFrame, chunk: int) -> DataFrame:
+    """A row for each copy, `copy` from 0, where it stands; many copies are dealt to tasks by chunks."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk)))
+    many = laid.where(F.col("copies") > chunk).select("*", chunks.alias("c")).repartition("source_no", "lane", "row", "c")
+    few = laid.where(F.col("copies") <= chunk).withColumn("c", F.lit(0).cast("long"))
+    last = F.least(F.col("copies"), (F.col("c") + 1) * chunk) - 1
+    out = few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.col("c") * chunk, last)))
+    return out.withColumn("at", F.col("at") + F.col("copy") * F.col("size")).drop("c", "copies")
+
+
 def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED, key: str | None = None):
     """(rows, segments, blocks): laid-out rows, their parts by block, and how often each block is drawn.
 
@@ -114,16 +139,16 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIG
         [(i, r.source, size[i], target[i], max(1, -(-r.rows // LANE_ROWS))) for i, r in enumerate(per)],
         "source_no int, source string, source_size long, target double, lanes int",
     )
-    # lanes: documents of a source dealt by hash, so no source is laid out by one task
-    lane = F.pmod(F.xxhash64("doc_id", F.lit(seed)), "lanes").cast("int").alias("lane")
+    # lanes: rows of a source dealt by hash, so no source is laid out by one task
+    lane = F.pmod(F.xxhash64("doc_id", "size", *keys, F.lit(seed)), "lanes").cast("int").alias("lane")
     s = sized.alias("s").join(F.broadcast(names).alias("n"), F.col("s.source").eqNullSafe(F.col("n.source"))).select("s.doc_id", "s.size", "n.source_no", "n.source_size", "n.target", lane, *keys)
+    alike = s.groupBy("source_no", "lane", "doc_id", "size", *keys).agg(F.count("*").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     w = Window.partitionBy("source_no", "lane").orderBy("doc_id", "size", *keys)
-    rows = s.withColumns({"row": F.row_number().over(w), "at": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    rows = scratch.keep(rows)
-    lanes = rows.groupBy("source_no", "lane").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block).cast("long"))
-    first = F.sum("n").over(Window.partitionBy("source_no").orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    lanes = lanes.withColumn("first", first).select("source_no", "lane", "first", "n", "words")
-    lanes = scratch.keep(lanes)
+    words = F.col("size") * F.col("copies")
+    laid = scratch.keep(alike.withColumns({"row": F.row_number().over(w), "at": F.sum(words).over(w.rowsBetween(Window.unboundedPreceding, 0)) - words}))
+    lanes = laid.groupBy("source_no", "lane").agg(F.sum(words).alias("words")).withColumn("n", F.ceil(F.col("words") / block).cast("long"))
+    lanes = scratch.keep(_first_blocks(lanes))
+    rows = _each_copy(laid, CHUNK)
     blocks_of = {r.source_no: r.n for r in lanes.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
     n_blocks = np.array([blocks_of.get(i, 0) for i in range(len(per))], np.int64)
     # a source's blocks hold this many words in the mean: the last of each lane is short
@@ -153,10 +178,10 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, most: int = MOST, weights=WEIG
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
     # lanes are as many as documents / LANE_ROWS: Spark broadcasts them only under its own limit
     parts = rows.where("size > 0").join(lanes.select("source_no", "lane", "first"), ["source_no", "lane"]).select(
-        "doc_id", "source_no", "lane", "row", "at", "size", "first", F.explode(F.sequence(where, last)).alias("b")
+        "doc_id", "source_no", "lane", "row", "copy", "at", "size", "first", F.explode(F.sequence(where, last)).alias("b")
     )
     parts = parts.select(
-        "doc_id", "source_no", "lane", "row", (F.col("first") + F.col("b")).alias("block"),
+        "doc_id", "source_no", "lane", "row", "copy", (F.col("first") + F.col("b")).alias("block"),
         (F.greatest(F.col("b") * block, "at") - F.col("at")).alias("lo"),
         (F.least((F.col("b") + 1) * block, F.col("at") + F.col("size")) - F.col("at")).alias("hi"),
     )
@@ -168,8 +193,8 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     rows, parts, slots = mix_plan(docs, **parameters)
     # as many blocks as the input has words / BLOCK: never broadcast, though their size can't be estimated
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    return rows.join(taken, ["source_no", "lane", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row", "copy").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    return rows.join(taken, ["source_no", "lane", "row", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op6(spark, sf_dir):

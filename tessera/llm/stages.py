@@ -118,8 +118,8 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, names = C.Scratch(spark).keep(docs.withColumn("_tessera_key", F.monotonically_increasing_id())), docs.columns
     rows, parts, slots = mixing.mix_plan(docs, key="_tessera_key")
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    drawn = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("runs"))
-    plan = drawn.join(rows.select("key", "source_no", "lane", "row").hint("merge"), ["source_no", "lane", "row"]).select(F.col("key").alias("_tessera_plan"), F.col("runs").alias("_tessera_runs"))
+    drawn = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "lane", "row", "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("runs"))
+    plan = drawn.join(rows.select("key", "source_no", "lane", "row", "copy").hint("merge"), ["source_no", "lane", "row", "copy"]).select(F.col("key").alias("_tessera_plan"), F.col("runs").alias("_tessera_runs"))
     t = names.index("text")
     n_chars = names.index("n_chars") if "n_chars" in names else None
     wide = docs.join(plan.hint("merge"), F.col("_tessera_key") == F.col("_tessera_plan")).select(*[docs[c] for c in names], "_tessera_runs")

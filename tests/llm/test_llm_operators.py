@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -407,6 +408,53 @@ def test_draws_add_up():
     assert (d.sum(0) == owed).all() and (d >= 0).all()
 
 
+def plain_targets(size, weight, most=3):
+    """Water filling by whole fractions: the level that gives all words away, found from the sources that are full."""
+    total = sum(size)
+    for full in range(len(size) + 1):
+        # sources fill up in order of size per weight
+        order = sorted(range(len(size)), key=lambda i: Fraction(size[i], weight[i]))
+        shut = order[:full]
+        left = total - most * sum(size[i] for i in shut)
+        level = Fraction(left, sum(weight[i] for i in order[full:]) or 1)
+        if all(level * weight[i] <= most * size[i] for i in order[full:]):
+            return [float(most * size[i] if i in shut else level * weight[i]) for i in range(len(size))]
+
+
+def test_mixing_recounted(spark, monkeypatch):
+    """taken is what the drawn blocks hold, counted word by word; many rows without an id, repeated rows, several lanes and groups of lanes."""
+    monkeypatch.setattr(mixing, "LANE_ROWS", 20)
+    monkeypatch.setattr(mixing, "LANE_GROUP", 3)
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rng = random.Random(3)
+    docs = [(i if i % 3 else None, f"w{i} " * rng.randint(0, 150), ("a", "b", None, "c")[i % 7 % 4]) for i in range(400)]
+    docs += [(None, "same text here", "a")] * 300 + [(5, "again", "c")] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    rows, _, slots = mixing.mix_plan(df)
+    rows = [r.asDict() for r in rows.collect()]
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(i), len(t.split())) for i, t, _ in docs)
+    lanes = collections.defaultdict(dict)  # word by word: place in the lane -> row
+    for k, r in enumerate(rows):
+        for x in range(r["at"], r["at"] + r["size"]):
+            assert x not in lanes[r["source_no"], r["lane"]]
+            lanes[r["source_no"], r["lane"]][x] = k
+    blocks, taken = collections.defaultdict(list), collections.Counter()
+    for (source, _), words in sorted(lanes.items()):
+        assert sorted(words) == list(range(len(words)))
+        blocks[source] += [[words[x] for x in range(b, min(b + mixing.BLOCK, len(words)))] for b in range(0, len(words), mixing.BLOCK)]
+    seen = collections.Counter((s.source_no, s.block) for s in slots.collect())
+    for (source, block), times in seen.items():
+        for k in blocks[source][block]:
+            taken[k] += times
+    got = mixing.mix(df).collect()
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r["doc_id"]), r["size"], taken[k]) for k, r in enumerate(rows))
+    by_source = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in ("a", "b", "c", None)}
+    want = plain_targets(list(by_source.values()), [1, 2, 3, 1])
+    assert {(r.source_size, round(r.target, 6)) for r in got} == {(n, round(w, 6)) for n, w in zip(by_source.values(), want)}
+    assert len({r["lane"] for r in rows if r["doc_id"] is None and r["source_no"] == 0}) > 5
+    assert sorted(map(str, mixing.mix(df.repartition(2)).collect())) == sorted(map(str, got))
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) + 2 and all(r.taken <= 3 * r.size for r in rows)
