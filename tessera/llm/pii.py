@@ -1,7 +1,8 @@
 """Personal data: checked patterns, and a skip-chain conditional random field.
 
 The patterns find base spans (email, ip, card, phone) in whole texts.  The field
-labels the tokens that hold a digit, ``@`` or ``+`` (any other token can't be
+labels the tokens that hold a digit, ``@`` or ``+``, and those without that have the
+letters of the local part of an address in the same text (any other token can't be
 personal data here and is outside).  Potentials: hashed features of a token and
 its neighbours; a chain edge between tokens that follow each other; a skip edge
 from a token to the one before it with the same letters and digits, the same
@@ -17,8 +18,10 @@ Weights are learned by pseudo-likelihood from a bounded sample, whose labels are
 the base spans.  Patterns explain those labels by the token alone, so the sample
 is given, for each token of a span, mentions of it that no pattern fits, joined
 to it and labelled alike, and two strangers of the same form, joined to each other
-and outside: what tells them apart is the skip edge.  Tokens outside that share
-their letters and digits with a span are left out.
+and outside: what tells them apart is the skip edge.  A mention that is one plain word
+(the ``info`` of an address) is as likely common language: it is joined to the span
+and outside, so names need a separator or a digit to be told by their address.
+Tokens outside that share their letters and digits with a span are left out.
 
 Cases: a null or empty text has no spans; a repeated row is searched again; a
 text of one very long word is searched in linear time; no rows give an empty
@@ -110,6 +113,11 @@ _TRIM = "\"'`.,;:!?*#&%$()[]{}<>|"
 
 
 _DIGITS, _PLAIN = re.compile("[^0-9]+"), re.compile(r"[\W_]+")
+#: A word of letters alone.
+_WORD = re.compile(r"[^\W\d_]+")
+#: What keys leave out, but for the signs between words.
+_DIGIT = re.compile("[0-9]")
+_WITHIN = re.compile(r"[^\w\x20\x09-\x0D]+|_+")
 
 
 def features(bare: str, before: str, after: str) -> list[int]:
@@ -186,7 +194,7 @@ class Graph:
                 if keys(form) and not any(base_spans(form)):
                     n = len(x)
                     x += [features(form, *self.near[(i + k) % len(self.near)]) for k in (1, 1, 2)]
-                    labels += [labels[i], 0, 0]
+                    labels += [0 if _WORD.fullmatch(form) else labels[i], 0, 0]
                     skip += [(i, n), (n + 1, n + 2)]
         return x, np.array(labels, np.int64), chain, skip
 
@@ -195,6 +203,24 @@ _FLAG = np.zeros(256, bool)
 _FLAG[list(b"0123456789@+")] = True
 
 
+def _bare_locals(tokens: list[str]) -> set[str]:
+    """Keys of the local parts of addresses among tokens that hold no digit: mentions of them carry no flag."""
+    found = set()
+    for token in tokens:
+        local, at, _ = token.strip(_TRIM).lower().partition("@")
+        key = _PLAIN.sub("", local) if at else ""
+        if len(key) >= 4 and not _DIGIT.search(local):
+            found.add(key)
+    return found
+
+
+def _mentions(text: str, words: list[str], wanted: set[str]) -> list[int]:
+    """Which words have the letters of a wanted key, their separators apart."""
+    if wanted.isdisjoint(_WITHIN.sub("", text.lower()).split()):
+        return []
+    return [i for i, w in enumerate(words) if _PLAIN.sub("", w.lower()) in wanted]
+
+
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[list[str | None], Graph]:
     """Texts that hold any candidate (None for others), and the graph over all of them."""
     n = len(off) - 1
@@ -209,14 +235,19 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[list[str | None], Gra
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     raw = data.tobytes()
     word = lambda k, d: raw[start[k] : end[k]].decode() if 0 <= k < len(start) and doc[k] == d else ""
-    last = -1
-    for k in np.flatnonzero(seen[end] > seen[start]).tolist():
-        d = int(doc[k])
-        if d != last:
-            texts[d] = raw[off[d] : off[d + 1]].decode()
-            graph.new_text()
-            last = d
-        graph.add(d, k, word(k, d), int(points[start[k]] - points[off[d]]), word(k - 1, d), word(k + 1, d))
+    flagged = np.flatnonzero(seen[end] > seen[start])
+    cuts = [0, *(np.flatnonzero(np.diff(doc[flagged])) + 1).tolist(), len(flagged)] if len(flagged) else [0]
+    for s, e in zip(cuts, cuts[1:]):
+        d, picked = int(doc[flagged[s]]), flagged[s:e].tolist()
+        texts[d] = raw[off[d] : off[d + 1]].decode()
+        graph.new_text()
+        wanted = _bare_locals([word(k, d) for k in picked])
+        if wanted:
+            first, after = np.searchsorted(doc, [d, d + 1]).tolist()
+            more = _mentions(texts[d], [word(k, d) for k in range(first, after)], wanted)
+            picked = sorted({*picked, *(first + i for i in more)})
+        for k in picked:
+            graph.add(d, k, word(k, d), int(points[start[k]] - points[off[d]]), word(k - 1, d), word(k + 1, d))
     return texts, graph
 
 

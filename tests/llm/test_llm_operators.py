@@ -234,6 +234,34 @@ def test_mentions_are_labelled_by_skip_edges(spark):
     assert sum(map(len, added.values())) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_mentions_of_letters_alone(spark):
+    """john.smith far from john.smith@... is found by its skip edge; plain words of an address and names without one are not."""
+    rng, rows, want = random.Random(5), [], {}
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+    far = lambda: " ".join(name() for _ in range(80)) + " "
+    for i in range(240):
+        who, role = f"{name()}{rng.choice('._-')}{name()}", rng.choice(("info", "sales", "contact", "support"))
+        if i % 4 == 0:
+            t = f"{far()}{who}@mail.example.com {far()}({who.title()}), {far()}"
+            a = t.rindex(who.title())
+            want[i] = {f"email:{a}:{a + len(who)}"}
+        elif i % 4 == 1:
+            t, want[i] = f"{far()}{role}@mail.example.com {far()}{role} {far()}", set()
+        elif i % 4 == 2:
+            t, want[i] = f"{far()}{who} {far()}{who} {rng.randrange(100, 999)} {far()}", set()
+        else:
+            t, want[i] = f"{who} {far()}{name()}.{name()}9@mail.example.com {far()}{who}", set()
+        rows.append((i, t))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in rows:
+        base = {f"{k}:{a}:{b}" for k, spans in zip(pii.KINDS, plain_spans(t)) for a, b in spans}
+        added = set(filter(None, got[i].spans.split(","))) - base
+        assert added <= want[i], t
+        found += len(added)
+    assert found >= 0.95 * sum(map(len, want.values()))
+
+
 def test_no_skip_edges_no_mentions(spark, monkeypatch):
     monkeypatch.setattr(pii, "keys", lambda bare: [])
     added, _ = mentions(spark)
