@@ -201,10 +201,10 @@ def nested(df: DataFrame, cells: DataFrame, group: str, features, label: str = "
     return outside.select("row_id", "fold", "y", "p", (F.col("p") >= F.col("threshold")).alias("decision")), chosen
 
 
-def entity_logistic(rows: DataFrame, entity: str, columns, label: str, fold: str, cs=(0.1, 1.0, 10.0), least: int = 3) -> DataFrame:
+def entity_logistic(rows: DataFrame, entity: str, columns, label: str, fold: str, cs=(0.1, 1.0, 10.0), least: int = 3, balanced: bool = True) -> DataFrame:
     """(entity, fold, columns, c, n, p): for each entity and fold, scores of the level combinations that test there.
 
-    One balanced penalised fit an (entity, fold, C), on the entity's rows of other
+    One penalised fit, balanced by class unless told otherwise, an (entity, fold, C), on the entity's rows of other
     folds: one indicator a level, levels below `least` rows in training pooled, a level
     that training lacks without an indicator; the training share where it has one
     class or no rows (then a half).  What a fit needs of the rows is how often each
@@ -237,7 +237,7 @@ def entity_logistic(rows: DataFrame, entity: str, columns, label: str, fold: str
             x = np.column_stack(indicators)
             for cost in cs:
                 if pos and neg:
-                    b = fit_logistic(np.vstack([x[train], x[train]]), np.r_[np.ones(train.sum()), np.zeros(train.sum())], cost, True, counts=np.r_[pdf.pos[train], pdf.neg[train]])
+                    b = fit_logistic(np.vstack([x[train], x[train]]), np.r_[np.ones(train.sum()), np.zeros(train.sum())], cost, balanced, counts=np.r_[pdf.pos[train], pdf.neg[train]])
                     p = sigmoid(x[test] @ b[:-1] + b[-1])
                 else:
                     p = np.full(test.sum(), pos / (pos + neg) if pos + neg else 0.5)

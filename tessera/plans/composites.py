@@ -10,11 +10,12 @@ from ..operators import inference as I
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import selectors as X
 from ..operators import series as O
 from ..operators import sketch as Z
 from ..operators import splits as S
 from ..session import table
-from .base import SCORED, query, scored
+from .base import CANON, SCORED, query, scored
 from .evaluation import _AP, _AUC, _EDGES, _T, _weights, edges
 from .modelling import _FEATS
 
@@ -214,6 +215,36 @@ def _(s, d):
     return h.groupBy("variant").agg(F.count("*").alias("n"), R(F.avg("hit")).alias("success"))
 
 
+#: Hosts choose among targets: what is known of a pair's part, its fold, and the supplier's nation.
+_LEVELS = ("maker", "kind", "size")
+_SELECT = f"""
+WITH f AS (SELECT phage, CAST((row_number() OVER (ORDER BY sha256('32:' || phage), phage) - 1) % 10 AS INTEGER) AS fold FROM (SELECT DISTINCT phage FROM ({CANON}) c) x),
+s AS (SELECT host, phage, label, fold, p_brand AS maker, p_type AS kind, CAST(p_size // 10 AS VARCHAR) AS size FROM ({CANON}) c JOIN f USING (phage) JOIN part ON phage = 'nc ' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.1')"""
+
+
+def _known_parts(s, d):
+    r = scored(s, d)
+    part = table(s, d, "part").select(F.concat(F.lit("nc "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".1")).alias("phage"), F.col("p_brand").alias("maker"), F.col("p_type").alias("kind"), F.floor(F.col("p_size") / 10).cast("string").alias("size"))
+    fold = S.round_robin_bins(r, "phage", 10, 32).withColumnRenamed("bin", "fold")
+    return r.select("host", "phage", "label", "grp").join(part, "phage").join(fold, "phage")
+
+
+@query("q32_level_vote", f"""{_SELECT}, t AS (SELECT DISTINCT host, fold, maker, kind, size FROM s),
+n AS (SELECT t.host, t.fold, t.maker, t.kind, t.size, (t.maker <> s.maker)::INT + (t.kind <> s.kind)::INT + (t.size <> s.size)::INT AS d, count(*) AS n, sum(label) AS y FROM t JOIN s ON s.host = t.host AND s.fold <> t.fold GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY host, fold, maker, kind, size ORDER BY d) AS b FROM n),
+w AS (SELECT *, (least(b, 40) - least(b - n, 40)) / greatest(d, 1e-6) AS w FROM c)
+SELECT t.host, t.fold, t.maker, t.kind, t.size, round(v, 6) AS vote FROM t LEFT JOIN (SELECT host, fold, maker, kind, size, sum(w * y / n) / sum(w) AS v FROM w GROUP BY ALL) x USING (host, fold, maker, kind, size)""")
+def _(s, d):
+    return X.level_vote(_known_parts(s, d), "host", _LEVELS, "label", "fold").withColumn("vote", R("vote"))
+
+
+@query("q32_selector_variants")
+def _(s, d):
+    """For parts, three suppliers of different nations: all seven variants."""
+    scores = X.selector_scores(_known_parts(s, d), "host", _LEVELS, "label", "fold")
+    return X.selector_audit(scores, "phage", "host", "label", ["grp"]).select("variant", "n", R("success").alias("success"), R("positive_fraction").alias("positive_fraction"))
+
+
 @query("s01_tumbling_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(s, d):
     from ..streaming.events import windowed
